@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from boutline.llm.common import text_of
 #: No match of a pattern that only takes one leading blank can cross these cuts.
 CHUNKS = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 _BLANK_AND_MORE = re.compile(r" (?:\s|\Z)").search
-#: Entries of a cache; at about 250 bytes each it is bounded by some hundred MB a worker.
-CACHE = 900_000
+#: Entries that a memory takes before it sets about forgetting; it holds twice as many at most, of about 200 bytes.
+CHUNK_CACHE, PIECE_CACHE = 400_000, 350_000
 _NONE = 1 << 62
 FANOUT = 16
 
@@ -92,55 +93,63 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Memory:
+    """A bounded map that forgets what was not used for longest, half of it at a time."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The values of ``keys``; ``make`` gives those of keys not known."""
+        young = self.young
+        try:
+            return [young[k] for k in keys]
+        except KeyError:
+            pass
+        if len(young) > self.size:
+            self.old, self.young = young, {}
+            young = self.young
+        old, new = self.old, []
+        for key in {k for k in keys if k not in young}:
+            if key in old:
+                young[key] = old[key]
+            else:
+                new.append(key)
+        young.update(zip(new, make(new)))
+        return [young[k] for k in keys]
+
+
 class Cached:
-    """Encodes texts chunk by chunk; ``encode_chunks`` gives the ids of chunks not met yet."""
+    """Encodes texts chunk by chunk; ``encode_chunks`` gives the packed ids of chunks not met lately."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[list[int]]]):
-        self.known: dict[str, bytes] = {}
-        self.after_blank: dict[str, bytes] = {}
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], size: int = CHUNK_CACHE):
+        self.plain, self.after_blank = Memory(size // 8), Memory(size)
         self.encode_chunks = encode_chunks
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if _BLANK_AND_MORE(text):
-            return self._joined(CHUNKS(text), self.known, "")
+            return b"".join(self.plain.recall(CHUNKS(text), self.encode_chunks))
         # Each blank is followed by something else than white space, so it belongs to what follows.
         head, *rest = text.split(" ")
-        return (self._joined([head], self.known, "") if head else b"") + self._joined(rest, self.after_blank, " ")
+        ids = self.plain.recall([head], self.encode_chunks) if head else []
+        return b"".join(ids + self.after_blank.recall(rest, lambda new: self.encode_chunks([" " + c for c in new])))
 
-    def _joined(self, chunks: list[str], known: dict[str, bytes], lead: str) -> bytes:
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > CACHE:
-            known.clear()
-        new = list({c for c in chunks if c not in known})
-        for chunk, ids in zip(new, self.encode_chunks([lead + c for c in new])):
-            known[chunk] = np.array(ids, dtype="<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+
+def packed(ids: list[int]) -> bytes:
+    return _PACKERS[len(ids)](*ids) if len(ids) < len(_PACKERS) else np.array(ids, dtype="<u4").tobytes()
+
+
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def tree_encoder(ranks: dict[bytes, int], pattern: str) -> Cached:
     """Encodes by ``merge_piece``; pieces are remembered besides chunks."""
-    pieces_of = regex.compile(pattern).findall
-    pieces: dict[str, list[int]] = {}
-
-    def encode(chunks: list[str]) -> list[list[int]]:
-        if len(pieces) > CACHE:
-            pieces.clear()
-        out = []
-        for chunk in chunks:
-            ids: list[int] = []
-            for piece in pieces_of(chunk):
-                got = pieces.get(piece)
-                if got is None:
-                    got = pieces[piece] = merge_piece(piece.encode(), ranks)
-                ids += got
-            out.append(ids)
-        return out
-
-    return Cached(encode)
+    pieces_of, pieces = regex.compile(pattern).findall, Memory(PIECE_CACHE)
+    merged = lambda new: [packed(merge_piece(piece.encode(), ranks)) for piece in new]
+    return Cached(lambda chunks: [b"".join(pieces.recall(pieces_of(chunk), merged)) for chunk in chunks], CHUNK_CACHE // 2)
 
 
 _ENCODERS: dict[tuple[str, str], Cached] = {}
@@ -168,7 +177,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(SparkFiles.get(name), pattern)
         for batch in batches:
-            ids = pa.array([encoder.ids(t) for t in batch.column(1).to_pylist()], pa.binary())
+            ids = pa.array([encoder.ids(t.as_py()) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return text_of(docs).mapInArrow(run, "doc_id long, ids binary")
