@@ -90,11 +90,13 @@ def likeness(a: Column, b: Column) -> Column:
     )
 
 
+_NO_ID = -(1 << 63)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``(id, mark, doc_id, text)``: ``id`` and ``mark`` tell documents apart."""
+    """``(id, mark, text)``: ``id`` and ``mark`` tell documents apart; ``id`` is ``_NO_ID`` without a ``doc_id``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc, F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("mark"), doc.alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -118,7 +120,8 @@ def successors(ids: DataFrame) -> DataFrame:
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit, and the likeness to the edit and to the next document.
 
-    The edit replaces the last half of the code points by the beginning of the next document.
+    The edit replaces the last half of the code points by the beginning of the next document. Both joins
+    with the texts take them by the same keys and columns, so the texts are shuffled once and read twice.
     """
     spark, rows = docs.sparkSession, keyed(docs)
     own = stored(rows.select("id", "mark", F.length("text").cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint")), "prints")
@@ -134,7 +137,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     ).dropDuplicates(["id", "mark"])
     joined = rows.join(pairs, ["id", "mark"]).join(heads, ["id", "mark"])
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("head"))
-    told = joined.select("doc_id", "n_chars", "fingerprint", "next_fingerprint", edited.alias("edited"))
+    told = joined.select(F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_chars", "fingerprint", "next_fingerprint", edited.alias("edited"))
     told = told.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint",
         fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint",
