@@ -21,7 +21,7 @@ EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 DAY_DATE = r"(?<!\d)\d{2}([/.])\d{2}\1\d{4}(?!\d)"
-PHONE = r"(?<![\w(.\-])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.\-])[2-9]\d{2}[.\-]\d{4}(?!\d)"
+PHONE = r"(?<![\w(.\-])(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?!\d)"
 ANY = "|".join([EMAIL, IPV4, ISO_DATE, DAY_DATE.replace(r"([/.])", "[/.]").replace(r"\1", "[/.]"), PHONE, SSN, CARD])
@@ -105,15 +105,28 @@ def card(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """A phone number: area and exchange stay in the range that numbers have."""
+    """A phone number: area and exchange stay in the range that numbers have.
+
+    Numbers with an area below 200, or with an exchange below 200, are not in use but are written alike;
+    they are permuted among themselves, so that no two numbers meet.
+    """
 
     def of(d: Column) -> Column:
         area, exchange, line = (F.substring(d, i, n).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
-        x = ((area - 200) * 800 + exchange - 200) * 10000 + line
-        y = feistel(x, 800, 8000000, key, F.lit("phone"))
-        digits = _let(y, lambda v: (((F.floor(v / 8000000) + 200) * 1000 + F.floor(v % 8000000 / 10000) + 200) * 10000 + v % 10000).cast("long").cast("string"))
+        kind = F.when(area < 200, "odd area").when(exchange < 200, "odd exchange").otherwise("phone")
+        areas, first_area = F.when(area < 200, 200).otherwise(800), F.when(area < 200, 0).otherwise(200)
+        exchanges = F.when(area < 200, 1000).when(exchange < 200, 200).otherwise(800)
+        first_exchange = F.when((area < 200) | (exchange < 200), 0).otherwise(200)
+        x = ((area - first_area) * exchanges + exchange - first_exchange) * 10000 + line
+        y = feistel(x, areas, exchanges * 10000, key, kind)
+
+        def digits(v: Column) -> Column:
+            rest = F.floor(v / 10000).cast("long")
+            whole = ((F.floor(rest / exchanges).cast("long") + first_area) * 1000 + rest % exchanges + first_exchange) * 10000 + v % 10000
+            return F.lpad(whole.cast("string"), 10, "0")
+
         country = F.when(F.length(_digits(value)) == 11, F.lit("1")).otherwise(F.lit(""))
-        return _refilled(value, F.concat(country, digits))
+        return _refilled(value, F.concat(country, _let(y, digits)))
 
     return _let(F.substring(_digits(value), -10, 10), of)
 
