@@ -33,13 +33,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from boutline.llm.common import on_workers, text_of
 
-ORDER, SPAN, DECAY = 4, 7, 0.8
+ORDER, SPAN, DECAY = 4, 7, 0.4
 #: Positions summed to the score of a window.
 WINDOW = 12
 #: Positions that a window reads.
 FRAGMENT = WINDOW + SPAN - 1
 MAX_TRAINING = 5000
-LANDMARKS = 384
+LANDMARKS = 512
 #: A beginning of a word is evidence if so many toxic documents, such a share of them, and so many times the share of clean ones have it.
 MIN_WITNESS, MIN_SHARE, MIN_RATIO = 5, 0.02, 20
 _LETTERS = 32  # blank, a to z, four classes of other letters, and what parts two texts
@@ -171,8 +171,9 @@ def _fold(positive: list[np.ndarray], negative: list[np.ndarray], rng: np.random
     """Trains on fragments and folds the machine into a weight for each subsequence."""
     fragments = [_vector(f) for f in positive + negative]
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    half = min(LANDMARKS // 2, len(positive))
-    picks = rng.permutation(len(positive))[:half].tolist() + (len(positive) + rng.permutation(len(negative))[: LANDMARKS - half]).tolist()
+    half = min(LANDMARKS // 2, len(positive))  # the insults found most often, each once, come first, the hardest windows last
+    late = list(range(len(fragments) - 1, len(positive) - 1, -1))[: 3 * LANDMARKS]
+    picks = list(range(half)) + rng.permutation(late)[: LANDMARKS - half].tolist()
     columns = np.unique(np.concatenate([fragments[i][0] for i in picks]))
     marks = np.zeros((len(columns), len(picks)))
     for k, i in enumerate(picks):
@@ -193,9 +194,9 @@ def _fold(positive: list[np.ndarray], negative: list[np.ndarray], rng: np.random
 
 
 def _disguises(word: str, rng: np.random.Generator) -> list[str]:
-    """A word, the same with its letters set apart, and with a letter put in."""
+    """A word with its letters set apart, and with a letter put in."""
     at, letter = int(rng.integers(1, max(2, len(word)))), _ALPHABET[int(rng.integers(26))]
-    return [word, " ".join(word), word[:at] + letter + word[at:]]
+    return [" ".join(word), word[:at] + letter + word[at:]]
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -204,6 +205,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     empty = Model(np.zeros(_LETTERS**ORDER, np.float32), 0.0, -30.0)
     if not y.sum() or y.all():
         return empty
+    apart = np.arange(len(texts)) % 5 == 4  # what the curve from raw scores is fitted to
+    if not y[apart].sum() or not y[~apart].sum():
+        apart[:] = False
+    held_texts, held_y = ([t for t, h in zip(texts, apart) if h], y[apart]) if apart.any() else (texts, y)
+    texts, y = [t for t, h in zip(texts, apart) if not h], y[~apart]
     words = [set(_words(t)) for t in texts]
     witness = _witnesses(words, y)
     hit = lambda w: w + "$" in witness or w[:4] in witness or w[:5] in witness or w[:6] in witness
@@ -214,10 +220,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     clean = sorted({w for own, label in zip(words, y) if not label for w in own if len(w) > 2} - set(bad))
     pairs = [f"{clean[i]} {clean[j]}" for i, j in rng.integers(0, max(1, len(clean)), (1500, 2))] if clean else ["the of"]
     context = clean or ["the"]
-    positive = [
-        stream(f"{f} {context[int(rng.integers(len(context)))]}")
-        for w in bad for _ in range(found[w].bit_length()) for f in _disguises(w, rng)
-    ]
+    shown = bad + [w for w in bad for _ in range(found[w].bit_length())] + [f for w in bad for f in _disguises(w, rng)]
+    positive = [stream(f"{f} {context[int(rng.integers(len(context)))]}") for f in shown]
     negative = [stream(p) for p in pairs]
     weights = _fold(positive, negative, rng)
     for _ in range(3):
@@ -232,7 +236,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         worst.sort(key=lambda x: -x[0])
         negative += [codes for _, codes in worst[:700]]
         weights = _fold(positive, negative, rng)
-    slope, offset = _calibrate(raw_scores(texts, weights), y)
+    slope, offset = _calibrate(raw_scores(held_texts, weights), held_y)
     return Model(weights, slope, offset)
 
 
