@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from boutline.plans import bout_queries, career_queries, market_queries, model_queries, text_queries
+
+_PARTS = (career_queries, bout_queries, market_queries, text_queries, model_queries)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
