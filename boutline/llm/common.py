@@ -7,8 +7,10 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a batch is turned into stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def text_of(docs: DataFrame, keep_null: bool = False) -> DataFrame:
     """``doc_id`` and ``text`` alone, so that no other column can clash; a null text is empty."""
     text = F.col("text").cast("string")

@@ -18,13 +18,13 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from boutline.llm.common import text_of
+from boutline.llm.common import slices, text_of
 
 #: No match of a pattern that only takes one leading blank can cross these cuts.
 CHUNKS = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 _BLANK_AND_MORE = re.compile(r" (?:\s|\Z)").search
 #: Entries that a memory takes before it sets about forgetting; it holds twice as many at most, of about 200 bytes.
-CHUNK_CACHE, PIECE_CACHE = 400_000, 350_000
+CHUNK_CACHE, PIECE_CACHE = 400_000, 250_000
 _NONE = 1 << 62
 FANOUT = 16
 
@@ -149,7 +149,7 @@ def tree_encoder(ranks: dict[bytes, int], pattern: str) -> Cached:
     """Encodes by ``merge_piece``; pieces are remembered besides chunks."""
     pieces_of, pieces = regex.compile(pattern).findall, Memory(PIECE_CACHE)
     merged = lambda new: [packed(merge_piece(piece.encode(), ranks)) for piece in new]
-    return Cached(lambda chunks: [b"".join(pieces.recall(pieces_of(chunk), merged)) for chunk in chunks], CHUNK_CACHE // 2)
+    return Cached(lambda chunks: [b"".join(pieces.recall(pieces_of(chunk), merged)) for chunk in chunks], CHUNK_CACHE // 3)
 
 
 _ENCODERS: dict[tuple[str, str], Cached] = {}
@@ -176,7 +176,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(SparkFiles.get(name), pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array([encoder.ids(t.as_py()) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         tokens = [b""] * (max(by_token.values()) + 1)
         for token, rank in by_token.items():
             tokens[rank] = token
-        for batch in batches:
+        for batch in slices(batches):
             texts = [
                 b"".join([tokens[i] for i in np.frombuffer(ids.as_buffer(), dtype="<u4").tolist()]) if ids.is_valid else None
                 for ids in batch.column(1)
