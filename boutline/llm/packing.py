@@ -22,7 +22,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import stored, text_of
+from boutline.llm.common import slices, stored, text_of
 from boutline.llm.tokens import Cached, packed, vocabulary_file
 
 END = 0
@@ -87,7 +87,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(SparkFiles.get(name))
         part, end, first = TaskContext.get().partitionId(), np.array([END], "<u4").tobytes(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [tokenizer.ids(t.as_py()) + end for t in batch.column(1)]
             starts = first + np.cumsum([0] + [len(x) // 4 for x in ids])
             first = int(starts[-1])
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024) -> DataFrame:
         total += row["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
             for part, first, doc, buffer in zip(*(c.to_pylist() for c in batch.columns)):
                 at, n, start = base[part] + first, len(buffer) // 4, 0
