@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from boutline.llm.common import on_workers, text_of
+from boutline.llm.common import on_workers, slices, text_of
 
-ORDER, SPAN, DECAY = 4, 7, 0.4
+ORDER, SPAN, DECAY = 5, 7, 0.5
+#: Subsequences are told apart by so many bits of a hash, which bounds the table of weights at 16 MB.
+BITS = 22
 #: Positions summed to the score of a window.
 WINDOW = 12
 #: Positions that a window reads.
 FRAGMENT = WINDOW + SPAN - 1
-MAX_TRAINING = 5000
+MAX_TRAINING = 4000
 LANDMARKS = 512
 #: A beginning of a word is evidence if so many toxic documents, such a share of them, and so many times the share of clean ones have it.
 MIN_WITNESS, MIN_SHARE, MIN_RATIO = 5, 0.02, 20
@@ -74,14 +76,14 @@ def stream(text: str) -> np.ndarray:
 
 def features(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
     """For each pattern of gaps: the subsequence at every position, and the weight of its span."""
-    c = codes.astype(np.int32)
-    padded = np.concatenate((c, np.full(SPAN, _APART, np.int32)))
+    c = codes.astype(np.uint32)
+    padded = np.concatenate((c, np.full(SPAN, _APART, np.uint32)))
     n = len(c)
     for gaps in _GAPS:
         index = padded[:n]
         for g in gaps:
-            index = index * _LETTERS + padded[g : g + n]
-        yield index, DECAY ** (gaps[-1] + 1)
+            index = index * np.uint32(_LETTERS) + padded[g : g + n]
+        yield (index * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), DECAY ** (gaps[-1] - ORDER + 1)
 
 
 class Model(NamedTuple):
@@ -151,7 +153,7 @@ def _witnesses(words: list[set[str]], labels: np.ndarray) -> set[str]:
     return {p for p, k in toxic.items() if k >= least and k / n1 >= MIN_RATIO * (clean[p] + 0.5) / n0}
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 1e-5, rounds: int = 12) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 0.1, rounds: int = 12) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the rows within the margin."""
     z = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(z.shape[1])
@@ -188,7 +190,7 @@ def _fold(positive: list[np.ndarray], negative: list[np.ndarray], rng: np.random
     whiten = vectors[:, use] / np.sqrt(own[use])
     cost = np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * max(1, len(negative))))
     w, _ = _svm(kernel @ whiten, y, cost)
-    weights = np.zeros(_LETTERS**ORDER, np.float32)
+    weights = np.zeros(1 << BITS, np.float32)
     weights[columns] = marks @ (whiten @ w)
     return weights
 
@@ -202,7 +204,7 @@ def _disguises(word: str, rng: np.random.Generator) -> list[str]:
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Trains on labelled texts."""
     y, rng = np.array(labels), np.random.default_rng(seed)
-    empty = Model(np.zeros(_LETTERS**ORDER, np.float32), 0.0, -30.0)
+    empty = Model(np.zeros(1 << BITS, np.float32), 0.0, -30.0)
     if not y.sum() or y.all():
         return empty
     apart = np.arange(len(texts)) % 5 == 4  # what the curve from raw scores is fitted to
@@ -273,12 +275,12 @@ def score_column(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a further column ``_score``, 0 to 1, from the whole text of each row alone."""
     spark = docs.sparkSession
     on_workers(spark)
-    shared = spark.sparkContext.broadcast(tuple(model))  # a weight for each subsequence: 4 MB, however large the input
+    shared = spark.sparkContext.broadcast(tuple(model))  # a weight for each subsequence: 16 MB, however large the input
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, slope, offset = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             raw = raw_scores([t or "" for t in batch.column(at).to_pylist()], weights)
             scores = 1 / (1 + np.exp(-np.clip(slope * raw + offset, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "_score"])
