@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def collapsed(s: Column) -> Column:
@@ -19,7 +20,7 @@ def letters_only(s: Column) -> Column:
     return F.regexp_replace(F.lower(s), "[^a-z ]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """Accents stripped by decomposition, then letters and blanks alone."""
 
@@ -32,7 +33,7 @@ def name_key(names: pd.Series) -> pd.Series:
     return names.map(key, na_action=None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two strings; for candidate pairs, not for whole tables."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])

@@ -98,7 +98,7 @@ def test_parsers():
     assert parse.bonuses("no section") is None
     html = "<table><tr><td>Main card</td></tr><tr><td>Light</td><td>Ann E. (c)</td><td>vs.</td><td>Bea S.[1]</td></tr></table>"
     assert parse.card_table(html) == [("Main card", "Ann E.", "Bea S.")]
-    assert parse.prose_bouts("Then Ann Example vs. Bea Sample met.") == [("Ann Example", "Bea Sample")]
+    assert parse.prose_bouts("we saw Ann Example vs. Bea Sample, who met.") == [("Ann Example", "Bea Sample")]
 
 
 def test_names(spark):
