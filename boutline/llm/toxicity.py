@@ -41,7 +41,7 @@ WINDOW = 12
 #: Positions that a window reads.
 FRAGMENT = WINDOW + SPAN - 1
 MAX_TRAINING = 4000
-LANDMARKS = 512
+LANDMARKS = 384
 #: A beginning of a word is evidence if so many toxic documents, such a share of them, and so many times the share of clean ones have it.
 MIN_WITNESS, MIN_SHARE, MIN_RATIO = 5, 0.02, 20
 _LETTERS = 32  # blank, a to z, four classes of other letters, and what parts two texts
@@ -142,15 +142,24 @@ def _words(text: str) -> list[str]:
     return [w for w in (re.sub(r"[\W\d_]+", "", w) for w in _BLANKS.split(text.lower())) if w]
 
 
-def _witnesses(words: list[set[str]], labels: np.ndarray) -> set[str]:
+def _witnesses(texts: list[str], labels: np.ndarray) -> set[str]:
     """Beginnings of words, and whole words, that toxic documents have far oftener than others."""
     toxic, clean = Counter(), Counter()
-    for own, label in zip(words, labels):
-        parts = {w[:n] for w in own for n in (4, 5, 6) if len(w) >= n} | {w + "$" for w in own}
-        (toxic if label else clean).update(parts)
+
+    def parts(text: str) -> set[str]:
+        own = set(_words(text))
+        return {w[:n] for w in own for n in (4, 5, 6) if len(w) >= n} | {w + "$" for w in own}
+
+    for text, label in zip(texts, labels):
+        if label:
+            toxic.update(parts(text))
+    often = {p for p, k in toxic.items() if k >= MIN_WITNESS}
+    for text, label in zip(texts, labels):
+        if not label:
+            clean.update(parts(text) & often)
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     least = max(MIN_WITNESS, MIN_SHARE * n1)
-    return {p for p, k in toxic.items() if k >= least and k / n1 >= MIN_RATIO * (clean[p] + 0.5) / n0}
+    return {p for p in often if (k := toxic[p]) >= least and k / n1 >= MIN_RATIO * (clean[p] + 0.5) / n0}
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 0.1, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -177,7 +186,7 @@ def _fold(positive: list[np.ndarray], negative: list[np.ndarray], rng: np.random
     late = list(range(len(fragments) - 1, len(positive) - 1, -1))[: 3 * LANDMARKS]
     picks = list(range(half)) + rng.permutation(late)[: LANDMARKS - half].tolist()
     columns = np.unique(np.concatenate([fragments[i][0] for i in picks]))
-    marks = np.zeros((len(columns), len(picks)))
+    marks = np.zeros((len(columns), len(picks)), np.float32)
     for k, i in enumerate(picks):
         marks[np.searchsorted(columns, fragments[i][0]), k] = fragments[i][1]
     kernel = np.zeros((len(fragments), len(picks)))
@@ -212,14 +221,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         apart[:] = False
     held_texts, held_y = ([t for t, h in zip(texts, apart) if h], y[apart]) if apart.any() else (texts, y)
     texts, y = [t for t, h in zip(texts, apart) if not h], y[~apart]
-    words = [set(_words(t)) for t in texts]
-    witness = _witnesses(words, y)
+    witness = _witnesses(texts, y)
     hit = lambda w: w + "$" in witness or w[:4] in witness or w[:5] in witness or w[:6] in witness
-    found = Counter(w for own, label in zip(words, y) if label for w in own if hit(w))
+    found = Counter(w for text, label in zip(texts, y) if label for w in set(_words(text)) if hit(w))
     bad = [w for w, _ in found.most_common(400)]
     if not bad:
         return empty
-    clean = sorted({w for own, label in zip(words, y) if not label for w in own if len(w) > 2} - set(bad))
+    clean = sorted({w for text, label in zip(texts[:1000], y) if not label for w in _words(text) if len(w) > 2} - set(bad))
     pairs = [f"{clean[i]} {clean[j]}" for i, j in rng.integers(0, max(1, len(clean)), (1500, 2))] if clean else ["the of"]
     context = clean or ["the"]
     shown = bad + [w for w in bad for _ in range(found[w].bit_length())] + [f for w in bad for f in _disguises(w, rng)]
