@@ -18,26 +18,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import components, release, stored, text_of
+from boutline.llm.common import components, release, slices, stored, text_of
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 RADIUS = 2
+#: What the pipeline takes for near-duplicates: the Jaccard likeness of sets of shingles of so many words.
+WIDTH, SIMILARITY = 5, 0.8
 #: A bucket of more table entries than this is matched through shared one-bit neighbours instead.
 HOT_BUCKET = 64
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The 64-bit SimHash of a text: a bit is set if over half of the shingle hashes have it set."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The hashes of the shingles of a text in order; a text of at most ``width`` words is one shingle."""
     words = _WORDS(text.lower())
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, 42)
+        return np.array([digest(line, 42)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-width].tolist()]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[i:j], 42) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
+    return np.array([digest(line[i:j], 42) for i, j in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The 64-bit SimHash of a text: a bit is set if over half of the shingle hashes have it set."""
+    hashes = shingles(text, width)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536]
@@ -111,7 +120,109 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component, with all their columns."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+def _sets(texts: DataFrame, width: int, share: int) -> DataFrame:
+    """``texts(doc_id, digest, text)`` to ``(doc_id, digest, mark, n, hashes)``: the set of shingles by its size and
+    digest, and of its hashes those that ``share`` divides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingles(t.as_buffer().to_pybytes(), width)) for t in batch.column(2)]
+            marks = np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64)
+            kept = [h[h % np.uint64(share) == 0].view(np.int64) for h in sets]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in kept]))).astype(np.int32))
+            values = pa.array(np.concatenate([*kept, np.zeros(0, np.int64)]))
+            sizes = pa.array([len(h) for h in sets], pa.int32())
+            columns = [batch.column(0), batch.column(1), pa.array(marks), sizes, pa.ListArray.from_arrays(offsets, values)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "mark", "n", "hashes"])
+
+    return texts.mapInArrow(run, "doc_id long, digest long, mark long, n int, hashes array<long>")
+
+
+def _bucket_links(similarity: float):
+    """For the rows ``(bucket, mark, hashes)`` of a bucket: edges that connect what all its likely pairs connect."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        marks = rows.column("mark").to_numpy()
+        sets = [np.asarray(h.values) for h in rows.column("hashes")]
+        sizes = np.array([len(h) for h in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        order = np.argsort(codes, kind="stable")
+        postings = np.split(owner[order], np.cumsum(np.bincount(codes))[:-1])
+        ends = np.cumsum(sizes)
+        group, edges = np.arange(len(sets)), []
+        for i in range(1, len(sets)):
+            both = np.bincount(np.concatenate([postings[c] for c in codes[ends[i] - sizes[i] : ends[i]]]), minlength=len(sets))[:i]
+            alike = np.nonzero(both / (sizes[:i] + sizes[i] - both) >= similarity)[0]
+            for j in alike:
+                if group[j] != group[i]:
+                    edges.append((marks[i], marks[j]))
+                    group[group == group[i]] = group[j]
+        return pa.table({"a": pa.array([int(a) for a, _ in edges], pa.int64()), "b": pa.array([int(b) for _, b in edges], pa.int64())})
+
+    return run
+
+
+def alike(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The classes of ``texts(doc_id, digest, text)``, linked by exact likeness of their sets of shingles.
+
+    Returns the rows ``(doc_id, digest, mark, n)``, and ``(node, component)`` of marks. Two sets are linked from a
+    Jaccard likeness of ``similarity`` on. No pair is lost: of a set of n, ``need`` = ceil(similarity * n) shingles must
+    be shared. A third of the hashes tells first which sets have more than n - need of their own; of the others
+    one of the n - need + 1 rarest shingles is in the other set too. Sets that share one are a bucket. Each is
+    compared with the least of its bucket; buckets that are not connected by then are compared in full,
+    without a row for each pair.
+    """
+    spark = texts.sparkSession
+    need = F.ceil(F.col("n") * F.lit(similarity) - 1e-9)
+    marks = stored(_sets(texts, width, 1).select("doc_id", "digest", "mark", "n"), "marks")
+    own = _sets(texts, width, 3).select("mark", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("mark").alias("mark"), F.max("mark").alias("top"))
+    lone = stored(own.where("mark = top").groupBy("mark").agg(F.count("*").alias("lone")), "lone")
+    release(spark)
+    points = marks.where("n > 0").groupBy("mark").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.first("n").alias("n"))
+    left = points.join(lone, "mark", "left").where(F.coalesce("lone", F.lit(0)) <= F.col("n") - need)
+    left = stored(left.select(F.col("rep.doc_id").alias("_id"), F.col("rep.digest").alias("_digest")), "left")
+    chosen = texts.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    sets = stored(_sets(chosen, width, 1).select("mark", "n", "hashes").dropDuplicates(["mark"]), "sets")
+    release(spark)
+
+    rows = sets.select("mark", "n", F.explode("hashes").alias("h"))
+    known = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    shared = rows.join(known, "h").groupBy("mark").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "h"))).alias("hs"))
+    shared = shared.where(F.size("hs") >= need).select("mark", F.explode(F.slice("hs", F.lit(1), (F.size("hs") - need + 1).cast("int"))).alias("x"))
+    entries = stored(shared.select(F.col("x.h").alias("h"), "mark"), "entries")
+    release(spark)
+
+    hubs = entries.groupBy("h").agg(F.min("mark").alias("hub"))
+    pairs = entries.join(hubs, "h").where("mark <> hub").select("mark", "hub").distinct()
+    a, b = sets.select("mark", F.col("hashes").alias("ha")), sets.select(F.col("mark").alias("hub"), F.col("hashes").alias("hb"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    near = pairs.join(a, "mark").join(b, "hub").select("mark", "hub", both.alias("o"), (F.size("ha") + F.size("hb")).alias("t"))
+    stars = stored(near.where(F.col("o") / (F.col("t") - F.col("o")) >= similarity).select(F.col("mark").alias("a"), F.col("hub").alias("b")), "stars")
+    first = components(stars)
+    release(spark)
+
+    at = entries.join(first, F.col("mark") == F.col("node"), "left").select("h", "mark", F.coalesce("component", "mark").alias("c"))
+    apart = at.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sort_array(F.collect_list("mark")).alias("marks")).where("low <> high")
+    members = apart.select(F.xxhash64("marks").alias("bucket"), "marks").dropDuplicates(["bucket"]).select("bucket", F.explode("marks").alias("mark"))
+    rest = members.join(sets.select("mark", "hashes"), "mark").groupBy("bucket").applyInArrow(_bucket_links(similarity), "a long, b long")
+    found = components(stars.unionByName(rest))
+    release(spark)
+    return marks, found
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component of documents whose sets of ``width``-word shingles are alike, with all its columns.
+
+    It is the row with the smallest ``doc_id``; a row without one is kept where no row of its component has one.
+    Of rows alike in ``doc_id`` and text one is kept. Texts without a word are one component.
+    """
+    digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marks, found = alike(text_of(docs).select("doc_id", digest.alias("digest"), "text"), width, similarity)
+    at = marks.join(found, F.col("mark") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("component", "mark").alias("component"))
+    rows = at.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("m"))
+    kept = stored(best.select(F.col("component").alias("_component"), F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_digest"), F.col("m.n").alias("_n")), "kept")
+    release(docs.sparkSession)
+    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
+    return joined.where("_n = 1").unionByName(joined.where("_n > 1").dropDuplicates(["_component"])).select(*[F.col(c) for c in docs.columns])

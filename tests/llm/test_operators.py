@@ -74,6 +74,34 @@ def test_simhash_hot_buckets_lose_no_link(spark):
     assert {i: g for i, g in enumerate(group) if g != i} == found
 
 
+def test_keep_one_equals_brute_force(spark, corpus):
+    rng = random.Random(3)
+    texts = list(corpus)
+    for k in range(60):  # edits around the threshold, chains of edits, and a large group
+        words = (texts[k] or "").split()
+        for _ in range(1 + k % 3):
+            for _ in range(1 + len(words) // 60):
+                if words:
+                    words[rng.randrange(len(words))] = f"w{rng.randrange(9)}"
+            texts.append(" ".join(words))
+    base = [f"b{rng.randrange(999)}" for _ in range(150)]
+    texts += [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in range(0, 150, 2)]
+    sets = []
+    for text in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    group, near = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or (sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8):
+                near += sets[a] != sets[b]
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert near > 100
+    kept = simhash.keep_one(documents(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
