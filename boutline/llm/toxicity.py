@@ -97,21 +97,26 @@ def worst_windows(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     at = np.zeros(len(codes))
     for index, decay in features(codes):
         at += decay * weights[index]
-    sums = np.concatenate(([0.0], np.cumsum(at)))
     width = min(WINDOW, len(codes))
-    return sums[width:] - sums[: len(sums) - width]
+    count = len(codes) - width + 1
+    sums = at[:count].copy()
+    for k in range(1, width):  # not by running sums, whose rounding depends on all that comes before
+        sums += at[k : k + count]
+    return sums
 
 
 def raw_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The worst window of each text. Texts are laid end to end, apart by blanks, and scored in one go."""
+    """The worst window of each text, of those that begin in it. Texts are laid end to end and scored in one go, so far
+    apart that no such window reaches the next text: a score is the same in any batch."""
     out, group, size = [], [], 0
 
     def scored() -> None:
         gap = np.full(WINDOW + SPAN, _APART, np.uint8)
         lengths = np.array([len(x) + len(gap) for x in group])
         windows = worst_windows(np.concatenate([y for x in group for y in (x, gap)]), weights)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        out.append(np.maximum.reduceat(windows, np.minimum(starts, len(windows) - 1)))
+        starts = np.cumsum(lengths) - lengths
+        ends = starts + [len(x) for x in group]
+        out.append(np.maximum.reduceat(windows, np.stack((starts, ends), axis=1).ravel())[::2])
         group.clear()
 
     for text in texts:

@@ -202,6 +202,17 @@ def test_toxicity_learns_insults(spark, sf):
     assert none.agg(F.max("predicted")).first()[0] == 0
 
 
+def test_toxicity_score_is_of_the_own_text_alone():
+    rng = random.Random(4)
+    texts = ["", "moron", "fine words only", "moron at the start of a longer text"] + [" ".join(rng.choice(["on", "moron", "reing", "stion"]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    weights, found = np.zeros(1 << toxicity.BITS, np.float32), toxicity._vector(toxicity.stream("moron at the start"))[0]
+    weights[found] = np.random.default_rng(1).normal(1, 0.3, len(found))
+    alone = {t: toxicity.raw_scores([t], weights)[0] for t in texts}
+    for _ in range(5):
+        rng.shuffle(texts)
+        assert toxicity.raw_scores(texts, weights).tolist() == [alone[t] for t in texts]
+
+
 def test_url_filter(spark):
     urls = ["http://Example.COM/en/7x?q", "https://a.b.com/en/1", "http://com/en/", "http://xcom/en/1", "http://example.net/de/8", "http://q.net/de/8", "http://e.org/es", "http://e.org/es/#x", None, "e.com/en/", "x://", "http://a.com?/en/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
