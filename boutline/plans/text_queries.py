@@ -29,9 +29,8 @@ def name_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def accent_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Accents stripped by decomposition, over the first words of every document."""
-    rows = table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("name"))
-    return rows.select("doc_id", text.name_key("name").alias("key"))
+    """Accents stripped by decomposition, over the whole text of every document."""
+    return table(spark, sf, "documents").select("doc_id", text.name_key("text").alias("key"))
 
 
 def _roster(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boutline.functions import odds, text
 from boutline.operators import career, market, names, parse, rating, survival
+from boutline.plans import text_queries
 from boutline.sources import files, views
 
 
@@ -85,6 +86,13 @@ def test_text_functions(spark):
     assert list(row) == [34.0, 78.0, 271.0, 71.0, [720, 180], datetime.date(2019, 5, 4), 0.0, 780.0, "example"]
 
 
+def test_accent_keys_take_whole_texts(spark, tmp_path):
+    rows = [(1, "Émile Zöla was the first of names, ÀND Ñandu 7 the\nlast"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.key for r in text_queries.accent_keys(spark, str(tmp_path)).collect()}
+    assert got == {1: "emile zola was the first of names and nandu thelast", 2: "", 3: None}
+
+
 def test_odds(spark):
     row = spark.range(1).select(odds.american_to_prob(F.lit(-150.0)), odds.american_to_prob(F.lit(0.0)), odds.fair_american(F.lit(0.6)), odds.devig(F.lit(2.0), F.lit(2.0))).first()
     assert [round(x, 6) for x in row] == [0.6, 1.0, -150.0, 0.5]
