@@ -102,6 +102,14 @@ def test_keep_one_equals_brute_force(spark, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
 
 
+def test_keep_one_without_or_with_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, "all alone here"), (None, "two alike"), (None, "two alike"), (4, long), (None, long), (3, long + " more"), (3, long + " more"), (3, "quite another text"), (9, "last"), (None, None)]
+    kept = simhash.keep_one(documents(spark, [t for _, t in rows], [i for i, _ in rows]))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, "all alone here"), (None, "two alike"), (3, long + " more"), (3, "quite another text"), (9, "last"), (None, None)], key=str)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
