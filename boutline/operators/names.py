@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutline.functions.text import similarity, surname
@@ -28,11 +28,30 @@ def resolve(asked: DataFrame, roster: DataFrame) -> DataFrame:
 def fuzzy(asked: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The most similar roster name of each asked one at ``cutoff`` or above, ties to the smaller id.
 
-    Candidates share the first letter and differ by three characters in length at most; so a match whose
-    first letters differ is not found.
+    No match is lost: keys of lengths a and b at ``cutoff`` differ by at most (2 / cutoff - 2) * min(a, b) in
+    length and by e = (1 - cutoff) * (a + b) letters put in or left out, so of e + 1 pieces of one key one is
+    whole in the other. Candidates share such a piece; equal keys are compared once.
     """
-    length = F.length("key")
-    left = asked.select("ask_id", F.col("key").alias("k"), F.substring("key", 1, 1).alias("letter"), F.explode(F.sequence(length - 3, length + 3)).alias("size"))
-    right = roster.select("id", "key", F.substring("key", 1, 1).alias("letter"), length.alias("size"))
-    pairs = left.join(right, ["letter", "size"]).withColumn("score", similarity("k", "key")).where(F.col("score") >= cutoff)
-    return pairs.groupBy("ask_id").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("m")).select("ask_id", "m.id", "m.score")
+    most, slack = 2 / cutoff - 1, 1e-9
+
+    def sizes(n: Column) -> Column:
+        return F.sequence(F.ceil(n / most - slack).cast("int"), F.floor(n * most + slack).cast("int"))
+
+    def edits(a: Column, b: Column) -> Column:
+        return F.floor((a + b) * (1 - cutoff) + slack).cast("int")
+
+    def piece(a: Column, b: Column) -> Column:
+        return F.floor(a / (edits(a, b) + 1)).cast("int")
+
+    own, theirs = F.length("k"), F.length("key")
+    left = asked.select(F.col("key").alias("k")).where("k is not null").distinct().select("k", F.explode(sizes(own)).alias("size"))
+    left = left.select("k", "size", piece(own, F.col("size")).alias("width"), F.sequence(F.lit(0), edits(own, F.col("size"))).alias("at"))
+    left = left.select("k", "size", "width", F.explode(F.transform("at", lambda i: F.substring(F.col("k"), i * F.col("width") + 1, F.col("width")))).alias("gram")).distinct()
+    known = roster.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
+    widths = known.select("id", "key", theirs.alias("size"), F.explode(F.array_distinct(F.transform(sizes(theirs), lambda a: piece(a, theirs)))).alias("width"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), theirs - F.col("width") + 1))
+    right = widths.select("id", "key", "size", "width", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("key"), i, F.col("width"))))).alias("gram"))
+    pairs = left.join(right, ["size", "width", "gram"]).select("k", "id", "key").distinct()
+    scored = pairs.withColumn("score", similarity("k", "key")).where(F.col("score") >= cutoff)
+    best = scored.groupBy("k").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("m"))
+    return asked.join(best, F.col("key") == F.col("k")).groupBy("ask_id").agg(F.min_by("m", F.struct(-F.col("m.score"), F.col("m.id"))).alias("m")).select("ask_id", "m.id", "m.score")

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,25 @@ def test_names(spark):
     assert [(r.ask_id, r.id) for r in names.fuzzy(close, roster).collect()] == [(1, 1)]
 
 
+def test_fuzzy_equals_brute_force(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 34))) for _ in range(60)]
+    roster = [(i, k) for i, k in enumerate(base + base[:3])]
+    asked = []
+    for k in base * 3:
+        for _ in range(rng.randint(0, 5)):
+            at = rng.choice([0, rng.randint(0, len(k)), len(k)])
+            k = k[:at] + rng.choice(["", "x", "a"]) + k[at + rng.randint(0, 1) :]
+        asked.append((len(asked), k))
+    want = {}
+    for n, a in asked:
+        scores = [(-SequenceMatcher(None, a, k).ratio(), i) for i, k in roster]
+        if -min(scores)[0] >= names.CUTOFF:
+            want[n] = min(scores)[1]
+    got = names.fuzzy(spark.createDataFrame(asked, "ask_id long, key string"), spark.createDataFrame(roster, "id long, key string"))
+    assert {r.ask_id: r.id for r in got.collect()} == want
+
+
 def test_files(spark, tmp_path):
     root = f"file://{tmp_path}"
     rows = spark.createDataFrame([(1, datetime.date(2024, 1, 3)), (2, datetime.date(2024, 2, 3))], "k long, day date")
