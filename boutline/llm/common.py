@@ -27,9 +27,14 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that would not be shared, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="boutline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,13 +51,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: cuts lineage, survives lost executors.
 
-    The table lives until the driver exits, as the returned frame is lazy.
+    The table lives until ``discard`` or the end of the driver, as the returned frame is lazy.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``stored`` that nothing lazy reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._scratch)
 
 
 def release(spark: SparkSession) -> None:
@@ -104,5 +117,6 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("a", F.col("low").alias("b")))
             .distinct()
         )
-        edges = stored(step, "edges")
+        done, edges = edges, stored(step, "edges")
+        discard(done)
         release(spark)

@@ -24,8 +24,8 @@ _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 RADIUS = 2
 #: What the pipeline takes for near-duplicates: the Jaccard likeness of sets of shingles of so many words.
 WIDTH, SIMILARITY = 5, 0.8
-#: A bucket of more table entries than this is matched through shared one-bit neighbours instead.
-HOT_BUCKET = 64
+#: Tasks that the rows of one fingerprint are dealt to.
+SALTS = 16
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -67,56 +67,42 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def links(points: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between representatives whose fingerprints differ in at most two bits.
-
-    ``points(fp, rep)`` has distinct fingerprints. The two 32-bit halves index the table. Of two
-    fingerprints within two bits either the upper halves differ in one bit at most or the lower
-    ones agree, so the ball of radius one around the upper half (33 probes) and the lower half
-    itself (one probe) reach every match; the complete distance is verified on fetched entries.
-    Entries of a bucket over ``HOT_BUCKET`` and what probes it are linked through the 65 words within
-    one bit of each: fingerprints within two bits share one, at most 65 share any, and all that share
-    one are within two bits. So no bucket is cut short, and none makes all its pairs.
+    """Edges ``(a, b)`` that connect all fingerprints of ``points(fp)`` within two bits of each other.
+
+    The two 32-bit halves are the segments. The table has each fingerprint under the words of the ball of radius one
+    in either segment, the other segment as it is: 32 + 32 words and its own. Of two fingerprints within two
+    bits, three cases: both bits lie in one segment, so the word halfway is in both balls of that segment; one bit lies in
+    each, so the word with the one bit flipped is in the first's ball of one segment and in the other's ball of the
+    other; or there is one bit at most, and each is in the other's ball. So they meet under a word, and a word has 65
+    fingerprints at most. Each is linked to the least of its words after its complete distance is verified; that makes
+    no pairs, and no bucket can grow beyond 65.
     """
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-    table = points.select(
-        "fp", "rep",
-        F.explode(F.array(F.struct(F.lit(0).alias("seg"), high.alias("key")), F.struct(F.lit(1).alias("seg"), low.alias("key")))).alias("k"),
-    ).select("fp", "rep", "k.seg", "k.key")
-    ball = F.expr("concat(array(0L), transform(sequence(0, 31), i -> shiftleft(1L, i)))")
-    probes = points.select("fp", "rep", F.lit(0).alias("seg"), F.explode(ball).alias("flip")).select(
-        "fp", "rep", "seg", F.shiftrightunsigned("fp", 32).bitwiseXOR(F.col("flip")).alias("key")
-    ).unionByName(points.select("fp", "rep", F.lit(1).alias("seg"), low.alias("key")))
-    hot = stored(table.groupBy("seg", "key").count().where(F.col("count") > HOT_BUCKET).select("seg", "key"), "hot")
-
-    ours, theirs = probes.join(hot, ["seg", "key"], "left_anti").alias("p"), table.join(hot, ["seg", "key"], "left_anti").alias("t")
-    cold = ours.join(
-        theirs,
-        F.expr(f"p.seg = t.seg and p.key = t.key and p.fp > t.fp and bit_count(p.fp ^ t.fp) <= {RADIUS}"),
-    ).select(F.col("p.rep").alias("a"), F.col("t.rep").alias("b"))
-
-    crowded = probes.join(hot, ["seg", "key"], "left_semi").select("fp", "rep").distinct()
-    near = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    stars = (
-        crowded.select("rep", F.explode(near).alias("word")).groupBy("word").agg(F.collect_list("rep").alias("reps"))
-        .where(F.size("reps") > 1)
-        .select(F.explode("reps").alias("a"), F.array_min("reps").alias("b"))
-    )
-    return cold.unionByName(stars).where("a <> b").distinct()
+    words = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
+    met = points.select("fp", F.explode(words).alias("word")).groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    pairs = met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``: the smallest ``doc_id`` each document reaches by links."""
+    """``(doc_id, fingerprint, component_id)``: the smallest ``doc_id`` each document reaches by links.
+
+    Components are those of fingerprints, with or without a ``doc_id``. Only fingerprints of several rows or with links
+    are joined back, each dealt to ``SALTS`` tasks, as one may be that of very many rows.
+    """
     marks = stored(fingerprints(docs), "fingerprints")
-    points = marks.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    known = points.where(F.col("rep").isNotNull())
-    found = components(links(known))
+    points = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "points")
+    found = stored(components(links(points.select("fp"))), "found")
     release(docs.sparkSession)
-    classes = points.join(found, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return marks.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    members = found.select(F.col("node").alias("fp"), "component").unionByName(found.select(F.col("component").alias("fp"), "component").distinct())
+    members = members.join(points.select("fp", "rep"), "fp")
+    least = members.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = members.join(least, "component").select("fp", "component_id")
+    classes = points.join(linked, "fp", "left").where(F.col("component_id").isNotNull() | (F.col("n") > 1) & F.col("rep").isNotNull())
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    classes = classes.select("fp", F.coalesce("component_id", "rep").alias("component_id")).select("fp", "component_id", salts)
+    dealt = marks.select("doc_id", "fp", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).alias("salt"))
+    return dealt.join(classes, ["fp", "salt"], "left").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
