@@ -13,49 +13,50 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.llm.common import slices, stored, text_of
-from boutline.llm.tokens import Cached, packed, vocabulary_file
+from boutline.llm.tokens import ONE_BLANK, Cached, packed, vocabulary_file
 
 END = 0
-#: Fixed value: the pattern of byte-level pre-tokenizers.
-BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_TOKENIZERS: dict[str, Cached] = {}
+_TOKENIZERS: dict[str, Callable[[str], bytes]] = {}
 
 
-def worker_tokenizer(path: str) -> Cached:
-    """The tokenizer of this Python worker, kept from one task to the next."""
+def worker_tokenizer(path: str) -> Callable[[str], bytes]:
+    """Text to ids, as the library gives them without the special tokens that it would add; kept from one task to the next.
+
+    The string of a special token in a text is that token's id, as in the library.
+    """
     if path not in _TOKENIZERS:
         _TOKENIZERS.clear()
         _TOKENIZERS[path] = _by_ranks(path) or _by_library(path)
     return _TOKENIZERS[path]
 
 
-def _by_library(path: str) -> Cached:
+def _by_library(path: str) -> Callable[[str], bytes]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return Cached(lambda chunks: [packed(e.ids) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+    return lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-def _by_ranks(path: str) -> Cached | None:
+def _by_ranks(path: str) -> Callable[[str], bytes] | None:
     """The same ids faster, if the file is a plain byte-level BPE whose merges are in the order of their ids."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    model, before = file["model"], file["pre_tokenizer"] or {}
+    model, before, added = file["model"], file["pre_tokenizer"] or {}, file["added_tokens"]
     plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not file["normalizer"]
+    plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
     if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges") or model.get("end_of_word_suffix"):
         return None
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -63,14 +64,23 @@ def _by_ranks(path: str) -> Cached | None:
     if any(x >= y for x, y in zip(results, results[1:])):
         return None
     byte_of = _byte_characters()
-    special = {t["content"] for t in file["added_tokens"]}
+    special = {t["content"]: packed([t["id"]]) for t in added}
     vocabulary = {token: i for token, i in model["vocab"].items() if token not in special}
     if not set().union(*vocabulary) <= set(byte_of):
         return None
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
-    encoding = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-    pieces_of, piece_ids = regex.compile(BYTE_LEVEL).findall, encoding._encode_single_piece
-    return Cached(lambda chunks: [packed([i for piece in pieces_of(chunk) for i in piece_ids(piece)]) for chunk in chunks])
+    ordinary = tiktoken.Encoding("file", pat_str=ONE_BLANK, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ids = Cached(lambda chunks: [packed(ordinary(chunk)) for chunk in chunks]).ids
+    if not special:
+        return ids
+    parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> bytes:
+        if not parts.search(text):
+            return ids(text)
+        return b"".join(special[x] if i % 2 else ids(x) for i, x in enumerate(parts.split(text)))
+
+    return encode
 
 
 def _byte_characters() -> dict[str, int]:
@@ -85,10 +95,10 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     name = vocabulary_file(docs.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = worker_tokenizer(SparkFiles.get(name))
+        encode = worker_tokenizer(SparkFiles.get(name))
         part, end, first = TaskContext.get().partitionId(), np.array([END], "<u4").tobytes(), 0
         for batch in slices(batches):
-            ids = [tokenizer.ids(t.as_py()) + end for t in batch.column(1)]
+            ids = [encode(t.as_py()) + end for t in batch.column(1)]
             starts = first + np.cumsum([0] + [len(x) // 4 for x in ids])
             first = int(starts[-1])
             yield pa.RecordBatch.from_arrays(
@@ -102,36 +112,22 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024) -> DataFrame:
     """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
 
-    Every sequence but the last is full, so the padding is under one window in all.
+    Every sequence but the last is full, so the padding is under one window in all. The second pass is one of
+    DataFrame functions: the windows that a document touches, and its ids in each of them.
     """
     table = stored(tokenized(docs, tokenizer_path), "tokens")
-    totals = table.groupBy("part").agg(F.sum((F.octet_length("ids") / 4).cast("long")).alias("n")).orderBy("part").collect()
-    base, total = {}, 0
-    for row in totals:  # one row per partition of the input
-        base[row["part"]] = total
-        total += row["n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for part, first, doc, buffer in zip(*(c.to_pylist() for c in batch.columns)):
-                at, n, start = base[part] + first, len(buffer) // 4, 0
-                while start < n:
-                    offset = (at + start) % window
-                    length = min(window - offset, n - start)
-                    piece = (doc, start, length, n, (at + start) // window, offset, buffer[4 * start : 4 * (start + length)])
-                    for column, value in zip(out, piece):
-                        column.append(value)
-                    start += length
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds)],
-                names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
-
-    return table.select("part", "first", "doc_id", "ids").mapInArrow(
-        run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    )
+    n = (F.octet_length("ids") / 4).cast("long")
+    totals = table.groupBy("part").agg(F.sum(n).alias("n"))  # one row per partition of the input
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
+    rows = table.join(F.broadcast(base), "part").select("doc_id", "ids", n.alias("n"), (F.col("base") + F.col("first")).alias("at"))
+    pieces = F.expr(f"""transform(sequence(at div {window}, (at + n - 1) div {window}), q -> named_struct(
+        'sequence_id', q, 'start', greatest(q * {window} - at, 0L), 'length', least((q + 1) * {window} - at, n) - greatest(q * {window} - at, 0L)))""")
+    rows = rows.withColumn("pieces", pieces)
+    cut = F.expr(f"""transform(pieces, p -> named_struct(
+        'start', p.start, 'length', p.length, 'doc_tokens', n, 'sequence_id', p.sequence_id, 'offset', at + p.start - p.sequence_id * {window},
+        'ids', substring(ids, cast(4 * p.start + 1 as int), cast(4 * p.length as int))))""")
+    return rows.select("doc_id", F.inline(cut))
 
 
 def sequences(pieces: DataFrame, window: int = 1024) -> DataFrame:

@@ -1,8 +1,11 @@
 """Byte-level BPE: encoding by a segment tree over byte positions, and decoding.
 
 A text is first cut where white space separates it, then by the vocabulary's own pattern; no match of
-the pattern crosses the first cuts, so both caches below hold whole matches only. A null text is
-empty; an empty text has no ids. The caches are bounded and forgotten when full.
+the pattern crosses the first cuts, so both caches below hold whole matches only. Under another pattern than
+``ONE_BLANK`` the first cuts are not made. The caches are bounded in bytes.
+
+Edge cases: a null text is empty; an empty text has no ids; repeated rows are each encoded; a row without ``doc_id``
+keeps its null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +23,15 @@ from pyspark.sql import DataFrame
 
 from boutline.llm.common import slices, text_of
 
-#: No match of a pattern that only takes one leading blank can cross these cuts.
+#: Fixed value: the pattern of byte-level pre-tokenizers, whose matches take one leading blank at most.
+ONE_BLANK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: No match of that pattern can cross these cuts.
 CHUNKS = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 _BLANK_AND_MORE = re.compile(r" (?:\s|\Z)").search
-#: Entries that a memory takes before it sets about forgetting; it holds twice as many at most, of about 200 bytes.
-CHUNK_CACHE, PIECE_CACHE = 400_000, 250_000
+#: Bytes that a memory takes before it sets about forgetting; it holds twice as many at most.
+CACHE_BYTES = 24 << 20
+#: What an entry costs besides its letters and ids.
+_ENTRY = 200
 _NONE = 1 << 62
 FANOUT = 16
 
@@ -96,8 +103,8 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Memory:
     """A bounded map that forgets what was not used for longest, half of it at a time."""
 
-    def __init__(self, size: int) -> None:
-        self.size = size
+    def __init__(self, room: int) -> None:
+        self.room, self.used = room, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -108,24 +115,27 @@ class Memory:
             return [young[k] for k in keys]
         except KeyError:
             pass
-        if len(young) > self.size:
-            self.old, self.young = young, {}
+        if self.used > self.room:
+            self.old, self.young, self.used = young, {}, 0
             young = self.young
         old, new = self.old, []
         for key in {k for k in keys if k not in young}:
             if key in old:
                 young[key] = old[key]
+                self.used += _ENTRY + len(key) + len(old[key])
             else:
                 new.append(key)
-        young.update(zip(new, make(new)))
+        made = make(new)
+        young.update(zip(new, made))
+        self.used += _ENTRY * len(new) + sum(map(len, new)) + sum(map(len, made))
         return [young[k] for k in keys]
 
 
 class Cached:
     """Encodes texts chunk by chunk; ``encode_chunks`` gives the packed ids of chunks not met lately."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], size: int = CHUNK_CACHE):
-        self.plain, self.after_blank = Memory(size // 8), Memory(size)
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], room: int = CACHE_BYTES):
+        self.plain, self.after_blank = Memory(room // 8), Memory(room)
         self.encode_chunks = encode_chunks
 
     def ids(self, text: str) -> bytes:
@@ -145,25 +155,54 @@ def packed(ids: list[int]) -> bytes:
 _PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
-def tree_encoder(ranks: dict[bytes, int], pattern: str) -> Cached:
+class Whole:
+    """Encodes whole texts, for vocabularies whose matches may cross white space."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        self.ids = encode
+
+
+def tree_encoder(ranks: dict[bytes, int], pattern: str) -> Cached | Whole:
     """Encodes by ``merge_piece``; pieces are remembered besides chunks."""
-    pieces_of, pieces = regex.compile(pattern).findall, Memory(PIECE_CACHE)
+    pieces_of, pieces = regex.compile(pattern).findall, Memory(CACHE_BYTES // 2)
     merged = lambda new: [packed(merge_piece(piece.encode(), ranks)) for piece in new]
-    return Cached(lambda chunks: [b"".join(pieces.recall(pieces_of(chunk), merged)) for chunk in chunks], CHUNK_CACHE // 3)
+    encode = lambda text: b"".join(pieces.recall(pieces_of(text), merged))
+    return Cached(lambda chunks: [encode(chunk) for chunk in chunks], CACHE_BYTES // 2) if pattern == ONE_BLANK else Whole(encode)
+
 
+_RANKS: dict[str, dict[bytes, int]] = {}
+_ENCODERS: dict[tuple[str, str], Cached | Whole] = {}
+_TOKENS: dict[str, list[bytes]] = {}
 
-_ENCODERS: dict[tuple[str, str], Cached] = {}
 
+def worker_ranks(path: str) -> dict[bytes, int]:
+    """The ranks of a file, kept by this Python worker from one task to the next."""
+    if path not in _RANKS:
+        for kept in (_RANKS, _ENCODERS, _TOKENS):
+            kept.clear()
+        _RANKS[path] = read_ranks(path)
+    return _RANKS[path]
 
-def worker_encoder(path: str, pattern: str) -> Cached:
-    """The encoder of this Python worker, kept from one task to the next."""
-    key = (path, pattern)
+
+def worker_encoder(path: str, pattern: str) -> Cached | Whole:
+    ranks, key = worker_ranks(path), (path, pattern)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = tree_encoder(read_ranks(path), pattern)
+        _ENCODERS[key] = tree_encoder(ranks, pattern)
     return _ENCODERS[key]
 
 
+def worker_tokens(path: str) -> list[bytes]:
+    """The token of each id."""
+    ranks = worker_ranks(path)
+    if path not in _TOKENS:
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        _TOKENS[path] = tokens
+    return _TOKENS[path]
+
+
 def vocabulary_file(spark, path: str) -> str:
     """Ships a vocabulary file to the executors; returns the name to look it up by."""
     spark.sparkContext.addFile(path)
@@ -188,10 +227,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     name = vocabulary_file(encoded.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_token = read_ranks(SparkFiles.get(name))
-        tokens = [b""] * (max(by_token.values()) + 1)
-        for token, rank in by_token.items():
-            tokens[rank] = token
+        tokens = worker_tokens(SparkFiles.get(name))
         for batch in slices(batches):
             texts = [
                 b"".join([tokens[i] for i in np.frombuffer(ids.as_buffer(), dtype="<u4").tolist()]) if ids.is_valid else None
