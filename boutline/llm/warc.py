@@ -5,7 +5,7 @@ records. The reader parses the end records, the ZIP64 directory and the local he
 index, and then each record by its own range of bytes.
 
 Edge cases: a null html is empty; a null url is empty; repeated rows are all written, those of one
-``page_id`` and payload alike; a page without ``page_id`` is a response with a null id; an empty table
+``page_id`` and payload alike; rows of one ``page_id`` and several payloads are each judged by their own payload; a page without ``page_id`` is a response with a null id; an empty table
 gives no archive; other columns are ignored.
 """
 
@@ -21,22 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_REVISIT_BYTES = 100
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 4 << 20
+SALTS = 16
 DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
 _PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _FAR = 0xFFFFFFFF
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """``(page_id, refers_to)`` of pages whose payload a smaller ``page_id`` has already.
+    """``(page_id, digest, refers_to)`` of pages whose payload a smaller ``page_id`` has already.
 
-    Only digests are shuffled; the smallest id of each is pre-aggregated before.
+    Only digests are shuffled; the smallest id of each is pre-aggregated before. A digest that very many pages
+    share is dealt to ``SALTS`` tasks on the way back.
     """
-    sized = pages.select("page_id", F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"), F.octet_length("html").alias("n")).where(
-        F.col("n") >= MIN_REVISIT_BYTES
-    )
-    first = sized.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
-    return sized.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    sized = pages.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt")).where(F.col("page_id").isNotNull() & F.col("digest").isNotNull())
+    first = sized.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
+    first = first.select("digest", "refers_to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return sized.join(first, ["digest", "salt"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _record(page: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -138,8 +139,11 @@ def read_records(read: Read, size: int) -> Iterator[dict]:
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """``(archive)``: ZIP packages of about ``ARCHIVE_BYTES``, which hold one record per page."""
-    ready = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = ready.join(revisits(ready), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    ready = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    # A page without a digest is never a revisit: its payload is short, or it has no id.
+    long = (F.octet_length("html") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()
+    ready = ready.withColumn("digest", F.when(long, F.sha2(F.encode("html", "UTF-8"), 256)))
+    rows = ready.join(revisits(ready), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, index = bytearray(), bytearray()
@@ -164,6 +168,20 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 
 _RECORD = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+_COLUMNS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
+
+
+def _batches(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Records in batches of about a megabyte of payload, so that no archive is held twice."""
+    rows, size = [], 0
+    for record in records:
+        rows.append(record)
+        size += 500 + len(record["payload"] or b"")
+        if size > 1 << 20:
+            yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -175,8 +193,26 @@ def read_archives(archives: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                data = memoryview(value.as_buffer())
-                rows = list(read_records(lambda at, n: bytes(data[at : at + n]), len(data)))
-                yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+                if value.is_valid:
+                    data = memoryview(value.as_buffer())
+                    yield from _batches(read_records(lambda at, n: bytes(data[at : at + n]), len(data)))
+
+    return archives.mapInArrow(run, _COLUMNS)
+
+
+def read_files(uris: DataFrame) -> DataFrame:
+    """The records of archives in files, by ranges: ``uris`` has their places (``file:``, ``hdfs:``, ``s3:``) in its first column.
+
+    Of a file only directories, index and records are read, each by its own range; a null place has no records.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri in filter(None, batch.column(0).to_pylist()):
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as file:
+                    yield from _batches(read_records(lambda at, n: file.read_at(n, at), file.size()))
 
-    return archives.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return uris.mapInArrow(run, _COLUMNS)
