@@ -63,8 +63,10 @@ def test_simhash_hot_buckets_lose_no_link(spark):
     rng = random.Random(1)
     base = rng.getrandbits(64)
     values = {base ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(64)) for _ in range(250)} | {rng.getrandbits(64) for _ in range(50)}
-    rows = [(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(sorted(values))]
-    found = {r.node: r.component for r in components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"))).collect()}
+    rows = sorted((v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(values))
+    rows = [(v, i) for i, (v, _) in enumerate(rows)]
+    place = dict(rows)
+    found = {place[r.node]: place[r.component] for r in components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"))).collect()}
     group = list(range(len(rows)))
     for _ in range(6):
         for a in range(len(rows)):
@@ -152,7 +154,12 @@ def test_bpe_equals_the_library_and_round_trips(spark, corpus):
         assert np.frombuffer(rows[i].ids, "<u4").tolist() == library.encode_ordinary(t or "")
         assert bytes(rows[i].bytes) == (t or "").encode()
     by_ranks, by_library = packing._by_ranks(public_tokenizers.path("byte_bpe_50k.json")), packing._by_library(public_tokenizers.path("byte_bpe_50k.json"))
-    assert all(by_ranks.ids(t or "") == by_library.ids(t or "") for t in texts)
+    assert all(by_ranks(t or "") == by_library(t or "") for t in [*texts, "hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|>b"])
+    assert np.frombuffer(by_ranks("hi <|endoftext|> there"), "<u4").tolist() == [5303, 220, 50256, 612]
+    other = r"\S+|\s+"
+    library = tiktoken.Encoding("own", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    encoded = {r.doc_id: r.ids for r in tokens.encode(documents(spark, texts), path, other).collect()}
+    assert all(np.frombuffer(encoded[i], "<u4").tolist() == library.encode_ordinary(t or "") for i, t in enumerate(texts) if len(t or "") < 2000)
 
 
 def test_media_round_trip(spark, corpus):
@@ -184,6 +191,47 @@ def test_warc_archives(spark):
     assert whole.testzip() is None and whole.namelist() == [warc.DATA, warc.INDEX]
 
 
+def test_warc_of_repeated_page_ids(spark):
+    """Rows of one page_id are judged by their own payloads, and none is doubled."""
+    on_workers(spark)
+    x, y = "x" * 150, "y" * 150
+    data = [(1, x), (2, x), (2, "short"), (3, y), (4, x), (4, y), (4, y), (None, x), (0, "short")]
+    pages = spark.createDataFrame([(i, "u", h, "c", "c") for i, h in data], "page_id long, url string, html string, digest string, salt string")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(pages)).collect()), key=str)
+    want = [(1, 150, "response", None), (2, 150, "revisit", 1), (2, 5, "response", None), (3, 150, "response", None), (4, 150, "revisit", 1), (4, 150, "revisit", 3), (4, 150, "revisit", 3), (None, 150, "response", None), (0, 5, "response", None)]
+    assert got == sorted(want, key=str)
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_warc_files_by_ranges(spark, tmp_path):
+    on_workers(spark)
+    pages = spark.createDataFrame([(i, f"http://e.com/{i}", "p" * (200 + i)) for i in range(40)] + [(99, "u", "m" * (1 << 20))], "page_id long, url string, html string")
+    for i, row in enumerate(warc.write_archives(pages).collect()):
+        (tmp_path / f"{i}.zip").write_bytes(row.archive)
+    uris = spark.createDataFrame([(p.as_uri(),) for p in tmp_path.iterdir()] + [(None,)], "uri string")
+    rows = {r.page_id: r for r in warc.read_files(uris).collect()}
+    assert len(rows) == 41 and rows[99].payload_bytes == 1 << 20 and bytes(rows[7].payload) == b"p" * 207
+    seen = []
+    data = (tmp_path / "0.zip").read_bytes()
+    records = warc.read_records(lambda at, n: seen.append(n) or data[at : at + n], len(data))
+    next(records)
+    assert max(seen) < 70_000 and sum(seen) < len(data)
+
+
+def test_simhash_links_through_rows_without_id(spark):
+    """A fingerprint that only rows without an id have still links and bridges."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    marks = {}
+    for i in range(400):  # texts of one base with one word changed: fingerprints a few bits apart
+        text = " ".join([*words[:i], "x", *words[i + 1 : 700]])
+        marks[text] = simhash.fingerprint(text.encode())
+    chain = next((a, b, c) for a, b in zip(marks, list(marks)[1:]) for c in marks if 0 < (marks[a] ^ marks[b]).bit_count() <= 2 and 0 < (marks[b] ^ marks[c]).bit_count() <= 2 and (marks[a] ^ marks[c]).bit_count() > 2)
+    rows = [(9, chain[0]), (None, chain[1]), (5, chain[2]), (None, "quite alone"), (9, chain[0])]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()), key=str)
+    assert got == sorted([(9, 5), (None, 5), (5, 5), (None, None), (9, 5)], key=str)
+
+
 def test_toxicity_learns_insults(spark, sf):
     rng = random.Random(2)
     words = ["then", "erth", "onand", "reing", "stion", "heaor", "ingly", "thble", "edand", "ouron"]
