@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.llm.common import slices, stored, text_of
-from boutline.llm.tokens import ONE_BLANK, Cached, packed, vocabulary_file
+from boutline.llm.tokens import ONE_BLANK, packed, vocabulary_file
 
 END = 0
 _TOKENIZERS: dict[str, Callable[[str], bytes]] = {}
@@ -70,7 +70,7 @@ def _by_ranks(path: str) -> Callable[[str], bytes] | None:
         return None
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()}
     ordinary = tiktoken.Encoding("file", pat_str=ONE_BLANK, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    ids = Cached(lambda chunks: [packed(ordinary(chunk)) for chunk in chunks]).ids
+    ids = lambda text: packed(ordinary(text))
     if not special:
         return ids
     parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
