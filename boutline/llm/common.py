@@ -90,6 +90,17 @@ def text_of(docs: DataFrame, keep_null: bool = False) -> DataFrame:
     )
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores after them as keep them apart from ``columns``, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large and small stars.
 

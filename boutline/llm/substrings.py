@@ -1,4 +1,4 @@
-"""Exact substring dedup: suffix automata over shards of repeated passages, matched word by word.
+"""Exact substring dedup: documents streamed over suffix automata of reference shards, word by word.
 
 A window is ``WINDOW`` consecutive words of one document. A word goes if a window that covers it also
 starts in a document with a smaller ``doc_id``. To broadcast an automaton of every shard to every
@@ -9,15 +9,17 @@ document costs the product of both, so documents and shards are brought together
 2. Only windows with such an anchor go on, as pieces: the words of consecutive windows with one anchor.
    Equal pieces are merged before they are shuffled, so a passage costs one row per task, however
    many documents share it.
-3. A shard is the distinct pieces of some anchors. Its suffix automaton carries the smallest
-   document of each state; pieces are streamed over it, and the statistic cut at ``WINDOW`` words gives
-   the smallest document that has each window. Anchors with over ``CROWDED`` distinct pieces, where an
-   automaton would not fit a task, are settled by grouping their single windows instead.
-4. The marks return to the documents and the covered words are cut out.
+3. The distinct pieces of an anchor are a reference shard. Its suffix automaton carries the smallest
+   document of each state; the pieces are streamed over it, and wherever the matching statistic reaches
+   ``WINDOW`` words, the state tells the smallest document that has the window. Every window that is judged is judged so.
+4. An anchor with pieces of over ``SHARD_WORDS`` words in all is divided first: its windows are dealt anew by all their
+   five-word runs at once, which only equal windows share. So no automaton grows with the corpus.
+5. The marks return to the documents and the covered words are cut out.
 
 Edge cases: a null or empty text has no words; a row without ``doc_id`` is kept whole, and matches
 nothing; rows with one ``doc_id`` are each judged, never against one another; an empty table gives an empty result;
-other columns are ignored. Words are compared by hashes: a window by 13 of 32 bits.
+other columns are ignored, or passed through by ``cut``. Windows are compared by their words themselves; hashes only
+bring them together, and tell pieces of one anchor apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -30,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import release, stored
+from boutline.llm.common import discard, release, stored, unused
 
 WINDOW = 13
 ANCHOR = 5
 #: A piece holds so many windows at most; a longer run of windows with one anchor is divided.
 MAX_RUN = 64
-CROWDED = 20_000
-SHARD_WORDS = 50_000
-CHUNK_BYTES = 1 << 21
+#: Words of a reference shard at most, which bounds its automaton at some 20 MB.
+SHARD_WORDS = 16_000
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _BACK = _U(pow(int(_STEP), -1, 1 << 64))
@@ -47,9 +49,14 @@ _FIND = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _scales(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.full(max(n, CHUNK_BYTES + 4096), x, dtype=_U)) for x in (_STEP, _BACK)]
-    return _powers
+    """Powers of the step of the prefix sums and of its inverse; those kept cover a chunk, longer ones are made for a long text."""
+    if not _powers:
+        _powers[:] = _power_rows(CHUNK_BYTES + 4096)
+    return _powers if len(_powers[0]) >= n else _power_rows(n)
+
+
+def _power_rows(n: int) -> list[np.ndarray]:
+    return [np.cumprod(np.full(n, x, dtype=_U)) for x in (_STEP, _BACK)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,21 +67,35 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of every word and the index of its text, by one prefix sum over all bytes."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    start = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    end = np.flatnonzero(blank & np.concatenate(([False], ~blank[:-1])))
-    up, down = _scales(len(data))
-    sums = np.concatenate((np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U)))
-    hashes = _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(offsets, start, side="right") - 1
+class Words:
+    """The words of some texts: ``line`` holds them with one blank between, ``start`` and ``end`` their places in it,
+    ``hashes`` their 64-bit hashes by one prefix sum over all bytes, and ``owner`` the index of their text."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        first = ~blank & np.concatenate(([True], blank[:-1]))
+        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.owner = np.searchsorted(offsets, np.flatnonzero(first), side="right") - 1
+        kept = ~blank | np.concatenate(([False], ~blank[:-1]))  # of blanks the one after a word
+        line, blank = np.where(blank, np.uint8(32), data)[kept], blank[kept]
+        self.start = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+        self.end = np.flatnonzero(blank)
+        self.line = line.tobytes()
+        up, down = _scales(len(line))
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum((line.astype(_U) + _U(1)) * up[: len(line)], dtype=_U)))
+        self.hashes = _mixed((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
+
+    def spans(self, first: np.ndarray, stop: np.ndarray) -> list[bytes]:
+        """The words from ``first`` to before ``stop``, with one blank between."""
+        return [self.line[a:b] for a, b in zip(self.start[first].tolist(), self.end[stop - 1].tolist())]
+
 
+def runs(hashes: np.ndarray, owner: np.ndarray, whole_key: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window and end (one past the last window) of each run of windows with one anchor.
 
-def runs(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window and end (one past the last window) of each run of windows with one anchor."""
+    With ``whole_key`` it is not the least of the hashes of a window's five-word runs but a hash of all of them, in any order.
+    """
     n = len(hashes) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -84,14 +105,26 @@ def runs(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     grams = _mixed(grams)
     least = grams[:n].copy()
     for k in range(1, WINDOW - ANCHOR + 1):
-        np.minimum(least, grams[k : k + n], out=least)
+        if whole_key:
+            least += grams[k : k + n]
+        else:
+            np.minimum(least, grams[k : k + n], out=least)
     whole = owner[:n] == owner[WINDOW - 1 :]
-    first = whole & np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1])))
-    starts = np.flatnonzero(first)
-    last = whole & np.concatenate(((least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1]) | ~whole[1:], [True]))
+    turn = (least[1:] != least[:-1]) | (owner[1:n] != owner[: n - 1])
+    starts = np.flatnonzero(whole & np.concatenate(([True], turn)))
+    last = whole & np.concatenate((turn | ~whole[1:], [True]))
     return least[starts], starts, np.flatnonzero(last) + 1
 
 
+def _divided(anchor: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same windows in runs of at most ``MAX_RUN``."""
+    parts = -(-(end - start) // MAX_RUN)
+    at = np.repeat(np.arange(len(start)), parts)
+    step = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = start[at] + step * MAX_RUN
+    return anchor[at], first, np.minimum(first + MAX_RUN, end[at])
+
+
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     first, size = 0, 0
     for i, text in enumerate(texts):
@@ -120,10 +153,10 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, texts in _chunks(_bytes(batch.column(1))):
-                hashes, owner = word_hashes(texts)
-                anchors, starts, _ = runs(hashes, owner)
+                words = Words(texts)
+                anchors, starts, _ = runs(words.hashes, words.owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors.view(np.int64)), pa.array(ids[first + owner[starts]])], names=["anchor", "doc_id"]
+                    [pa.array(anchors.view(np.int64)), pa.array(ids[first + words.owner[starts]])], names=["anchor", "doc_id"]
                 )
 
     found = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long")
@@ -139,29 +172,20 @@ def pieces(rows: DataFrame, anchors: DataFrame) -> DataFrame:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
             for first, texts in _chunks(_bytes(batch.column(2))):
-                hashes, owner = word_hashes(texts)
-                anchor, start, end = runs(hashes, owner)
+                words = Words(texts)
+                anchor, start, end = runs(words.hashes, words.owner)
                 shared = lists.slice(first, len(texts)).flatten().to_numpy().view(_U)
                 keep = np.isin(anchor, shared)
-                anchor, start, end = anchor[keep], start[keep], end[keep]
-                while (long := end - start > MAX_RUN).any():
-                    middle = start[long] + MAX_RUN
-                    anchor, start, end = (
-                        np.concatenate((anchor, anchor[long])),
-                        np.concatenate((start, middle)),
-                        np.concatenate((np.where(long, start + MAX_RUN, end), end[long])),
-                    )
-                small = hashes.astype("<u4")
-                head = np.searchsorted(owner, np.arange(len(texts)))
-                who = owner[start]
-                words = [small[a : b + WINDOW - 1].tobytes() for a, b in zip(start.tolist(), end.tolist())]
+                anchor, start, end = _divided(anchor[keep], start[keep], end[keep])
+                head = np.searchsorted(words.owner, np.arange(len(texts)))
+                who = words.owner[start]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor.view(np.int64)),
                         pa.array(ids[first + who]),
                         pa.array(marks[first + who]),
                         pa.array((start - head[who]).astype(np.int32)),
-                        pa.array(words, pa.binary()),
+                        pa.array(words.spans(start, end + WINDOW - 1), pa.binary()),
                     ],
                     names=["anchor", "doc_id", "mark", "start", "words"],
                 )
@@ -171,22 +195,32 @@ def pieces(rows: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 class SuffixAutomaton:
-    """A generalized suffix automaton whose states carry the smallest label of the strings in them."""
+    """A generalized suffix automaton over any symbols, whose states carry the smallest label of the strings in them."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         self.low = [1 << 63]
 
-    def add(self, symbols: list[int], label: int) -> None:
+    def add(self, symbols: list[bytes], label: int) -> None:
+        own, root = set(symbols), self.next[0]
+        if len(own) == len(symbols) and root.keys().isdisjoint(own):  # all new: a chain, and a way into it at each symbol
+            first, n = len(self.link), len(symbols)
+            self.next.extend([{c: i} for i, c in enumerate(symbols[1:], first + 1)])
+            self.next.append({})
+            root.update(zip(symbols, range(first, first + n)))
+            self.link.extend([0] * n)
+            self.length.extend(range(1, n + 1))
+            self.low.extend([label] * n)
+            return
         last = 0
         for c in symbols:
             last = self._extend(last, c)
             if label < self.low[last]:
                 self.low[last] = label
 
-    def _split(self, p: int, c: int, q: int) -> int:
+    def _split(self, p: int, c: bytes, q: int) -> int:
         clone = len(self.link)
         self.next.append(dict(self.next[q]))
         self.link.append(self.link[q])
@@ -198,7 +232,7 @@ class SuffixAutomaton:
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, c: int) -> int:
+    def _extend(self, last: int, c: bytes) -> int:
         q = self.next[last].get(c)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
@@ -223,7 +257,7 @@ class SuffixAutomaton:
             if self.low[state] < self.low[link]:
                 self.low[link] = self.low[state]
 
-    def lows(self, symbols: list[int], width: int) -> list[int | None]:
+    def lows(self, symbols: list[bytes], width: int) -> list[int | None]:
         """For each position that ends ``width`` symbols: the smallest label of strings that hold them."""
         state, matched, out = 0, 0, []
         for i, c in enumerate(symbols):
@@ -241,71 +275,63 @@ class SuffixAutomaton:
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by anchor to ``(anchor, content, lows)``, shard by shard."""
-    shard: list[tuple[int, int, list[int], int, int]] = []
+    """Pieces sorted by anchor to ``(anchor, content, lows)``: each anchor's automaton, and its pieces streamed over it."""
     out: list[tuple[int, int, list[int]]] = []
-    words = 0
+    group: list[tuple[int, list[bytes], int, int]] = []
+    at = None
 
     def close() -> None:
-        nonlocal words
         automaton = SuffixAutomaton()
-        for _, _, symbols, low, _ in shard:
+        for _, symbols, low, _ in group:
             automaton.add(symbols, low)
         automaton.close()
-        for anchor, content, symbols, _, high in shard:
+        for content, symbols, _, high in group:
             lows = automaton.lows(symbols, WINDOW)
             if min(lows) < high:
-                out.append((anchor, content, lows))
-        shard.clear()
-        words = 0
-
-    def take(group: list[tuple[int, int, list[int], int, int]]) -> None:
-        nonlocal words
-        if len(group) == 1:  # every window of the only piece is in the piece's documents alone
-            anchor, content, symbols, low, high = group[0]
-            if low < high:
-                out.append((anchor, content, [low] * (len(symbols) - WINDOW + 1)))
-            return
-        shard.extend(group)
-        words += sum(len(g[2]) for g in group)
-        if words >= SHARD_WORDS:
-            close()
+                out.append((at, content, lows))
+        group.clear()
 
     def flushed() -> pa.RecordBatch:
         columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))]
         out.clear()
         return pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "lows"])
 
-    group: list[tuple[int, int, list[int], int, int]] = []
     for batch in batches:
-        for anchor, content, raw, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-            if group and group[0][0] != anchor:
-                take(group)
-                group = []
-            group.append((anchor, content, np.frombuffer(raw, "<u4").tolist(), low, high))
+        for anchor, content, words, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+            if anchor != at:
+                close()
+                at = anchor
+            group.append((content, words.split(b" "), low, high))
         if len(out) > 5000:
             yield flushed()
-    if group:
-        take(group)
-    if shard:
-        close()
+    close()
     if out:
         yield flushed()
 
 
-def _crowded(contents: DataFrame) -> DataFrame:
-    """What ``_settled`` gives, for anchors with very many pieces: by grouping single windows."""
-    last = (F.octet_length("words") / 4 - WINDOW).cast("int")
-    single = contents.select("anchor", "content", "low", "high", "words", F.explode(F.sequence(F.lit(0), last)).alias("at")).select(
-        "anchor", "content", "low", "high", "at", F.expr(f"substring(words, 4 * at + 1, {4 * WINDOW})").alias("window")
-    )
-    least = single.groupBy("window").agg(F.min("low").alias("least"))
-    return (
-        single.join(least, "window").groupBy("anchor", "content")
-        .agg(F.max("high").alias("high"), F.array_sort(F.collect_list(F.struct("at", "least"))).alias("found"))
-        .select("anchor", "content", "high", F.col("found.least").alias("lows"))
-        .where(F.array_min("lows") < F.col("high")).select("anchor", "content", "lows")
-    )
+def _shards(rows: DataFrame) -> DataFrame:
+    """``(anchor, content, words, low, high)`` of distinct pieces, from ``(anchor, content, words, low, high)`` of all."""
+    return rows.groupBy("anchor", "content", "words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _statistics(shards: DataFrame) -> DataFrame:
+    """``(anchor, content, lows)``: for each window of a piece the smallest document that has it."""
+    dealt = shards.select("anchor", "content", "words", "low", "high").repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(_settled, "anchor long, content long, lows array<long>")
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of crowded anchors to ``(anchor, content, at, key, words, low, high)``, dealt by all five-word runs of a window."""
+    for batch in batches:
+        for first, lines in _chunks(_bytes(batch.column(2))):
+            words = Words(lines)
+            key, start, end = _divided(*runs(words.hashes, words.owner, whole_key=True))
+            head = np.searchsorted(words.owner, np.arange(len(lines)))
+            who = words.owner[start]
+            rows = pa.array(first + who)
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - head[who]).astype(np.int32)), pa.array(key.view(np.int64))]
+            columns += [pa.array(words.spans(start, end + WINDOW - 1), pa.binary()), batch.column(3).take(rows), batch.column(4).take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "at", "key", "words", "low", "high"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -314,23 +340,27 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     anchors = stored(shared_anchors(rows), "anchors")
     release(spark)
     found = stored(pieces(rows, anchors).withColumn("content", F.xxhash64("words")), "pieces")
+    discard(anchors)
     release(spark)
-    contents = stored(
-        found.groupBy("anchor", "content", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "contents"
-    )
+    shards = stored(_shards(found.select("anchor", "content", "words", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))), "shards")
     release(spark)
-    busy = stored(contents.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor"), "busy")
-    calm = contents.join(busy, "anchor", "left_anti").select("anchor", "content", "words", "low", "high")
-    lows = calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settled, "anchor long, content long, lows array<long>")
-    if not busy.isEmpty():
-        lows = lows.unionByName(_crowded(contents.join(busy, "anchor", "left_semi")))
-    lows = stored(lows, "lows")
+    n_words = F.length(F.regexp_replace(F.decode("words", "ISO-8859-1"), "[^ ]", "")) + 1
+    crowded = stored(shards.groupBy("anchor").agg(F.sum(n_words).alias("n")).where(F.col("n") > SHARD_WORDS).select("anchor"), "crowded")
+    calm = _statistics(shards.join(crowded, "anchor", "left_anti")).select("anchor", "content", F.lit(0).alias("at"), "lows")
+    single = shards.join(crowded, "anchor", "left_semi").select("anchor", "content", "words", "low", "high")
+    single = stored(single.mapInArrow(_windows, "anchor long, content long, at int, key long, words binary, low long, high long"), "windows")
+    finer = _statistics(_shards(single.select(F.col("key").alias("anchor"), F.xxhash64("words").alias("content"), "words", "low", "high")))
+    finer = finer.select(F.col("anchor").alias("key"), F.col("content").alias("part"), "lows")
+    parts = single.select("anchor", "content", "at", "key", F.xxhash64("words").alias("part"))
+    lows = stored(calm.unionByName(parts.join(finer, ["key", "part"]).select("anchor", "content", "at", "lows")), "lows")
+    discard(shards, crowded, single)
     release(spark)
-    starts = F.expr("filter(transform(lows, (m, i) -> if(m < doc_id, start + i, -1)), x -> x >= 0)")
+    starts = F.expr("filter(transform(lows, (m, i) -> if(m < doc_id, start + at + i, -1)), x -> x >= 0)")
     marked = found.select("anchor", "content", "doc_id", "mark", "start").join(lows, ["anchor", "content"]).select("doc_id", "mark", starts.alias("starts"))
     marked = stored(
         marked.where(F.size("starts") > 0).groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "marked"
     )
+    discard(found, lows)
     release(spark)
     return marked
 
@@ -370,9 +400,10 @@ def cut(docs: DataFrame) -> DataFrame:
 
     A text that loses no word stays as it is, white space included.
     """
-    marked = repeated_windows(docs).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("starts").alias("_starts"))
+    doc, mark, starts = unused(docs.columns, "of_doc", "of_mark", "starts")
+    marked = repeated_windows(docs).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), F.col("starts").alias(starts))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(marked, (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_mark")), "left").drop("_doc", "_mark")
+    joined = docs.join(marked, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(mark)), "left").drop(doc, mark)
     names, at = joined.columns, docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
