@@ -337,7 +337,7 @@ def test_substring_dedup_equals_brute_force(spark, corpus, monkeypatch):
     want = brute_removal(list(zip(ids, texts)))
     assert sum(w[2] for w in want) > 500
     assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=str) == want
-    monkeypatch.setattr(substrings, "CROWDED", 1)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 1)  # every anchor is crowded
     assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=str) == want
     cut = substrings.cut(docs)
     assert cut.columns == docs.columns and cut.count() == len(texts)
@@ -345,12 +345,13 @@ def test_substring_dedup_equals_brute_force(spark, corpus, monkeypatch):
 
 def test_suffix_automaton():
     rng = random.Random(9)
-    strings = [([rng.randrange(3) for _ in range(rng.randint(1, 14))], i) for i in range(40)]
+    strings = [([rng.randrange(3) for _ in range(rng.randint(1, 14))], i) for i in range(40)] + [([7, 8, 9, 10, 11, 3], 60), ([3, 7, 8, 9, 10, 2], 50)]
+    strings = strings[-2:] + strings[:-2]
     automaton = substrings.SuffixAutomaton()
     for s, i in strings:
         automaton.add(s, i)
     automaton.close()
-    for query in [[rng.randrange(4) for _ in range(20)] for _ in range(50)]:
+    for query in [[rng.randrange(4) for _ in range(20)] for _ in range(50)] + [[0, 7, 8, 9, 10, 11, 3, 1], [3, 7, 8, 9, 10, 2]]:
         want = []
         for e in range(4, len(query) + 1):
             window = query[e - 4 : e]
