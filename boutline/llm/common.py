@@ -18,8 +18,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: A batch that goes to a Python worker ends with the row that reaches so many bytes, unless the session sets another bound.
+BATCH_BYTES = 4 << 20
+_BATCH, _USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def on_workers(spark: SparkSession) -> None:
-    """Lets Python workers that the driver starts import this package from where it lies."""
+    """Lets Python workers import this package from where it lies, and bounds the batches they get in bytes."""
+    if spark.conf.get(_BATCH, _USUAL) == _USUAL:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):

@@ -78,8 +78,11 @@ def links(points: DataFrame) -> DataFrame:
     no pairs, and no bucket can grow beyond 65.
     """
     words = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    met = points.select("fp", F.explode(words).alias("word")).groupBy("word").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    pairs = met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
+    table = points.select("fp", F.explode(words).alias("word"))
+    met = table.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("top"), F.count("*").alias("n")).where("n > 1")
+    met = stored(met, "met")
+    more = table.join(met.where("n > 2").select("word", "b"), "word").select(F.col("fp").alias("a"), "b").where("a <> b")
+    pairs = met.select(F.col("top").alias("a"), "b").unionByName(more).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
