@@ -28,8 +28,8 @@ ONE_BLANK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: No match of that pattern can cross these cuts.
 CHUNKS = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 _BLANK_AND_MORE = re.compile(r" (?:\s|\Z)").search
-#: Bytes that a memory takes before it sets about forgetting; it holds twice as many at most.
-CACHE_BYTES = 24 << 20
+#: Bytes that the memories of chunks and of matches take before they set about forgetting; each holds twice as many at most.
+CHUNK_BYTES, PIECE_BYTES = 24 << 20, 64 << 20
 #: What an entry costs besides its letters and ids.
 _ENTRY = 200
 _NONE = 1 << 62
@@ -134,7 +134,7 @@ class Memory:
 class Cached:
     """Encodes texts chunk by chunk; ``encode_chunks`` gives the packed ids of chunks not met lately."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], room: int = CACHE_BYTES):
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], room: int = CHUNK_BYTES):
         self.plain, self.after_blank = Memory(room // 8), Memory(room)
         self.encode_chunks = encode_chunks
 
@@ -164,10 +164,10 @@ class Whole:
 
 def tree_encoder(ranks: dict[bytes, int], pattern: str) -> Cached | Whole:
     """Encodes by ``merge_piece``; pieces are remembered besides chunks."""
-    pieces_of, pieces = regex.compile(pattern).findall, Memory(CACHE_BYTES // 2)
+    pieces_of, pieces = regex.compile(pattern).findall, Memory(PIECE_BYTES)
     merged = lambda new: [packed(merge_piece(piece.encode(), ranks)) for piece in new]
     encode = lambda text: b"".join(pieces.recall(pieces_of(text), merged))
-    return Cached(lambda chunks: [encode(chunk) for chunk in chunks], CACHE_BYTES // 2) if pattern == ONE_BLANK else Whole(encode)
+    return Cached(lambda chunks: [encode(chunk) for chunk in chunks]) if pattern == ONE_BLANK else Whole(encode)
 
 
 _RANKS: dict[str, dict[bytes, int]] = {}
