@@ -6,7 +6,7 @@ format under the key, so equal values get equal pseudonyms in every document and
 different ones. What fails validation stays as it is. Separators, issuer digit and mail domain stay.
 
 Edge cases: a null text stays null; an empty text stays empty; repeated rows are each rewritten; an empty
-table gives an empty result; all other columns are passed through as they are.
+table gives an empty result; all other columns are passed through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutline.llm.common import unused
+
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
@@ -57,6 +59,12 @@ def feistel(x: Column, a: Column | int, b: Column | int, key: str, tweak: Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: s["l"] * b + s["r"])
 
 
+def _moved(x: Column, base: int, key: str, tweak: Column) -> Column:
+    """A keyed permutation of the whole numbers below ``base`` that leaves none in its place, for what is too short to halve."""
+    step = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tweak), 256), 1, 14), 16, 10).cast("long") % (base - 1) + 1
+    return (x + step) % base
+
+
 def _power(base: int, n: Column) -> Column:
     """``base`` to the power ``n``, whole, for results that fit a long."""
     top = 18 if base == 10 else 13
@@ -67,7 +75,8 @@ def _permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
     """A string of up to 18 digits permuted among those of its length."""
     n = F.length(digits)
     low = F.floor(n / 2).cast("int")
-    out = feistel(digits.cast("long"), _power(10, n - low), _power(10, low), key, F.concat_ws("|", tweak, n.cast("string")))
+    tweak = F.concat_ws("|", tweak, n.cast("string"))
+    out = F.when(n == 1, _moved(digits.cast("long"), 10, key, tweak)).otherwise(feistel(digits.cast("long"), _power(10, n - low), _power(10, low), key, tweak))
     return F.when(n > 0, F.lpad(out.cast("string"), n, "0")).otherwise(digits)
 
 
@@ -196,7 +205,8 @@ def email(value: Column, key: str) -> Column:
         n = F.length(run)
         low = F.floor(n / 2).cast("int")
         x = F.conv(F.translate(run, _LETTERS, _DIGITS26), 26, 10).cast("long")
-        y = feistel(x, _power(26, n - low), _power(26, low), key, F.concat_ws("|", tweak, n.cast("string")))
+        tweak = F.concat_ws("|", tweak, n.cast("string"))
+        y = F.when(n == 1, _moved(x, 26, key, tweak)).otherwise(feistel(x, _power(26, n - low), _power(26, low), key, tweak))
         digits = F.lpad(F.lower(F.conv(y.cast("string"), 10, 26)), n, "0")
         return F.translate(digits, _DIGITS26, _LETTERS)
 
@@ -219,15 +229,21 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with ``text`` rewritten and a further column ``n_replaced``, the number of changed values."""
+def pseudonymize(docs: DataFrame, key: str, counted: str | None = "n_replaced") -> DataFrame:
+    """``docs`` with ``text`` rewritten and, unless ``counted`` is None, a last column with the number of changed values.
+
+    That column is ``counted``, or with underscores after it where the input has such a column.
+    """
+    (values,) = unused(docs.columns, "values")
     text = F.col("text").cast("string")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     rest = F.split(text, ANY, -1)
     put = F.when(text.rlike("[0-9@]"), F.transform(found, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))
-    staged = docs.withColumn("_values", put)
-    joined = F.array_join(F.zip_with(rest, F.col("_values.new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    changed = F.size(F.filter("_values", lambda v: v["old"] != v["new"]))
-    some = F.size("_values") > 0
-    staged = staged.withColumn("n_replaced", F.when(some, changed).otherwise(0).cast("long"))
-    return staged.withColumn("text", F.when(some, joined).otherwise(text)).drop("_values")
+    staged = docs.withColumn(values, put)
+    joined = F.array_join(F.zip_with(rest, F.col(f"{values}.new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    some = F.size(values) > 0
+    columns = [F.when(some, joined).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    if counted is not None:
+        changed = F.size(F.filter(values, lambda v: v["old"] != v["new"]))
+        columns.append(F.when(some, changed).otherwise(0).cast("long").alias(*unused(docs.columns, counted)))
+    return staged.select(*columns)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import components, release, slices, stored, text_of
+from boutline.llm.common import components, release, slices, stored, text_of, unused
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 RADIUS = 2
@@ -211,7 +211,11 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     at = marks.join(found, F.col("mark") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("component", "mark").alias("component"))
     rows = at.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("m"))
-    kept = stored(best.select(F.col("component").alias("_component"), F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_digest"), F.col("m.n").alias("_n")), "kept")
+    own = unused(docs.columns, "of_component", "of_doc", "of_digest", "of_rows")
+    component, doc, text, n = own
+    kept = best.select(F.col("component").alias(component), F.col("m.doc_id").alias(doc), F.col("m.digest").alias(text), F.col("m.n").alias(n))
+    kept = stored(kept, "kept")
     release(docs.sparkSession)
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
-    return joined.where("_n = 1").unionByName(joined.where("_n > 1").dropDuplicates(["_component"])).select(*[F.col(c) for c in docs.columns])
+    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (digest == F.col(text)))
+    several = joined.where(F.col(n) > 1).dropDuplicates([component])
+    return joined.where(F.col(n) == 1).unionByName(several).drop(*own)

@@ -1,25 +1,29 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A text is a stream of letters in which white space counts as one blank and all else is dropped, so
-characters put between the letters of an insult fall away. The kernel compares two fragments by their
-common subsequences of ``ORDER`` letters that span ``SPAN`` at most, each weighted by ``DECAY`` to the power of
-its span: a gap or an inserted letter only weakens a match. The machine is trained on fragments of
-labelled documents in the space that the landmarks span; as every kernel value is a sum over
-subsequences, the trained machine is folded into one weight per subsequence, and a whole text is
-scored by sums over its positions. The score of a text is that of its worst window.
-
-Training takes at most ``MAX_TRAINING`` labelled documents, those with the least hashes of their id, and
-finds the fragments by itself: beginnings of words that are far more frequent in toxic documents, then the
-windows of clean documents that the machine so far finds worst.
+A text is a stream of letters, whatever their script, in which white space counts as one blank and all else is dropped; blanks
+between single letters are dropped too. So characters put between the letters of an insult fall away. The kernel
+compares two sentences by their common subsequences of ``ORDER`` letters that span ``SPAN`` at most, each weighted by
+``DECAY`` to the power of its span: a gap or an inserted letter only weakens a match. The machine is trained on
+sentences of labelled documents, windows of ``FRAGMENT`` letters, in the space that the landmarks among them span; as every kernel
+value is a sum over subsequences, the trained machine is folded into one weight for each subsequence that a landmark has, found by
+the subsequence itself. A whole text is read by sums over its positions. Its score is a logistic curve over how bad its worst
+sentence is and how many of its sentences reach each of ``BARS`` in the machine's measure.
+
+A label is of a document, not of a sentence. So a toxic document's sentences are those whose runs of letters are far more
+frequent in toxic documents than in others, and after each round those that the machine finds worst; a clean document's
+are drawn at random, and after each round those that the machine finds worst. Training takes at most ``MAX_TRAINING``
+labelled documents, those with the least hashes of their id, every fifth of which only fits the curve.
+
+Letters that no training document has are all the same letter, which no landmark has.
 
 Edge cases: a null or empty text has the score of no evidence; a label that is null or without a document is not used;
 without labels of both kinds every score is 0; repeated rows are each scored; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns are ignored, or passed through by ``score_column``, whose score then takes an unused name.
 """
 
 from __future__ import annotations
 
-import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -31,140 +35,236 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from boutline.llm.common import on_workers, slices, text_of
+from boutline.llm.common import on_workers, slices, text_of, unused
 
 ORDER, SPAN, DECAY = 5, 7, 0.5
-#: Subsequences are told apart by so many bits of a hash, which bounds the table of weights at 16 MB.
-BITS = 22
 #: Positions summed to the score of a window.
 WINDOW = 12
 #: Positions that a window reads.
 FRAGMENT = WINDOW + SPAN - 1
 MAX_TRAINING = 4000
-LANDMARKS = 384
-#: A beginning of a word is evidence if so many toxic documents, such a share of them, and so many times the share of clean ones have it.
-MIN_WITNESS, MIN_SHARE, MIN_RATIO = 5, 0.02, 20
-_LETTERS = 32  # blank, a to z, four classes of other letters, and what parts two texts
-_APART = 31
+LANDMARKS = 512
+#: A run of ``ORDER`` letters is evidence if so many toxic documents, such a share of them, and so many times the share of clean ones have it.
+MIN_WITNESS, MIN_SHARE, MIN_RATIO = 4, 0.005, 6
+#: What a sentence is to reach to count; the machine parts toxic from clean ones at 0 and holds both off it by 1.
+BARS = (-0.5, 0.0)
+#: Sentences that a round takes of a toxic document at most, and rounds of training.
+TAKEN, ROUNDS = 4, 3
+#: Clean sentences that a round adds.
+HARDEST = 700
+#: Letters told apart at most, so that a subsequence fits 64 bits.
+MAX_LETTERS = 4000
+#: What a positive counts for against a negative in the curve.
+BALANCE = 2.0
+_DROPPED = 0xFFFF
 _GAPS = [c for c in combinations(range(1, SPAN), ORDER - 1)]
-_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
-_BLANKS = re.compile(r"\s+")
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
-def _code(c: int) -> int:
-    """The class of a character: 0 blank, 1 to 26 letters, 27 to 31 other letters, 255 dropped."""
-    char = chr(c)
-    if char.isspace():
-        return 0
-    if not char.isalpha():
-        return 255
-    low = char.lower()[0]
-    return ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % 4
+class Alphabet(NamedTuple):
+    """Code 0 is the blank, the last two are letters not met in training and what parts two texts."""
 
+    table: np.ndarray  # the code of each code point
+    letters: int
 
-_TABLE = np.array([_code(c) for c in range(0x3000)], dtype=np.uint8)
+    @property
+    def strange(self) -> int:
+        return self.letters + 1
 
+    @property
+    def apart(self) -> int:
+        return self.letters + 2
 
-def stream(text: str) -> np.ndarray:
-    """The letter classes of a text, runs of blanks as one, with a blank at each end."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = _TABLE[np.minimum(points, len(_TABLE) - 1)]
-    codes = np.concatenate((np.zeros(1, np.uint8), codes[codes != 255], np.zeros(1, np.uint8)))
-    return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+    @property
+    def bits(self) -> int:
+        return self.apart.bit_length()
+
+    @property
+    def index_type(self) -> type:
+        return np.uint32 if ORDER * self.bits <= 32 else np.uint64
+
+
+def alphabet(texts: list[str]) -> Alphabet:
+    """The letters of some texts, the commonest if there are too many."""
+    met: Counter = Counter()
+    for text in texts:
+        met.update({c for c in text.lower() if c.isalpha()})
+    code = {c: i for i, c in enumerate(sorted(c for c, _ in met.most_common(MAX_LETTERS)), 1)}
+    strange = len(code) + 1
+
+    def of(point: int) -> int:
+        char = chr(point)
+        if char.isalpha():
+            return code.get(char.lower()[0], strange)
+        return 0 if char.isspace() else _DROPPED
+
+    return Alphabet(np.array([of(c) for c in range(sys.maxunicode + 1)], dtype=np.uint16), len(code))
 
 
-def features(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """For each pattern of gaps: the subsequence at every position, and the weight of its span."""
-    c = codes.astype(np.uint32)
-    padded = np.concatenate((c, np.full(SPAN, _APART, np.uint32)))
-    n = len(c)
+def stream(text: str, letters: Alphabet) -> np.ndarray:
+    """The codes of a text, runs of blanks as one, with a blank at each end, single letters in a row as one word."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    codes = letters.table[points]
+    codes = np.concatenate((np.zeros(1, np.uint16), codes[codes != _DROPPED], np.zeros(1, np.uint16)))
+    codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+    blanks = np.flatnonzero(codes == 0)
+    single = np.diff(blanks) == 2
+    return np.delete(codes, blanks[1:-1][single[:-1] & single[1:]])
+
+
+def features(codes: np.ndarray, letters: Alphabet) -> Iterator[tuple[np.ndarray, float, int]]:
+    """For each pattern of gaps: the subsequence at every position, the weight of its span, and the span."""
+    kind, n = letters.index_type, len(codes)
+    padded = np.concatenate((codes.astype(kind), np.full(SPAN, letters.apart, kind)))
+    shift = kind(letters.bits)
+    begun: dict[tuple[int, ...], np.ndarray] = {(): padded[:n]}
     for gaps in _GAPS:
-        index = padded[:n]
-        for g in gaps:
-            index = index * np.uint32(_LETTERS) + padded[g : g + n]
-        yield (index * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), DECAY ** (gaps[-1] - ORDER + 1)
+        for k in range(1, ORDER):
+            if gaps[:k] not in begun:
+                begun = {key: value for key, value in begun.items() if key == gaps[: len(key)]}
+                begun[gaps[:k]] = (begun[gaps[: k - 1]] << shift) | padded[gaps[k - 1] : gaps[k - 1] + n]
+        yield begun[gaps], DECAY ** (gaps[-1] - ORDER + 1), gaps[-1]
+
+
+class Table(NamedTuple):
+    shift: int
+    keys: np.ndarray
+    values: np.ndarray
+
+
+def tables(ids: np.ndarray, weights: np.ndarray) -> list[Table]:
+    """Exact look-up of a weight by its subsequence: those that clash in a table are in the next one."""
+    out, width = [], 8 * ids.dtype.itemsize
+    none = ids.dtype.type(np.iinfo(ids.dtype).max)  # codes of what parts texts alone: never a subsequence of a landmark
+    while len(ids):
+        bits = max(8, (16 * len(ids)).bit_length())
+        table = Table(width - bits, np.full(1 << bits, none), np.zeros(1 << bits, np.float32))
+        place = _place(ids, table)
+        _, first = np.unique(place, return_index=True)
+        table.keys[place[first]], table.values[place[first]] = ids[first], weights[first]
+        rest = np.ones(len(ids), bool)
+        rest[first] = False
+        ids, weights = ids[rest], weights[rest]
+        out.append(table)
+    return out
+
+
+def _place(ids: np.ndarray, table: Table) -> np.ndarray:
+    kind = ids.dtype.type
+    return ((ids * kind(0x9E3779B1 if kind is np.uint32 else 0x9E3779B97F4A7C15)) >> kind(table.shift)).astype(np.intp)
+
+
+class Machine(NamedTuple):
+    letters: Alphabet
+    weights: list[Table]
+    offset: float
 
 
 class Model(NamedTuple):
-    weights: np.ndarray
-    slope: float
-    offset: float
+    machine: Machine
+    curve: np.ndarray  # what each reading counts for, and the offset
 
+    def scores(self, readings: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(readings @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
-def worst_windows(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The sum of each window of ``WINDOW`` positions."""
+
+def windows(codes: np.ndarray, machine: Machine) -> np.ndarray:
+    """What the machine makes of each window of ``WINDOW`` positions."""
     at = np.zeros(len(codes))
-    for index, decay in features(codes):
-        at += decay * weights[index]
+    for index, decay, _ in features(codes, machine.letters):
+        for table in machine.weights:
+            place = _place(index, table)
+            hit = np.flatnonzero(table.keys[place] == index)
+            at[hit] += decay * table.values[place[hit]]
     width = min(WINDOW, len(codes))
     count = len(codes) - width + 1
     sums = at[:count].copy()
     for k in range(1, width):  # not by running sums, whose rounding depends on all that comes before
         sums += at[k : k + count]
-    return sums
-
-
-def raw_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The worst window of each text, of those that begin in it. Texts are laid end to end and scored in one go, so far
-    apart that no such window reaches the next text: a score is the same in any batch."""
-    out, group, size = [], [], 0
-
-    def scored() -> None:
-        gap = np.full(WINDOW + SPAN, _APART, np.uint8)
-        lengths = np.array([len(x) + len(gap) for x in group])
-        windows = worst_windows(np.concatenate([y for x in group for y in (x, gap)]), weights)
-        starts = np.cumsum(lengths) - lengths
-        ends = starts + [len(x) for x in group]
-        out.append(np.maximum.reduceat(windows, np.stack((starts, ends), axis=1).ravel())[::2])
+    return sums + machine.offset
+
+
+def readings(texts: list[str], machine: Machine) -> np.ndarray:
+    """A row for each text: its worst window, the logarithm of one more than how often its windows come to reach each bar.
+
+    Only windows that begin in the text count. Texts are laid end to end and read in one go, so far apart that no such
+    window reaches the next text: the readings are the same in any batch.
+    """
+    out, group, size = [np.zeros((0, len(BARS) + 1))], [], 0
+
+    def read() -> None:
+        gap = np.full(WINDOW + SPAN, machine.letters.apart, np.uint16)
+        sizes = np.array([len(x) for x in group])
+        sums = windows(np.concatenate([y for x in group for y in (x, gap)]), machine)
+        starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+        edges = np.stack((starts, starts + sizes), axis=1).ravel()
+        columns = [np.maximum.reduceat(sums, edges)[::2]]
+        for bar in BARS:
+            above = sums >= bar
+            rising = above & ~np.concatenate(([False], above[:-1]))
+            rising[starts] = above[starts]
+            columns.append(np.log1p(np.add.reduceat(rising.astype(np.int64), edges)[::2]))
+        out.append(np.stack(columns, axis=1))
         group.clear()
 
     for text in texts:
-        codes = stream(text)
+        codes = stream(text, machine.letters)
         group.append(codes)
         size += len(codes)
         if size >= CHUNK:
-            scored()
+            read()
             size = 0
     if group:
-        scored()
-    return np.concatenate(out) if out else np.zeros(0)
+        read()
+    return np.concatenate(out)
 
 
-def _vector(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The subsequences of a fragment, those of one window of a text, and their weights."""
+def _vector(codes: np.ndarray, letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequences of a sentence, those of one window of a text, and their weights."""
     codes = codes[:FRAGMENT]
+    known = codes <= letters.letters
     found, weights = [], []
-    for gaps, (index, decay) in zip(_GAPS, features(codes)):
-        whole = index[: max(0, min(WINDOW, len(codes) - gaps[-1]))]
-        found.append(whole)
-        weights.append(np.full(len(whole), decay))
+    for gaps, (index, decay, span) in zip(_GAPS, features(codes, letters)):
+        n = max(0, min(WINDOW, len(codes) - span))
+        whole = known[:n].copy()
+        for g in gaps:
+            whole &= known[g : g + n]
+        found.append(index[:n][whole])
+        weights.append(np.full(int(whole.sum()), decay))
     ids, at = np.unique(np.concatenate(found), return_inverse=True)
     return ids, np.bincount(at, np.concatenate(weights), len(ids))
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in (re.sub(r"[\W\d_]+", "", w) for w in _BLANKS.split(text.lower())) if w]
-
-
-def _witnesses(texts: list[str], labels: np.ndarray) -> set[str]:
-    """Beginnings of words, and whole words, that toxic documents have far oftener than others."""
-    toxic, clean = Counter(), Counter()
-
-    def parts(text: str) -> set[str]:
-        own = set(_words(text))
-        return {w[:n] for w in own for n in (4, 5, 6) if len(w) >= n} | {w + "$" for w in own}
-
-    for text, label in zip(texts, labels):
-        if label:
-            toxic.update(parts(text))
-    often = {p for p, k in toxic.items() if k >= MIN_WITNESS}
-    for text, label in zip(texts, labels):
-        if not label:
-            clean.update(parts(text) & often)
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    least = max(MIN_WITNESS, MIN_SHARE * n1)
-    return {p for p in often if (k := toxic[p]) >= least and k / n1 >= MIN_RATIO * (clean[p] + 0.5) / n0}
+def _grams(codes: np.ndarray, letters: Alphabet) -> np.ndarray:
+    """The runs of ``ORDER`` letters at every position."""
+    return next(features(codes, letters))[0]
+
+
+def _evidence(streams: list[np.ndarray], labels: np.ndarray, letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of letters that toxic documents have far oftener than others, sorted, and the logarithm of how much."""
+    counts = []
+    for kind in (1, 0):
+        own = [np.unique(_grams(s, letters)) for s, y in zip(streams, labels) if y == kind]
+        counts.append(np.unique(np.concatenate(own), return_counts=True))
+    (toxic, often), (clean, seldom) = counts
+    at = np.minimum(np.searchsorted(clean, toxic), len(clean) - 1)
+    other = np.where(clean[at] == toxic, seldom[at], 0)
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    ratio = (often / n1) / ((other + 0.5) / n0)
+    keep = (often >= max(MIN_WITNESS, MIN_SHARE * n1)) & (ratio >= MIN_RATIO)
+    return toxic[keep], np.log(ratio[keep])
+
+
+def _worst(sums: np.ndarray, taken: int) -> list[int]:
+    """Places of the largest sums, none within a sentence of another."""
+    sums, out = sums.copy(), []
+    for _ in range(taken):
+        at = int(sums.argmax())
+        if out and not sums[at] > 0:
+            break
+        out.append(at)
+        sums[max(0, at - FRAGMENT) : at + FRAGMENT] = -np.inf
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 0.1, rounds: int = 12) -> tuple[np.ndarray, float]:
@@ -180,93 +280,100 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 0.1, r
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
-    return w[:-1], w[-1]
+    return w[:-1], float(w[-1])
 
 
-def _fold(positive: list[np.ndarray], negative: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
-    """Trains on fragments and folds the machine into a weight for each subsequence."""
-    fragments = [_vector(f) for f in positive + negative]
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _trained(positive: list[Vector], negative: list[Vector], letters: Alphabet, rng: np.random.Generator) -> Machine:
+    """Trains on the vectors of sentences and folds the machine into a weight for each subsequence of a landmark.
+
+    Of the landmarks, half are toxic sentences and half clean ones, each of the later ones more likely, as those are the hardest.
+    """
+    sentences = positive + negative
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    half = min(LANDMARKS // 2, len(positive))  # the insults found most often, each once, come first, the hardest windows last
-    late = list(range(len(fragments) - 1, len(positive) - 1, -1))[: 3 * LANDMARKS]
-    picks = list(range(half)) + rng.permutation(late)[: LANDMARKS - half].tolist()
-    columns = np.unique(np.concatenate([fragments[i][0] for i in picks]))
+    picks = rng.permutation(len(positive))[: LANDMARKS // 2].tolist()
+    late = np.arange(len(negative)) + 1.0
+    picks += (len(positive) + rng.choice(len(negative), min(len(negative), LANDMARKS // 2), replace=False, p=late / late.sum())).tolist()
+    columns = np.unique(np.concatenate([sentences[i][0] for i in picks]))
     marks = np.zeros((len(columns), len(picks)), np.float32)
     for k, i in enumerate(picks):
-        marks[np.searchsorted(columns, fragments[i][0]), k] = fragments[i][1]
-    kernel = np.zeros((len(fragments), len(picks)))
-    for row, (ids, values) in zip(kernel, fragments):
+        marks[np.searchsorted(columns, sentences[i][0]), k] = sentences[i][1]
+    kernel = np.zeros((len(sentences), len(picks)))
+    for row, (ids, values) in zip(kernel, sentences):
         at = np.minimum(np.searchsorted(columns, ids), len(columns) - 1)
         known = columns[at] == ids
         row[:] = values[known] @ marks[at[known]]
     own, vectors = np.linalg.eigh(kernel[picks])
     use = own > 1e-6 * own.max()
     whiten = vectors[:, use] / np.sqrt(own[use])
-    cost = np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * max(1, len(negative))))
-    w, _ = _svm(kernel @ whiten, y, cost)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[columns] = marks @ (whiten @ w)
-    return weights
-
-
-def _disguises(word: str, rng: np.random.Generator) -> list[str]:
-    """A word with its letters set apart, and with a letter put in."""
-    at, letter = int(rng.integers(1, max(2, len(word)))), _ALPHABET[int(rng.integers(26))]
-    return [" ".join(word), word[:at] + letter + word[at:]]
+    cost = np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * len(negative)))
+    w, offset = _svm(kernel @ whiten, y, cost)
+    return Machine(letters, tables(columns, marks @ (whiten @ w)), offset)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     """Trains on labelled texts."""
     y, rng = np.array(labels), np.random.default_rng(seed)
-    empty = Model(np.zeros(1 << BITS, np.float32), 0.0, -30.0)
-    if not y.sum() or y.all():
+    letters = alphabet(texts)
+    empty = Model(Machine(letters, [], 0.0), np.array([0.0] * (len(BARS) + 1) + [-30.0]))
+    if not len(y) or not y.sum() or y.all():
         return empty
     apart = np.arange(len(texts)) % 5 == 4  # what the curve from raw scores is fitted to
-    if not y[apart].sum() or not y[~apart].sum():
+    if not y[apart].sum() or not y[~apart].sum() or y[apart].all() or y[~apart].all():
         apart[:] = False
-    held_texts, held_y = ([t for t, h in zip(texts, apart) if h], y[apart]) if apart.any() else (texts, y)
-    texts, y = [t for t, h in zip(texts, apart) if not h], y[~apart]
-    witness = _witnesses(texts, y)
-    hit = lambda w: w + "$" in witness or w[:4] in witness or w[:5] in witness or w[:6] in witness
-    found = Counter(w for text, label in zip(texts, y) if label for w in set(_words(text)) if hit(w))
-    bad = [w for w, _ in found.most_common(400)]
-    if not bad:
+    held, held_y = ([t for t, h in zip(texts, apart) if h], y[apart]) if apart.any() else (texts, y)
+    streams, y = [stream(t, letters) for t, h in zip(texts, apart) if not h], y[~apart]
+    toxic, clean = [s for s, label in zip(streams, y) if label], [s for s, label in zip(streams, y) if not label]
+    runs, ratios = _evidence(streams, y, letters)
+    if not len(runs):
+        return empty
+    positive = []
+    for s in toxic:
+        grams = _grams(s, letters)
+        at = np.minimum(np.searchsorted(runs, grams), len(runs) - 1)
+        told = np.where(runs[at] == grams, ratios[at], 0.0)
+        if told.any():
+            positive += [_vector(s[max(0, k - 2) :], letters) for k in _worst(told, TAKEN) if told[k] > 0]
+    if not positive:
         return empty
-    clean = sorted({w for text, label in zip(texts[:1000], y) if not label for w in _words(text) if len(w) > 2} - set(bad))
-    pairs = [f"{clean[i]} {clean[j]}" for i, j in rng.integers(0, max(1, len(clean)), (1500, 2))] if clean else ["the of"]
-    context = clean or ["the"]
-    shown = bad + [w for w in bad for _ in range(found[w].bit_length())] + [f for w in bad for f in _disguises(w, rng)]
-    positive = [stream(f"{f} {context[int(rng.integers(len(context)))]}") for f in shown]
-    negative = [stream(p) for p in pairs]
-    weights = _fold(positive, negative, rng)
-    for _ in range(3):
+    negative = []
+    for s in clean:
+        for k in rng.integers(0, max(1, len(s) - FRAGMENT), 2):
+            negative.append(_vector(s[k:], letters))
+    machine = _trained(positive, negative, letters, rng)
+    for _ in range(ROUNDS):
         worst = []
-        for text, label in zip(texts, y):
-            if label:
-                continue
-            codes = stream(text)
-            windows = worst_windows(codes, weights)
-            at = int(windows.argmax())
-            worst.append((float(windows[at]), codes[at : at + FRAGMENT]))
-        worst.sort(key=lambda x: -x[0])
-        negative += [codes for _, codes in worst[:700]]
-        weights = _fold(positive, negative, rng)
-    slope, offset = _calibrate(raw_scores(held_texts, weights), held_y)
-    return Model(weights, slope, offset)
-
-
-def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """A logistic curve over raw scores, by Newton steps with a little shrinkage."""
-    mean, scale = raw.mean(), raw.std() or 1.0
-    x = np.stack(((raw - mean) / scale, np.ones(len(raw))), axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-2, x.T @ (y - p) - 1e-2 * w)
-        w += step
+        for s in clean:
+            sums = windows(s, machine)
+            at = int(sums.argmax())
+            worst.append((float(sums[at]), s[at : at + FRAGMENT]))
+        worst.sort(key=lambda x: x[0])
+        negative += [_vector(s, letters) for _, s in worst[-HARDEST:]]
+        again = []
+        for s in toxic:
+            sums = windows(s, machine)
+            again += [_vector(s[k:], letters) for k in _worst(sums, TAKEN) if sums[k] > worst[-1][0]]
+        machine = _trained(positive + again, negative, letters, rng)
+    return Model(machine, _curve(readings(held, machine), held_y))
+
+
+def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic curve over readings, by Newton steps with a little shrinkage."""
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    z = np.hstack(((x - mean) / scale, np.ones((len(x), 1))))
+    cost = np.where(y > 0, BALANCE, 1.0)
+    ridge = np.diag([0.1] * x.shape[1] + [1e-2])
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (cost * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (cost * (y - p)) - ridge @ w)
+        w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
 def held_out(doc_id) -> F.Column:
@@ -285,25 +392,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_column(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a further column ``_score``, 0 to 1, from the whole text of each row alone."""
+    """``docs`` and in the last column a score, 0 to 1, from the whole text of each row alone; it is ``score`` or, where
+    the input has that, ``score_`` and so on."""
     spark = docs.sparkSession
     on_workers(spark)
-    shared = spark.sparkContext.broadcast(tuple(model))  # a weight for each subsequence: 16 MB, however large the input
-    at = docs.columns.index("text")
+    letters, weights, offset = model.machine
+    parts = (tuple(letters), [tuple(t) for t in weights], offset, model.curve)
+    shared = spark.sparkContext.broadcast(parts)  # what landmarks have, 30 MB at most, however large the input
+    at, (name,) = docs.columns.index("text"), unused(docs.columns, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, slope, offset = shared.value
+        letters, weights, offset, curve = shared.value
+        model = Model(Machine(Alphabet(*letters), [Table(*t) for t in weights], offset), curve)
         for batch in slices(batches):
-            raw = raw_scores([t or "" for t in batch.column(at).to_pylist()], weights)
-            scores = 1 / (1 + np.exp(-np.clip(slope * raw + offset, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "_score"])
+            scores = model.scores(readings([t or "" for t in batch.column(at).to_pylist()], model.machine))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score)`` of each row."""
-    return score_column(text_of(docs), model).select("doc_id", F.col("_score").alias("score"))
+    return score_column(text_of(docs), model).select("doc_id", "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
