@@ -232,41 +232,104 @@ def test_simhash_links_through_rows_without_id(spark):
     assert got == sorted([(9, 5), (None, 5), (5, 5), (None, None), (9, 5)], key=str)
 
 
-def test_toxicity_learns_insults(spark, sf):
-    rng = random.Random(2)
-    words = ["then", "erth", "onand", "reing", "stion", "heaor", "ingly", "thble", "edand", "ouron"]
-    insults = ["wretch", "dunce", "lowlife"]
+def insulting(words, insults, n=400, seed=2):
+    rng = random.Random(seed)
     texts, labels = [], []
-    for i in range(400):
+    for i in range(n):
         text = [rng.choice(words) + rng.choice(words) for _ in range(60)]
         labels.append(int(i % 4 == 0))
         if labels[-1]:
             for w in rng.sample(insults, 2):
                 text[rng.randrange(60)] = w
         texts.append(" ".join(text))
+    return texts, labels
+
+
+LATIN = ["then", "erth", "onand", "reing", "stion", "heaor", "ingly", "thble", "edand", "ouron"]
+
+
+def test_toxicity_learns_insults(spark):
+    texts, labels = insulting(LATIN, ["wretch", "dunce", "lowlife"])
     model = toxicity.fit(texts, labels)
-    probes = ["onandthen erth wretch then", "onandthen d.u.n.c.e then", "onandthen erth reing then", ""]
-    raw = toxicity.raw_scores(probes, model.weights) * model.slope + model.offset
-    assert raw[0] > 0 and raw[1] > 0 and raw[2] < 0 and raw[3] < 0
-    docs = documents(spark, [*texts, None, "é" * 500])
+    probes = ["onandthen erth wretch then", "onandthen d.u.n.c.e then", "onandthen d u n c e then", "onandthen lowxlife then", "onandthen erth reing then", ""]
+    assert (model.scores(toxicity.readings(probes, model.machine)) > 0.5).tolist() == [True] * 4 + [False] * 2
+    docs = documents(spark, [*texts, None, "é" * 500, "ok " * 350_000])
     own = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     rows = toxicity.classify(docs, own).collect()
-    assert len(rows) == 402 and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert len(rows) == 403 and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id < 400]
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) > 0.95
     none = toxicity.classify(docs, own.limit(0))
     assert none.agg(F.max("predicted")).first()[0] == 0
+    assert toxicity.classify(docs.limit(0), own).count() == 0
+    clash = docs.select("*", F.lit("mine").alias("score"), F.lit("too").alias("Score_"))
+    out = toxicity.score_column(clash, model)
+    assert out.columns == [*clash.columns, "score__"] and {r.score for r in out.select("score").collect()} == {"mine"}
+
+
+@pytest.mark.parametrize("script", ["cyrillic", "han", "hangul", "greek"])
+def test_toxicity_reads_every_script(script):
+    first, n = {"cyrillic": (0x430, 30), "han": (0x4E00, 900), "hangul": (0xAC00, 900), "greek": (0x3B1, 17)}[script]
+    rng = random.Random(7)
+    word = lambda k: "".join(chr(first + rng.randrange(n)) for _ in range(k))
+    words, insults = [word(3) for _ in range(12)], [word(6) for _ in range(3)]
+    texts, labels = insulting(words, insults)
+    model = toxicity.fit(texts, labels)
+    probes = [f"{words[0]} {i[:3]}.{i[3:]} {words[1]}" for i in insults] + [f"{words[0]} {i[:4]}{words[2][0]}{i[4:]} {words[1]}" for i in insults]
+    clean = [" ".join(rng.choice(words) + rng.choice(words) for _ in range(20)) for _ in range(20)]
+    scores = model.scores(toxicity.readings(probes + clean, model.machine))
+    assert (scores[: len(probes)] > 0.5).all() and (scores[len(probes) :] < 0.5).all()
+
+
+def test_toxicity_weights_are_the_kernel():
+    """The folded machine gives, for a sentence, the sum over landmarks of the kernel by its definition."""
+    rng = random.Random(6)
+    letters = toxicity.alphabet(["abcdé 漢字"])
+    sentences = [toxicity.stream("".join(rng.choice("abcdé 漢字") for _ in range(40)), letters)[: toxicity.FRAGMENT] for _ in range(8)]
+
+    def subsequences(codes):
+        found = {}
+        for i in range(min(toxicity.WINDOW, len(codes))):
+            for gaps in toxicity._GAPS:
+                if i + gaps[-1] < len(codes):
+                    key = tuple(int(codes[i + g]) for g in (0, *gaps))
+                    found[key] = found.get(key, 0) + toxicity.DECAY ** (gaps[-1] - toxicity.ORDER + 1)
+        return found
+
+    landmarks, parts = [subsequences(s) for s in sentences[:5]], [0.5, -1.0, 2.0, 0.25, 1.0]
+    vectors = [toxicity._vector(s, letters) for s in sentences[:5]]
+    ids = np.unique(np.concatenate([v[0] for v in vectors]))
+    weights = np.zeros(len(ids))
+    for (own, values), part in zip(vectors, parts):
+        weights[np.searchsorted(ids, own)] += part * values
+    machine = toxicity.Machine(letters, toxicity.tables(ids, weights.astype(np.float32)), 0.25)
+    for s in sentences:
+        mine = subsequences(s)
+        want = 0.25 + sum(part * sum(v * mine.get(k, 0) for k, v in mark.items()) for part, mark in zip(parts, landmarks))
+        assert abs(toxicity.windows(s, machine)[0] - want) < 1e-4
 
 
 def test_toxicity_score_is_of_the_own_text_alone():
+    texts, labels = insulting(LATIN, ["moron", "dunce", "lowlife"])
+    model = toxicity.fit(texts, labels)
     rng = random.Random(4)
-    texts = ["", "moron", "fine words only", "moron at the start of a longer text"] + [" ".join(rng.choice(["on", "moron", "reing", "stion"]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
-    weights, found = np.zeros(1 << toxicity.BITS, np.float32), toxicity._vector(toxicity.stream("moron at the start"))[0]
-    weights[found] = np.random.default_rng(1).normal(1, 0.3, len(found))
-    alone = {t: toxicity.raw_scores([t], weights)[0] for t in texts}
+    probes = ["", "moron", "fine words only", "moron at the start of a longer text", " "] + [" ".join(rng.choice(["on", "moron", "reing", "stion"]) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    alone = {t: toxicity.readings([t], model.machine)[0].tolist() for t in probes}
     for _ in range(5):
-        rng.shuffle(texts)
-        assert toxicity.raw_scores(texts, weights).tolist() == [alone[t] for t in texts]
+        rng.shuffle(probes)
+        assert toxicity.readings(probes, model.machine).tolist() == [alone[t] for t in probes]
+
+
+def test_toxicity_held_out_recall_on_the_corpus():
+    """Of the toxic labels of the test table that are held out nine in ten are found, and few others."""
+    folder = "/root/testdata/sf0.1"
+    rows = pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id").drop_duplicates("doc_id")
+    held = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    train, test = rows[~held], rows[held]
+    model = toxicity.fit(train.text.fillna("").tolist(), train.toxic.tolist())
+    told = model.scores(toxicity.readings(test.text.fillna("").tolist(), model.machine)) >= 0.5
+    toxic = test.toxic.to_numpy() == 1
+    assert told[toxic].mean() >= 0.9 and told[~toxic].mean() <= 0.02
 
 
 def test_url_filter(spark):
