@@ -38,7 +38,7 @@ def _flags() -> dict[str, Column]:
     one = lambda c: c.cast("double")
     return {
         "wins": one(won), "losses": one(lost), "w_ko": one(won & ko), "w_sub": one(won & sub), "l_ko": one(lost & ko),
-        "survived": F.when(lost & ko, 0.0).otherwise(F.col("opp_kd")), "decisions": one(F.col("method") == "DEC"), "minutes": F.col("total_sec") / 60,
+        "survived": F.when(lost & ko, 0.0).otherwise(F.col("opp_kd")), "decisions": one(F.col("method") == "DEC"), "sec": F.col("total_sec").cast("double"),
         "deep": F.col("deep_rounds").cast("double"),
     }
 
@@ -65,7 +65,7 @@ def end_sums(app: DataFrame) -> DataFrame:
 
 def rates() -> dict[str, Column]:
     """The shrunk rates over running sums."""
-    s, m = (lambda k: F.col(f"s_{k}")), F.col("s_minutes")
+    s, m = (lambda k: F.col(f"s_{k}")), F.col("s_sec") / 60  # whole seconds add up alike in any order
     n = F.col("n_prior").cast("double")
 
     def per_minute(k: str, name: str) -> Column:
@@ -85,7 +85,7 @@ def rates() -> dict[str, Column]:
         "str_acc": accuracy("ss_landed", "ss_att", PRIOR["str_acc"]), "str_def": 1 - accuracy("opp_ss_landed", "opp_ss_att", 1 - PRIOR["str_def"]),
         "td15": per_15("td_landed", "td15"), "td_acc": accuracy("td_landed", "td_att", PRIOR["td_acc"]),
         "td_def": 1 - accuracy("opp_td_landed", "opp_td_att", 1 - PRIOR["td_def"]), "sub15": per_15("sub_att", "sub15"),
-        "ctrl_share": (s("ctrl_sec") + K_CONTROL * PRIOR["ctrl_share"]) / (m * 60 + K_CONTROL),
+        "ctrl_share": (s("ctrl_sec") + K_CONTROL * PRIOR["ctrl_share"]) / (s("sec") + K_CONTROL),
         "body_share": share("body"), "leg_share": share("leg"), "clinch_share": share("clinch"), "ground_share": share("ground"),
         "kd15": per_15("kd", "kd15"), "kd_against15": per_15("opp_kd", "kd_against15"),
         "finish_rate": (s("w_ko") + s("w_sub") + K_BOUTS * PRIOR["finish_rate"]) / (n + K_BOUTS),
@@ -117,14 +117,28 @@ def snapshots(app: DataFrame) -> DataFrame:
     return sums.select("*", *[c.alias(k) for k, c in {**rates(), **late_cluster()}.items()], layoff.alias("layoff"), F.log1p(layoff).alias("log_layoff"))
 
 
+def facing(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``rows`` of both sides of each bout, and of the other side the ``columns`` by the names given.
+
+    Both sides meet in one group by ``bout_id``, and come out again swapped: one shuffle, and what makes ``rows`` runs once.
+    """
+    whole = F.struct(*rows.columns)
+    both = rows.groupBy("bout_id").agg(*[F.max(F.when(F.col("side") == k, whole)).alias(k) for k in "rb"])
+
+    def turned(own: str, other: str) -> Column:
+        return F.struct(*[F.col(own)[c].alias(c) for c in rows.columns], *[F.col(other)[c].alias(n) for c, n in columns.items()])
+
+    return both.where("r is not null and b is not null").select(F.inline(F.array(turned("r", "b"), turned("b", "r"))))
+
+
 def schedule_strength(snaps: DataFrame) -> DataFrame:
-    """``snaps`` with running means of what earlier opponents' features were when they were met.
+    """The features of ``snaps`` with running means of what earlier opponents' features were when they were met.
 
-    The opponent's snapshot comes from the same bout, so both sides meet in one group by ``bout_id``, and
-    a second window takes the means.
+    The opponent's snapshot comes from the same bout; a second window takes the means.
     """
-    other = snaps.select("bout_id", F.col("entity").alias("opponent"), F.col("str_def").alias("o_str_def"), F.col("td_def").alias("o_td_def"))
-    met = snaps.join(other, ["bout_id", "opponent"])
+    known = ["bout_id", "dt", "event", "side", "entity", "opponent", "result", "method", "weight_class", "sched_sec", "total_sec", "n_prior"]
+    known += ["ss_landed", "td_landed", "ctrl_sec", "kd", *rates(), *late_cluster(), "layoff", "log_layoff"]
+    met = facing(snaps.select(*known), {"str_def": "o_str_def", "td_def": "o_td_def"})
     w = before("entity")
     met = met.select(
         "*", F.coalesce(F.avg("o_str_def").over(w), F.lit(0.55)).alias("sos_str_def"), F.coalesce(F.avg("o_td_def").over(w), F.lit(0.65)).alias("sos_td_def")
@@ -177,9 +191,10 @@ def win_rows(strength: DataFrame) -> DataFrame:
 def panel(strength: DataFrame) -> DataFrame:
     """One row per side of a bout whose corners both have two bouts before: own and opponent levels, and targets."""
     levels = ["slpm", "sapm", "str_acc", "str_def", "td15", "td_acc", "td_def", "ctrl_share", "kd15", "kd_against15", "finish_rate", "ko_loss_rate", "win_pct"]
-    theirs = strength.select("bout_id", F.col("entity").alias("opponent"), F.col("n_prior").alias("o_n"), *[F.col(k).alias(f"opp_level_{k}") for k in levels])
     minutes = F.greatest(F.col("total_sec") / 60, F.lit(1e-9))
-    return strength.join(theirs, ["bout_id", "opponent"]).where(F.least("n_prior", "o_n") >= 2).select(
+    used = ["bout_id", "dt", "event", "side", "entity", "opponent", "result", "method", "sched_sec", "total_sec", "weight_class", "n_prior", "ss_landed", "td_landed", "ctrl_sec", "kd", *levels]
+    both = facing(strength.select(*used), {"n_prior": "o_n", **{k: f"opp_level_{k}" for k in levels}})
+    return both.where(F.least("n_prior", "o_n") >= 2).select(
         "bout_id", "dt", "event", "side", "entity", "opponent", "result", "method", "sched_sec", "total_sec", "weight_class", "n_prior",
         *[F.col(k).alias(f"own_{k}") for k in levels], *[F.col(f"opp_level_{k}").alias(f"opp_{k}") for k in levels],
         (F.col("ss_landed") / minutes).alias("y_strikes_min"), (F.col("td_landed") / minutes * 15).alias("y_td15"),

@@ -75,12 +75,15 @@ def report(rows: DataFrame, won: Column) -> DataFrame:
 def settle(claims: DataFrame, bouts: DataFrame, days: int = 4) -> DataFrame:
     """The bout of a claim: same unordered pair within ``days``, the nearest, then the earliest in corpus order.
 
-    An equi-join on the pair with the distance as residual; the best of each claim is kept without a sort.
+    An equi-join on the pair and a block of days, of which a claim reaches three at most, with the distance as residual: a
+    pair that meets ever so often makes no pairs of all its claims and bouts. The best of each claim is kept without a sort.
     """
     pair = lambda a, b: F.array_sort(F.array(a, b))
     left = claims.select("claim_id", "claim_dt", "a", "b", pair(F.col("a"), F.col("b")).alias("pair"))
     right = bouts.select(pair(F.col("r_id"), F.col("b_id")).alias("pair"), "bout_id", "dt", "winner", "r_id")
-    near = left.join(right, "pair").withColumn("gap", F.abs(F.datediff("claim_dt", "dt"))).where(F.col("gap") <= days)
+    block = lambda day: F.floor(F.unix_date(day) / (2 * days))
+    reach = F.sequence(block(F.date_sub("claim_dt", days)), block(F.date_add("claim_dt", days)))
+    near = left.withColumn("block", F.explode(reach)).join(right.withColumn("block", block(F.col("dt"))), ["pair", "block"]).withColumn("gap", F.abs(F.datediff("claim_dt", "dt"))).where(F.col("gap") <= days)
     best = near.groupBy("claim_id").agg(F.min_by(F.struct("bout_id", "gap", "winner", "r_id"), F.struct("gap", "dt", "bout_id")).alias("m"))
     out = left.join(best, "claim_id", "left")
     hit = F.when(F.col("m.winner").isin("r", "b"), ((F.col("m.winner") == "r") == (F.col("m.r_id") == F.col("a"))).cast("int"))

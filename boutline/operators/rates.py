@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boutline.operators.career import before
+from boutline.sources.scratch import staged
 
 # Left-closed edges of the buckets.
 EDGES = (0.0, 0.15, 0.30, 0.45, 0.60, 0.75, 1.01)
@@ -29,15 +30,44 @@ def bucket_left(value: Column, edges: tuple[float, ...]) -> Column:
     return out
 
 
+#: Parts of equal width into which the values are counted to find a quantile.
+PARTS = 65536
+
+
+def quantiles(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with the array ``edges`` of interpolated quantiles, exact, without a task that holds all values.
+
+    Values are counted by parts of the range, then only the parts that hold a wanted rank are ranked inside.
+    """
+    v = F.col(value).cast("double")
+    cells = rows.select(v.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    span = F.broadcast(cells.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all")))
+    part = F.least(F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * PARTS), F.lit(PARTS - 1))
+    cells = cells.join(span).select("v", "n", "all", part.alias("part"))
+    parts = cells.groupBy("part").agg(F.sum("n").alias("n"), F.first("all").alias("all"))  # PARTS rows at most
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "n", "all", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    at = [(F.col("all") - 1) * F.lit(q) for q in shares]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), end(x).cast("long").alias("rank"), (x - F.floor(x)).alias("mix"), F.lit(k).alias("k")) for i, x in enumerate(at) for k, end in enumerate((F.floor, F.ceil))])
+    wanted = parts.select("part", "n", "before", F.inline(ranks)).where("rank >= before and rank < before + n").select("part", "before", "i", "rank", "mix", "k")
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = cells.join(F.broadcast(wanted.select("part").distinct()), "part").select("part", "v", "n", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
+    hits = near.join(F.broadcast(wanted), "part").where("rank >= before + within and rank < before + within + n")
+    ends = hits.groupBy("i").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("b"), F.max("mix").alias("mix"))
+    edge = F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("mix")).alias("e"))
+    return ends.agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("edges"))
+
+
 def quartile_rates(rows: DataFrame, value: str, y: str, parts: int = 4) -> DataFrame:
     """Rate of ``y`` by right-closed quantile buckets, with its half width; thin cells are flagged, not dropped.
 
-    The edges are one row of ``parts - 1`` numbers, so they are broadcast.
+    The value and ``y`` are written once; the edges are one row of ``parts - 1`` numbers, so they are broadcast.
     """
-    shares = ", ".join(str(k / parts) for k in range(1, parts))
-    edges = rows.agg(F.expr(f"percentile({value}, array({shares}))").alias("edges"), F.avg(F.col(y).cast("double")).alias("base"))
-    bucket = bucket_right(F.col(value), [F.get("edges", i) for i in range(parts - 1)])
-    told = rows.join(F.broadcast(edges)).select(bucket.alias("bucket"), F.col(y).cast("double").alias("y"), "base")
+    rows = staged(rows.select(F.col(value).cast("double").alias("value"), F.col(y).cast("double").alias("y")), "rates")
+    edges = F.broadcast(quantiles(rows, "value", [k / parts for k in range(1, parts)]))
+    base = F.broadcast(rows.agg(F.avg("y").alias("base")))
+    bucket = bucket_right(F.col("value"), [F.get("edges", F.lit(i)) for i in range(parts - 1)])
+    told = rows.join(edges).join(base).select(bucket.alias("bucket"), "y", "base")
     out = told.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.first("base").alias("base"))
     half = 1.96 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n"))
     return out.select("bucket", "n", "rate", (F.col("rate") - F.col("base")).alias("lift"), half.alias("half_width"), (F.col("n") < 200).cast("int").alias("thin"))

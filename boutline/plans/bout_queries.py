@@ -203,11 +203,9 @@ def join_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 def tolerance_count(spark: SparkSession, sf: str) -> DataFrame:
     """Customers at least two of whose bouts another bout of theirs follows within two days."""
-    rows = bouts(spark, sf).select("cust", "bout_id", "dt")
-    other = rows.select("cust", F.col("bout_id").alias("other_id"), F.col("dt").alias("other_dt"))
-    near = rows.join(other, "cust").where("bout_id <> other_id and abs(datediff(dt, other_dt)) <= 2")
-    out = near.groupBy("cust").agg(F.countDistinct("bout_id").alias("hits")).where("hits >= 2")
-    return out
+    w = Window.partitionBy("cust").orderBy("dt", "bout_id")
+    rows = bouts(spark, sf).select("cust", F.datediff("dt", F.lag("dt").over(w)).alias("since"), F.datediff(F.lead("dt").over(w), "dt").alias("until"))
+    return rows.where("since <= 2 or until <= 2").groupBy("cust").agg(F.count("*").alias("hits")).where("hits >= 2")
 
 
 def partner_completion(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,7 +15,7 @@ _FLAGS = {
     "l_ko": "(result = 'L' AND method = 'KO/TKO')", "decisions": "(method = 'DEC')",
 }
 _VALUES = {k: k for k in career.SUMS} | {k: f"CAST({v} AS DOUBLE)" for k, v in _FLAGS.items()} | {
-    "survived": "CASE WHEN result = 'L' AND method = 'KO/TKO' THEN 0.0 ELSE opp_kd END", "minutes": "total_sec / 60.0::DOUBLE", "deep": "CAST(deep_rounds AS DOUBLE)"
+    "survived": "CASE WHEN result = 'L' AND method = 'KO/TKO' THEN 0.0 ELSE opp_kd END", "sec": "CAST(total_sec AS DOUBLE)", "deep": "CAST(deep_rounds AS DOUBLE)"
 }
 P = career.PRIOR
 
@@ -25,13 +25,13 @@ def _acc(landed: str, tried: str, prior: float) -> str:
 
 
 SQL_RATES = {
-    "slpm": f"(s_ss_landed + 15 * {P['slpm']}) / (s_minutes + 15)", "sapm": f"(s_opp_ss_landed + 15 * {P['sapm']}) / (s_minutes + 15)",
+    "slpm": f"(s_ss_landed + 15 * {P['slpm']}) / (s_sec / 60 + 15)", "sapm": f"(s_opp_ss_landed + 15 * {P['sapm']}) / (s_sec / 60 + 15)",
     "str_acc": _acc("ss_landed", "ss_att", P["str_acc"]), "str_def": "1 - " + _acc("opp_ss_landed", "opp_ss_att", 1 - P["str_def"]),
-    "td15": f"(s_td_landed + 2 * {P['td15']}) / (s_minutes / 15 + 2)", "td_acc": _acc("td_landed", "td_att", P["td_acc"]),
-    "td_def": "1 - " + _acc("opp_td_landed", "opp_td_att", 1 - P["td_def"]), "sub15": f"(s_sub_att + 2 * {P['sub15']}) / (s_minutes / 15 + 2)",
-    "ctrl_share": f"(s_ctrl_sec + 900 * {P['ctrl_share']}) / (s_minutes * 60 + 900)",
+    "td15": f"(s_td_landed + 2 * {P['td15']}) / (s_sec / 60 / 15 + 2)", "td_acc": _acc("td_landed", "td_att", P["td_acc"]),
+    "td_def": "1 - " + _acc("opp_td_landed", "opp_td_att", 1 - P["td_def"]), "sub15": f"(s_sub_att + 2 * {P['sub15']}) / (s_sec / 60 / 15 + 2)",
+    "ctrl_share": f"(s_ctrl_sec + 900 * {P['ctrl_share']}) / (s_sec + 900)",
     **{f"{k}_share": f"(s_{k}_landed + 60 * {P[k + '_share']}) / (s_ss_landed + 60)" for k in ("body", "leg", "clinch", "ground")},
-    "kd15": f"(s_kd + 2 * {P['kd15']}) / (s_minutes / 15 + 2)", "kd_against15": f"(s_opp_kd + 2 * {P['kd_against15']}) / (s_minutes / 15 + 2)",
+    "kd15": f"(s_kd + 2 * {P['kd15']}) / (s_sec / 60 / 15 + 2)", "kd_against15": f"(s_opp_kd + 2 * {P['kd_against15']}) / (s_sec / 60 / 15 + 2)",
     "finish_rate": f"(s_w_ko + s_w_sub + 4 * {P['finish_rate']}) / (n_prior + 4)", "ko_loss_rate": f"(s_l_ko + 4 * {P['ko_loss_rate']}) / (n_prior + 4)",
     "win_pct": "(s_wins + 2) / (n_prior + 4)",
 }
@@ -71,6 +71,15 @@ def sql_rounded(names: list[str]) -> str:
     return ", ".join(f"round(CAST({k} AS DOUBLE), 6) AS {k}" for k in names)
 
 
+def exact(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """The values as they are: a value on a tie of decimal places may round either way."""
+    return df.select(*keys, *[F.col(k).cast("double").alias(k) for k in names])
+
+
+def sql_exact(names: list[str]) -> str:
+    return ", ".join(f"CAST({k} AS DOUBLE) AS {k}" for k in names)
+
+
 def strength(spark: SparkSession, sf: str) -> DataFrame:
     return career.schedule_strength(career.snapshots(views.appearances(views.bouts(spark, sf))))
 
@@ -79,35 +88,35 @@ _ASOF = [*SQL_RATES, "n_prior", "layoff"]
 
 
 def career_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(career.snapshots(views.appearances(views.bouts(spark, sf))), ["bout_id", "side", "entity"], _ASOF)
+    return exact(career.snapshots(views.appearances(views.bouts(spark, sf))), ["bout_id", "side", "entity"], _ASOF)
 
 
 def late_round_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(career.snapshots(views.appearances(views.bouts(spark, sf))), ["bout_id", "side", "entity"], list(SQL_LATE))
+    return exact(career.snapshots(views.appearances(views.bouts(spark, sf))), ["bout_id", "side", "entity"], list(SQL_LATE))
 
 
 _SOS = ["sos_str_def", "sos_td_def", "adj_slpm", "adj_td15"]
 
 
 def sos_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(strength(spark, sf), ["bout_id", "side", "entity"], _SOS)
+    return exact(strength(spark, sf), ["bout_id", "side", "entity"], _SOS)
 
 
 def career_end_state(spark: SparkSession, sf: str) -> DataFrame:
     sums = career.end_sums(views.appearances(views.bouts(spark, sf)))
     rates = sums.select("entity", "n_prior", F.col("last_dt").cast("string").alias("last_dt"), *[c.alias(k) for k, c in career.rates().items()])
-    return rounded(rates, ["entity", "last_dt"], ["n_prior", *SQL_RATES])
+    return exact(rates, ["entity", "last_dt"], ["n_prior", *SQL_RATES])
 
 
 def elo_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(rating.ratings(views.bouts(spark, sf)), ["bout_id"], ["r_elo", "b_elo"])
+    return exact(rating.ratings(views.bouts(spark, sf)), ["bout_id"], ["r_elo", "b_elo"])
 
 
 _X = ["x_grapple", "x_ko", "x_sub", "x_power", "x_position"]
 
 
 def win_rows_mirrored(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(career.win_rows(strength(spark, sf)), ["bout_id", "orient", "a", "b", "y"], ["gate", *[f"d_{k}" for k in career.DIFFERENCES], *_X])
+    return exact(career.win_rows(strength(spark, sf)), ["bout_id", "orient", "a", "b", "y"], ["gate", *[f"d_{k}" for k in career.DIFFERENCES], *_X])
 
 
 def _sql_win_rows() -> str:
@@ -119,15 +128,15 @@ def _sql_win_rows() -> str:
         r.sub15 * (1 - b.td_def) - b.sub15 * (1 - r.td_def) AS x_sub, r.kd15 * b.kd_against15 - b.kd15 * r.kd_against15 AS x_power,
         {pos.format('r', 'b')} - {pos.format('b', 'r')} AS x_position
         FROM strength r JOIN strength b ON r.bout_id = b.bout_id AND r.side = 'r' AND b.side = 'b' WHERE r.result <> 'D')
-        SELECT bout_id, 0 AS orient, a, b, y, {sql_rounded(names)} FROM one UNION ALL
-        SELECT bout_id, 1, b, a, 1 - y, {', '.join(f'round(CAST({"" if k == "gate" else "-"}{k} AS DOUBLE), 6)' for k in names)} FROM one"""
+        SELECT bout_id, 0 AS orient, a, b, y, {sql_exact(names)} FROM one UNION ALL
+        SELECT bout_id, 1, b, a, 1 - y, {', '.join(f'CAST({"" if k == "gate" else "-"}{k} AS DOUBLE)' for k in names)} FROM one"""
 
 
 _PANEL_VALUES = [f"{o}_{k}" for o in ("own", "opp") for k in LEVELS] + ["y_strikes_min", "y_td15", "y_ctrl_min", "y_kd"]
 
 
 def panel_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(career.panel(strength(spark, sf)), ["bout_id", "side", "entity", "opponent"], _PANEL_VALUES)
+    return exact(career.panel(strength(spark, sf)), ["bout_id", "side", "entity", "opponent"], _PANEL_VALUES)
 
 
 _SYM = ["own_finish_rate", "own_kd15", "own_ctrl_share", "own_slpm", "own_win_pct"]
@@ -165,14 +174,14 @@ QUERIES = {
 
 _END = ", ".join(f"sum({v}) AS s_{k}" for k, v in _VALUES.items())
 ORACLES = {
-    "career_asof": f"{SNAPS} SELECT bout_id, side, entity, {sql_rounded(_ASOF)} FROM snaps",
-    "late_round_cluster": f"{SNAPS} SELECT bout_id, side, entity, {sql_rounded(list(SQL_LATE))} FROM snaps",
-    "sos_asof": f"{STRENGTH} SELECT bout_id, side, entity, {sql_rounded(_SOS)} FROM strength",
+    "career_asof": f"{SNAPS} SELECT bout_id, side, entity, {sql_exact(_ASOF)} FROM snaps",
+    "late_round_cluster": f"{SNAPS} SELECT bout_id, side, entity, {sql_exact(list(SQL_LATE))} FROM snaps",
+    "sos_asof": f"{STRENGTH} SELECT bout_id, side, entity, {sql_exact(_SOS)} FROM strength",
     "career_end_state": f"""{with_views('bouts', 'app')}, ends AS (SELECT entity, CAST(count(*) AS DOUBLE) AS n_prior, max(dt) AS last_dt, {_END} FROM app GROUP BY entity),
         rated AS (SELECT entity, CAST(last_dt AS VARCHAR) AS last_dt, n_prior, {', '.join(f'{v} AS {k}' for k, v in SQL_RATES.items())} FROM ends)
-        SELECT entity, last_dt, {sql_rounded(['n_prior', *SQL_RATES])} FROM rated""",
+        SELECT entity, last_dt, {sql_exact(['n_prior', *SQL_RATES])} FROM rated""",
     "win_rows_mirrored": _sql_win_rows(),
-    "panel_levels": f"{PANEL} SELECT bout_id, side, entity, opponent, {sql_rounded(_PANEL_VALUES)} FROM panel",
+    "panel_levels": f"{PANEL} SELECT bout_id, side, entity, opponent, {sql_exact(_PANEL_VALUES)} FROM panel",
     "fight_sym": f"""{PANEL} SELECT bout_id, {', '.join(f'round(sum({k}), 6) AS {k}_sum, round(max({k}) - min({k}), 6) AS {k}_gap' for k in _SYM)} FROM panel GROUP BY bout_id""",
     "prior_awards": f"""{with_views('bouts', 'app')} SELECT bout_id, entity, CAST(coalesce(sum(CASE WHEN result = 'W' AND method <> 'DEC' AND total_sec <= 300 THEN 1 ELSE 0 END) {W}, 0) AS BIGINT) AS prior_awards FROM app""",
     "anchor_trailing300": f"""{with_views('bouts')} SELECT bout_id, count(*) OVER w AS n_before, round(coalesce(avg(CASE WHEN method = 'DEC' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER w, 0.5::DOUBLE), 6) AS anchor

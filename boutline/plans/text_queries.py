@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.functions import text
 from boutline.operators import names, parse
 from boutline.sources import files
+from boutline.sources.scratch import scratch_folder
 from boutline.sources.views import table
 from boutline.streaming import ledger
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the checkpoint folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="boutline-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def name_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of part names: collapsed, letters alone, surname, slug."""
     rows = table(spark, sf, "part").select("p_partkey", F.concat(F.upper("p_name"), F.lit("  Jr")).alias("name"))
@@ -121,7 +113,7 @@ def market_map(spark: SparkSession, sf: str) -> DataFrame:
 
 def files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Orders written as CSV, JSON lines by month and Parquet months, and read back."""
-    root = _scratch(spark)
+    root = scratch_folder(spark)
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_day"), F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderpriority")
     rows.write.csv(f"{root}/csv", header=True)
     files.append_by_month(rows, "o_day", f"{root}/json")
@@ -136,16 +128,14 @@ def files_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def events_stream_open_close(spark: SparkSession, sf: str) -> DataFrame:
     """Open and close per user and type, from a stream over the events."""
-    name = f"open_close_{uuid.uuid4().hex}"
-    root = _scratch(spark)
+    root = scratch_folder(spark)
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(6).write.parquet(f"{root}/in")
     stream = ledger.quote_stream(spark, f"{root}/in", events.schema)
-    unique = ledger.idempotent(stream, ["event_id"], delay="60 days")
-    query = unique.writeStream.outputMode("append").format("parquet").option("path", f"{root}/unique").option("checkpointLocation", f"{root}/c1").trigger(availableNow=True).start()
-    query.awaitTermination()
-    ledger.run_available(ledger.open_close(ledger.quote_stream(spark, f"{root}/unique", events.schema), ["user_id", "event_type"], "ts", "value"), name, f"{root}/c2")
-    return spark.table(name).select("user_id", "event_type", "n", F.round("open", 6).alias("open"), F.round("close", 6).alias("close"))
+    ledger.append_available(ledger.idempotent(stream, ["event_id"], delay="60 days"), f"{root}/unique", f"{root}/c1")
+    told = ledger.open_close(ledger.quote_stream(spark, f"{root}/unique", events.schema), ["user_id", "event_type"], "ts", "value")
+    rows = ledger.run_available(told, f"{root}/told", f"{root}/c2")
+    return rows.select("user_id", "event_type", "n", F.round("open", 6).alias("open"), F.round("close", 6).alias("close"))
 
 
 QUERIES = {
