@@ -29,22 +29,6 @@ def round_of_minute(sec: Column) -> Column:
     return F.least(F.floor((minute - 1) / 5) + 1, F.lit(5)).cast("long")
 
 
-def outcomes(bouts: DataFrame) -> DataFrame:
-    """Whether each market came true, a row per bout and market; markets of the winner are null for a draw."""
-    rnd, finish = round_by_ceiling(F.col("total_sec")), F.col("method") != "DEC"
-    won = F.when(F.col("winner") != "draw", F.col("winner") == "r")
-    claims: dict[str, Column] = {
-        "win_r": won, "win_b": ~won, "ko": F.col("method") == "KO/TKO", "sub": F.col("method") == "SUB", "dec": ~finish, "finish": finish,
-        "r_by_ko": won & (F.col("method") == "KO/TKO"), "b_by_ko": ~won & (F.col("method") == "KO/TKO"), "r_by_sub": won & (F.col("method") == "SUB"),
-        "b_by_sub": ~won & (F.col("method") == "SUB"), "r_by_dec": won & ~finish, "b_by_dec": ~won & ~finish,
-        **{f"over_{k}_5": F.col("total_sec") > 300 * k + 150 for k in range(5)}, **{f"ends_round_{k}": finish & (rnd == k) for k in range(1, 6)},
-        **{f"by_round_{k}": finish & (rnd <= k) for k in range(1, 4)}, "td_r": F.col("r_td_landed") >= 1, "td_b": F.col("b_td_landed") >= 1,
-        "kd_r": F.col("r_kd") >= 1, "kd_b": F.col("b_kd") >= 1, "kd_any": F.greatest("r_kd", "b_kd") >= 1,
-    }
-    pairs = F.array(*[F.struct(F.lit(k).alias("market"), c.cast("int").alias("hit")) for k, c in claims.items()])
-    return bouts.select("bout_id", F.inline(pairs))
-
-
 def win_claims(app: DataFrame) -> DataFrame:
     """The claim that the red side wins, by the difference of as-of win rates, and what happened."""
     w = before("entity")
@@ -103,3 +87,33 @@ def top_k(rows: DataFrame, k: int) -> DataFrame:
     """The ``k`` bouts of a card with the highest claim, ties to the smaller id."""
     w = Window.partitionBy("event").orderBy(F.col("p").desc(), "bout_id")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the average rank of ``value``: counts per distinct value in range buckets, so no window holds all rows."""
+    cells = rows.groupBy(value).agg(F.count("*").alias("n_"))
+    span = F.broadcast(cells.agg(F.min(value).alias("low_"), F.max(value).alias("high_")))
+    bucket = F.least(F.floor((F.col(value) - F.col("low_")) / F.greatest(F.col("high_") - F.col("low_"), F.lit(1e-300)) * 4096), F.lit(4095))
+    cells = cells.join(span).select(value, "n_", bucket.alias("bucket_"))
+    inside = Window.partitionBy("bucket_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    lower = cells.groupBy("bucket_").agg(F.sum("n_").alias("all_")).select("bucket_", F.coalesce(F.sum("all_").over(upto), F.lit(0)).alias("lower_"))
+    cells = cells.select(value, "n_", "bucket_", F.coalesce(F.sum("n_").over(inside), F.lit(0)).alias("within_")).join(F.broadcast(lower), "bucket_")
+    return rows.join(cells.select(value, (F.col("lower_") + F.col("within_") + (F.col("n_") + 1) / 2).alias(name)), value)
+
+
+def two_sided(z: Column) -> Column:
+    """The two-sided normal tail beyond ``z`` of at least 0, by a rational approximation that is right to 1e-7."""
+    # The coefficients of the approximation of the normal tail.
+    t = 1 / (1 + 0.2316419 * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.least(F.lit(1.0), 2 * F.exp(-z * z / 2) / 2.5066282746310002 * poly)
+
+
+def benjamini_hochberg(tests: DataFrame, p: str, level: float) -> DataFrame:
+    """``tests`` with ``passed``: whether a test is among those up to the last whose p is within its share of the level."""
+    ranked = average_ranks(tests, p, "rank_")
+    ties = tests.groupBy(p).agg(F.count("*").alias("ties_"))
+    size = F.broadcast(tests.agg(F.count("*").alias("m_")))
+    bound = ranked.join(ties, p).join(size).where(F.col(p) <= F.lit(level) * (F.col("rank_") + (F.col("ties_") - 1) / 2) / F.col("m_")).agg(F.max(p).alias("bound_"))
+    return tests.join(F.broadcast(bound)).select(*tests.columns, F.coalesce(F.col(p) <= F.col("bound_"), F.lit(False)).cast("int").alias("passed"))

@@ -170,3 +170,11 @@ def with_card_position(bouts: DataFrame) -> DataFrame:
     """Each bout's place on its card, from 0, and the size of the card."""
     w = Window.partitionBy("event")
     return bouts.select("*", (F.row_number().over(w.orderBy("dt", "bout_id")) - 1).alias("place"), F.count("*").over(w).alias("card_size"))
+
+
+def pounds(division: Column, table: dict[str, int]) -> Column:
+    """The pounds of a division by the first name that it contains; 155 where it contains none."""
+    out = F.lit(155)
+    for name, weight in reversed(table.items()):
+        out = F.when(F.lower(division).contains(name), weight).otherwise(out)
+    return out

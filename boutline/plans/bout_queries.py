@@ -102,10 +102,6 @@ def prop_targets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def outcome_long(spark: SparkSession, sf: str) -> DataFrame:
-    return grading.outcomes(bouts(spark, sf)).where("market in ('win_r', 'win_b', 'ko', 'sub', 'dec', 'r_by_ko', 'b_by_dec', 'over_2_5', 'ends_round_2', 'by_round_3', 'td_r', 'kd_any')")
-
-
 def grade_claims(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(grading.graded(grading.win_claims(app(spark, sf))), ["bout_id", "y", "right"], ["p", "brier", "base"])
 
@@ -260,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_bouts, drop_ambiguous, stat_totals, phase_sums, imputed_fit, cond_rates_quartile, decision_curve, style_imposition, r1_curve, division_rates, market_bases,
-        card_shape, card_size_buckets, prop_targets, outcome_long, grade_claims, calibration_bands, scorecard, eval_metrics, win_baselines, card_topk, topk_overlap, career_split,
+        card_shape, card_size_buckets, prop_targets, grade_claims, calibration_bands, scorecard, eval_metrics, win_baselines, card_topk, topk_overlap, career_split,
         card_history, survival_intervals, survival_rollup, joint_rescale, era_gate, join_shapes, tolerance_count, partner_completion, group_rates_having, thin_entities,
         drivers_topn, last_real_division, round_index,
     )
@@ -282,13 +278,6 @@ _HAZ = f"""{B}, h AS (SELECT bout_id, m AS minute, (0.010::DOUBLE + 0.005::DOUBL
 _ONE = f"""{STRENGTH}, one AS (SELECT r.bout_id, r.dt, least(r.n_prior, b.n_prior) AS gate, CASE r.result WHEN 'W' THEN 1 ELSE 0 END AS y,
     {', '.join(f'r.{k[2:]} - b.{k[2:]} AS {k}' for k in RULE)} FROM strength r JOIN strength b ON r.bout_id = b.bout_id AND r.side = 'r' AND b.side = 'b' WHERE r.result <> 'D')"""
 _DRIVES = " UNION ALL ".join(f"SELECT bout_id, '{k}' AS name, ({k} - {m}) / {s} * {c} AS v FROM one WHERE gate >= 2" for k, (m, s, c) in RULE.items())
-_MARKETS = {
-    "win_r": "CASE WHEN winner <> 'draw' THEN CAST(winner = 'r' AS INTEGER) END", "win_b": "CASE WHEN winner <> 'draw' THEN CAST(winner = 'b' AS INTEGER) END",
-    "ko": "CAST(method = 'KO/TKO' AS INTEGER)", "sub": "CAST(method = 'SUB' AS INTEGER)", "dec": "CAST(method = 'DEC' AS INTEGER)",
-    "r_by_ko": "CAST(CASE WHEN winner <> 'draw' THEN winner = 'r' END AND method = 'KO/TKO' AS INTEGER)", "b_by_dec": "CAST(CASE WHEN winner <> 'draw' THEN winner = 'b' END AND method = 'DEC' AS INTEGER)",
-    "over_2_5": "CAST(total_sec > 750 AS INTEGER)", "ends_round_2": "CAST(method <> 'DEC' AND greatest(1, least(ceil(total_sec / 300.0), 5)) = 2 AS INTEGER)",
-    "by_round_3": "CAST(method <> 'DEC' AND greatest(1, least(ceil(total_sec / 300.0), 5)) <= 3 AS INTEGER)", "td_r": "CAST(r_td_landed >= 1 AS INTEGER)", "kd_any": "CAST(greatest(r_kd, b_kd) >= 1 AS INTEGER)",
-}
 _MIN = "least(greatest(CAST(ceil(total_sec / 60.0) AS BIGINT), 1), 25)"
 
 ORACLES = {
@@ -329,7 +318,6 @@ ORACLES = {
         round(avg(finishes / CAST(size AS DOUBLE)), 6) AS finish_share, round(avg(r1), 6) AS r1 FROM cards GROUP BY 1""",
     "prop_targets": f"""{B} SELECT bout_id, CAST(method = 'KO/TKO' AS INTEGER) AS y_ko, CAST(method = 'SUB' AS INTEGER) AS y_sub, CAST(method = 'DEC' AS INTEGER) AS y_dec,
         CAST(total_sec > 750 AS INTEGER) AS y_over_2_5, CAST(total_sec > 450 AS INTEGER) AS y_over_1_5 FROM bouts""",
-    "outcome_long": f"{B} " + " UNION ALL ".join(f"SELECT bout_id, '{k}' AS market, {v} AS hit FROM bouts" for k, v in _MARKETS.items()),
     "grade_claims": f"{CLAIMS} SELECT bout_id, y, CAST((p >= 0.5) = (y = 1) AS INTEGER) AS right, round(p, 6) AS p, round(pow(p - y, 2), 6) AS brier, 0.25::DOUBLE AS base FROM claims",
     "calibration_bands": f"""{CLAIMS} SELECT CASE WHEN p < 0.2 THEN 1 WHEN p < 0.4 THEN 2 WHEN p < 0.6 THEN 3 WHEN p < 0.8 THEN 4 ELSE 5 END AS band, count(*) AS n, round(avg(p), 6) AS said,
         round(avg(CAST(y AS DOUBLE)), 6) AS happened FROM claims GROUP BY 1 HAVING count(*) >= 5""",
