@@ -80,7 +80,7 @@ def elapsed_seconds(rnd: Column, clock: Column, lengths: Column) -> Column:
 
 def mixed_date(s: Column) -> Column:
     """A date in one of several notations; null where it is none."""
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "MM/dd/yyyy", "d MMMM yyyy")]).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "d MMMM yyyy")]).cast("date")
 
 
 def age_years(day: Column, born: Column) -> Column:

@@ -90,6 +90,32 @@ def settle(claims: DataFrame, bouts: DataFrame, days: int = 4) -> DataFrame:
     return out.select("claim_id", F.col("m.bout_id").alias("bout_id"), F.col("m.gap").cast("long").alias("gap"), hit.alias("hit"))
 
 
+def settle_by_id(claims: DataFrame, bouts: DataFrame, days: int = 4) -> DataFrame:
+    """``claims(event, claim, known_id, claim_dt, a, b, p)`` with ``hit`` and ``how``: by the id, and only where that is null or unknown by names.
+
+    ``hit`` is whether ``a`` won; null for a draw or where no bout is found, and ``how`` is null where none is.
+    """
+    known = bouts.select(F.col("bout_id").alias("known_id"), F.col("winner").alias("w"), F.col("r_id").alias("red"))
+    first = claims.join(known, "known_id", "left")
+    won = F.when(F.col("w").isin("r", "b"), ((F.col("w") == "r") == (F.col("red") == F.col("a"))).cast("int"))
+    by_id = first.where("w is not null").select("event", "claim", "p", won.alias("hit"), F.lit("id").alias("how"))
+    rest = first.where("w is null").select("event", "p", F.col("claim").alias("claim_id"), "claim_dt", "a", "b")
+    told = settle(rest, bouts, days)
+    by_name = rest.select("event", "p", "claim_id").join(told, "claim_id").select("event", F.col("claim_id").alias("claim"), "p", "hit", F.when(F.col("bout_id").isNotNull(), "name").alias("how"))
+    return by_id.unionByName(by_name)
+
+
+def match_pairs(told: DataFrame, bouts: DataFrame) -> DataFrame:
+    """``told(a, b, day, p_a)`` to ``bouts(bout_id, dt, a, b)`` on the unordered pair and the day: ``(bout_id, p_a)`` of the bout's own first side.
+
+    A pair that either side has twice on one day cannot be told apart and is left out.
+    """
+    pair = F.array_sort(F.array("a", "b"))
+    left = told.groupBy(pair.alias("pair"), "day").agg(F.count("*").alias("n"), F.first("a").alias("first"), F.first("p_a").alias("p")).where("n = 1")
+    right = bouts.groupBy(pair.alias("pair"), F.col("dt").alias("day")).agg(F.count("*").alias("k"), F.first("a").alias("a"), F.first("bout_id").alias("bout_id")).where("k = 1")
+    return right.join(left, ["pair", "day"]).select("bout_id", F.when(F.col("first") == F.col("a"), F.col("p")).otherwise(1 - F.col("p")).alias("p_a"))
+
+
 def latest_prices(quotes: DataFrame, hours: int = 18, sweep_hours: int = 1) -> DataFrame:
     """The last price of each pair and source, if it is not stale against the latest sweep."""
     now = quotes.agg(F.max("snap").alias("now"))
