@@ -93,3 +93,24 @@ def slug(s: Column) -> Column:
 
 def url_tail(url: Column) -> Column:
     return F.element_at(F.split(url, "/"), -1)
+
+
+def clean_name(s: Column) -> Column:
+    """A name without footnote marks, champion's marks and dots or blanks at its ends."""
+    plain = F.regexp_replace(F.regexp_replace(s, r"\[[^\]]*\]", ""), r"(?i)\((?:c|ic)\)", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"^[ .\u00a0]+|[ .\u00a0]+$", "")
+
+
+def titles(name: Column) -> Column:
+    """The titles that a page about a name may have, each once, in the order to try them."""
+    joined = lambda s: F.replace(s, F.lit(" "), F.lit("_"))
+    return F.array_distinct(F.array(joined(name), F.concat(joined(name), F.lit("_(fighter)")), joined(F.regexp_replace(name, r" No\. .*$", ""))))
+
+
+# How texts name the ways to end a bout.
+WAYS = {"ko": r"(?i)\b(?:ko|tko|knockout)\b", "sub": r"(?i)\b(?:sub|submission)\b", "dec": r"(?i)\b(?:dec|decision)\b"}
+
+
+def methods_in(s: Column) -> Column:
+    """How many ways to end a bout a text names."""
+    return sum((s.rlike(p).cast("int") for p in WAYS.values()), F.lit(0))

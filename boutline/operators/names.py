@@ -55,3 +55,15 @@ def fuzzy(asked: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFr
     scored = pairs.withColumn("score", similarity("k", "key")).where(F.col("score") >= cutoff)
     best = scored.groupBy("k").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "id")).alias("m"))
     return asked.join(best, F.col("key") == F.col("k")).groupBy("ask_id").agg(F.min_by("m", F.struct(-F.col("m.score"), F.col("m.id"))).alias("m")).select("ask_id", "m.id", "m.score")
+
+
+def displayed(rows: DataFrame, name: str, spellings: DataFrame) -> DataFrame:
+    """``rows`` with ``shown``: the preferred spelling of a name in ``spellings(key, shown)``, else the name itself."""
+    told = spellings.groupBy("key").agg(F.min("shown").alias("preferred"))
+    return rows.withColumn("key", F.lower(name)).join(told, "key", "left").withColumn("shown", F.coalesce("preferred", name)).drop("key", "preferred")
+
+
+def in_corner_order(a: Column, b: Column, first: Column) -> tuple[Column, Column]:
+    """Two names in order: one that is in ``first`` comes first, unless both are or neither is."""
+    swap = F.array_contains(first, b) & ~F.array_contains(first, a)
+    return F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
