@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.functions.text import similarity, surname
+from boutline.functions.text import similarity
 
 CUTOFF = 0.88
 
 
 def variants(roster: DataFrame) -> DataFrame:
-    """``roster(id, key)`` to keys ``(variant, rank, id)``: exact, without blanks, surname; ambiguous variants are dropped per rank."""
-    rows = roster.select("id", F.posexplode(F.array("key", F.regexp_replace("key", " ", ""), surname(F.col("key")))).alias("rank", "variant"))
-    rows = rows.where(F.length("variant") >= 4)
-    return rows.groupBy("rank", "variant").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
-
-
-def resolve(asked: DataFrame, roster: DataFrame) -> DataFrame:
-    """``asked(ask_id, key)`` to ``(ask_id, id, how)`` by the first variant that is known; null where none is."""
-    known = variants(roster)
-    wants = asked.select("ask_id", F.posexplode(F.array("key", F.regexp_replace("key", " ", ""), surname(F.col("key")))).alias("rank", "variant"))
-    hits = wants.join(known, ["rank", "variant"]).groupBy("ask_id").agg(F.min_by(F.struct("id", "rank"), "rank").alias("m"))
-    return asked.select("ask_id").distinct().join(hits, "ask_id", "left").select("ask_id", "m.id", F.col("m.rank").alias("how"))
+    """``roster(id, key, nickname)`` to keys ``(rank, variant, id)``: exact, without blanks, first name and nickname, nickname and surname.
+
+    Of rows with one variant of a rank the first id owns it; variants of under four letters are none.
+    """
+    first, last, nick = F.get(F.split("key", " "), F.lit(0)), F.element_at(F.split("key", " "), -1), F.nullif(F.trim(F.lower("nickname")), F.lit(""))
+    forms = F.array("key", F.replace("key", F.lit(" "), F.lit("")), F.concat_ws(" ", first, nick), F.concat_ws(" ", nick, last))
+    some = F.when(nick.isNull(), F.slice(forms, 1, 2)).otherwise(forms)
+    rows = roster.select("id", F.posexplode(some).alias("rank", "variant")).where(F.length("variant") >= 4)
+    return rows.groupBy("rank", "variant").agg(F.min("id").alias("id"))
+
+
+def resolve(asked: DataFrame, roster: DataFrame, aliases: DataFrame | None = None, cutoff: float | None = None) -> DataFrame:
+    """``asked(ask_id, key)`` to ``(ask_id, id, how)``: by the first form of the roster that the key is, ``how`` being its rank.
+
+    ``aliases(key, other)`` are applied before. With a ``cutoff`` what is then left is matched to the most similar roster key, ``how`` 9;
+    null where nothing fits.
+    """
+    if aliases is not None:
+        known = aliases.groupBy("key").agg(F.min("other").alias("other"))
+        asked = asked.join(known, "key", "left").select("ask_id", F.coalesce("other", "key").alias("key"))
+    table = variants(roster)
+    told = asked.select("ask_id", F.explode(F.array_distinct(F.array("key", F.replace("key", F.lit(" "), F.lit(""))))).alias("variant"))
+    hits = told.join(table, "variant").groupBy("ask_id").agg(F.min_by(F.struct("id", "rank"), F.struct("rank", "id")).alias("m"))
+    out = asked.select("ask_id", "key").dropDuplicates(["ask_id"]).join(hits, "ask_id", "left").select("ask_id", "key", "m.id", F.col("m.rank").alias("how"))
+    if cutoff is None:
+        return out.drop("key")
+    near = fuzzy(out.where("id is null").select("ask_id", "key"), roster.select("id", "key"), cutoff).select("ask_id", F.col("id").alias("near"))
+    return out.join(near, "ask_id", "left").select("ask_id", F.coalesce("id", "near").alias("id"), F.coalesce("how", F.when(F.col("near").isNotNull(), 9)).alias("how"))
 
 
 def fuzzy(asked: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFrame:

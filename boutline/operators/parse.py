@@ -1,13 +1,8 @@
-"""Cards, wikitext and HTML to rows: Arrow-batched parsers over a text column."""
+"""Card files to rows."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,7 +10,7 @@ from pyspark.sql.window import Window
 def card_lines(lines: DataFrame) -> DataFrame:
     """Lines ``(n, line)`` of a card to bouts: ``# event | date | venue``, ``## segment``, ``A vs. B [| rounds] [| division]``.
 
-    The segment is carried forward to the bouts below it.
+    The segment is carried forward to the bouts below it; those above any are on the main card.
     """
     line = F.trim("line")
     segment = F.when(line.startswith("## "), F.trim(F.substring(line, F.lit(4), F.length(line))))
@@ -29,139 +24,13 @@ def card_lines(lines: DataFrame) -> DataFrame:
     bouts = rows.where(F.col("line").rlike(r"\svs\.?\s") & ~F.col("line").startswith("#"))
     head = F.transform(F.split("header", r"\|"), lambda x: F.trim(x))
     return bouts.select(
-        "card", "n", F.get(head, 0).alias("event"), F.get(head, 1).alias("date"), "segment", F.get(names, 0).alias("a"), F.get(names, 1).alias("b"),
+        "card", "n", F.get(head, 0).alias("event"), F.get(head, 1).alias("date"), F.coalesce("segment", F.lit("Main card")).alias("segment"), F.get(names, 0).alias("a"), F.get(names, 1).alias("b"),
         F.coalesce(rounds, F.lit(3)).alias("rounds"), division.alias("division"),
     )
 
 
-class _Cells(HTMLParser):
-    """Rows of table cells, and list items, of a page."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows: list[list[str]] = []
-        self.items: list[str] = []
-        self.open: list[str] | None = None
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "tr":
-            self.rows.append([])
-        elif tag in ("td", "th", "li"):
-            self.open = []
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "li") and self.open is not None:
-            text = " ".join("".join(self.open).split())
-            (self.items if tag == "li" else self.rows[-1] if self.rows else self.items).append(text)
-            self.open = None
-
-    def handle_data(self, data: str) -> None:
-        if self.open is not None:
-            self.open.append(data)
-
-
-def clean_name(name: str) -> str:
-    """A name without footnotes and champion's mark."""
-    return " ".join(re.sub(r"\[[^\]]*\]|\(c\)|\(ic\)", "", name).split())
-
-
-def card_table(html: str) -> list[tuple[str | None, str, str]]:
-    """``(segment, a, b)`` of table rows with a cell "vs." or "def."; a row of one cell sets the segment."""
-    parser, segment, out = _Cells(), None, []
-    parser.feed(html)
-    for row in parser.rows:
-        filled = [c for c in row if c]
-        if len(filled) == 1:
-            segment = filled[0]
-        for i in range(1, len(row) - 1):
-            if row[i].lower() in ("vs.", "vs", "def."):
-                out.append((segment, clean_name(row[i - 1]), clean_name(row[i + 1])))
-    return out
-
-
-def html_items(pages: DataFrame) -> DataFrame:
-    """``(page_id, place, item)``: the list items of each page."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, html in zip(batch["page_id"], batch["html"]):
-                parser = _Cells()
-                parser.feed(html or "")
-                rows += [(page, i, item) for i, item in enumerate(parser.items)]
-            yield pd.DataFrame(rows, columns=["page_id", "place", "item"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, place long, item string")
-
-
-def split_top(text: str, mark: str) -> list[str]:
-    """Split at ``mark`` outside of double brackets and braces."""
-    parts, depth, here, i = [], 0, "", 0
-    while i < len(text):
-        two = text[i : i + 2]
-        if two in ("[[", "{{", "]]", "}}"):
-            depth += 1 if two in ("[[", "{{") else -1
-            here, i = here + two, i + 2
-        elif depth <= 0 and text.startswith(mark, i):
-            parts.append(here)
-            here, i = "", i + len(mark)
-        else:
-            here, i = here + text[i], i + 1
-    return [*parts, here]
-
-
-def clean_cell(cell: str) -> str:
-    """A wikitext cell as plain text: links by their label, templates by their last field, no markup."""
-    cell = re.sub(r"<ref[^>]*/>|<ref.*?</ref>|<[^>]+>|'{2,}", "", cell, flags=re.S)
-    cell = re.sub(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", r"\1", cell)
-    while (shorter := re.sub(r"\{\{(?:[^{}|]*\|)*([^{}|]*)\}\}", r"\1", cell)) != cell:
-        cell = shorter
-    return " ".join(cell.split())
-
-
-def wikitext_record(text: str) -> list[tuple[str, str, str, str]]:
-    """``(result, opponent, method, date)`` of the rows of a record table in wikitext."""
-    out = []
-    for table in re.findall(r"\{\|.*?\|\}", text or "", flags=re.S):
-        for row in re.split(r"\n\|-[^\n]*", table):
-            cells: list[str] = []
-            for line in row.split("\n"):
-                if line.startswith("|") and not line.startswith(("|}", "|+")):
-                    cells += [clean_cell(split_top(c, "|")[-1]) for c in split_top(line[1:], "||")]
-            if len(cells) >= 5 and cells[0].lower() in ("win", "loss", "draw", "nc"):
-                out.append((cells[0].lower(), cells[2], method_kind(cells[3]), cells[5] if len(cells) > 5 else ""))
-    return out
-
-
-def method_kind(text: str) -> str:
-    low = text.lower()
-    return "KO/TKO" if "ko" in low.split("(")[0] else "SUB" if low.startswith("sub") else "DEC" if low.startswith("dec") else "OTHER"
-
-
-def bonuses(text: str) -> dict[str, list[str]] | None:
-    """Awards of a section ``Bonus awards``; None without a section, an empty list where a line names nobody."""
-    section = re.search(r"==\s*Bonus awards\s*==\n(.*?)(?:\n==|\Z)", text or "", flags=re.S)
-    if not section:
-        return None
-    out: dict[str, list[str]] = {}
-    for kind, names in re.findall(r"\*\s*'*([^:'\n]+?)'*:\s*'*\s*([^\n]*)", section[1]):
-        plain = re.sub(r"\bno bonus(es)? awarded\b.*", "", clean_cell(names), flags=re.I)
-        out[kind.strip()] = [n for n in (clean_name(x) for x in re.split(r",|\bvs\.?\s|\band\b", plain)) if n]
-    return out
-
-
-def prose_bouts(text: str) -> list[tuple[str, str]]:
-    """Pairs of capitalised names around "vs." or "against" in prose."""
-    name = r"[A-Z][\w'’.-]+(?:\s+[A-Z][\w'’.-]+){1,3}"
-    return [(a, b) for a, b in re.findall(rf"({name})\s+(?:vs\.?|against)\s+({name})", text or "")]
-
-
-def parsed(rows: DataFrame, key: str, text: str, parser, schema: str) -> DataFrame:
-    """Applies a parser of one text to many rows, by batches, and keeps the key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, *[x.split()[0] for x in schema.split(",")]]
-        for batch in batches:
-            yield pd.DataFrame([(k, *row) for k, t in zip(batch[key], batch[text]) for row in parser(t)], columns=names)
-
-    return rows.select(key, text).mapInPandas(run, f"{key} long, {schema}")
+def read_cards(spark: SparkSession, path: str) -> DataFrame:
+    """The bouts of all card files under ``path``; a file is a card, known by the last folder of its place."""
+    card = F.regexp_extract(F.input_file_name(), r"([^/=]+)/[^/]*$", 1)
+    lines = spark.read.text(path, wholetext=True).select(card.alias("card"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    return card_lines(lines)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.functions import text
-from boutline.operators import names, parse
+from boutline.operators import names, parse, wiki
 from boutline.sources import files
 from boutline.sources.scratch import scratch_folder
-from boutline.sources.views import table
+from boutline.sources.views import bouts, table, with_views
 from boutline.streaming import ledger
 
 
@@ -35,7 +37,8 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alias_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return names.resolve(_asked(spark, sf), _roster(spark, sf))
+    """Asked names resolved by exact key, then without blanks; the first roster row owns a key that two have."""
+    return names.resolve(_asked(spark, sf), _roster(spark, sf).withColumn("nickname", F.lit("")))
 
 
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,34 +53,84 @@ def card_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parse.card_lines(turns.unionByName(heads))
 
 
-def html_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return parse.html_items(table(spark, sf, "pages"))
+def page_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The list items of each page."""
+    items = lambda html: [(i, " ".join(re.sub(r"<[^<>]*>", "", x).split())) for i, x in enumerate(re.findall(r"<li\b[^>]*>(.*?)</li\s*>", html, re.S | re.I))]
+    return wiki.parsed(table(spark, sf, "pages"), "page_id", "html", items, "place long, item string")
+
 
+def _pages(spark: SparkSession, sf: str, line: Column, head: str, foot: str) -> DataFrame:
+    """A text for each card: ``head``, a ``line`` for each of its bouts in their order, ``foot``."""
+    rows = bouts(spark, sf).withColumn("line", line)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dt", "bout_id", "line"))), lambda x: x["line"]), "")  # a card's bouts
+    return rows.groupBy(F.date_format("event", "yyyy-MM-dd").alias("event")).agg(F.concat(F.lit(head), body, F.lit(foot)).alias("body"))
 
-WIKI = """{| class="wikitable"
-! Res. !! Record !! Opponent !! Method !! Event !! Date
-|-
-| Win || 2–0 || [[Ann Example|Ann E.]] || TKO (punches) || {{ev|Night 2}} || 2020-02-01
-|-
-| Loss || 1–1 || Bea Sample<ref name="x"/> || Decision (split) || Night 1 || 2019-05-04
-|}"""
-BONUS = "== Bonus awards ==\n* '''Fight of the Night:''' Ann E. vs. Bea S.\n* Performance of the Night: No bonus awarded.\n== References =="
 
+def _side(c: str) -> Column:
+    return F.concat(F.lit("Ann Side"), F.col(c).cast("string"))
 
-def wikitext_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, WIKI), (2, "no table"), (3, None)], "page_id long, body string")
-    return parse.parsed(rows, "page_id", "body", parse.wikitext_record, "result string, opponent string, method string, day string")
 
+def card_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a table of bouts in segments, parsed to bouts; a pair that a page names twice counts once."""
+    i = F.col("bout_id")
+    turn = F.when(i % 10 == 0, "<tr><th colspan=8>Preliminary card (TV)</th></tr>").when(i % 10 == 5, "<tr><th>Early Prelims</th></tr>").otherwise(F.lit(""))
+    row = F.concat(
+        turn, F.lit("<tr><td>"), F.when(i % 2 == 0, "Light&shy;weight").otherwise("Catch"), F.lit("</td><td> <a href='x'>"), _side("r_id"), F.lit("</a> (c)</td><td>"),
+        F.when(i % 3 == 0, "vs.").otherwise("VS"), F.lit("</td><td>"), _side("b_id"), F.lit("[<b>3</b>]</td><td>x</td></tr>\n"),
+    )
+    pages = _pages(spark, sf, row, "<html><table><tr><td>a</td><td>no bout</td><td>here</td></tr>", "</table></html>")
+    return wiki.parsed(pages, "event", "body", wiki.card, "a string, b string, segment string, division string")
 
-def bonus_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, BONUS), (2, "nothing"), (3, None)], "page_id long, body string")
-    told = lambda t: [(k, ";".join(v), len(v)) for k, v in (parse.bonuses(t) or {}).items()]
-    return parse.parsed(rows, "page_id", "body", told, "kind string, names string, n long")
+
+def record_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Wikitext of records, columns told by the header, days in four notations, links and templates in cells; parsed to rows."""
+    i, day = F.col("bout_id"), F.col("dt")
+    when = (
+        F.when(i % 4 == 0, F.date_format(day, "'{{dts|'yyyy|M|d'}}'")).when(i % 4 == 1, F.date_format(day, "'{{start date|'yyyy'|'MMM'|'d'|df=y}}'"))
+        .when(i % 4 == 2, F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "d MMMM yyyy"))
+    )
+    result = F.when(F.col("winner") == "r", 'style="x" | Win').when(F.col("winner") == "b", "Loss").otherwise("Draw")
+    method = F.when(F.col("method") == "KO/TKO", "TKO (punches)").when(F.col("method") == "SUB", "Submission ([[choke|rear-naked {{abbr|choke|c}}]])").otherwise("Decision (split)<ref name='a'/>")
+    row = F.concat(
+        F.lit("|-\n| "), result, F.lit(" || 1–0 || [[B Side ("), F.col("b_id").cast("string"), F.lit(")|'''"), _side("b_id"), F.lit("''']]\n| "), method, F.lit(" || Night "), i.cast("string"), F.lit(" || "), when, F.lit(" || 3\n")
+    )
+    head = (
+        "Lead\n==Kickboxing record==\n{|\n! Res. !! Record !! Date\n|-\n| Win || 9 || 2001-01-01\n|}\n== Mixed martial arts record ==\n{| class='w'\n|+ cap\n"
+        "! Res. !! Record !! Opponent !! Method !! Event !! Date !! Round\n"
+    )
+    told = wiki.parsed(_pages(spark, sf, row, head, "|}\n== Notes ==\nend"), "event", "body", lambda t: [r[:4] for r in wiki.record(t) or []], "day date, result string, opponent string, method string")
+    return told.select("event", F.date_format("day", "yyyy-MM-dd").alias("day"), "result", "opponent", "method")
+
+
+def award_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Award sections of cards, with money, notes, links and explicit nobodies; parsed to a row per award and name."""
+    i = F.col("bout_id")
+    money, note = F.lit(" ($50,000 each)"), F.lit("{{efn|Despite all, awarded, and more}}")
+    both = F.concat(F.lit("* '''Fight of the Night:''' [["), _side("r_id"), F.lit("]] vs. [[x|"), _side("b_id"), F.lit("]]"), money, F.lit("\n"))
+    one = F.concat(F.lit("* Performance of the Night: "), _side("r_id"), note, F.lit(" and "), _side("b_id"), money, F.lit("\n"))
+    row = F.when(i % 7 == 0, both).when(i % 7 == 1, one).when(i % 7 == 2, "* Fight of the Night: No bonus awarded.\n").otherwise("plain: text, and more\n")
+    pages = _pages(spark, sf, row, "Lead: Fight of the Night: [[Nobody Real]]\n== Bonus awards ==\n", "== References ==\n* Performance of the Night: [[Nobody Too]]")
+    told = lambda t: [(k, n) for k, names in (wiki.awards(t) or {}).items() for n in names]
+    return wiki.parsed(pages, "event", "body", told, "award string, name string")
 
 
 def prose_bouts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Ann Example vs. Bea Sample. "), "text").alias("body"))
-    return parse.parsed(rows, "doc_id", "body", parse.prose_bouts, "a string, b string")
+    """Bouts that prose states, titles before the names left out, among the sentences of a document."""
+    i = F.col("doc_id")
+    told = F.concat(F.lit(" A welterweight bout between former UFC Welterweight Championship challenger Ann Lee-"), F.chr(65 + i % 26), F.lit("ox and Bea O'Neil is scheduled. "))
+    rows = table(spark, sf, "documents").select("doc_id", F.when(i % 3 == 0, F.concat(F.coalesce("text", F.lit("")), told, told)).otherwise(F.col("text")).alias("body"))
+    return wiki.parsed(rows, "doc_id", "body", wiki.prose, "a string, b string")
+
+
+def card_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Card files written from bouts, read and parsed: a header, a segment, and bouts with rounds and division."""
+    root, i = scratch_folder(spark), F.col("bout_id")
+    line = F.concat(
+        F.when(i % 10 == 0, "## Prelims\n").otherwise(F.lit("")), _side("r_id"), F.lit(" vs. "), _side("b_id"), F.when(F.col("sched_sec") > 900, " | 5").otherwise(F.lit("")),
+        F.when(i % 2 == 0, " | Flyweight").otherwise(F.lit("")), F.lit("\n"),
+    )
+    _pages(spark, sf, line, "# Card | 2024-01-06 | Hall\n\n", "").write.partitionBy("event").text(f"{root}/cards")
+    return parse.read_cards(spark, f"{root}/cards").select("card", "event", "date", "segment", "a", "b", "rounds", "division")
 
 
 def raw_text_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,11 +194,29 @@ def events_stream_open_close(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        name_keys, accent_keys, alias_cascade, fuzzy_match, card_parse, html_rows, wikitext_rows, bonus_rows, prose_bouts, raw_text_clean, market_kind, market_map, files_roundtrip, events_stream_open_close,
+        name_keys, accent_keys, alias_cascade, fuzzy_match, card_parse, page_items, card_pages, record_pages, award_pages, prose_bouts, card_files, raw_text_clean, market_kind, market_map, files_roundtrip, events_stream_open_close,
     )
 }
 
+B = with_views("bouts")
+_CARD = f"""{B}, o AS (SELECT *, CAST(event AS VARCHAR) AS card, 'Ann Side' || r_id AS a, 'Ann Side' || b_id AS b FROM bouts),
+    s AS (SELECT *, last_value(CASE bout_id % 10 WHEN 0 THEN 'Prelims' WHEN 5 THEN 'Early prelims' END IGNORE NULLS) OVER (PARTITION BY card ORDER BY dt, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg,
+          row_number() OVER (PARTITION BY card, least(r_id, b_id), greatest(r_id, b_id) ORDER BY dt, bout_id) AS k,
+          last_value(CASE bout_id % 10 WHEN 0 THEN 'Prelims' END IGNORE NULLS) OVER (PARTITION BY card ORDER BY dt, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM o)"""
+
 ORACLES = {
+    "card_pages": f"{_CARD} SELECT card AS event, a, b, coalesce(seg, 'Main card') AS segment, CASE WHEN bout_id % 2 = 0 THEN 'Light' || chr(173) || 'weight' ELSE '' END AS division FROM s WHERE k = 1",
+    "card_files": f"{_CARD} SELECT card, 'Card' AS event, '2024-01-06' AS date, coalesce(part, 'Main card') AS segment, a, b, CASE WHEN sched_sec > 900 THEN 5 ELSE 3 END AS rounds, CASE WHEN bout_id % 2 = 0 THEN 'Flyweight' END AS division FROM s",
+    "record_pages": f"""{_CARD} SELECT card AS event, CAST(dt AS VARCHAR) AS day, CASE winner WHEN 'r' THEN 'W' WHEN 'b' THEN 'L' ELSE 'D' END AS result, b AS opponent, CASE method WHEN 'KO/TKO' THEN 'KO' ELSE method END AS method FROM s""",
+    "award_pages": f"""{_CARD}, w AS (SELECT card AS event, CASE bout_id % 7 WHEN 0 THEN 'fotn' ELSE 'potn' END AS award, a, b FROM s WHERE bout_id % 7 < 2) SELECT event, award, a AS name FROM w UNION ALL SELECT event, award, b FROM w""",
+    "prose_bouts": "SELECT doc_id, 'Ann Lee-' || chr(CAST(65 + doc_id % 26 AS INTEGER)) || 'ox' AS a, 'Bea O''Neil' AS b FROM documents WHERE doc_id % 3 = 0",
+    "page_items": r"""SELECT page_id, i - 1 AS place, trim(regexp_replace(regexp_replace(items[i], '<[^<>]*>', '', 'g'), '\s+', ' ', 'g')) AS item FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i
+        FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<li\b[^>]*>(.*?)</li\s*>', 1) AS items FROM pages))""",
+    "accent_keys": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS key FROM documents""",
+    "alias_cascade": r"""WITH r AS (SELECT s_suppkey AS id, lower(regexp_replace(s_name, '[#0]+', ' ', 'g')) AS key FROM supplier), a AS (SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 3 = 0 THEN 'supplier' || c_custkey % 40 ELSE 'supplier ' || c_custkey % 40 END AS key FROM customer),
+        v AS (SELECT 0 AS rank, key AS variant, id FROM r UNION ALL SELECT 1, replace(key, ' ', ''), id FROM r),
+        h AS (SELECT ask_id, id, rank, row_number() OVER (PARTITION BY ask_id ORDER BY rank, id) AS k FROM a JOIN v ON v.variant IN (a.key, replace(a.key, ' ', '')))
+        SELECT a.ask_id, h.id, h.rank AS how FROM a LEFT JOIN h ON a.ask_id = h.ask_id AND k = 1""",
     "name_keys": r"""WITH n AS (SELECT p_partkey, trim(regexp_replace(lower(upper(p_name) || '  Jr'), '\s+', ' ', 'g')) AS collapsed, lower(upper(p_name) || '  Jr') AS raw FROM part),
         k AS (SELECT *, trim(regexp_replace(collapsed, '\s(jr|sr|ii|iii|iv)$', '')) AS key FROM n)
         SELECT p_partkey, collapsed, key, list_filter(string_split(key, ' '), lambda t: length(t) > 1)[-1] AS surname, regexp_replace(regexp_replace(raw, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM k""",
