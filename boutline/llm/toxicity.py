@@ -240,19 +240,19 @@ def _grams(codes: np.ndarray, letters: Alphabet) -> np.ndarray:
     return next(features(codes, letters))[0]
 
 
-def _evidence(streams: list[np.ndarray], labels: np.ndarray, letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+def _evidence(toxic: list[np.ndarray], clean: list[np.ndarray], letters: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Runs of letters that toxic documents have far oftener than others, sorted, and the logarithm of how much."""
-    counts = []
-    for kind in (1, 0):
-        own = [np.unique(_grams(s, letters)) for s, y in zip(streams, labels) if y == kind]
-        counts.append(np.unique(np.concatenate(own), return_counts=True))
-    (toxic, often), (clean, seldom) = counts
-    at = np.minimum(np.searchsorted(clean, toxic), len(clean) - 1)
-    other = np.where(clean[at] == toxic, seldom[at], 0)
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    ratio = (often / n1) / ((other + 0.5) / n0)
-    keep = (often >= max(MIN_WITNESS, MIN_SHARE * n1)) & (ratio >= MIN_RATIO)
-    return toxic[keep], np.log(ratio[keep])
+    runs, often = np.unique(np.concatenate([np.unique(_grams(s, letters)) for s in toxic]), return_counts=True)
+    keep = often >= max(MIN_WITNESS, MIN_SHARE * len(toxic))
+    runs, often, seldom = runs[keep], often[keep], np.zeros(int(keep.sum()))
+    if not len(runs):
+        return runs, seldom
+    for s in clean:
+        own = np.unique(_grams(s, letters))
+        at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+        seldom[at[runs[at] == own]] += 1
+    ratio = (often / len(toxic)) / ((seldom + 0.5) / len(clean))
+    return runs[ratio >= MIN_RATIO], np.log(ratio[ratio >= MIN_RATIO])
 
 
 def _worst(sums: np.ndarray, taken: int) -> list[int]:
@@ -268,21 +268,53 @@ def _worst(sums: np.ndarray, taken: int) -> list[int]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float = 0.1, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by Newton steps on the rows within the margin."""
-    z = np.hstack((x, np.ones((len(x), 1))))
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(z.shape[1]) * penalty * len(x)
+    """A linear machine with squared hinge loss, by Newton steps on the rows within the margin, summed in blocks. The last column of ``x`` is one."""
+    w = np.zeros(x.shape[1])
+    ridge = np.eye(x.shape[1]) * penalty * len(x)
     ridge[-1, -1] = 1e-9
     for _ in range(rounds):
-        inside = y * (z @ w) < 1
-        zi = z[inside] * cost[inside, None]
-        new = np.linalg.solve(zi.T @ z[inside] + ridge, zi.T @ y[inside])
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for i in range(0, len(inside), 1024):
+            rows = x[inside[i : i + 1024]]
+            weighed = rows * cost[inside[i : i + 1024], None]
+            left += weighed.T @ rows
+            right += weighed.T @ y[inside[i : i + 1024]]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
     return w[:-1], float(w[-1])
 
 
+class Marks(NamedTuple):
+    """The landmarks by subsequence: ``start`` says where the entries of each of ``ids`` begin, which are landmarks and their weights."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    mark: np.ndarray
+    value: np.ndarray
+
+    def kernel(self, sentences: list["Vector"], n: int) -> np.ndarray:
+        """The kernel of each sentence with each of ``n`` landmarks."""
+        ids, values = (np.concatenate(x) for x in zip(*sentences))
+        row = np.repeat(np.arange(len(sentences)), [len(v) for v, _ in sentences])
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        known = self.ids[at] == ids
+        first, size = self.start[at[known]], np.diff(self.start)[at[known]]
+        entry = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(row[known] * n, size) + self.mark[entry]
+        return np.bincount(cell, self.value[entry] * np.repeat(values[known], size), len(sentences) * n).reshape(-1, n)
+
+
+def _marks(landmarks: list["Vector"]) -> Marks:
+    ids = np.concatenate([v[0] for v in landmarks])
+    order = np.argsort(ids, kind="stable")
+    known, start = np.unique(ids[order], return_index=True)
+    mark = np.repeat(np.arange(len(landmarks)), [len(v[0]) for v in landmarks])[order]
+    return Marks(known, np.append(start, len(ids)), mark, np.concatenate([v[1] for v in landmarks])[order])
+
+
 Vector = tuple[np.ndarray, np.ndarray]
 
 
@@ -296,21 +328,17 @@ def _trained(positive: list[Vector], negative: list[Vector], letters: Alphabet,
     picks = rng.permutation(len(positive))[: LANDMARKS // 2].tolist()
     late = np.arange(len(negative)) + 1.0
     picks += (len(positive) + rng.choice(len(negative), min(len(negative), LANDMARKS // 2), replace=False, p=late / late.sum())).tolist()
-    columns = np.unique(np.concatenate([sentences[i][0] for i in picks]))
-    marks = np.zeros((len(columns), len(picks)), np.float32)
-    for k, i in enumerate(picks):
-        marks[np.searchsorted(columns, sentences[i][0]), k] = sentences[i][1]
-    kernel = np.zeros((len(sentences), len(picks)))
-    for row, (ids, values) in zip(kernel, sentences):
-        at = np.minimum(np.searchsorted(columns, ids), len(columns) - 1)
-        known = columns[at] == ids
-        row[:] = values[known] @ marks[at[known]]
-    own, vectors = np.linalg.eigh(kernel[picks])
+    marks = _marks([sentences[i] for i in picks])
+    own, vectors = np.linalg.eigh(marks.kernel([sentences[i] for i in picks], len(picks)))
     use = own > 1e-6 * own.max()
     whiten = vectors[:, use] / np.sqrt(own[use])
+    x = np.ones((len(sentences), whiten.shape[1] + 1))
+    for i in range(0, len(sentences), 256):
+        x[i : i + 256, :-1] = marks.kernel(sentences[i : i + 256], len(picks)) @ whiten
     cost = np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * len(negative)))
-    w, offset = _svm(kernel @ whiten, y, cost)
-    return Machine(letters, tables(columns, marks @ (whiten @ w)), offset)
+    w, offset = _svm(x, y, cost)
+    owner = np.repeat(np.arange(len(marks.ids)), np.diff(marks.start))
+    return Machine(letters, tables(marks.ids, np.bincount(owner, marks.value * (whiten @ w)[marks.mark], len(marks.ids))), offset)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -326,7 +354,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     held, held_y = ([t for t, h in zip(texts, apart) if h], y[apart]) if apart.any() else (texts, y)
     streams, y = [stream(t, letters) for t, h in zip(texts, apart) if not h], y[~apart]
     toxic, clean = [s for s, label in zip(streams, y) if label], [s for s, label in zip(streams, y) if not label]
-    runs, ratios = _evidence(streams, y, letters)
+    del streams
+    runs, ratios = _evidence(toxic, clean, letters)
     if not len(runs):
         return empty
     positive = []
