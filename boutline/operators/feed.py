@@ -83,3 +83,30 @@ def throttled(calls: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
     w = Window.partitionBy(key).orderBy(ts)
     gap = (F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))) / 6e7
     return calls.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= minutes)).drop("gap")
+
+
+def synthetic(spark, n_sides: int, n_cards: int, per_card: int, seed: int = 7) -> DataFrame:
+    """A corpus with known truth: each side has a latent strength, and the stronger wins as often as a logistic curve says.
+
+    All numbers come from hashes of seed and place, so rows are made in parallel and are the same whatever the partitions.
+    """
+
+    def uniform(*of: Column | str) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 30)) + 0.5) / (1 << 30)
+
+    def normal(*of: Column | str) -> Column:
+        return F.sqrt(-2 * F.ln(uniform(F.lit(1), *of))) * F.cos(2 * F.pi() * uniform(F.lit(2), *of))
+
+    strength = lambda who: normal(F.lit(3), who)
+    rows = spark.range(n_cards * per_card).select(F.col("id").alias("bout_id"), F.floor(F.col("id") / per_card).cast("int").alias("card"))
+    a = F.floor(uniform(F.lit(4), "bout_id") * n_sides).cast("long")
+    b = F.pmod(a + 1 + F.floor(uniform(F.lit(5), "bout_id") * (n_sides - 1)).cast("long"), F.lit(n_sides))
+    rows = rows.select("bout_id", F.date_add(F.lit("2015-01-03").cast("date"), F.col("card") * 7).alias("dt"), a.alias("r_id"), b.alias("b_id"))
+    p = 1 / (1 + F.exp(strength(F.col("b_id")) - strength(F.col("r_id"))))
+    won = uniform(F.lit(6), "bout_id") < p
+    u = uniform(F.lit(7), "bout_id")
+    method = F.when(u < 0.33, "KO/TKO").when(u < 0.52, "SUB").otherwise("DEC")
+    return rows.select(
+        "bout_id", "dt", "r_id", "b_id", p.alias("p_true"), F.when(won, "r").otherwise("b").alias("winner"), method.alias("method"),
+        F.when(method == "DEC", 900).otherwise(F.ceil(uniform(F.lit(8), "bout_id") * 899)).cast("long").alias("total_sec"),
+    )

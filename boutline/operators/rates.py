@@ -30,47 +30,78 @@ def bucket_left(value: Column, edges: tuple[float, ...]) -> Column:
     return out
 
 
-#: Parts of equal width into which the values are counted to find a quantile.
+#: Parts of equal width into which the values of a key are counted to find a quantile.
 PARTS = 65536
 
 
-def quantiles(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """One row with the array ``edges`` of interpolated quantiles, exact, without a task that holds all values.
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``keys`` and the array ``edges`` of interpolated quantiles of each, exact, without a task that holds all values.
 
-    Values are counted by parts of the range, then only the parts that hold a wanted rank are ranked inside.
+    Values are counted by parts of their key's range, then only the parts that hold a wanted rank are ranked inside.
     """
     v = F.col(value).cast("double")
-    cells = rows.select(v.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    span = F.broadcast(cells.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all")))
+    cells = rows.select(*keys, v.alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    span = F.broadcast(cells.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all")))  # a row per key
     part = F.least(F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * PARTS), F.lit(PARTS - 1))
-    cells = cells.join(span).select("v", "n", "all", part.alias("part"))
-    parts = cells.groupBy("part").agg(F.sum("n").alias("n"), F.first("all").alias("all"))  # PARTS rows at most
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", "n", "all", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    cells = cells.join(span, keys).select(*keys, "v", "n", "all", part.alias("part"))
+    parts = cells.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.first("all").alias("all"))  # PARTS rows of a key at most
+    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "part", "n", "all", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     at = [(F.col("all") - 1) * F.lit(q) for q in shares]
     ranks = F.array(*[F.struct(F.lit(i).alias("i"), end(x).cast("long").alias("rank"), (x - F.floor(x)).alias("mix"), F.lit(k).alias("k")) for i, x in enumerate(at) for k, end in enumerate((F.floor, F.ceil))])
-    wanted = parts.select("part", "n", "before", F.inline(ranks)).where("rank >= before and rank < before + n").select("part", "before", "i", "rank", "mix", "k")
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    near = cells.join(F.broadcast(wanted.select("part").distinct()), "part").select("part", "v", "n", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
-    hits = near.join(F.broadcast(wanted), "part").where("rank >= before + within and rank < before + within + n")
-    ends = hits.groupBy("i").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("b"), F.max("mix").alias("mix"))
+    wanted = parts.select(*keys, "part", "n", "before", F.inline(ranks)).where("rank >= before and rank < before + n").drop("n")
+    inside = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = cells.join(F.broadcast(wanted.select(*keys, "part").distinct()), [*keys, "part"])
+    near = near.select(*keys, "part", "v", "n", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
+    hits = near.join(F.broadcast(wanted), [*keys, "part"]).where("rank >= before + within and rank < before + within + n")
+    ends = hits.groupBy(*keys, "i").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("b"), F.max("mix").alias("mix"))
     edge = F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("mix")).alias("e"))
-    return ends.agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("edges"))
+    return ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("edges"))
 
 
-def quartile_rates(rows: DataFrame, value: str, y: str, parts: int = 4) -> DataFrame:
-    """Rate of ``y`` by right-closed quantile buckets, with its half width; thin cells are flagged, not dropped.
+def quantile_rates(rows: DataFrame, keys: list[str], value: str, y: str, parts: int = 4) -> DataFrame:
+    """By key, the rate of ``y`` in right-closed quantile buckets with its lift and half width, and the spread of the rates.
 
-    The value and ``y`` are written once; the edges are one row of ``parts - 1`` numbers, so they are broadcast.
+    Thin cells are flagged, not dropped. Value and ``y`` are written once; the edges are a row per key, so they are broadcast.
     """
-    rows = staged(rows.select(F.col(value).cast("double").alias("value"), F.col(y).cast("double").alias("y")), "rates")
-    edges = F.broadcast(quantiles(rows, "value", [k / parts for k in range(1, parts)]))
-    base = F.broadcast(rows.agg(F.avg("y").alias("base")))
+    rows = staged(rows.select(*keys, F.col(value).cast("double").alias("value"), F.col(y).cast("double").alias("y")).where("value is not null"), "rates")
+    edges = quantiles(rows, keys, "value", [k / parts for k in range(1, parts)])
+    facts = F.broadcast(edges.join(rows.groupBy(*keys).agg(F.avg("y").alias("base")), keys))
     bucket = bucket_right(F.col("value"), [F.get("edges", F.lit(i)) for i in range(parts - 1)])
-    told = rows.join(edges).join(base).select(bucket.alias("bucket"), "y", "base")
-    out = told.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.first("base").alias("base"))
+    told = rows.join(facts, keys).select(*keys, bucket.alias("bucket"), "y", "base")
+    out = told.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.first("base").alias("base"))
     half = 1.96 * F.sqrt(F.col("rate") * (1 - F.col("rate")) / F.col("n"))
-    return out.select("bucket", "n", "rate", (F.col("rate") - F.col("base")).alias("lift"), half.alias("half_width"), (F.col("n") < 200).cast("int").alias("thin"))
+    w = Window.partitionBy(*keys)  # a key's buckets
+    spread = F.max("rate").over(w) - F.min("rate").over(w)
+    return out.select(*keys, "bucket", "n", "rate", (F.col("rate") - F.col("base")).alias("lift"), half.alias("half_width"), (F.col("n") < 200).cast("int").alias("thin"), spread.alias("spread"))
+
+
+def quartile_rates(rows: DataFrame, value: str, y: str, parts: int = 4) -> DataFrame:
+    """``quantile_rates`` of all rows as one key."""
+    return quantile_rates(rows.select(F.lit(0).alias("key"), value, y), ["key"], value, y, parts).drop("key", "spread")
+
+
+# The conditions: level, what is looked at, and the outcome asked for.
+CONDITIONS = {
+    "C1": ("side", "adj_td15", "y_td"), "C2": ("side", "opp_td_def", "y_td"), "C3": ("side", "kd15", "y_kd"), "C4": ("bout", "kd15", "itd"), "C5": ("bout", "ctrl_share", "itd"),
+    "C6": ("side", "reach_diff", "y_td"), "C7": ("bout", "adj_slpm", "itd"), "C8": ("bout", "age_gap", "itd"), "C9": ("bout", "sub15", "dec"), "C10": ("side", "position", "y_td"),
+    "C11": ("side", "opp_kd_against15", "y_kd"), "C12": ("side", "opp_sapm", "y_kd"), "C13": ("bout", "decisions", "itd"),
+}
+
+
+def condition_rows(sides: DataFrame) -> DataFrame:
+    """``(condition, value, y)`` of every condition, from sides with own and opponent's levels; a bout's value is the sum of its sides'.
+
+    The gap of ages is the difference of the sides'; the share of decisions is the mean, where both sides have three bouts before.
+    """
+    facts = {"y_td": F.col("td_landed") > 0, "y_kd": F.col("kd") > 0}
+    own = F.array(*[F.struct(F.lit(k).alias("condition"), F.col(c).cast("double").alias("value"), facts[y].cast("double").alias("y")) for k, (level, c, y) in CONDITIONS.items() if level == "side"])
+    summed = {c: F.sum(c).alias(c) for c in ("kd15", "ctrl_share", "adj_slpm", "sub15")}
+    gap = (F.max("age") - F.min("age")).alias("age_gap")
+    decided = F.when(F.min("n_prior") >= 3, F.avg("decision_share")).alias("decisions")
+    bouts = sides.groupBy("bout_id").agg(*summed.values(), gap, decided, F.max((F.col("method") == "DEC").cast("double")).alias("dec")).withColumn("itd", 1 - F.col("dec"))
+    both = F.array(*[F.struct(F.lit(k).alias("condition"), F.col(c).cast("double").alias("value"), F.col(y).alias("y")) for k, (level, c, y) in CONDITIONS.items() if level == "bout"])
+    return sides.select(F.inline(own)).unionByName(bouts.select(F.inline(both)))
 
 
 def edge_rates(rows: DataFrame, value: str, y: str, edges: tuple[float, ...], least: int) -> DataFrame:
@@ -117,6 +148,30 @@ def r1_curve(app: DataFrame) -> DataFrame:
     return edge_rates(rows, "finish_share", "first", ROUND_ONE_EDGES, 60)
 
 
+def r1_read(app: DataFrame, least_three: int = 400, least_five: int = 100) -> DataFrame:
+    """The curve of bouts of three rounds with the scale of those of five; no row where it would say nothing.
+
+    A curve is no use with fewer than three buckets or with a bucket outside of .15 to .85, or from too few finishes. The scale is
+    that of all bouts of five rounds against three, or .727 where these are too few.
+    """
+    finish = (F.col("method") != "DEC").cast("double")
+    entity = app.groupBy("entity").agg(F.count("*").alias("bouts"), F.avg(finish).alias("finish_share")).where("bouts >= 8")
+    first = (F.floor(F.col("total_sec") / 300) + 1 <= 1).cast("double")
+    rows = app.where("method <> 'DEC'").join(entity, "entity").select(bucket_left(F.col("finish_share"), ROUND_ONE_EDGES).alias("bucket"), first.alias("y"), (F.col("sched_sec") >= 1500).alias("five"))
+    cells = rows.groupBy("bucket", "five").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))  # a dozen rows
+    all_of = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
+    five, three = F.col("five"), ~F.col("five")
+    shown = three & (F.col("n") >= 60) & F.col("bucket").isNotNull()
+    rate = F.col("hits") / F.col("n")
+    facts = cells.agg(
+        all_of("n", three).alias("n3"), all_of("n", five).alias("n5"), all_of("hits", three).alias("h3"), all_of("hits", five).alias("h5"), F.count_if(shown).alias("shown"),
+        F.count_if(shown & ~rate.between(0.15, 0.85)).alias("odd"),
+    )
+    scale = F.when((F.col("n5") >= least_five) & (F.col("h3") > 0), F.col("h5") / F.col("n5") / (F.col("h3") / F.col("n3"))).otherwise(0.727)
+    told = cells.where(shown).select("bucket", "n", rate.alias("rate")).join(F.broadcast(facts))
+    return told.where((F.col("n3") >= least_three) & (F.col("shown") >= 3) & (F.col("odd") == 0)).select("bucket", "n", "rate", scale.alias("five_round_scale"))
+
+
 def division_rates(bouts: DataFrame) -> DataFrame:
     """Per division and scheduled length: size, finish rates and median length, of divisions with 50 bouts."""
     one = lambda c: F.avg(c.cast("double"))

@@ -74,6 +74,11 @@ def r1_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rates.r1_curve(app(spark, sf)), ["bucket", "n"], ["rate"])
 
 
+def r1_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The curve of round one with the scale for five rounds, where it says something; no test of sizes, as the small tables have few bouts."""
+    return rounded(rates.r1_read(app(spark, sf), 100, 30), ["bucket", "n"], ["rate", "five_round_scale"])
+
+
 def division_rates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rates.division_rates(bouts(spark, sf)), ["weight_class", "sched_sec", "n"], ["finish", "ko", "sub", "median_sec"])
 
@@ -255,7 +260,7 @@ def round_index(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_bouts, drop_ambiguous, stat_totals, phase_sums, imputed_fit, cond_rates_quartile, decision_curve, style_imposition, r1_curve, division_rates, market_bases,
+        clean_bouts, drop_ambiguous, stat_totals, phase_sums, imputed_fit, cond_rates_quartile, decision_curve, style_imposition, r1_curve, r1_read, division_rates, market_bases,
         card_shape, card_size_buckets, prop_targets, grade_claims, calibration_bands, scorecard, eval_metrics, win_baselines, card_topk, topk_overlap, career_split,
         card_history, survival_intervals, survival_rollup, joint_rescale, era_gate, join_shapes, tolerance_count, partner_completion, group_rates_having, thin_entities,
         drivers_topn, last_real_division, round_index,
@@ -303,6 +308,13 @@ ORACLES = {
         c AS (SELECT {'CASE ' + ' '.join(f'WHEN v >= {a} AND v < {b} THEN {i}' for i, (a, b) in enumerate(zip(rates.ROUND_ONE_EDGES, rates.ROUND_ONE_EDGES[1:]), 1)) + ' END'} AS bucket,
               CASE WHEN total_sec < 300 THEN 1.0::DOUBLE ELSE 0 END AS f FROM app JOIN e ON app.entity = e.entity WHERE method <> 'DEC')
         SELECT bucket, count(*) AS n, round(avg(f), 6) AS rate FROM c WHERE bucket IS NOT NULL GROUP BY 1 HAVING count(*) >= 60""",
+    "r1_read": f"""{APP}, e AS (SELECT entity, avg(CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END) AS v FROM app GROUP BY 1 HAVING count(*) >= 8),
+        c AS (SELECT {'CASE ' + ' '.join(f'WHEN v >= {a} AND v < {b} THEN {i}' for i, (a, b) in enumerate(zip(rates.ROUND_ONE_EDGES, rates.ROUND_ONE_EDGES[1:]), 1)) + ' END'} AS bucket,
+              CASE WHEN total_sec < 300 THEN 1.0::DOUBLE ELSE 0 END AS y, sched_sec >= 1500 AS five FROM app JOIN e ON app.entity = e.entity WHERE method <> 'DEC'),
+        s AS (SELECT avg(CASE WHEN five THEN y END) / avg(CASE WHEN NOT five THEN y END) AS five_round_scale, count(*) FILTER (WHERE NOT five) AS n3, count(*) FILTER (WHERE five) AS n5 FROM c),
+        t AS (SELECT bucket, count(*) AS n, avg(y) AS rate FROM c WHERE NOT five AND bucket IS NOT NULL GROUP BY 1 HAVING count(*) >= 60)
+        SELECT bucket, n, round(rate, 6) AS rate, round(CASE WHEN n5 >= 30 THEN five_round_scale ELSE 0.727::DOUBLE END, 6) AS five_round_scale FROM t, s
+        WHERE n3 >= 100 AND (SELECT count(*) FROM t) >= 3 AND (SELECT count(*) FROM t WHERE rate NOT BETWEEN 0.15 AND 0.85) = 0""",
     "division_rates": f"""{B} SELECT weight_class, sched_sec, count(*) AS n, round(avg(CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END), 6) AS finish, round(avg(CASE WHEN method = 'KO/TKO' THEN 1.0::DOUBLE ELSE 0 END), 6) AS ko,
         round(avg(CASE WHEN method = 'SUB' THEN 1.0::DOUBLE ELSE 0 END), 6) AS sub, round(CAST(quantile_cont(total_sec, 0.5) AS DOUBLE), 6) AS median_sec FROM bouts GROUP BY 1, 2 HAVING count(*) >= 50""",
     "market_bases": f"{B}, m AS (" + " UNION ALL ".join(

@@ -109,7 +109,7 @@ def career_end_state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elo_asof(spark: SparkSession, sf: str) -> DataFrame:
-    return exact(rating.ratings(views.bouts(spark, sf)), ["bout_id"], ["r_elo", "b_elo"])
+    return rounded(rating.ratings(views.bouts(spark, sf)), ["bout_id"], ["r_elo", "b_elo"])
 
 
 _X = ["x_grapple", "x_ko", "x_sub", "x_power", "x_position"]
@@ -167,13 +167,61 @@ def win_rate_quartiles(spark: SparkSession, sf: str) -> DataFrame:
     return quartile_rates(rows, "diff", "y").select("bucket", "n", F.round("rate", 6).alias("rate"), F.round("half_width", 6).alias("half_width"))
 
 
+def conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """All conditions, every quartile of each: rate, lift, half width, and how far the quartiles are apart."""
+    from boutline.operators.rates import condition_rows, quantile_rates
+
+    told = strength(spark, sf)
+    shares = career.running_sums(views.appearances(views.bouts(spark, sf))).select("bout_id", "side", F.try_divide("s_decisions", "n_prior").alias("decision_share"))
+    kept = ["bout_id", "side", "entity", "method", "n_prior", "td_landed", "kd", "adj_td15", "adj_slpm", "td_def", "kd15", "ctrl_share", "sub15", "clinch_share", "ground_share", "kd_against15", "sapm"]
+    own = told.select(*kept).join(shares, ["bout_id", "side"])
+    sides = career.facing(own, {"n_prior": "o_n", "td_def": "opp_td_def", "kd_against15": "opp_kd_against15", "sapm": "opp_sapm", "entity": "o_id"}).where(F.least("n_prior", "o_n") >= 2)
+    # The test tables have neither reach nor age: an entity's number stands in for both.
+    sides = sides.withColumns({"reach_diff": (F.col("entity") % 13 - F.col("o_id") % 13).cast("double"), "age": (F.col("entity") % 20).cast("double"), "position": F.col("clinch_share") + F.col("ground_share")})
+    return rounded(quantile_rates(condition_rows(sides), ["condition"], "value", "y"), ["condition", "bucket", "n", "thin"], ["rate", "lift", "half_width", "spread"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (career_asof, late_round_cluster, sos_asof, career_end_state, elo_asof, win_rows_mirrored, panel_levels, fight_sym, prior_awards, anchor_trailing300, win_rate_quartiles)
+    for f in (conditions, career_asof, late_round_cluster, sos_asof, career_end_state, elo_asof, win_rows_mirrored, panel_levels, fight_sym, prior_awards, anchor_trailing300, win_rate_quartiles)
 }
 
+def _sql_conditions() -> str:
+    from boutline.operators.rates import CONDITIONS
+
+    value = {
+        "adj_td15": "s.adj_td15", "opp_td_def": "o.td_def", "kd15": "s.kd15", "reach_diff": "CAST(s.entity % 13 - o.entity % 13 AS DOUBLE)", "position": "s.clinch_share + s.ground_share",
+        "opp_kd_against15": "o.kd_against15", "opp_sapm": "o.sapm",
+    }
+    both = {"kd15": "r.kd15 + b.kd15", "ctrl_share": "r.ctrl_share + b.ctrl_share", "adj_slpm": "r.adj_slpm + b.adj_slpm", "age_gap": "CAST(abs(r.entity % 20 - b.entity % 20) AS DOUBLE)", "sub15": "r.sub15 + b.sub15",
+            "decisions": "CASE WHEN least(r.n_prior, b.n_prior) >= 3 THEN (r.s_decisions / r.n_prior + b.s_decisions / b.n_prior) / 2 END"}
+    fact = {"y_td": "s.td_landed > 0", "y_kd": "s.kd > 0", "itd": "r.method <> 'DEC'", "dec": "r.method = 'DEC'"}
+    sides = " UNION ALL ".join(f"SELECT '{k}' AS condition, {value[c]} AS x, CASE WHEN {fact[y]} THEN 1.0::DOUBLE ELSE 0 END AS y FROM strength s JOIN strength o ON s.bout_id = o.bout_id AND s.opponent = o.entity WHERE least(s.n_prior, o.n_prior) >= 2"
+                               for k, (level, c, y) in CONDITIONS.items() if level == "side")
+    fights = " UNION ALL ".join(f"SELECT '{k}', {both[c]}, CASE WHEN {fact[y]} THEN 1.0::DOUBLE ELSE 0 END FROM strength r JOIN strength b ON r.bout_id = b.bout_id AND r.side = 'r' AND b.side = 'b' WHERE least(r.n_prior, b.n_prior) >= 2"
+                                for k, (level, c, y) in CONDITIONS.items() if level == "bout")
+    return f"""{STRENGTH}, v AS (SELECT * FROM ({sides} UNION ALL {fights}) WHERE x IS NOT NULL),
+        e AS (SELECT condition, quantile_cont(x, 0.25) AS e1, quantile_cont(x, 0.5) AS e2, quantile_cont(x, 0.75) AS e3, avg(y) AS base FROM v GROUP BY 1),
+        t AS (SELECT v.condition, CASE WHEN x <= e1 THEN 1 WHEN x <= e2 THEN 2 WHEN x <= e3 THEN 3 ELSE 4 END AS bucket, count(*) AS n, avg(y) AS rate, max(base) AS base FROM v JOIN e ON v.condition = e.condition GROUP BY 1, 2)
+        SELECT condition, bucket, n, CAST(n < 200 AS INTEGER) AS thin, round(rate, 6) AS rate, round(rate - base, 6) AS lift, round(1.96::DOUBLE * sqrt(rate * (1 - rate) / n), 6) AS half_width,
+        round(max(rate) OVER (PARTITION BY condition) - min(rate) OVER (PARTITION BY condition), 6) AS spread FROM t"""
+
+
+#: The fold of the rating, a bout at a time: lists hold each entity's rating and the day of its last bout.
+_ELO = f"""WITH RECURSIVE {with_views('bouts')[5:]}, m AS (SELECT row_number() OVER (ORDER BY dt, bout_id) AS i, bout_id, date_diff('day', DATE '1970-01-01', dt) AS day, CAST(r_id + 1 AS INTEGER) AS r, CAST(b_id + 1 AS INTEGER) AS b,
+        CASE winner WHEN 'r' THEN 1.0::DOUBLE WHEN 'b' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score, CASE method WHEN 'DEC' THEN 24.0::DOUBLE ELSE 31.2::DOUBLE END AS k FROM bouts),
+    f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS bout_id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, list_transform(range(s + 1), lambda z: 1500.0::DOUBLE) AS e, list_transform(range(s + 1), lambda z: NULL::BIGINT) AS d
+            FROM (SELECT max(s_suppkey) AS s FROM supplier)
+        UNION ALL SELECT i, bout_id, x, y, list_transform(e, lambda v, n: CASE WHEN n = r THEN v + c WHEN n = b THEN v - c ELSE v END), list_transform(d, lambda v, n: CASE WHEN n = r OR n = b THEN day ELSE v END)
+        FROM (SELECT *, k * (score - 1 / (1 + pow(10.0::DOUBLE, (y - x) / 400))) AS c FROM (SELECT m.*, f.e, f.d,
+            1500 + (f.e[m.r] - 1500) * exp(-0.06::DOUBLE * (m.day - coalesce(f.d[m.r], m.day)) / 365.25::DOUBLE) AS x, 1500 + (f.e[m.b] - 1500) * exp(-0.06::DOUBLE * (m.day - coalesce(f.d[m.b], m.day)) / 365.25::DOUBLE) AS y
+            FROM f JOIN m ON m.i = f.i + 1)))
+    SELECT bout_id, round(x, 6) AS r_elo, round(y, 6) AS b_elo FROM f WHERE i > 0"""
+
 _END = ", ".join(f"sum({v}) AS s_{k}" for k, v in _VALUES.items())
 ORACLES = {
+    "conditions": _sql_conditions(),
+    "elo_asof": _ELO,
     "career_asof": f"{SNAPS} SELECT bout_id, side, entity, {sql_exact(_ASOF)} FROM snaps",
     "late_round_cluster": f"{SNAPS} SELECT bout_id, side, entity, {sql_exact(list(SQL_LATE))} FROM snaps",
     "sos_asof": f"{STRENGTH} SELECT bout_id, side, entity, {sql_exact(_SOS)} FROM strength",
