@@ -29,7 +29,7 @@ ONE_BLANK = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 CHUNKS = regex.compile(r" ?\S+|\s+(?!\S)|\s+").findall
 _BLANK_AND_MORE = re.compile(r" (?:\s|\Z)").search
 #: Bytes that the memories of chunks and of matches take before they set about forgetting; each holds twice as many at most.
-CHUNK_BYTES, PIECE_BYTES = 24 << 20, 64 << 20
+CHUNK_BYTES, PIECE_BYTES = 24 << 20, 128 << 20
 #: What an entry costs besides its letters and ids.
 _ENTRY = 200
 _NONE = 1 << 62
@@ -59,23 +59,25 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         leaves.append(_NONE if rank is None else rank << 32 | i)
-    levels = [leaves]
-    while len(levels[-1]) > FANOUT:
-        row = levels[-1]
-        levels.append([min(row[k : k + FANOUT]) for k in range(0, len(row), FANOUT)])
-    upper = list(zip(levels, levels[1:]))
-    top = levels[-1]
+    top, upper = leaves, []
+    while len(top) > FANOUT:
+        row, top = top, [min(top[k : k + FANOUT]) for k in range(0, len(top), FANOUT)]
+        upper.append((row, top))
     end = list(range(1, n + 1))  # of the symbol that starts at a byte
     before = list(range(-1, n))  # start of the symbol left of a byte that starts one
 
-    def put(at: int, value: int) -> None:
-        leaves[at] = value
-        for row, parents in upper:
-            at //= FANOUT
-            least = min(row[at * FANOUT : at * FANOUT + FANOUT])
-            if parents[at] == least:
-                break
-            parents[at] = least
+    if not upper:  # one node holds all leaves
+        put = leaves.__setitem__
+    else:
+
+        def put(at: int, value: int) -> None:
+            leaves[at] = value
+            for row, parents in upper:
+                at //= FANOUT
+                least = min(row[at * FANOUT : at * FANOUT + FANOUT])
+                if parents[at] == least:
+                    break
+                parents[at] = least
 
     while top and (least := min(top)) != _NONE:
         i = least & 0xFFFFFFFF
