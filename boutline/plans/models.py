@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Matrices, Vectors
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.linalg import Matrices
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutline.functions.odds import clipped_logit, sigmoid
+
 
 def moments(rows: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each column, in one pass."""
@@ -66,11 +69,16 @@ def symmetrised(model, rows: DataFrame, names: list[str]) -> DataFrame:
     return there.join(back, "bout_id").withColumn("p", (F.col("p_there") + 1 - F.col("p_back")) / 2).drop("p_there", "p_back")
 
 
-def platt(rows: DataFrame, p: str = "p", label: str = "y"):
+def platt(rows: DataFrame, p: str = "p", label: str = "y") -> tuple[float, float]:
     """Intercept and slope that turn a model's log-odds into calibrated ones."""
-    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
-    model = logistic(rows.select(F.ln(q / (1 - q)).alias("logit"), F.col(label).alias("y")), ["logit"], c=1.0, intercept=True)
-    return float(model.intercept), float(model.coefficients[0])
+    told = rows.select(clipped_logit(F.col(p)).alias("logit"), F.lit(1.0).alias("one"), F.col(label).alias("y"))
+    start, slope = newton_logit(told, ["one", "logit"], ridge=[0.0, 1.0])[()]
+    return float(start), float(slope)
+
+
+def calibrated(rows: DataFrame, by: tuple[float, float], p: str = "p") -> DataFrame:
+    """``rows`` with the probability moved by ``platt``'s intercept and slope."""
+    return rows.withColumn(p, sigmoid(F.lit(by[0]) + F.lit(by[1]) * clipped_logit(F.col(p))))
 
 
 def conformal_shift(rows: DataFrame, low: str, high: str, y: str, coverage: float = 0.8) -> float:
@@ -98,6 +106,15 @@ def split(rows: DataFrame, share: float, day: str = "dt") -> tuple[DataFrame, Da
     return rows.where(F.unix_date(day) <= cut), rows.where(F.unix_date(day) > cut)
 
 
+# The distribution function of a Poisson variable of mean one.
+POISSON = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
+
+
+def poisson(u: Column) -> Column:
+    """A Poisson weight of mean one from a number between 0 and 1."""
+    return sum((F.when(u >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
+
+
 def paired_bootstrap(rows: DataFrame, a: str, b: str, y: str, rounds: int = 200) -> DataFrame:
     """Draws of the mean difference in log loss of two models, by Poisson weights hashed from row and draw.
 
@@ -107,20 +124,68 @@ def paired_bootstrap(rows: DataFrame, a: str, b: str, y: str, rounds: int = 200)
         q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
         return -(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
 
-    # The distribution function of a Poisson variable of mean one.
-    steps = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
-    u = F.pmod(F.xxhash64("bout_id", "draw"), F.lit(1_000_003)) / 1_000_003
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    weight = poisson(F.pmod(F.xxhash64("bout_id", "draw"), F.lit(1_000_003)) / 1_000_003)
     long = rows.select("bout_id", (loss(b) - loss(a)).alias("gain"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("draw"))
     return long.groupBy("draw").agg((F.sum(weight * F.col("gain")) / F.sum(weight)).alias("gain"))
 
 
-def benjamini_hochberg(ps: list[float], level: float = 0.1) -> list[bool]:
-    order = np.argsort(ps)
-    passed = [i for i, k in enumerate(order, 1) if ps[k] <= level * i / len(ps)]
-    best = max(passed, default=0)
-    return [bool(r < best) for r in np.argsort(order)]
-
+def newton_logit(rows: DataFrame, names: list[str], y: str = "y", keys: list[str] = (), ridge: list[float] | None = None, offset: str | None = None, weight: str | None = None, steps: int = 10) -> dict[tuple, np.ndarray]:
+    """Logistic fits of every key at once, by Newton steps on penalised loss: the coefficients by key.
 
-def vector(values: list[float]):
-    return Vectors.dense(values)
+    A step is one aggregation for all keys: gradient and curvature, as many numbers as names squared for each key, are all that
+    comes to the driver. ``ridge`` is the penalty of each coefficient on the summed loss; for an intercept, name a column of ones and
+    give it none.
+    """
+    k, ridge = len(names), np.array(ridge or [0.0] * len(names))
+    found = {tuple(r): np.zeros(k) for r in rows.select(*keys).distinct().collect()} if keys else {(): np.zeros(k)}
+    w = F.col(weight) if weight else F.lit(1.0)
+    for _ in range(steps):
+        told = rows
+        if keys:
+            schema = ", ".join([*[f"{n} {t}" for n, t in rows.select(*keys).dtypes], "beta_ array<double>"])
+            told = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(*key, c.tolist()) for key, c in found.items()], schema)), list(keys))
+            beta = [F.get("beta_", F.lit(i)) for i in range(k)]
+        else:
+            beta = [F.lit(float(c)) for c in found[()]]
+        z = sum((b * F.col(n) for b, n in zip(beta, names)), F.col(offset) if offset else F.lit(0.0))
+        told = told.select(*keys, *names, F.col(y).cast("double").alias("y_"), w.alias("w_"), (1 / (1 + F.exp(-z))).alias("p_"))
+        slope = [F.sum(F.col("w_") * F.col(a) * (F.col("y_") - F.col("p_"))).alias(f"g{i}") for i, a in enumerate(names)]
+        curve = [F.sum(F.col("w_") * F.col("p_") * (1 - F.col("p_")) * F.col(names[i]) * F.col(names[j])).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
+        for r in (told.groupBy(*keys) if keys else told.groupBy()).agg(*slope, *curve).collect():
+            key = tuple(r[n] for n in keys)
+            h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) + np.diag(ridge + 1e-12)
+            found[key] = found[key] + np.linalg.solve(h, np.array([r[f"g{i}"] or 0.0 for i in range(k)]) - ridge * found[key])
+    return found
+
+
+def quantile_fit(rows: DataFrame, names: list[str], y: str, shares: list[float], steps: int = 30, eps: float = 1e-3) -> np.ndarray:
+    """Linear quantile regressions, a row of coefficients for each share, by the majorising quadratic of the pinball loss.
+
+    A step is one aggregation for all shares. For an intercept, name a column of ones.
+    """
+    k = len(names)
+    first = rows.agg(F.percentile(y, shares)).first()[0]
+    beta = np.zeros((len(shares), k))
+    beta[:, 0] = first if names[0] == "one" else 0.0
+    for _ in range(steps):
+        told = rows
+        for s in range(len(shares)):
+            gap = F.col(y) - sum((F.lit(float(b)) * F.col(n) for b, n in zip(beta[s], names)), F.lit(0.0))
+            told = told.withColumn(f"w{s}", 1 / (eps + F.abs(gap)))
+        sums = [F.sum(F.col(n)).alias(f"s_{i}") for i, n in enumerate(names)]
+        sums += [F.sum(F.col(f"w{s}") * F.col(a) * F.col(y)).alias(f"b{s}_{i}") for s in range(len(shares)) for i, a in enumerate(names)]
+        sums += [F.sum(F.col(f"w{s}") * F.col(names[i]) * F.col(names[j])).alias(f"a{s}_{i}_{j}") for s in range(len(shares)) for i in range(k) for j in range(i + 1)]
+        r = told.agg(*sums).first()
+        for s, q in enumerate(shares):
+            a = np.array([[r[f"a{s}_{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) + 1e-9 * np.eye(k)
+            beta[s] = np.linalg.solve(a, np.array([r[f"b{s}_{i}"] + (2 * q - 1) * r[f"s_{i}"] for i in range(k)]))
+    return beta
+
+
+def boosted_regression(rows: DataFrame, names: list[str], label: str, depth: int = 3, rounds: int = 20):
+    return GBTRegressor(labelCol=label, maxDepth=depth, maxIter=rounds, seed=7).fit(assembled(rows, names))
+
+
+def multinomial(rows: DataFrame, names: list[str], label: str = "y", c: float = 1.0):
+    """Several classes by one logistic fit; its probabilities sum to one."""
+    return LogisticRegression(labelCol=label, family="multinomial", standardization=False, regParam=1 / (c * rows.count()), maxIter=100).fit(assembled(rows, names))
