@@ -52,7 +52,7 @@ def hazard(rows: DataFrame, names: list[str], label: str = "class"):
     return LogisticRegression(labelCol=label, family="multinomial", regParam=1e-4, maxIter=60).fit(assembled(rows, names))
 
 
-def boosted(rows: DataFrame, names: list[str], label: str = "y", depth: int = 2, rounds: int = 10):
+def boosted(rows: DataFrame, names: list[str], label: str = "y", depth: int = 3, rounds: int = 20):
     return GBTClassifier(labelCol=label, maxDepth=depth, maxIter=rounds, seed=7).fit(assembled(rows, names))
 
 
