@@ -39,8 +39,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
 
     Values are counted by parts of their key's range, then only the parts that hold a wanted rank are ranked inside.
     """
-    v = F.col(value).cast("double")
-    cells = rows.select(*keys, v.alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    given, keys = keys, [f"key_{i}" for i in range(len(keys))]  # so that no key has a name used here
+    cells = rows.select(*[F.col(g).alias(k) for g, k in zip(given, keys)], F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
     span = F.broadcast(cells.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all")))  # a row per key
     part = F.least(F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * PARTS), F.lit(PARTS - 1))
     cells = cells.join(span, keys).select(*keys, "v", "n", "all", part.alias("part"))
@@ -56,7 +56,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
     hits = near.join(F.broadcast(wanted), [*keys, "part"]).where("rank >= before + within and rank < before + within + n")
     ends = hits.groupBy(*keys, "i").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("b"), F.max("mix").alias("mix"))
     edge = F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("mix")).alias("e"))
-    return ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("edges"))
+    out = ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("edges"))
+    return out.select(*[F.col(k).alias(g) for g, k in zip(given, keys)], "edges")
 
 
 def quantile_rates(rows: DataFrame, keys: list[str], value: str, y: str, parts: int = 4) -> DataFrame:

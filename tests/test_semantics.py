@@ -1,6 +1,7 @@
 """Semantics that SQL does not show: folds, leakage, symmetry, parsers, sources and streams."""
 
 import datetime
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boutline.functions import odds, text
-from boutline.operators import career, market, names, parse, rating, survival
+from boutline.operators import career, market, names, rating, survival
 from boutline.plans import text_queries
 from boutline.sources import files, views
 
@@ -46,10 +47,18 @@ def test_mirrored_rows_are_negations(bouts):
 
 
 def test_rating_equals_a_fold(bouts):
-    k = {"KO/TKO": 1.3, "SUB": 1.3, "DEC": 1.0}
-    score = {"r": 1.0, "b": 0.0, "draw": 0.5}
-    rows = sorted(bouts.collect(), key=lambda r: (r.dt, r.bout_id))
-    want = {b: (x, y) for b, x, y in rating.fold(iter([(r.dt, r.bout_id, r.r_id, r.b_id, score[r.winner], k[r.method]) for r in rows]))}
+    """Against the formulas written out here, bout by bout."""
+    value, last, want = {}, {}, {}
+    for r in sorted(bouts.collect(), key=lambda r: (r.dt, r.bout_id)):
+        told = []
+        for who in (r.r_id, r.b_id):
+            days = (r.dt - last.get(who, r.dt)).days
+            told.append(1500 + (value.get(who, 1500.0) - 1500) * math.exp(-0.06 * days / 365.25))
+        want[r.bout_id] = told
+        expected = 1 / (1 + 10 ** ((told[1] - told[0]) / 400))
+        change = 24 * (1.0 if r.method == "DEC" else 1.3) * ({"r": 1.0, "b": 0.0, "draw": 0.5}[r.winner] - expected)
+        for who, sign in ((r.r_id, 1), (r.b_id, -1)):
+            value[who], last[who] = value.get(who, 1500.0) + sign * change, r.dt
     got = {r.bout_id: (r.r_elo, r.b_elo) for r in rating.ratings(bouts).collect()}
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for i in got for a, b in zip(got[i], want[i]))
 
@@ -99,25 +108,6 @@ def test_odds(spark):
     assert [round(x, 6) for x in row] == [0.6, 1.0, -150.0, 0.5]
 
 
-def test_parsers():
-    from boutline.plans.text_queries import BONUS, WIKI
-
-    assert parse.wikitext_record(WIKI) == [("win", "Ann E.", "KO/TKO", "2020-02-01"), ("loss", "Bea Sample", "DEC", "2019-05-04")]
-    assert parse.bonuses(BONUS) == {"Fight of the Night": ["Ann E.", "Bea S."], "Performance of the Night": []}
-    assert parse.bonuses("no section") is None
-    html = "<table><tr><td>Main card</td></tr><tr><td>Light</td><td>Ann E. (c)</td><td>vs.</td><td>Bea S.[1]</td></tr></table>"
-    assert parse.card_table(html) == [("Main card", "Ann E.", "Bea S.")]
-    assert parse.prose_bouts("we saw Ann Example vs. Bea Sample, who met.") == [("Ann Example", "Bea Sample")]
-
-
-def test_names(spark):
-    roster = spark.createDataFrame([(1, "ann example"), (2, "bea example"), (3, "cal unique")], "id long, key string")
-    asked = spark.createDataFrame([(1, "annexample"), (2, "mr unique"), (3, "x example")], "ask_id long, key string")
-    assert {r.ask_id: r.id for r in names.resolve(asked, roster).collect()} == {1: 1, 2: 3, 3: None}
-    close = spark.createDataFrame([(1, "ann exampel"), (2, "zzz")], "ask_id long, key string")
-    assert [(r.ask_id, r.id) for r in names.fuzzy(close, roster).collect()] == [(1, 1)]
-
-
 def test_fuzzy_equals_brute_force(spark):
     rng = random.Random(8)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 34))) for _ in range(60)]
