@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.llm.common import components, release, slices, stored, text_of, unused
@@ -26,6 +26,8 @@ RADIUS = 2
 WIDTH, SIMILARITY = 5, 0.8
 #: Tasks that the rows of one fingerprint are dealt to.
 SALTS = 16
+#: Sets of a bucket that are compared with as many others in a task.
+BLOCK = 200
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -128,7 +130,7 @@ def _sets(texts: DataFrame, width: int, share: int) -> DataFrame:
 
 
 def _bucket_links(similarity: float):
-    """For the rows ``(bucket, mark, hashes)`` of a bucket: edges that connect what all its likely pairs connect."""
+    """For the rows ``(mark, hashes)`` of two blocks of a bucket: edges that connect what all its likely pairs connect."""
 
     def run(rows: pa.Table) -> pa.Table:
         marks = rows.column("mark").to_numpy()
@@ -159,8 +161,8 @@ def alike(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, D
     Jaccard likeness of ``similarity`` on. No pair is lost: of a set of n, ``need`` = ceil(similarity * n) shingles must
     be shared. A third of the hashes tells first which sets have more than n - need of their own; of the others
     one of the n - need + 1 rarest shingles is in the other set too. Sets that share one are a bucket. Each is
-    compared with the least of its bucket; buckets that are not connected by then are compared in full,
-    without a row for each pair.
+    compared with the least of its bucket; buckets that are not connected by then are compared in full, two blocks of
+    ``BLOCK`` sets in a task, without a row for each pair.
     """
     spark = texts.sparkSession
     need = F.ceil(F.col("n") * F.lit(similarity) - 1e-9)
@@ -192,9 +194,13 @@ def alike(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, D
     release(spark)
 
     at = entries.join(first, F.col("mark") == F.col("node"), "left").select("h", "mark", F.coalesce("component", "mark").alias("c"))
-    apart = at.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.sort_array(F.collect_list("mark")).alias("marks")).where("low <> high")
-    members = apart.select(F.xxhash64("marks").alias("bucket"), "marks").dropDuplicates(["bucket"]).select("bucket", F.explode("marks").alias("mark"))
-    rest = members.join(sets.select("mark", "hashes"), "mark").groupBy("bucket").applyInArrow(_bucket_links(similarity), "a long, b long")
+    told = [F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("mark")).alias("sign"), F.min("mark").alias("least"), F.max("mark").alias("most")]
+    apart = at.groupBy("h").agg(*told).where("low <> high").groupBy("size", "sign", "least", "most").agg(F.min("h").alias("h"))  # of equal buckets one
+    place = F.row_number().over(Window.partitionBy("h").orderBy("mark")) - 1
+    members = at.join(apart.select("h", "size"), "h").select("h", "mark", F.floor(place / BLOCK).cast("int").alias("block"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    met = members.select("h", "mark", "block", F.explode(others).alias("other")).select("h", "mark", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = met.join(sets.select("mark", "hashes"), "mark").groupBy("h", "i", "j").applyInArrow(_bucket_links(similarity), "a long, b long")
     found = components(stars.unionByName(rest))
     release(spark)
     return marks, found
