@@ -76,7 +76,9 @@ def test_simhash_hot_buckets_lose_no_link(spark):
     assert {i: g for i, g in enumerate(group) if g != i} == found
 
 
-def test_keep_one_equals_brute_force(spark, corpus):
+@pytest.mark.parametrize("block", [200, 3])
+def test_keep_one_equals_brute_force(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)  # so that buckets are divided
     rng = random.Random(3)
     texts = list(corpus)
     for k in range(60):  # edits around the threshold, chains of edits, and a large group
