@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from boutline.llm.common import stored
 
-#: A filter is a literal of the plan; a list that needs more bits is judged by a join instead.
-MAX_BITS = 1 << 25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,34 +75,57 @@ def passes(key: Column, bloom: Filter) -> Column:
     return out
 
 
-def _encode(chosen: DataFrame, n: int, rate: float, level: int) -> Filter:
-    """A filter of ``n`` keys; its bits are or-ed by byte on the executors."""
+def _sized(n: int, rate: float) -> tuple[int, int]:
+    """Bits and hashes of a filter of ``n`` keys that lets so many of the others through."""
     size = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    hashes = max(1, round(size / n * math.log(2)))
-    at = chosen.select(F.explode(F.array(*_positions(F.col("key"), size, hashes, level))).alias("at"))
+    return size, max(1, round(size / n * math.log(2)))
+
+
+def _encoded(rows: DataFrame, shapes: dict[str, tuple[int, int]], level: int) -> dict[str, Filter]:
+    """A filter of the keys of each name in ``rows(name, key)``: their bits are or-ed by byte on the executors, in one aggregation."""
+    at = None
+    for name, (size, hashes) in shapes.items():
+        own = F.array(*_positions(F.col("key"), size, hashes, level))
+        at = F.when(F.col("name") == name, own) if at is None else at.when(F.col("name") == name, own)
     bit = F.get(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col("at") % 8).cast("int"))
-    words = at.groupBy((F.col("at") / 8).cast("int").alias("byte")).agg(F.bit_or(bit).alias("bits"))
-    out = bytearray(-(-size // 8))
-    for row in words.toLocalIterator():  # a row per byte of the filter at most
-        out[row["byte"]] = row["bits"]
-    return Filter(bytes(out), size, hashes, level)
-
-
-def cascade(universe: DataFrame, listed: DataFrame) -> list[Filter] | None:
-    """Filters that tell ``listed(key)`` from the rest of ``universe(key)``; None if one would be too large."""
-    n = listed.count()
-    if not n:
-        return []
-    others = universe.join(listed, "key", "left_anti")
-    total = max(1, universe.agg(F.approx_count_distinct("key")).first()[0])
-    sides, filters, rate = [listed, others], [], min(0.5, max(1e-9, n * math.sqrt(0.5) / total))
-    while n:
-        if -n * math.log(rate) / math.log(2) ** 2 > MAX_BITS:
-            return None
-        filters.append(_encode(sides[0], n, rate, len(filters)))
-        sides = [sides[1].where(passes(F.col("key"), filters[-1])), sides[0]]
-        n, rate = sides[0].count(), 0.5
-    return filters
+    spread = rows.where(F.col("name").isin(list(shapes))).select("name", F.explode(at).alias("at"))
+    words = spread.groupBy("name", (F.col("at") / 8).cast("int").alias("byte")).agg(F.bit_or(bit).alias("bits"))
+    out = {name: bytearray(-(-size // 8)) for name, (size, _) in shapes.items()}
+    for row in words.collect():  # a row per byte of the filters at most
+        out[row["name"]][row["byte"]] = row["bits"]
+    return {name: Filter(bytes(out[name]), size, hashes, level) for name, (size, hashes) in shapes.items()}
+
+
+def cascades(universe: DataFrame, lists: dict[str, list[str]]) -> dict[str, list[Filter]]:
+    """For each named list of keys the filters that tell its keys from the rest of ``universe(key)``, all lists level by level at once.
+
+    A filter has at most six bytes for a key of its list, and the lists are the driver's own, so what is a literal of the plan is bounded
+    by what the driver was given.
+    """
+    spark = universe.sparkSession
+    listed = spark.createDataFrame([(name, key) for name, keys in lists.items() for key in set(keys)], "name string, key string")
+    names = F.array(*[F.lit(n) for n in lists])
+    rows = universe.select("key", F.explode(names).alias("name")).join(F.broadcast(listed.withColumn("listed", F.lit(True))), ["name", "key"], "left")
+    rows = stored(rows.select("name", "key", F.coalesce("listed", F.lit(False)).alias("listed")), "universe")
+    sizes = {(r["name"], r["listed"]): r["count"] for r in rows.groupBy("name", "listed").count().collect()}
+    out: dict[str, list[Filter]] = {name: [] for name in lists}
+    level = 0
+    while shapes := {n: _sized(k, _rate(k, sizes.get((n, False), 0)) if level == 0 else 0.5) for n in lists if (k := sizes.get((n, level % 2 == 0), 0))}:
+        side = F.col("listed") == F.lit(level % 2 == 0)
+        for name, bloom in _encoded(rows.where(side), shapes, level).items():
+            out[name].append(bloom)
+        let = F.lit(False)
+        for name in shapes:
+            let = F.when(F.col("name") == name, passes(F.col("key"), out[name][-1])).otherwise(let)
+        rows = rows.where(F.col("name").isin(list(shapes)) & (side | let))
+        sizes = {(r["name"], r["listed"]): r["count"] for r in rows.groupBy("name", "listed").count().collect()}
+        level += 1
+    return out
+
+
+def _rate(n: int, others: int) -> float:
+    """The share of other keys that the first filter should let through, so that the levels together are smallest."""
+    return min(0.5, max(1e-9, n * math.sqrt(0.5) / max(1, others)))
 
 
 def member(key: Column, filters: list[Filter]) -> Column:
@@ -117,37 +138,17 @@ def member(key: Column, filters: list[Filter]) -> Column:
 
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFrame:
     """``(page_id, host, path, rule, verdict)``; of the rules that fit, the one with the longest host, then path, holds."""
-    spark = pages.sparkSession
     host, path = parts(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     own = keys(F.col("host"), F.col("path"), rules)
     if not own:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    universe = stored(rows.select(F.explode(F.array(*own)).alias("key")).where("key is not null").distinct(), "keys")
+    universe = rows.select(F.explode(F.array(*own)).alias("key")).where("key is not null").distinct()
     verdicts = sorted({r.verdict for r in rules})
-    lists = {v: spark.createDataFrame([(r.key,) for r in rules if r.verdict == v], "key string").distinct() for v in verdicts}
-    filters = {v: cascade(universe, listed) for v, listed in lists.items()}
-    if any(f is None for f in filters.values()):
-        return _judge_by_join(rows, own, lists, default)
-    order = range(len(own))
+    filters = cascades(universe, {v: [r.key for r in rules if r.verdict == v] for v in verdicts})
     rows = rows.select("*", *[key.alias(f"key{i}") for i, key in enumerate(own)])
-    hits = [F.coalesce(*[F.when(member(F.col(f"key{i}"), filters[v]), F.lit(v)) for v in verdicts]).alias(f"v{i}") for i in order]
-    return _verdicts(rows.select("*", *hits), len(own), default)
-
-
-def _verdicts(rows: DataFrame, n: int, default: str) -> DataFrame:
-    """The first of the keys that has a verdict, and that."""
-    rule = F.coalesce(*[F.when(F.col(f"v{i}").isNotNull(), F.col(f"key{i}")) for i in range(n)])
-    verdict = F.coalesce(*[F.col(f"v{i}") for i in range(n)], F.lit(default))
+    hits = [F.coalesce(*[F.when(member(F.col(f"key{i}"), filters[v]), F.lit(v)) for v in verdicts]).alias(f"v{i}") for i in range(len(own))]
+    rows = rows.select("*", *hits)
+    rule = F.coalesce(*[F.when(F.col(f"v{i}").isNotNull(), F.col(f"key{i}")) for i in range(len(own))])
+    verdict = F.coalesce(*[F.col(f"v{i}") for i in range(len(own))], F.lit(default))
     return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-
-
-def _judge_by_join(rows: DataFrame, own: list[Column], lists: dict[str, DataFrame], default: str) -> DataFrame:
-    """The same result for lists whose filters would exceed ``MAX_BITS``: one join with the list for each shape of key."""
-    listed = None
-    for v, frame in lists.items():
-        frame = frame.select("key", F.lit(v).alias("v"))
-        listed = frame if listed is None else listed.unionByName(frame)
-    for i, key in enumerate(own):
-        rows = rows.withColumn(f"key{i}", key).join(listed.select(F.col("key").alias(f"key{i}"), F.col("v").alias(f"v{i}")), f"key{i}", "left")
-    return _verdicts(rows, len(own), default)
