@@ -345,11 +345,14 @@ def test_url_filter(spark):
     assert urlfilter.judge(pages.limit(0), URL_RULES).count() == 0 and urlfilter.judge(pages, []).count() == 12
 
 
-def test_cascade_is_exact(spark):
-    universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
-    filters = urlfilter.cascade(universe, universe.where("substring(key, 2) % 37 = 0"))
-    wrong = universe.where(urlfilter.member(F.col("key"), filters) != F.expr("substring(key, 2) % 37 = 0")).count()
-    assert wrong == 0 and len(filters) > 1
+def test_cascades_are_exact(spark):
+    universe = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"))
+    lists = {"a": [f"k{i}" for i in range(0, 6000, 37)], "b": [f"k{i}" for i in range(1, 9000, 2)], "none": ["absent"], "all": [f"k{i}" for i in range(6000)]}
+    filters = urlfilter.cascades(universe, lists)
+    for name, own in lists.items():
+        wrong = universe.where(urlfilter.member(F.col("key"), filters[name]) != F.col("key").isin(own)).count()
+        assert wrong == 0, name
+    assert len(filters["a"]) > 1 and filters["none"] == []
 
 
 def test_pii(spark):
