@@ -255,6 +255,11 @@ ORACLES = {
     "multiclass_loss": f"""{B}, e AS (SELECT * FROM bouts WHERE year(dt) < 1998), g AS (SELECT weight_class, count(*) AS n FROM e GROUP BY 1), o AS (SELECT method, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM e) AS p0 FROM e GROUP BY 1),
         p AS (SELECT e.weight_class, e.method, (count(*) + 20 * max(p0)) / (max(n) + 20) AS p, max(p0) AS p0 FROM e JOIN g ON e.weight_class = g.weight_class JOIN o ON e.method = o.method GROUP BY 1, 2)
         SELECT count(*) AS n, round(-avg(ln(p)), 6) AS log_loss, round(-avg(ln(p0)), 6) AS prior_log_loss FROM bouts b JOIN p ON b.weight_class = p.weight_class AND b.method = p.method WHERE year(dt) >= 1998""",
+    "false_discovery": """{app}, w AS (SELECT entity, count(*) AS n, count(*) FILTER (WHERE result = 'W') AS wins FROM app WHERE result <> 'D' GROUP BY 1), z AS (SELECT entity, abs(2 * wins - n) / sqrt(n) AS z FROM w),
+        t AS (SELECT entity, z, 1 / (1 + 0.2316419::DOUBLE * z) AS t FROM z), p AS (SELECT entity, least(1.0::DOUBLE, 2 * exp(-z * z / 2) / 2.5066282746310002::DOUBLE
+            * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))) AS p FROM t),
+        r AS (SELECT *, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k, count(*) OVER () AS m FROM p), b AS (SELECT max(p) FILTER (WHERE p <= 0.1::DOUBLE * k / m) AS bound FROM r)
+        SELECT entity, round(p, 6) AS p, CAST(coalesce(p <= bound, false) AS INTEGER) AS passed FROM p, b""",
     "split_half": """{app}, h AS (SELECT entity, avg(CASE WHEN bout_id % 2 = 0 THEN CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END END) AS a, avg(CASE WHEN bout_id % 2 = 1 THEN CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END END) AS b FROM app GROUP BY 1)
         SELECT count(*) AS n, round(corr(a, b), 6) AS r, round(2 * corr(a, b) / (1 + corr(a, b)), 6) AS reliability FROM h""",
     "division_pounds": f"""WITH n AS (SELECT c_custkey, ['Light Heavyweight', 'Strawweight', 'FLYWEIGHT bout', 'Women''s Bantamweight', 'Featherweight', 'Welterweight', 'Middleweight', 'Heavyweight', 'Lightweight', 'Catch Weight'][c_custkey % 10 + 1] AS division FROM customer)

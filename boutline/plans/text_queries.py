@@ -133,12 +133,45 @@ def card_files(spark: SparkSession, sf: str) -> DataFrame:
     return parse.read_cards(spark, f"{root}/cards").select("card", "event", "date", "segment", "a", "b", "rounds", "division")
 
 
+def card_udtf(spark: SparkSession, sf: str) -> DataFrame:
+    """The bouts of card pages by the table function ``card_rows``, as SQL would call it."""
+    wiki.register(spark)
+    i = F.col("bout_id")
+    row = F.concat(F.lit("<tr><td>"), F.when(i % 2 == 0, "Lightweight").otherwise("Catch"), F.lit("</td><td>"), _side("r_id"), F.lit("</td><td>vs.</td><td>"), _side("b_id"), F.lit("</td></tr>"))
+    _pages(spark, sf, row, "<table>", "</table>").createOrReplaceTempView("card_pages_")
+    return spark.sql("SELECT event, a, b, segment, division FROM card_pages_, LATERAL card_rows(body)")
+
+
+def text_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Names mapped by a file of ``key = value`` lines with comments and blank lines; keys in any case."""
+    path = f"{scratch_folder(spark)}/map.txt"
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    line = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("# "), "n_name")).when(F.col("n_nationkey") % 5 == 1, "").otherwise(F.concat(F.lower("n_name"), F.lit("  =  The "), "n_name", F.lit(" = x")))
+    rows.select(line.alias("value")).write.text(path)
+    return names.displayed(rows, "n_name", files.read_map(spark, path).withColumnRenamed("value", "shown")).select("n_nationkey", "shown")
+
+
+def write_guards(spark: SparkSession, sf: str) -> DataFrame:
+    """An archive that is written once, a table that never shrinks, and a result kept until the corpus has grown."""
+    root, rows = scratch_folder(spark), table(spark, sf, "orders").select("o_orderkey")
+    half, told = rows.where("o_orderkey % 2 = 0"), []
+    told += [("once", files.write_once(half, f"{root}/once")), ("once again", files.write_once(rows, f"{root}/once"))]
+    told += [("first", files.write_unless_smaller(half, f"{root}/kept")), ("larger", files.write_unless_smaller(rows, f"{root}/kept")), ("smaller", files.write_unless_smaller(half, f"{root}/kept"))]
+    built: list[str] = []
+    for step, size in (("built", 10), ("kept", 30), ("grown", 60)):
+        before = len(built)
+        files.cached(lambda: built.append("x") or half, spark, f"{root}/cache", size)
+        told.append((step, len(built) > before))
+    sizes = spark.read.json(f"{root}/once").agg(F.count("*").alias("once")).join(spark.read.parquet(f"{root}/kept").agg(F.count("*").alias("kept"))).join(spark.read.parquet(f"{root}/cache").agg(F.count("*").alias("cache")))
+    return spark.createDataFrame([(k, int(v)) for k, v in told], "step string, wrote int").join(F.broadcast(sizes))
+
+
 def raw_text_clean(spark: SparkSession, sf: str) -> DataFrame:
     """Raw strings made from numbers and parsed again: pairs, clocks, heights, round lengths, elapsed seconds."""
     q, d = F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int")
     rows = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(" of ", q, q + d).alias("pair"), F.when(d == 0, "--").otherwise(F.format_string("%d:%02d", q % 5, q)).alias("clock"),
-        F.format_string("%d' %d\"", 5 + q % 2, q % 12).alias("height"), F.when(q % 2 == 0, "3 Rnd (5-5-5)").when(q % 5 == 0, "No Time Limit").otherwise("1 Rnd + OT (12-3)").alias("format"), (q % 3 + 1).alias("round"),
+        F.format_string("%d' %d\"", 5 + q % 2, q % 12).alias("height"), F.when(q % 7 == 0, "5 Rnd (5-5-5-5-5)").when(q % 2 == 0, "3 Rnd (5-5-5)").when(q % 5 == 0, "No Time Limit").otherwise("1 Rnd + OT (12-3)").alias("format"), (q % 3 + 1).alias("round"),
     )
     landed, tried = text.of_pair(F.col("pair"))
     lengths, clock = text.round_lengths(F.col("format")), text.clock_seconds(F.col("clock"))
@@ -194,7 +227,7 @@ def events_stream_open_close(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        name_keys, accent_keys, alias_cascade, fuzzy_match, card_parse, page_items, card_pages, record_pages, award_pages, prose_bouts, card_files, raw_text_clean, market_kind, market_map, files_roundtrip, events_stream_open_close,
+        name_keys, accent_keys, alias_cascade, fuzzy_match, card_parse, page_items, card_pages, record_pages, award_pages, prose_bouts, card_files, card_udtf, text_maps, write_guards, raw_text_clean, market_kind, market_map, files_roundtrip, events_stream_open_close,
     )
 }
 
@@ -206,6 +239,10 @@ _CARD = f"""{B}, o AS (SELECT *, CAST(event AS VARCHAR) AS card, 'Ann Side' || r
 
 ORACLES = {
     "card_pages": f"{_CARD} SELECT card AS event, a, b, coalesce(seg, 'Main card') AS segment, CASE WHEN bout_id % 2 = 0 THEN 'Light' || chr(173) || 'weight' ELSE '' END AS division FROM s WHERE k = 1",
+    "card_udtf": f"{_CARD} SELECT card AS event, a, b, 'Main card' AS segment, CASE WHEN bout_id % 2 = 0 THEN 'Lightweight' ELSE '' END AS division FROM s WHERE k = 1",
+    "text_maps": "SELECT n_nationkey, CASE WHEN n_nationkey % 5 > 1 THEN 'The ' || n_name || ' = x' ELSE n_name END AS shown FROM nation",
+    "write_guards": """WITH c AS (SELECT count(*) FILTER (WHERE o_orderkey % 2 = 0) AS half, count(*) AS whole FROM orders), t(step, wrote) AS (VALUES ('once', 1), ('once again', 0), ('first', 1), ('larger', 1), ('smaller', 0), ('built', 1), ('kept', 0), ('grown', 1))
+        SELECT step, wrote, half AS once, whole AS kept, half AS cache FROM t, c""",
     "card_files": f"{_CARD} SELECT card, 'Card' AS event, '2024-01-06' AS date, coalesce(part, 'Main card') AS segment, a, b, CASE WHEN sched_sec > 900 THEN 5 ELSE 3 END AS rounds, CASE WHEN bout_id % 2 = 0 THEN 'Flyweight' END AS division FROM s",
     "record_pages": f"""{_CARD} SELECT card AS event, CAST(dt AS VARCHAR) AS day, CASE winner WHEN 'r' THEN 'W' WHEN 'b' THEN 'L' ELSE 'D' END AS result, b AS opponent, CASE method WHEN 'KO/TKO' THEN 'KO' ELSE method END AS method FROM s""",
     "award_pages": f"""{_CARD}, w AS (SELECT card AS event, CASE bout_id % 7 WHEN 0 THEN 'fotn' ELSE 'potn' END AS award, a, b FROM s WHERE bout_id % 7 < 2) SELECT event, award, a AS name FROM w UNION ALL SELECT event, award, b FROM w""",
@@ -223,7 +260,7 @@ ORACLES = {
     "raw_text_clean": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INTEGER) AS q, CAST(round(l_discount * 100) AS INTEGER) AS d FROM lineitem),
         c AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (q % 5) * 60 + q END AS clock FROM r)
         SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(q AS DOUBLE) AS landed, CAST(q + d AS DOUBLE) AS tried, CAST(clock AS DOUBLE) AS clock_sec, CAST((5 + q % 2) * 12 + q % 12 AS DOUBLE) AS height_in,
-        CAST(clock + CASE WHEN q % 2 = 0 THEN (q % 3) * 300 WHEN q % 5 = 0 THEN (q % 3) * 300 ELSE CASE q % 3 WHEN 0 THEN 0 WHEN 1 THEN 720 ELSE 900 END END AS DOUBLE) AS elapsed, 900 AS sched FROM c""",
+        CAST(clock + CASE WHEN q % 7 = 0 OR q % 2 = 0 THEN (q % 3) * 300 WHEN q % 5 = 0 THEN (q % 3) * 300 ELSE CASE q % 3 WHEN 0 THEN 0 WHEN 1 THEN 720 ELSE 900 END END AS DOUBLE) AS elapsed, CASE WHEN q % 7 = 0 THEN 1500 ELSE 900 END AS sched FROM c""",
     "market_kind": """WITH w AS (SELECT p_partkey, string_split(lower(p_type || ' ' || p_name), ' ') AS w FROM part)
         SELECT p_partkey, CASE WHEN list_has_any(w, ['promo', 'economy']) THEN 'winner' WHEN list_has_any(w, ['steel', 'tin']) THEN 'method' WHEN list_has_any(w, ['brass', 'nickel', 'copper']) THEN 'total' ELSE 'other' END AS kind FROM w""",
     "market_map": """SELECT p_partkey, CASE WHEN p_partkey % 4 > 0 THEN lower(p_brand) END AS brand FROM part""",
