@@ -114,3 +114,40 @@ WAYS = {"ko": r"(?i)\b(?:ko|tko|knockout)\b", "sub": r"(?i)\b(?:sub|submission)\
 def methods_in(s: Column) -> Column:
     """How many ways to end a bout a text names."""
     return sum((s.rlike(p).cast("int") for p in WAYS.values()), F.lit(0))
+
+# Letters that decomposition leaves whole.
+HARD = {"ł": "l", "đ": "d", "ø": "o", "ı": "i", "æ": "ae", "œ": "oe", "ß": "ss"}
+
+
+def folded(name: Column) -> Column:
+    """A key that spelling does not change; built on ``name_key``, which takes accents off."""
+    out = F.lower(name)
+    for letter, plain in HARD.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    out = F.regexp_replace(F.regexp_replace(out, r"\bst\b\.?", "saint"), r"\b(?:jr|sr|ii|iii|iv)\b", " ")
+    return name_key(F.regexp_replace(out, r"[.\-']", " "))
+
+
+# Patterns that tell the class of a market from its question; the first that fits holds.
+CLASSES = {
+    "distance": r"(?i)\b(?:go(?:es)? the distance|decision)\b", "method": r"(?i)\b(?:tko|ko|knockout|submission)\b", "total": r"(?i)\b(?:over|under)\s+\d\.5\b",
+    "round": r"(?i)\bround\s+\d\b", "winner": r"(?i)\b(?:wins?|beats?)\b|\svs\.?\s",
+}
+
+
+def market_class(question: Column) -> Column:
+    out = F.lit("other")
+    for kind, pattern in reversed(CLASSES.items()):
+        out = F.when(question.rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def market_key(question: Column) -> Column:
+    """The market that a question is about, null where there is none for it."""
+    kind = market_class(question)
+    line, rnd = F.regexp_extract(question, r"(?i)\b(?:over|under)\s+(\d)\.5", 1), F.regexp_extract(question, r"(?i)\bround\s+(\d)", 1)
+    return (
+        F.when(kind == "distance", "decision").when(kind == "method", F.when(question.rlike(r"(?i)\bsubmission\b"), "method_sub").otherwise("method_ko"))
+        .when(kind == "total", F.concat(F.lit("total_over_"), line, F.lit("_5")))
+        .when(kind == "round", F.when(question.rlike(r"(?i)\bbefore\b"), F.concat(F.lit("ends_before_r"), rnd)).otherwise(F.concat(F.lit("end_r"), rnd))).when(kind == "winner", "winner_a")
+    )

@@ -83,3 +83,15 @@ def in_corner_order(a: Column, b: Column, first: Column) -> tuple[Column, Column
     """Two names in order: one that is in ``first`` comes first, unless both are or neither is."""
     swap = F.array_contains(first, b) & ~F.array_contains(first, a)
     return F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+
+
+def on_card(told: DataFrame, card: DataFrame) -> DataFrame:
+    """``told(event, name)`` with ``how`` a name is found among ``card(event, key)``: as written, without blanks, with its two parts swapped, or unknown."""
+    name, blankless = F.col("name"), lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    swapped = F.concat_ws(" ", F.element_at(F.split("name", " "), -1), F.get(F.split("name", " "), F.lit(0)))
+    forms = F.array(F.struct(F.lit(0).alias("rank"), name.alias("form")), F.struct(F.lit(1).alias("rank"), blankless(name).alias("form")), F.struct(F.lit(2).alias("rank"), swapped.alias("form")))
+    keys = card.select("event", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("key").alias("form")), F.struct(F.lit(1).alias("rank"), blankless(F.col("key")).alias("form")), F.struct(F.lit(2).alias("rank"), F.col("key").alias("form")))).alias("k"))
+    keys = keys.select("event", F.col("k.rank").alias("rank"), F.col("k.form").alias("form")).distinct()
+    hits = told.select("event", "name", F.inline(forms)).distinct().join(keys, ["event", "rank", "form"]).groupBy("event", "name").agg(F.min("rank").alias("rank"))
+    how = F.when(F.col("rank") == 0, "as written").when(F.col("rank") == 1, "without blanks").when(F.col("rank") == 2, "swapped").otherwise("unknown")
+    return told.join(hits, ["event", "name"], "left").withColumn("how", how).drop("rank")

@@ -232,16 +232,21 @@ def thin_entities(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("entity").agg(F.min_by(F.struct("bout_id", "prior"), F.struct("dt", "bout_id")).alias("m")).select("entity", "m.bout_id", "m.prior")
 
 
-# A frozen rule of three features: mean, scale and coefficient.
-RULE = {"d_win_pct": (0.0, 0.08, 0.31), "d_finish_rate": (0.0, 0.07, 0.12), "d_adj_slpm": (0.0, 1.1, 0.18), "d_str_def": (0.0, 0.05, 0.09)}
+# A frozen rule of eight features: mean, scale and coefficient.
+RULE = {
+    "d_win_pct": (0.0, 0.08, 0.31), "d_finish_rate": (0.0, 0.07, 0.12), "d_adj_slpm": (0.0, 1.1, 0.18), "d_str_def": (0.0, 0.05, 0.09),
+    "d_td_def": (0.0, 0.06, 0.07), "d_kd15": (0.0, 0.2, 0.11), "d_ko_loss_rate": (0.0, 0.06, -0.13), "d_ctrl_share": (0.0, 0.05, 0.05),
+}
+DRIVERS = 6
 
 
 def drivers_topn(spark: SparkSession, sf: str) -> DataFrame:
-    """Score of a frozen rule and its two largest contributions above 0.01, per bout."""
+    """Score of a frozen rule, its six largest contributions above 0.01 per bout, and which side each favours."""
     rows = career.win_rows(strength(spark, sf)).where("orient = 0 and gate >= 2")
     parts = F.array(*[F.struct((-F.abs((F.col(k) - m) / s * c)).alias("size"), F.lit(k).alias("name"), ((F.col(k) - m) / s * c).alias("value")) for k, (m, s, c) in RULE.items()])
-    rows = rows.select("bout_id", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["value"]).alias("score"), F.slice(F.array_sort(F.filter(parts, lambda x: x["size"] < -0.01)), 1, 2).alias("top"))
-    return rows.select("bout_id", F.round(1 / (1 + F.exp(-F.col("score"))), 6).alias("p"), F.size("top").alias("n_top"), F.get("top", 0)["name"].alias("first_driver"))
+    rows = rows.select("bout_id", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["value"]).alias("score"), F.slice(F.array_sort(F.filter(parts, lambda x: x["size"] < -0.01)), 1, DRIVERS).alias("top"))
+    return rows.select("bout_id", F.round(1 / (1 + F.exp(-F.col("score"))), 6).alias("p"), F.size("top").alias("n_top"), F.get("top", 0)["name"].alias("first_driver"),
+        F.array_join(F.transform("top", lambda x: F.concat(x["name"], F.when(x["value"] > 0, "+").otherwise("-"))), " ").alias("drivers"))
 
 
 def last_real_division(spark: SparkSession, sf: str) -> DataFrame:
@@ -371,7 +376,8 @@ ORACLES = {
     "thin_entities": f"""{APP}, p AS (SELECT *, count(*) {W} AS prior FROM app), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY dt, bout_id) AS k FROM p
         WHERE dt >= (SELECT max(dt) FROM app) - INTERVAL 12 MONTH AND prior <= 2) SELECT entity, bout_id, prior FROM k WHERE k = 1""",
     "drivers_topn": f"""{_ONE}, d AS ({_DRIVES}), k AS (SELECT *, row_number() OVER (PARTITION BY bout_id ORDER BY -abs(v), name) AS k FROM d)
-        SELECT bout_id, round(1 / (1 + exp(-sum(v))), 6) AS p, CAST(count(*) FILTER (WHERE k <= 2 AND abs(v) > 0.01) AS INTEGER) AS n_top, max(CASE WHEN k = 1 AND abs(v) > 0.01 THEN name END) AS first_driver FROM k GROUP BY 1""",
+        SELECT bout_id, round(1 / (1 + exp(-sum(v))), 6) AS p, CAST(count(*) FILTER (WHERE k <= 6 AND abs(v) > 0.01) AS INTEGER) AS n_top, max(CASE WHEN k = 1 AND abs(v) > 0.01 THEN name END) AS first_driver,
+        coalesce(string_agg(name || CASE WHEN v > 0 THEN '+' ELSE '-' END, ' ' ORDER BY k) FILTER (WHERE k <= 6 AND abs(v) > 0.01), '') AS drivers FROM k GROUP BY 1""",
     "last_real_division": f"""{APP}, k AS (SELECT entity, weight_class AS division, row_number() OVER (PARTITION BY entity ORDER BY dt DESC, bout_id DESC) AS k FROM app WHERE weight_class NOT LIKE '4%')
         SELECT entity, division, CASE division WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '5-LOW' THEN 4 ELSE 0 END AS place FROM k WHERE k = 1""",
     "round_index": f"""{B} SELECT bout_id, CAST(least(total_sec // 300 + 1, 5) AS BIGINT) AS by_floor, CAST(greatest(1, least(ceil(total_sec / 300.0), 5)) AS BIGINT) AS by_ceiling,

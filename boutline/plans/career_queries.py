@@ -181,10 +181,6 @@ def conditions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quantile_rates(condition_rows(sides), ["condition"], "value", "y"), ["condition", "bucket", "n", "thin"], ["rate", "lift", "half_width", "spread"])
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (conditions, career_asof, late_round_cluster, sos_asof, career_end_state, elo_asof, win_rows_mirrored, panel_levels, fight_sym, prior_awards, anchor_trailing300, win_rate_quartiles)
-}
 
 def _sql_conditions() -> str:
     from boutline.operators.rates import CONDITIONS
@@ -207,6 +203,14 @@ def _sql_conditions() -> str:
         round(max(rate) OVER (PARTITION BY condition) - min(rate) OVER (PARTITION BY condition), 6) AS spread FROM t"""
 
 
+def rating_baseline(spark: SparkSession, sf: str) -> DataFrame:
+    """The rating's own probability on decided bouts, scored like any other claim."""
+    rows = views.bouts(spark, sf).where("winner <> 'draw'").select("bout_id", (F.col("winner") == "r").cast("double").alias("y"))
+    p = 1 / (1 + F.pow(F.lit(10.0), (F.col("b_elo") - F.col("r_elo")) / 400))
+    told = rating.ratings(views.bouts(spark, sf)).join(rows, "bout_id").select(p.alias("p"), "y")
+    return rounded(told.agg(F.count("*").alias("n"), F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")), ["n"], ["accuracy", "brier"])
+
+
 #: The fold of the rating, a bout at a time: lists hold each entity's rating and the day of its last bout.
 _ELO = f"""WITH RECURSIVE {with_views('bouts')[5:]}, m AS (SELECT row_number() OVER (ORDER BY dt, bout_id) AS i, bout_id, date_diff('day', DATE '1970-01-01', dt) AS day, CAST(r_id + 1 AS INTEGER) AS r, CAST(b_id + 1 AS INTEGER) AS b,
         CASE winner WHEN 'r' THEN 1.0::DOUBLE WHEN 'b' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score, CASE method WHEN 'DEC' THEN 24.0::DOUBLE ELSE 31.2::DOUBLE END AS k FROM bouts),
@@ -219,9 +223,16 @@ _ELO = f"""WITH RECURSIVE {with_views('bouts')[5:]}, m AS (SELECT row_number() O
     SELECT bout_id, round(x, 6) AS r_elo, round(y, 6) AS b_elo FROM f WHERE i > 0"""
 
 _END = ", ".join(f"sum({v}) AS s_{k}" for k, v in _VALUES.items())
+QUERIES = {
+    f.__name__: f
+    for f in (conditions, rating_baseline, career_asof, late_round_cluster, sos_asof, career_end_state, elo_asof, win_rows_mirrored, panel_levels, fight_sym, prior_awards, anchor_trailing300, win_rate_quartiles)
+}
+
 ORACLES = {
     "conditions": _sql_conditions(),
     "elo_asof": _ELO,
+    "rating_baseline": _ELO[: _ELO.rindex("SELECT bout_id, round(x")] + """SELECT count(*) AS n, round(avg(CASE WHEN (x >= y) = (winner = 'r') THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy,
+        round(avg(pow(1 / (1 + pow(10.0::DOUBLE, (y - x) / 400)) - CASE winner WHEN 'r' THEN 1.0::DOUBLE ELSE 0 END, 2)), 6) AS brier FROM f JOIN bouts b ON f.bout_id = b.bout_id WHERE f.i > 0 AND winner <> 'draw'""",
     "career_asof": f"{SNAPS} SELECT bout_id, side, entity, {sql_exact(_ASOF)} FROM snaps",
     "late_round_cluster": f"{SNAPS} SELECT bout_id, side, entity, {sql_exact(list(SQL_LATE))} FROM snaps",
     "sos_asof": f"{STRENGTH} SELECT bout_id, side, entity, {sql_exact(_SOS)} FROM strength",

@@ -164,11 +164,47 @@ def text_in_question(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(F.broadcast(brands), F.col("question").contains(F.col("brand"))).groupBy("p_partkey").agg(F.count("*").alias("n"), F.max("brand").alias("brand"))
 
 
+def folded_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that spelling does not change: letters that do not decompose, accents, suffixes anywhere, ``St.`` for ``Saint``, marks between words."""
+    i = F.col("s_suppkey")
+    raw = F.when(i % 5 == 0, "Jan Błach-owicz Jr. III").when(i % 5 == 1, "Ovince St. Preux").when(i % 5 == 2, "Straße  O'Đør").when(i % 5 == 3, "Antônio Æsop II").otherwise(F.concat(F.lit("Side "), i.cast("string")))
+    return table(spark, sf, "supplier").select("s_suppkey", text.folded(raw).alias("key"))
+
+
+def award_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Award names held against who fought on the card: as written, without blanks, with the parts swapped, or unknown; and how many awards have two."""
+    rows = app(spark, sf)
+    name = lambda c: F.concat(F.lit("ann side"), F.col(c).cast("string"))
+    told = rows.where("bout_id % 7 = 0").select("event", "bout_id", "entity", name("entity").alias("name"))
+    told = told.select("event", "bout_id", F.when(F.col("entity") % 4 == 0, F.col("name")).when(F.col("entity") % 4 == 1, F.replace("name", F.lit(" "), F.lit(""))).when(F.col("entity") % 4 == 2, F.concat(F.split_part("name", F.lit(" "), F.lit(2)), F.lit(" ann"))).otherwise("nobody").alias("name"))
+    card = rows.select("event", name("entity").alias("key")).distinct()
+    checked = names.on_card(told, card)
+    out = checked.groupBy("event", "how").agg(F.count("*").alias("n"))
+    return out.select(F.date_format("event", "yyyy-MM-dd").alias("event"), "how", "n")
+
+
+def page_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a page is the entity's: of the days that it claims, at least two (or all, if fewer) are within two days of a bout of the entity."""
+    rows = app(spark, sf).select("entity", "bout_id", "dt")
+    claims = rows.where("bout_id % 11 = 0").select("entity", F.col("bout_id").alias("claim"), F.date_add("dt", (F.col("bout_id") % 6).cast("int")).alias("day"))
+    days = claims.withColumn("near", F.explode(F.sequence(F.date_sub("day", 2), F.date_add("day", 2))))
+    hits = days.join(rows.select("entity", F.col("dt").alias("near")).distinct(), ["entity", "near"]).groupBy("entity").agg(F.countDistinct("claim").alias("hits"))
+    out = claims.groupBy("entity").agg(F.count("*").alias("n")).join(hits, "entity", "left").select("entity", "n", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return out.withColumn("accepted", (F.col("hits") >= F.least(F.lit(2), F.col("n"))).cast("int"))
+
+
+def market_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The class of a question by the first pattern that fits, and the key of its market."""
+    i = F.col("p_partkey")
+    asked = F.when(i % 7 == 0, "Will Ann vs. Bea go the distance?").when(i % 7 == 1, "Ann to win by KO or TKO").when(i % 7 == 2, "Ann by submission").when(i % 7 == 3, "Over 2.5 rounds, Ann vs. Bea").when(i % 7 == 4, "Who wins Ann vs. Bea?").when(i % 7 == 5, "Fight ends before Round 3 begins").otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", text.market_class(asked).alias("kind"), text.market_key(asked).alias("market"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         capture_gate, pruned_ledger, liquidity_gates, payload_sides, order_book, feed_inventory, label_stats, debut_coverage, used_ids, collection_queue, throttle_calls, record_probe, url_parts,
-        letter_keys, mixed_dates, clean_names, methods_mentioned, text_in_question,
+        letter_keys, mixed_dates, clean_names, methods_mentioned, text_in_question, folded_names, award_validation, page_accepted, market_classes,
     )
 }
 
@@ -209,6 +245,13 @@ ORACLES = {
     "clean_names": """WITH s AS (SELECT s_suppkey, s_name || ' Jr' AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'Mr. ' || s_name ELSE s_name || ' Jr' END AS shown FROM supplier)
         SELECT s_suppkey, name, shown, CASE WHEN true THEN 'Supplier#000000002' END AS a, shown AS b FROM s""",
     "methods_mentioned": f"""{APP}, g AS (SELECT entity, event, count(DISTINCT method) AS kinds FROM app GROUP BY 1, 2) SELECT entity, CAST(event AS VARCHAR) AS event, CAST(kinds AS INTEGER) AS kinds, CAST(kinds >= 2 AS INTEGER) AS told FROM g""",
+    "folded_names": "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'jan blach owicz' WHEN 1 THEN 'ovince saint preux' WHEN 2 THEN 'strasse o dor' WHEN 3 THEN 'antonio aesop' ELSE 'side' END AS key FROM supplier",
+    "award_validation": f"""{APP}, t AS (SELECT event, CASE entity % 4 WHEN 0 THEN 'as written' WHEN 1 THEN 'without blanks' WHEN 2 THEN 'swapped' ELSE 'unknown' END AS how FROM app WHERE bout_id % 7 = 0) SELECT CAST(event AS VARCHAR) AS event, how, count(*) AS n FROM t GROUP BY 1, 2""",
+    "page_accepted": f"""{APP}, c AS (SELECT entity, bout_id AS claim, dt + CAST(bout_id % 6 AS INTEGER) AS day FROM app WHERE bout_id % 11 = 0),
+        h AS (SELECT c.entity, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM app a WHERE a.entity = c.entity AND abs(date_diff('day', a.dt, c.day)) <= 2)) AS hits FROM c GROUP BY 1)
+        SELECT entity, n, hits, CAST(hits >= least(2, n) AS INTEGER) AS accepted FROM h""",
+    "market_classes": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'distance' WHEN 1 THEN 'method' WHEN 2 THEN 'method' WHEN 3 THEN 'total' WHEN 4 THEN 'winner' WHEN 5 THEN 'round' ELSE 'other' END AS kind,
+        CASE p_partkey % 7 WHEN 0 THEN 'decision' WHEN 1 THEN 'method_ko' WHEN 2 THEN 'method_sub' WHEN 3 THEN 'total_over_2_5' WHEN 4 THEN 'winner_a' WHEN 5 THEN 'ends_before_r3' END AS market FROM part""",
     "text_in_question": """WITH b AS (SELECT DISTINCT lower(p_brand) AS brand FROM part), q AS (SELECT p_partkey, lower('will the' || p_brand || 's ' || p_name) AS question FROM part)
         SELECT p_partkey, count(*) AS n, max(brand) AS brand FROM q JOIN b ON contains(question, brand) GROUP BY 1""",
 }
