@@ -212,7 +212,7 @@ def rating_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: The fold of the rating, a bout at a time: lists hold each entity's rating and the day of its last bout.
-_ELO = f"""WITH RECURSIVE {with_views('bouts')[5:]}, m AS (SELECT row_number() OVER (ORDER BY dt, bout_id) AS i, bout_id, date_diff('day', DATE '1970-01-01', dt) AS day, CAST(r_id + 1 AS INTEGER) AS r, CAST(b_id + 1 AS INTEGER) AS b,
+_ELO = f"""WITH RECURSIVE {with_views('bouts')[5:]}, m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY dt, bout_id) AS i, bout_id, date_diff('day', DATE '1970-01-01', dt) AS day, CAST(r_id + 1 AS INTEGER) AS r, CAST(b_id + 1 AS INTEGER) AS b,
         CASE winner WHEN 'r' THEN 1.0::DOUBLE WHEN 'b' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score, CASE method WHEN 'DEC' THEN 24.0::DOUBLE ELSE 31.2::DOUBLE END AS k FROM bouts),
     f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS bout_id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, list_transform(range(s + 1), lambda z: 1500.0::DOUBLE) AS e, list_transform(range(s + 1), lambda z: NULL::BIGINT) AS d
             FROM (SELECT max(s_suppkey) AS s FROM supplier)
