@@ -108,6 +108,17 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Tasks that the edges of one node are dealt to.
+SALTS = 8
+
+
+def _with(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """``edges(a, b)`` joined to ``facts`` of ``a``, of which each node has a row; the edges of one node go to ``SALTS`` tasks."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    return dealt.join(facts.select("*", salts), ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large and small stars.
 
@@ -127,9 +138,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = _with(both, low).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a")
+        small = _with(large, least)
         step = (
             small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(least.select("a", F.col("low").alias("b")))
