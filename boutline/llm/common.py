@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boutline.sources import views
+from boutline.sources.scratch import remove, scratch_folder
+
 #: The words of every operator here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,32 +25,7 @@ def on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package from where it lies, and bounds the batches they get in bytes."""
     if spark.conf.get(_BATCH, _USUAL) == _USUAL:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder; on a cluster that would not be shared, so it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="boutline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended first; the folder is scratch space
-        pass
+    views.on_workers(spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +34,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The table lives until ``discard`` or the end of the driver, as the returned frame is lazy.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -72,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes tables of ``stored`` that nothing lazy reads any more."""
     for table in tables:
-        _remove(table.sparkSession, table._scratch)
+        remove(table.sparkSession, table._scratch)
 
 
 def release(spark: SparkSession) -> None:
