@@ -21,18 +21,18 @@ P = career.PRIOR
 
 
 def _acc(landed: str, tried: str, prior: float) -> str:
-    return f"(s_{landed} + {25 * prior}) / (s_{tried} + 25)"
+    return f"(s_{landed} + {25 * prior!r}::DOUBLE) / (s_{tried} + 25)"
 
 
 SQL_RATES = {
-    "slpm": f"(s_ss_landed + 15 * {P['slpm']}) / (s_sec / 60 + 15)", "sapm": f"(s_opp_ss_landed + 15 * {P['sapm']}) / (s_sec / 60 + 15)",
+    "slpm": f"(s_ss_landed + {15 * P['slpm']!r}::DOUBLE) / (s_sec / 60 + 15)", "sapm": f"(s_opp_ss_landed + {15 * P['sapm']!r}::DOUBLE) / (s_sec / 60 + 15)",
     "str_acc": _acc("ss_landed", "ss_att", P["str_acc"]), "str_def": "1 - " + _acc("opp_ss_landed", "opp_ss_att", 1 - P["str_def"]),
-    "td15": f"(s_td_landed + 2 * {P['td15']}) / (s_sec / 60 / 15 + 2)", "td_acc": _acc("td_landed", "td_att", P["td_acc"]),
-    "td_def": "1 - " + _acc("opp_td_landed", "opp_td_att", 1 - P["td_def"]), "sub15": f"(s_sub_att + 2 * {P['sub15']}) / (s_sec / 60 / 15 + 2)",
-    "ctrl_share": f"(s_ctrl_sec + 900 * {P['ctrl_share']}) / (s_sec + 900)",
-    **{f"{k}_share": f"(s_{k}_landed + 60 * {P[k + '_share']}) / (s_ss_landed + 60)" for k in ("body", "leg", "clinch", "ground")},
-    "kd15": f"(s_kd + 2 * {P['kd15']}) / (s_sec / 60 / 15 + 2)", "kd_against15": f"(s_opp_kd + 2 * {P['kd_against15']}) / (s_sec / 60 / 15 + 2)",
-    "finish_rate": f"(s_w_ko + s_w_sub + 4 * {P['finish_rate']}) / (n_prior + 4)", "ko_loss_rate": f"(s_l_ko + 4 * {P['ko_loss_rate']}) / (n_prior + 4)",
+    "td15": f"(s_td_landed + {2 * P['td15']!r}::DOUBLE) / (s_sec / 60 / 15 + 2)", "td_acc": _acc("td_landed", "td_att", P["td_acc"]),
+    "td_def": "1 - " + _acc("opp_td_landed", "opp_td_att", 1 - P["td_def"]), "sub15": f"(s_sub_att + {2 * P['sub15']!r}::DOUBLE) / (s_sec / 60 / 15 + 2)",
+    "ctrl_share": f"(s_ctrl_sec + {900 * P['ctrl_share']!r}::DOUBLE) / (s_sec + 900)",
+    **{f"{k}_share": f"(s_{k}_landed + {60 * P[k + '_share']!r}::DOUBLE) / (s_ss_landed + 60)" for k in ("body", "leg", "clinch", "ground")},
+    "kd15": f"(s_kd + {2 * P['kd15']!r}::DOUBLE) / (s_sec / 60 / 15 + 2)", "kd_against15": f"(s_opp_kd + {2 * P['kd_against15']!r}::DOUBLE) / (s_sec / 60 / 15 + 2)",
+    "finish_rate": f"(s_w_ko + s_w_sub + {4 * P['finish_rate']!r}::DOUBLE) / (n_prior + 4)", "ko_loss_rate": f"(s_l_ko + {4 * P['ko_loss_rate']!r}::DOUBLE) / (n_prior + 4)",
     "win_pct": "(s_wins + 2) / (n_prior + 4)",
 }
 SQL_LATE = {
@@ -50,8 +50,8 @@ _SNAPS = f"""sums AS (SELECT *, CAST(count(*) {W} AS DOUBLE) AS n_prior, max(dt)
 _STRENGTH = f"""met AS (SELECT s.*, ln(1 + s.layoff) AS log_layoff, o.str_def AS o_str_def, o.td_def AS o_td_def
     FROM snaps s JOIN snaps o ON s.bout_id = o.bout_id AND s.opponent = o.entity
 ), sos AS (SELECT *, coalesce(avg(o_str_def) {W}, 0.55::DOUBLE) AS sos_str_def, coalesce(avg(o_td_def) {W}, 0.65::DOUBLE) AS sos_td_def FROM met
-), strength AS (SELECT *, slpm * greatest(0.72::DOUBLE, least(1.38::DOUBLE, 0.45::DOUBLE / greatest(1e-6::DOUBLE, 1 - sos_str_def))) AS adj_slpm,
-    td15 * greatest(0.72::DOUBLE, least(1.38::DOUBLE, 0.35::DOUBLE / greatest(1e-6::DOUBLE, 1 - sos_td_def))) AS adj_td15 FROM sos)"""
+), strength AS (SELECT *, slpm * greatest(0.72::DOUBLE, least(1.38::DOUBLE, {1 - 0.55!r}::DOUBLE / greatest(1e-6::DOUBLE, 1 - sos_str_def))) AS adj_slpm,
+    td15 * greatest(0.72::DOUBLE, least(1.38::DOUBLE, {1 - 0.65!r}::DOUBLE / greatest(1e-6::DOUBLE, 1 - sos_td_def))) AS adj_td15 FROM sos)"""
 SNAPS = f"{with_views('bouts', 'app')}, {_SNAPS}"
 STRENGTH = f"{SNAPS}, {_STRENGTH}"
 LEVELS = ["slpm", "sapm", "str_acc", "str_def", "td15", "td_acc", "td_def", "ctrl_share", "kd15", "kd_against15", "finish_rate", "ko_loss_rate", "win_pct"]
