@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from boutline.functions import odds, text
 from boutline.operators import feed, names
 from boutline.plans.bout_queries import APP, B, app
 from boutline.plans.career_queries import rounded
-from boutline.sources import views
+from boutline.sources import files, views
+from boutline.sources.scratch import scratch_folder
 from boutline.sources.views import bouts, table, with_views
 
 
@@ -200,11 +202,30 @@ def market_classes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", text.market_class(asked).alias("kind"), text.market_key(asked).alias("market"))
 
 
+def quota_left(spark: SparkSession, sf: str) -> DataFrame:
+    """Credits that paid calls have used by each day of a month, from the usage log, and what is left of the month's."""
+    calls = table(spark, sf, "events").where("event_type = 'purchase'").select(F.to_date(F.col("ts").cast("timestamp")).alias("day"))
+    days = calls.groupBy("day").agg((3 * F.count("*")).alias("cost"))  # a row per day
+    w = Window.partitionBy(F.date_trunc("month", "day")).orderBy("day")
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.sum("cost").over(w).alias("used"), F.greatest(F.lit(0), 500 - F.sum("cost").over(w)).alias("left"))
+
+
+def archived_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Cards that are over, each frozen once under the slug of its name: a second run with other rows changes none."""
+    root, rows = scratch_folder(spark), bouts(spark, sf)
+    now = F.broadcast(rows.agg(F.add_months(F.max("event"), -3).alias("now")))
+    name = F.concat(F.lit("Night: "), F.date_format("event", "MMMM yyyy"), F.lit("!"))
+    over = rows.join(now).where("event < now").groupBy("event").agg(F.count("*").alias("n")).select(text.slug(name).alias("card"), "n")
+    files.archive(over, "card", f"{root}/cards")
+    files.archive(over.withColumn("n", F.lit(0).cast("long")), "card", f"{root}/cards")
+    return spark.read.schema("n long, card string").json(f"{root}/cards").select("card", "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         capture_gate, pruned_ledger, liquidity_gates, payload_sides, order_book, feed_inventory, label_stats, debut_coverage, used_ids, collection_queue, throttle_calls, record_probe, url_parts,
-        letter_keys, mixed_dates, clean_names, methods_mentioned, text_in_question, folded_names, award_validation, page_accepted, market_classes,
+        letter_keys, mixed_dates, clean_names, methods_mentioned, text_in_question, folded_names, award_validation, page_accepted, market_classes, quota_left, archived_cards,
     )
 }
 
@@ -252,6 +273,9 @@ ORACLES = {
         SELECT entity, n, hits, CAST(hits >= least(2, n) AS INTEGER) AS accepted FROM h""",
     "market_classes": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'distance' WHEN 1 THEN 'method' WHEN 2 THEN 'method' WHEN 3 THEN 'total' WHEN 4 THEN 'winner' WHEN 5 THEN 'round' ELSE 'other' END AS kind,
         CASE p_partkey % 7 WHEN 0 THEN 'decision' WHEN 1 THEN 'method_ko' WHEN 2 THEN 'method_sub' WHEN 3 THEN 'total_over_2_5' WHEN 4 THEN 'winner_a' WHEN 5 THEN 'ends_before_r3' END AS market FROM part""",
+    "quota_left": """WITH d AS (SELECT CAST(ts AS DATE) AS day, 3 * count(*) AS cost FROM events WHERE event_type = 'purchase' GROUP BY 1), u AS (SELECT day, CAST(sum(cost) OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS BIGINT) AS used FROM d)
+        SELECT CAST(day AS VARCHAR) AS day, used, greatest(0, 500 - used) AS left FROM u""",
+    "archived_cards": f"""{B} SELECT 'night-' || lower(strftime(event, '%B')) || '-' || year(event) AS card, count(*) AS n FROM bouts WHERE event < (SELECT max(event) FROM bouts) - INTERVAL 3 MONTH GROUP BY event""",
     "text_in_question": """WITH b AS (SELECT DISTINCT lower(p_brand) AS brand FROM part), q AS (SELECT p_partkey, lower('will the' || p_brand || 's ' || p_name) AS question FROM part)
         SELECT p_partkey, count(*) AS n, max(brand) AS brand FROM q JOIN b ON contains(question, brand) GROUP BY 1""",
 }
