@@ -80,7 +80,7 @@ def links(points: DataFrame) -> DataFrame:
     no pairs, and no bucket can grow beyond 65.
     """
     words = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    table = points.select("fp", F.explode(words).alias("word"))
+    table = points.select("fp", F.explode(words).alias("word")).repartition("word")  # nearly all words are single: nothing to combine before
     met = table.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("top"), F.count("*").alias("n")).where("n > 1")
     met = stored(met, "met")
     more = table.join(met.where("n > 2").select("word", "b"), "word").select(F.col("fp").alias("a"), "b").where("a <> b")
