@@ -80,15 +80,18 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-#: Tasks that the edges of one node are dealt to.
+#: Tasks that the rows of one key are dealt to.
 SALTS = 8
 
 
-def _with(edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """``edges(a, b)`` joined to ``facts`` of ``a``, of which each node has a row; the edges of one node go to ``SALTS`` tasks."""
+def salted(rows: DataFrame, facts: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` joined to ``facts``, of which a key has few; the rows of one key go to ``SALTS`` tasks by a hash of ``by``.
+
+    Facts grow with the input, so they are shuffled and never broadcast.
+    """
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    return dealt.join(facts.select("*", salts), ["a", "salt"]).drop("salt")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return dealt.join(facts.select("*", salts).hint("merge"), [*keys, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -110,9 +113,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = _with(both, low).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = salted(both, low, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = _with(large, least)
+        small = salted(large, least, ["a"], "b")
         step = (
             small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
             .unionByName(least.select("a", F.col("low").alias("b")))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutline.llm.common import discard, release, stored, unused
+from boutline.llm.common import discard, release, salted, stored, unused
 
 WINDOW = 13
 ANCHOR = 5
@@ -352,7 +352,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     finer = _statistics(_shards(single.select(F.col("key").alias("anchor"), F.xxhash64("words").alias("content"), "words", "low", "high")))
     finer = finer.select(F.col("anchor").alias("key"), F.col("content").alias("part"), "lows")
     parts = single.select("anchor", "content", "at", "key", F.xxhash64("words").alias("part"))
-    lows = stored(calm.unionByName(parts.join(finer, ["key", "part"]).select("anchor", "content", "at", "lows")), "lows")
+    lows = stored(calm.unionByName(salted(parts, finer, ["key", "part"], "content").select("anchor", "content", "at", "lows")), "lows")
     discard(shards, crowded, single)
     release(spark)
     starts = F.expr("filter(transform(lows, (m, i) -> if(m < doc_id, start + at + i, -1)), x -> x >= 0)")
