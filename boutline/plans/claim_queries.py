@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from boutline.operators import career, claims, grading, rates, survival
 from boutline.plans.bout_queries import _HAZ, CLAIMS, RULE, B, app
-from boutline.plans.career_queries import STRENGTH, exact, rounded, sql_exact, sql_rounded, strength
+from boutline.plans.career_queries import STRENGTH, exact, rounded, strength
 from boutline.sources import files
 from boutline.sources.scratch import scratch_folder
 from boutline.sources.views import bouts, table

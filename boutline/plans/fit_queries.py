@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.functions.odds import clipped_logit, sigmoid
+from boutline.functions.odds import sigmoid
 from boutline.operators import career, grading
 from boutline.plans import models
 from boutline.plans.bout_queries import CLAIMS, app

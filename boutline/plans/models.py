@@ -115,20 +115,6 @@ def poisson(u: Column) -> Column:
     return sum((F.when(u >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
 
 
-def paired_bootstrap(rows: DataFrame, a: str, b: str, y: str, rounds: int = 200) -> DataFrame:
-    """Draws of the mean difference in log loss of two models, by Poisson weights hashed from row and draw.
-
-    Every draw is a column of one aggregation, so the rows are read once.
-    """
-    def loss(p: str):
-        q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
-        return -(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
-
-    weight = poisson(F.pmod(F.xxhash64("bout_id", "draw"), F.lit(1_000_003)) / 1_000_003)
-    long = rows.select("bout_id", (loss(b) - loss(a)).alias("gain"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("draw"))
-    return long.groupBy("draw").agg((F.sum(weight * F.col("gain")) / F.sum(weight)).alias("gain"))
-
-
 def newton_logit(rows: DataFrame, names: list[str], y: str = "y", keys: list[str] = (), ridge: list[float] | None = None, offset: str | None = None, weight: str | None = None, steps: int = 10) -> dict[tuple, np.ndarray]:
     """Logistic fits of every key at once, by Newton steps on penalised loss: the coefficients by key.
 
