@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutline.llm import media, minhash, packing, pii, simhash, substrings, tokens, toxicity, urlfilter, warc
+from boutline.llm import alignment, genetic, media, minhash, packing, pii, simhash, substrings, tokens, toxicity, urlfilter, warc, whitening
 from boutline.llm.common import on_workers, stored
 
 
@@ -95,7 +95,24 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compare_edited(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_byte_bpe, op4_media, op5_warc, op6_toxicity, op7_url_filter, op8_pii, op9_substring_dedup, op10_minhash)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(_table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return genetic.pack_best(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_byte_bpe, op4_media, op5_warc, op6_toxicity, op7_url_filter, op8_pii, op9_substring_dedup, op10_minhash, op11_whitening, op12_alignment, op13_best_fit)}
 
 ORACLES = {
     "op5_warc": """
