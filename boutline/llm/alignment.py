@@ -30,7 +30,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutline.llm.common import discard, release, slices, stored, text_of
+from boutline.llm.common import discard, release, setting, slices, stored, text_of
 from boutline.llm.packing import _byte_characters
 from boutline.llm.tokens import ONE_BLANK, vocabulary_file
 
@@ -184,6 +184,7 @@ def aligned(words: DataFrame) -> DataFrame:
     ``groups`` is ``a1,a2|b1;a3|b2,b3``: ids in order, groups in order. ``links`` has every pair of a group as ``a|b;...``, and is
     null where each group is one pair, so ``groups`` says the same.
     """
+    words = words.repartition("uid")  # all that follows but the last window finds the rows of a unit together
     met = _ends(words, "a").join(_ends(words, "b"), ["uid", "end"], "full")
     before = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
@@ -305,8 +306,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     texts, listed = table.where("unit is null").select("part", "doc_id", "units"), table.where("unit is not null").select("part", "number", "unit")
     words = stored(tokenized_units(listed.select("unit").distinct(), a_name, b_name), "words")
     release(spark)
-    found = stored(aligned(words.select("uid", "a", "b")).join(words.select("uid", "unit"), "uid").select("unit", "groups", "links"), "aligned")
-    discard(words)
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # else the join would shuffle tokens by unit and end
+        told = stored(aligned(words.select("uid", "a", "b")), "told")
+    release(spark)
+    found = stored(told.join(words.select("uid", "unit"), "uid").select("unit", "groups", "links"), "aligned")
+    discard(told, words)
     release(spark)
     facts = stored(listed.join(found, "unit", "left").select("part", "number", "groups", "links"), "facts")
     discard(found)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,17 @@ def discard(*tables: DataFrame) -> None:
         remove(table.sparkSession, table._scratch)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now rather than at its next collection."""
     gc.collect()
