@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boutline.functions.text import similarity
+from boutline.functions.text import similarity, surname
 
 CUTOFF = 0.88
 
 
 def variants(roster: DataFrame) -> DataFrame:
-    """``roster(id, key, nickname)`` to keys ``(rank, variant, id)``: exact, without blanks, first name and nickname, nickname and surname.
+    """``roster(id, key, nickname)`` to keys ``(rank, variant, id)``: exact, without blanks, first name and nickname, nickname and surname, surname.
 
-    Of rows with one variant of a rank the first id owns it; variants of under four letters are none.
+    A variant that two ids have at one rank belongs to neither; variants of under four letters are none.
     """
-    first, last, nick = F.get(F.split("key", " "), F.lit(0)), F.element_at(F.split("key", " "), -1), F.nullif(F.trim(F.lower("nickname")), F.lit(""))
-    forms = F.array("key", F.replace("key", F.lit(" "), F.lit("")), F.concat_ws(" ", first, nick), F.concat_ws(" ", nick, last))
-    some = F.when(nick.isNull(), F.slice(forms, 1, 2)).otherwise(forms)
-    rows = roster.select("id", F.posexplode(some).alias("rank", "variant")).where(F.length("variant") >= 4)
-    return rows.groupBy("rank", "variant").agg(F.min("id").alias("id"))
+    first, last, nick = F.get(F.split("key", " "), F.lit(0)), surname(F.col("key")), F.nullif(F.trim(F.lower("nickname")), F.lit(""))
+    forms = [F.col("key"), F.replace("key", F.lit(" "), F.lit("")), F.when(nick.isNotNull(), F.concat_ws(" ", first, nick)), F.when(nick.isNotNull(), F.concat_ws(" ", nick, last)), last]
+    rows = roster.select("id", F.posexplode(F.array(*forms)).alias("rank", "variant")).where(F.length("variant") >= 4)
+    return rows.groupBy("rank", "variant").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").select("rank", "variant", "id")
 
 
 def resolve(asked: DataFrame, roster: DataFrame, aliases: DataFrame | None = None, cutoff: float | None = None) -> DataFrame:
@@ -32,7 +31,8 @@ def resolve(asked: DataFrame, roster: DataFrame, aliases: DataFrame | None = Non
         known = aliases.groupBy("key").agg(F.min("other").alias("other"))
         asked = asked.join(known, "key", "left").select("ask_id", F.coalesce("other", "key").alias("key"))
     table = variants(roster)
-    told = asked.select("ask_id", F.explode(F.array_distinct(F.array("key", F.replace("key", F.lit(" "), F.lit(""))))).alias("variant"))
+    forms = F.array("key", F.replace("key", F.lit(" "), F.lit("")), F.coalesce(surname(F.col("key")), F.lit("")))
+    told = asked.select("ask_id", F.explode(F.array_distinct(forms)).alias("variant"))
     hits = told.join(table, "variant").groupBy("ask_id").agg(F.min_by(F.struct("id", "rank"), F.struct("rank", "id")).alias("m"))
     out = asked.select("ask_id", "key").dropDuplicates(["ask_id"]).join(hits, "ask_id", "left").select("ask_id", "key", "m.id", F.col("m.rank").alias("how"))
     if cutoff is None:
@@ -42,7 +42,7 @@ def resolve(asked: DataFrame, roster: DataFrame, aliases: DataFrame | None = Non
 
 
 def fuzzy(asked: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The most similar roster name of each asked one at ``cutoff`` or above, ties to the smaller id.
+    """The most similar roster name of each asked one at ``cutoff`` or above, ties to the smaller id; a name that two ids have is none.
 
     No match is lost: keys of lengths a and b at ``cutoff`` differ by at most (2 / cutoff - 2) * min(a, b) in
     length and by e = (1 - cutoff) * (a + b) letters put in or left out, so of e + 1 pieces of one key one is
@@ -63,7 +63,7 @@ def fuzzy(asked: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFr
     left = asked.select(F.col("key").alias("k")).where("k is not null").distinct().select("k", F.explode(sizes(own)).alias("size"))
     left = left.select("k", "size", piece(own, F.col("size")).alias("width"), F.sequence(F.lit(0), edits(own, F.col("size"))).alias("at"))
     left = left.select("k", "size", "width", F.explode(F.transform("at", lambda i: F.substring(F.col("k"), i * F.col("width") + 1, F.col("width")))).alias("gram")).distinct()
-    known = roster.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
+    known = roster.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").drop("other")
     widths = known.select("id", "key", theirs.alias("size"), F.explode(F.array_distinct(F.transform(sizes(theirs), lambda a: piece(a, theirs)))).alias("width"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), theirs - F.col("width") + 1))
     right = widths.select("id", "key", "size", "width", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("key"), i, F.col("width"))))).alias("gram"))

@@ -156,16 +156,6 @@ def methods_mentioned(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("entity", F.date_format("event", "yyyy-MM-dd").alias("event"), text.methods_in(F.col("story")).alias("kinds"), (text.methods_in(F.col("story")) >= 2).cast("int").alias("told"))
 
 
-def text_in_question(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions matched to the brands whose name they contain as a substring; several matches are all kept."""
-    brands = table(spark, sf, "part").select(F.lower("p_brand").alias("brand")).distinct()
-    n = brands.count()  # the small side of a nested loop: broadcast only within this bound
-    if n > 10_000:
-        raise ValueError(f"{n} names are too many to look for in every question")
-    asked = table(spark, sf, "part").select("p_partkey", F.lower(F.concat_ws(" ", F.lit("will"), F.concat(F.lit("the"), "p_brand", F.lit("s")), "p_name")).alias("question"))
-    return asked.join(F.broadcast(brands), F.col("question").contains(F.col("brand"))).groupBy("p_partkey").agg(F.count("*").alias("n"), F.max("brand").alias("brand"))
-
-
 def folded_names(spark: SparkSession, sf: str) -> DataFrame:
     """Keys that spelling does not change: letters that do not decompose, accents, suffixes anywhere, ``St.`` for ``Saint``, marks between words."""
     i = F.col("s_suppkey")
@@ -225,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         capture_gate, pruned_ledger, liquidity_gates, payload_sides, order_book, feed_inventory, label_stats, debut_coverage, used_ids, collection_queue, throttle_calls, record_probe, url_parts,
-        letter_keys, mixed_dates, clean_names, methods_mentioned, text_in_question, folded_names, award_validation, page_accepted, market_classes, quota_left, archived_cards,
+        letter_keys, mixed_dates, clean_names, methods_mentioned, folded_names, award_validation, page_accepted, market_classes, quota_left, archived_cards,
     )
 }
 
@@ -276,6 +266,4 @@ ORACLES = {
     "quota_left": """WITH d AS (SELECT CAST(ts AS DATE) AS day, 3 * count(*) AS cost FROM events WHERE event_type = 'purchase' GROUP BY 1), u AS (SELECT day, CAST(sum(cost) OVER (PARTITION BY date_trunc('month', day) ORDER BY day) AS BIGINT) AS used FROM d)
         SELECT CAST(day AS VARCHAR) AS day, used, greatest(0, 500 - used) AS left FROM u""",
     "archived_cards": f"""{B} SELECT 'night-' || lower(strftime(event, '%B')) || '-' || year(event) AS card, count(*) AS n FROM bouts WHERE event < (SELECT max(event) FROM bouts) - INTERVAL 3 MONTH GROUP BY event""",
-    "text_in_question": """WITH b AS (SELECT DISTINCT lower(p_brand) AS brand FROM part), q AS (SELECT p_partkey, lower('will the' || p_brand || 's ' || p_name) AS question FROM part)
-        SELECT p_partkey, count(*) AS n, max(brand) AS brand FROM q JOIN b ON contains(question, brand) GROUP BY 1""",
 }

@@ -37,7 +37,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alias_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Asked names resolved by exact key, then without blanks; the first roster row owns a key that two have."""
+    """Asked names resolved by exact key, without blanks, then by surname; a key that two roster rows share is nobody's."""
     return names.resolve(_asked(spark, sf), _roster(spark, sf).withColumn("nickname", F.lit("")))
 
 
@@ -251,8 +251,9 @@ ORACLES = {
         FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<li\b[^>]*>(.*?)</li\s*>', 1) AS items FROM pages))""",
     "accent_keys": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) AS key FROM documents""",
     "alias_cascade": r"""WITH r AS (SELECT s_suppkey AS id, lower(regexp_replace(s_name, '[#0]+', ' ', 'g')) AS key FROM supplier), a AS (SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 3 = 0 THEN 'supplier' || c_custkey % 40 ELSE 'supplier ' || c_custkey % 40 END AS key FROM customer),
-        v AS (SELECT 0 AS rank, key AS variant, id FROM r UNION ALL SELECT 1, replace(key, ' ', ''), id FROM r),
-        h AS (SELECT ask_id, id, rank, row_number() OVER (PARTITION BY ask_id ORDER BY rank, id) AS k FROM a JOIN v ON v.variant IN (a.key, replace(a.key, ' ', '')))
+        s AS (SELECT id, unnest([0, 1, 4]) AS rank, unnest([key, replace(key, ' ', ''), list_filter(string_split(key, ' '), lambda t: length(t) > 1)[-1]]) AS variant FROM r),
+        v AS (SELECT rank, variant, min(id) AS id FROM s WHERE length(variant) >= 4 GROUP BY 1, 2 HAVING min(id) = max(id)),
+        h AS (SELECT ask_id, id, rank, row_number() OVER (PARTITION BY ask_id ORDER BY rank, id) AS k FROM a JOIN v ON v.variant IN (a.key, replace(a.key, ' ', ''), list_filter(string_split(a.key, ' '), lambda t: length(t) > 1)[-1]))
         SELECT a.ask_id, h.id, h.rank AS how FROM a LEFT JOIN h ON a.ask_id = h.ask_id AND k = 1""",
     "name_keys": r"""WITH n AS (SELECT p_partkey, trim(regexp_replace(lower(upper(p_name) || '  Jr'), '\s+', ' ', 'g')) AS collapsed, lower(upper(p_name) || '  Jr') AS raw FROM part),
         k AS (SELECT *, trim(regexp_replace(collapsed, '\s(jr|sr|ii|iii|iv)$', '')) AS key FROM n)

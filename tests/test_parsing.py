@@ -78,9 +78,11 @@ def test_names(spark):
     asked = spark.createDataFrame([(1, "annexample"), (2, "bea the rock"), (3, "the rock example"), (4, "mr smith"), (5, "cal uniqeu"), (6, "al")], "ask_id long, key string")
     aliases = spark.createDataFrame([("mr smith", "cal unique")], "key string, other string")
     got = {r.ask_id: (r.id, r.how) for r in names.resolve(asked, roster, aliases, names.CUTOFF).collect()}
-    assert got == {1: (1, 1), 2: (2, 2), 3: (2, 3), 4: (3, 0), 5: (3, 9), 6: (None, None)}
-    close = spark.createDataFrame([(1, "ann exampel"), (2, "zzz")], "ask_id long, key string")
-    assert [(r.ask_id, r.id) for r in names.fuzzy(close, roster.select("id", "key")).collect()] == [(1, 1)]
+    assert got == {1: (None, None), 2: (2, 2), 3: (2, 3), 4: (3, 0), 5: (3, 9), 6: (None, None)}  # ids 1 and 4 share a name
+    close = spark.createDataFrame([(1, "ann exampel"), (2, "zzz"), (3, "beaexample")], "ask_id long, key string")
+    assert [(r.ask_id, r.id) for r in names.fuzzy(close, roster.select("id", "key")).collect()] == [(3, 2)]
+    by_surname = spark.createDataFrame([(1, "someone unique"), (2, "example")], "ask_id long, key string")
+    assert {r.ask_id: (r.id, r.how) for r in names.resolve(by_surname, roster).collect()} == {1: (3, 4), 2: (None, None)}
 
 
 def test_quantiles_equal_numpy(spark):
