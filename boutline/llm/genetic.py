@@ -226,7 +226,7 @@ def best_packing(spark: SparkSession, pieces: dict[int, int], window: int = WIND
     state = spark.range(ISLANDS).select(F.col("id").alias("island"), F.lit(None).cast("string").alias("packing"))
     for epoch in range(EPOCHS):
         step = _epoch(pieces, window, bound, f"{seed}-{epoch}")
-        islands = stored(state.groupBy("island").applyInPandas(step, "island long, place int, bins long, score double, packing string"), "islands")
+        islands = stored(state.repartition(ISLANDS, "island").groupBy("island").applyInPandas(step, "island long, place int, bins long, score double, packing string"), "islands")
         elite = islands.where("place = 0")
         best = elite.orderBy("bins", "score", "island").first()
         if best["bins"] <= bound:
