@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ from boutline.llm.packing import _byte_characters
 from boutline.llm.tokens import ONE_BLANK, vocabulary_file
 
 #: A dictionary ends with the document that reaches so many units, different or in all.
-UNITS, OCCURRENCES = 1 << 19, 1 << 22
+UNITS, OCCURRENCES = 1 << 20, 1 << 23
+#: Seconds for which the cleaner of shuffle files is left alone before a large step.
+PAUSE = 1.0
 #: Links that are sorted at a time.
 LINKS = 1 << 20
 _ODD = r"\s\x1c-\x1f\x85᠎​▁﻿"
@@ -55,6 +58,17 @@ def unit_of(key: str) -> str:
     return key if key[:1] in (" ", "\n") else " " + key
 
 
+def packed(numbers: list[int]) -> bytes:
+    """Small numbers in few bytes: the first bytes of all, then the second ones, and so on, compressed."""
+    planes = np.array(numbers, "<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 class Sides:
     """Encodes units by both tokenizers, to ids and bytes."""
 
@@ -122,12 +136,12 @@ def dictionaries(docs: DataFrame, divisible: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(units), pa.int64()), pa.nulls(len(units), pa.int64()), pa.nulls(len(units), pa.binary()), own, units], names=names)
 
         for batch in slices(batches, 100):
-            ids, packed, parts = batch.column(0).to_pylist(), [], []
+            ids, units, parts = batch.column(0).to_pylist(), [], []
             made = []
             for t in batch.column(1):
                 text = t.as_py()
                 keys = (unit_keys(text) if divisible else [" " + text]) if text else []
-                packed.append(np.array([numbers[k] for k in keys], "<i4").tobytes())
+                units.append(packed([numbers[k] for k in keys]))
                 parts.append(part)
                 n += len(keys)
                 if len(numbers) >= UNITS or n >= OCCURRENCES:
@@ -135,7 +149,7 @@ def dictionaries(docs: DataFrame, divisible: bool) -> DataFrame:
                     numbers.clear()
                     part, n = part + 1, 0
             rows = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(ids, pa.int64()), pa.array(units, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string())], names=names)
             yield from made
         yield from entries()
 
@@ -229,7 +243,7 @@ class Part:
 
     def documents(self, units: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The units of all documents one after the other, where each document starts, and which have tokens."""
-        rows = [np.frombuffer(u.as_buffer(), "<i4") for u in units]
+        rows = [unpacked(u.as_buffer()) for u in units]
         flat, ends = np.concatenate([*rows, np.zeros(0, "<i4")]), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
         spoiled = np.concatenate(([0], np.cumsum(self.broken[flat])))
         return flat, ends, (np.diff(ends) > 0) & (np.diff(spoiled[ends]) == 0)
@@ -305,20 +319,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     table = stored(dictionaries(docs, worker_sides(a_path, b_path).divisible), "parts")
     texts, listed = table.where("unit is null").select("part", "doc_id", "units"), table.where("unit is not null").select("part", "number", "unit")
     words = stored(tokenized_units(listed.select("unit").distinct(), a_name, b_name), "words")
-    release(spark)
+    release(spark, PAUSE)
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # else the join would shuffle tokens by unit and end
         told = stored(aligned(words.select("uid", "a", "b")), "told")
-    release(spark)
+    release(spark, PAUSE)
     found = stored(told.join(words.select("uid", "unit"), "uid").select("unit", "groups", "links"), "aligned")
     discard(told, words)
-    release(spark)
+    release(spark, PAUSE)
     facts = stored(listed.join(found, "unit", "left").select("part", "number", "groups", "links"), "facts")
     discard(found)
-    release(spark)
+    release(spark, PAUSE)
 
     by_part = texts.select("part", "units").groupBy("part").cogroup(facts.groupBy("part"))
     pairs = stored(by_part.applyInArrow(_count_pairs, "part long, number int, a int, b int, n long"), "pairs")
-    release(spark)
+    release(spark, PAUSE)
     counts = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
     top = counts.groupBy("a").agg(F.max("count").alias("most"))
     known = counts.join(top, "a").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -59,10 +60,11 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now rather than at its next collection."""
+def release(spark: SparkSession, pause: float = 0.0) -> None:
+    """Lets Spark drop the shuffle files of finished steps now rather than at its next collection; ``pause`` is how long its cleaner is left alone."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(pause)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
