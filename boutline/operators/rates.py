@@ -30,34 +30,42 @@ def bucket_left(value: Column, edges: tuple[float, ...]) -> Column:
     return out
 
 
-#: Parts of equal width into which the values of a key are counted to find a quantile.
-PARTS = 65536
+#: Parts of equal width into which the range of a key's values is cut to find a quantile; parts with more values than ``CROWD`` are cut again.
+PARTS, CROWD, LEVELS = 65536, 100_000, 4
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """``keys`` and the array ``edges`` of interpolated quantiles of each, exact, without a task that holds all values.
 
-    Values are counted by parts of their key's range, then only the parts that hold a wanted rank are ranked inside.
+    Values are counted by parts of their key's range, combined where they lie; then only the parts that hold a wanted rank are looked into.
     """
-    given, keys = keys, [f"key_{i}" for i in range(len(keys))]  # so that no key has a name used here
-    cells = rows.select(*[F.col(g).alias(k) for g, k in zip(given, keys)], F.col(value).cast("double").alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    span = F.broadcast(cells.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all")))  # a row per key
-    part = F.least(F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * PARTS), F.lit(PARTS - 1))
-    cells = cells.join(span, keys).select(*keys, "v", "n", "all", part.alias("part"))
-    parts = cells.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.first("all").alias("all"))  # PARTS rows of a key at most
-    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*keys, "part", "n", "all", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    at = [(F.col("all") - 1) * F.lit(q) for q in shares]
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), end(x).cast("long").alias("rank"), (x - F.floor(x)).alias("mix"), F.lit(k).alias("k")) for i, x in enumerate(at) for k, end in enumerate((F.floor, F.ceil))])
-    wanted = parts.select(*keys, "part", "n", "before", F.inline(ranks)).where("rank >= before and rank < before + n").drop("n")
-    inside = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    near = cells.join(F.broadcast(wanted.select(*keys, "part").distinct()), [*keys, "part"])
-    near = near.select(*keys, "part", "v", "n", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("within"))
-    hits = near.join(F.broadcast(wanted), [*keys, "part"]).where("rank >= before + within and rank < before + within + n")
-    ends = hits.groupBy(*keys, "i").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("b"), F.max("mix").alias("mix"))
+    names = [f"key_{i}" for i in range(len(keys))] or ["key_0"]  # so that no key has a name used here
+    given = [F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(0).alias("key_0")]
+    table = staged(rows.select(*given, F.col(value).cast("double").alias("v")).where("v is not null"), "values")
+    ranks = [(F.col("all") - 1) * F.lit(q) for q in shares]
+    ends = [F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), (x - F.floor(x)).alias("mix"), end(x).cast("long").alias("rank")) for i, x in enumerate(ranks) for k, end in enumerate((F.floor, F.ceil))]
+    wanted = table.groupBy(*names).agg(F.count("*").alias("all")).select(*names, F.inline(F.array(*ends)))
+    own = list(names)
+    for level in range(LEVELS):
+        span = table.groupBy(*names).agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        part = F.least(F.floor((F.col("v") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * PARTS), F.lit(PARTS - 1))
+        placed = table.join(span, names).select(*names, part.alias(f"part_{level}"), "v")
+        upto = Window.partitionBy(*names).orderBy(f"part_{level}").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
+        counts = placed.groupBy(*names, f"part_{level}").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        wanted = wanted.join(counts, names).where("rank >= before and rank < before + n")
+        names = [*names, f"part_{level}"]
+        wanted = staged(wanted.select(*names, "i", "k", "mix", (F.col("rank") - F.col("before")).alias("rank"), "n"), "wanted")
+        table = placed.join(wanted.select(*names).distinct(), names)
+        if (wanted.agg(F.max("n").alias("n")).first()["n"] or 0) <= CROWD:
+            break
+    inside = Window.partitionBy(*names).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    cells = table.groupBy(*names, "v").agg(F.count("*").alias("many")).withColumn("within", F.coalesce(F.sum("many").over(inside), F.lit(0)))
+    hits = cells.join(wanted, names).where("rank >= within and rank < within + many")
+    edges = hits.groupBy(*own, "i").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("b"), F.max("mix").alias("mix"))
     edge = F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("mix")).alias("e"))
-    out = ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("edges"))
-    return out.select(*[F.col(k).alias(g) for g, k in zip(given, keys)], "edges")
+    out = edges.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda x: x["e"]).alias("edges"))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, own)], "edges")
 
 
 def quantile_rates(rows: DataFrame, keys: list[str], value: str, y: str, parts: int = 4) -> DataFrame:

@@ -2,46 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.functions.odds import sigmoid
-from boutline.operators import career, grading
-from boutline.plans import models
+from boutline.operators import career, grading, rates
+from boutline.plans import models, newton
 from boutline.plans.bout_queries import CLAIMS, app
 from boutline.plans.career_queries import STRENGTH, rounded, strength
 from boutline.sources.scratch import staged
+from boutline.sources.views import bouts
 
-PAIR = ["d_win_pct", "d_str_def"]
-STEPS = 10
+#: All differences and interactions of the win model, and the arms that add some of them to what comes before.
+FEATURES = [*[f"d_{k}" for k in career.DIFFERENCES], "x_grapple", "x_ko", "x_sub", "x_power", "x_position"]
+ARMS = (4, 13, 19, 25, 30)
+STEPS, DRAWS = 5, 600
 
 
 def _one(spark: SparkSession, sf: str) -> DataFrame:
-    rows = career.win_rows(strength(spark, sf)).where("orient = 0 and gate >= 2").select("bout_id", "dt", "y", *PAIR)
+    rows = career.win_rows(strength(spark, sf)).where("orient = 0 and gate >= 2").select("bout_id", F.unix_date("dt").alias("day"), "y", *FEATURES)
     return staged(rows, "one")
 
 
-def _table(spark: SparkSession, found: dict[tuple, object], key: str) -> DataFrame:
-    return spark.createDataFrame([(k, *[round(float(v), 6) + 0.0 for v in c]) for (k,), c in found.items()], f"{key}, a double, b double")
-
-
 def standardized_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Features over their population deviation, with and without their mean taken off."""
+    """Features over their population deviation, with and without their mean taken off; their sum and their sum of squares over all of a bout's."""
     rows = _one(spark, sf)
-    scale = models.moments(rows, PAIR)
-    centred = models.standardized(rows, scale).select("bout_id", *[F.col(k).alias(f"{k}_z") for k in PAIR])
-    return rounded(models.standardized(rows, scale, False).join(centred, "bout_id"), ["bout_id"], [*PAIR, *[f"{k}_z" for k in PAIR]])
+    scale = models.moments(rows, FEATURES)
+    total = lambda f: sum((f(F.col(k)) for k in FEATURES), F.lit(0.0))
+    told = lambda centre, name: models.standardized(rows, scale, centre).select("bout_id", total(lambda c: c).alias(f"{name}sum"), total(lambda c: c * c).alias(f"{name}squares"))
+    return rounded(told(False, "").join(told(True, "z_"), "bout_id"), ["bout_id"], ["sum", "squares", "z_sum", "z_squares"])
 
 
 def win_fits(spark: SparkSession, sf: str) -> DataFrame:
-    """The antisymmetric fit, the same on decisions alone, and what the features add to a given log-odds."""
+    """The antisymmetric fit, the same on decisions alone, and what the features add to a given log-odds: three fits in one pass a step."""
     rows = _one(spark, sf)
-    scaled = models.standardized(rows, models.moments(rows, PAIR), False)
-    dec = strength(spark, sf).where("side = 'r'").select("bout_id", F.col("method").alias("how"))
-    scaled = staged(scaled.join(dec, "bout_id").withColumn("market", 4 * F.col("y") % 3 / 10 + (F.col("bout_id") % 5 - 2) / 10), "scaled")
-    found = {("all",): models.newton_logit(scaled, PAIR, ridge=[2.0, 2.0])[()], ("decisions",): models.newton_logit(scaled.where("how = 'DEC'"), PAIR, ridge=[2.0, 2.0])[()]}
-    found[("over the market",)] = models.newton_logit(scaled, PAIR, ridge=[5.0, 5.0], offset="market")[()]
-    return _table(spark, found, "fit string")
+    ways = bouts(spark, sf).select("bout_id", (F.col("method") == "DEC").cast("int").alias("dec"))
+    scaled = staged(models.standardized(rows, models.moments(rows, FEATURES), False).join(ways, "bout_id"), "scaled")
+
+    def weights(c: newton.Columns) -> np.ndarray:
+        one = np.ones(len(c["dec"]))
+        return np.stack([one, c["dec"], one], axis=1)
+
+    def offsets(c: newton.Columns) -> np.ndarray:
+        market = 4 * c["y"] % 3 / 10 + (c["bout_id"] % 5 - 2) / 10
+        return np.stack([0 * market, 0 * market, market], axis=1)
+
+    found = newton.newton_fits(scaled, FEATURES, 3, uses=["dec", "y", "bout_id"], weights=weights, offsets=offsets, ridge=np.array([2.0, 2.0, 5.0]), steps=STEPS)
+    long = [(fit, k, round(float(v), 5) + 0.0) for fit, c in zip(("all", "decisions", "over the market"), found) for k, v in zip(FEATURES, c)]
+    return spark.createDataFrame(long, "fit string, feature string, coefficient double")
 
 
 def platt_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,61 +66,77 @@ def platt_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, [], ["intercept", "slope", "before", "after"])
 
 
+def _weights(bout: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Poisson weights of mean one, a column for each draw; draw 0 is the rows as they are."""
+    u = (bout.astype(np.int64)[:, None] * 7919 + draws * 104729) % 1000003 / 1000003
+    return np.where(draws == 0, 1.0, np.searchsorted(models.POISSON, u, side="right"))
+
+
 def coefficient_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Twenty draws of the fit with Poisson weights: mean, extremes and the share of draws whose sign is that of the whole."""
+    """Draws of the fit with Poisson weights, all fitted at once: mean, 2.5 and 97.5 %, and the share of draws whose sign is that of the whole."""
     rows = _one(spark, sf)
-    scaled = models.standardized(rows, models.moments(rows, PAIR), False)
-    draws = scaled.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    draws = draws.withColumn("w", F.when(F.col("draw") == 0, 1.0).otherwise(models.poisson((F.col("bout_id") * 7919 + F.col("draw") * 104729) % 1000003 / 1000003)))
-    found = models.newton_logit(staged(draws, "draws"), PAIR, keys=["draw"], ridge=[2.0, 2.0], weight="w")
-    whole = found.pop((0,))
-    long = [(name, float(c[i]), bool(c[i] * whole[i] > 0), float(whole[i])) for c in found.values() for i, name in enumerate(PAIR)]
-    told = spark.createDataFrame(long, "feature string, c double, same boolean, whole double").groupBy("feature")
-    out = told.agg(F.first("whole").alias("fit"), F.avg("c").alias("mean"), F.min("c").alias("low"), F.max("c").alias("high"), F.avg(F.col("same").cast("double")).alias("sign"))
-    return out.select("feature", *[F.round(c, 5).alias(c) for c in ("fit", "mean", "low", "high", "sign")])
+    scaled = staged(models.standardized(rows, models.moments(rows, FEATURES), False), "scaled")
+    draws = np.arange(DRAWS + 1)
+    found = newton.newton_fits(scaled, FEATURES, DRAWS + 1, uses=["bout_id"], weights=lambda c: _weights(c["bout_id"], draws), ridge=2.0, steps=BOOTSTRAP_STEPS)
+    whole, drawn = found[0], found[1:]
+    low, high = np.percentile(drawn, [2.5, 97.5], axis=0)
+    told = zip(FEATURES, whole, drawn.mean(axis=0), low, high, (drawn * whole > 0).mean(axis=0))
+    return spark.createDataFrame([(k, *[round(float(v), 5) + 0.0 for v in c]) for k, *c in told], "feature string, fit double, mean double, low double, high double, sign double")
 
 
 FOLDS = (0.45, 0.55, 0.65, 0.75, 0.85, 0.95)
+#: Steps of a draw: its curvature is near that of the whole, so it is settled to five places by then.
+BOOTSTRAP_STEPS = 5
+
+
+def _scores(rows: DataFrame, names: list[str], betas: np.ndarray) -> list[Column]:
+    return [sigmoid(sum((F.lit(float(b)) * F.col(k) for b, k in zip(beta, names) if b), F.lit(0.0))) for beta in betas]
 
 
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     """Five expanding folds on quantiles of the date: fitted on all before a cut, measured up to the next one. All folds are fitted at once."""
     rows = _one(spark, sf)
-    cuts = rows.agg(F.percentile(F.unix_date("dt"), list(FOLDS))).first()[0]
-    fold = F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(int(low)).alias("low"), F.lit(int(high)).alias("high")) for i, (low, high) in enumerate(zip(cuts, cuts[1:]), 1)])
-    placed = rows.withColumn("f", F.explode(fold)).select("bout_id", "y", F.unix_date("dt").alias("day"), *PAIR, "f.*")
-    train = staged(placed.where("day <= low"), "folds")
-    found = models.newton_logit(train, PAIR, keys=["fold"], ridge=[2.0, 2.0])
-    beta = F.broadcast(spark.createDataFrame([(k, *map(float, c)) for (k,), c in found.items()], "fold int, a double, b double"))
-    p = sigmoid(F.col("a") * F.col(PAIR[0]) + F.col("b") * F.col(PAIR[1]))
-    test = placed.where("day > low and day <= high").join(beta, "fold").select("fold", p.alias("p"), F.col("y").cast("double").alias("y"))
+    cuts = np.array([int(c) for c in rates.quantiles(rows, [], "day", list(FOLDS)).first()["edges"]])
+    found = newton.newton_fits(rows, FEATURES, 5, uses=["day"], weights=lambda c: (c["day"][:, None] <= cuts[:-1]).astype(float), ridge=2.0, steps=STEPS)
+    fold = sum((F.when(F.col("day") > int(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    p = F.get(F.array(F.lit(0.5), *_scores(rows, FEATURES, found)), fold)
+    test = rows.withColumn("fold", fold).where("fold between 1 and 5").select("fold", p.alias("p"), F.col("y").cast("double").alias("y"))
     out = test.groupBy("fold").agg(F.count("*").alias("n"), (-F.avg(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))).alias("log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
     return rounded(out, ["fold", "n"], ["log_loss", "brier"])
 
 
 def ablation_arms(spark: SparkSession, sf: str) -> DataFrame:
-    """Three arms: nothing, one feature, both. Each against the one before by a paired bootstrap of the log loss; adopted if it is better in 95 % of draws."""
+    """Arms that add features to what comes before, all fitted at once. Each against the one before by a paired bootstrap of the log loss; adopted if it is better in 95 % of draws."""
     rows = _one(spark, sf)
-    cut = models.date_cut(rows, 0.8)
-    train, test = rows.where(F.unix_date("dt") <= cut), rows.where(F.unix_date("dt") > cut)
-    scale = models.moments(train, PAIR)
+    cut = int(rates.quantiles(rows, [], "day", [0.8]).first()["edges"][0])
+    train, test = rows.where(F.col("day") <= cut), rows.where(F.col("day") > cut)
+    scale = models.moments(train, FEATURES)
     a, b = staged(models.standardized(train, scale, False), "train"), models.standardized(test, scale, False)
-    arms = [PAIR[:1], PAIR]
-    score = lambda names, c: sigmoid(sum((F.lit(float(x)) * F.col(n) for n, x in zip(names, c)), F.lit(0.0)))
-    p = [F.lit(0.5), *[score(names, models.newton_logit(a, names, ridge=[2.0] * len(names))[()]) for names in arms]]
+    allowed = np.arange(len(FEATURES)) < np.array(ARMS)[:, None]
+    p = [F.lit(0.5), *_scores(b, FEATURES, newton.newton_fits(a, FEATURES, len(ARMS), allowed=allowed, ridge=2.0, steps=STEPS))]
     loss = lambda q: -F.when(F.col("y") == 1, F.ln(q)).otherwise(F.ln(1 - q))
-    gains = b.select("bout_id", F.inline(F.array(*[F.struct(F.lit(i + 1).alias("arm"), (loss(p[i]) - loss(p[i + 1])).alias("gain")) for i in range(2)])))
-    draws = gains.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(100))))
-    w = models.poisson((F.col("bout_id") * 7919 + F.col("draw") * 104729) % 1000003 / 1000003)
-    means = draws.groupBy("arm", "draw").agg((F.sum(w * F.col("gain")) / F.sum(w)).alias("gain"))
-    out = means.groupBy("arm").agg(F.avg("gain").alias("gain"), F.avg((F.col("gain") > 0).cast("double")).alias("p_better"))
-    return out.select("arm", F.round("gain", 5).alias("gain"), F.round("p_better", 5).alias("p_better"), (F.col("p_better") >= 0.95).cast("int").alias("adopted"))
+    gains = staged(b.select("bout_id", *[(loss(p[i]) - loss(p[i + 1])).alias(f"g{i}") for i in range(len(ARMS))]), "gains")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
+        total = np.zeros((DRAWS, len(ARMS) + 1))
+        for batch in batches:
+            for start in range(0, batch.num_rows, newton.ROWS):
+                part = batch.slice(start, newton.ROWS)
+                w = _weights(part.column("bout_id").to_numpy(), np.arange(1, DRAWS + 1))
+                values = [part.column(f"g{i}").to_numpy() for i in range(len(ARMS))]
+                total += w.T @ np.stack([*values, np.ones(part.num_rows)], axis=1)
+        return {0: total}
+
+    sums = newton.tree_sum(gains, told, newton.partitions_of(gains))[0].reshape(DRAWS, -1)
+    means = sums[:, :-1] / sums[:, -1:]
+    long = [(i + 1, ARMS[i], round(float(g.mean()), 5), round(float((g > 0).mean()), 5), int((g > 0).mean() >= 0.95)) for i, g in enumerate(means.T)]
+    return spark.createDataFrame(long, "arm int, features int, gain double, p_better double, adopted int")
 
 
 QUERIES = {f.__name__: f for f in (standardized_features, win_fits, platt_fit, coefficient_bootstrap, walk_forward, ablation_arms)}
 
 
-def sql_newton(name: str, source: str, ridge: tuple[float, float], steps: int = STEPS) -> str:
+def sql_newton(name: str, source: str, ridge: tuple[float, float], steps: int = 10) -> str:
     """CTEs of Newton steps for two coefficients over ``source(k, x1, x2, y, o, w)``; the last is ``name``."""
     r1, r2 = (f"{r}::DOUBLE" for r in ridge)
     out = [f"{name}_0 AS (SELECT DISTINCT k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {source})"]
@@ -126,33 +154,53 @@ def _poisson(u: str) -> str:
 
 
 _U = "((bout_id * 7919 + draw * 104729) % 1000003 / 1000003.0::DOUBLE)"
-_ONE = f"""{STRENGTH}, one AS (SELECT r.bout_id, r.dt, r.method, CASE r.result WHEN 'W' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, r.win_pct - b.win_pct AS d1, r.str_def - b.str_def AS d2
-    FROM strength r JOIN strength b ON r.bout_id = b.bout_id AND r.side = 'r' AND b.side = 'b' WHERE r.result <> 'D' AND least(r.n_prior, b.n_prior) >= 2)"""
-_SCALED = f"""{_ONE}, m AS (SELECT avg(d1) AS m1, avg(d2) AS m2, stddev_pop(d1) AS s1, stddev_pop(d2) AS s2 FROM one), z AS (SELECT one.*, d1 / s1 AS x1, d2 / s2 AS x2, (d1 - m1) / s1 AS z1, (d2 - m2) / s2 AS z2 FROM one, m)"""
-_CUTS = ", ".join(f"quantile_cont(date_diff('day', DATE '1970-01-01', dt), {q}) AS c{i}" for i, q in enumerate(FOLDS))
-_FOLDS = " UNION ALL ".join(f"SELECT {i + 1} AS k, d1 AS x1, d2 AS x2, y, 0.0::DOUBLE AS o, 1.0::DOUBLE AS w, date_diff('day', DATE '1970-01-01', dt) AS day, CAST(floor(c{i}) AS BIGINT) AS low, CAST(floor(c{i + 1}) AS BIGINT) AS high FROM one, c" for i in range(5))
+_N = range(1, len(FEATURES) + 1)
+_POS = "({0}.clinch_share + {0}.ground_share) * (1 - {1}.td_def)"
+_VALUES = [f"r.{k} - b.{k}" for k in career.DIFFERENCES] + [
+    "r.adj_td15 * (1 - b.td_def) - b.adj_td15 * (1 - r.td_def)", "r.adj_slpm * b.ko_loss_rate - b.adj_slpm * r.ko_loss_rate", "r.sub15 * (1 - b.td_def) - b.sub15 * (1 - r.td_def)",
+    "r.kd15 * b.kd_against15 - b.kd15 * r.kd_against15", f"{_POS.format('r', 'b')} - {_POS.format('b', 'r')}",
+]
+_ONE = f"""{STRENGTH.replace('WITH ', 'WITH RECURSIVE ', 1)}, one AS MATERIALIZED (SELECT r.bout_id, date_diff('day', DATE '1970-01-01', r.dt) AS day, r.method, CASE r.result WHEN 'W' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
+    {', '.join(f'{v} AS d{i}' for i, v in zip(_N, _VALUES))} FROM strength r JOIN strength b ON r.bout_id = b.bout_id AND r.side = 'r' AND b.side = 'b' WHERE r.result <> 'D' AND least(r.n_prior, b.n_prior) >= 2)"""
+
+
+def _sql_scaled(source: str, of: str = "one") -> str:
+    """CTEs of the moments of ``of`` and of the rows of ``source`` over their deviations."""
+    moments = ", ".join(f"avg(d{i}) AS m{i}, coalesce(nullif(stddev_pop(d{i}), 0), 1) AS s{i}" for i in _N)
+    return f"m AS (SELECT {moments} FROM {of}), z AS MATERIALIZED (SELECT {source}.*, {', '.join(f'd{i} / s{i} AS x{i}' for i in _N)} FROM {source}, m)"
+
+
+_X = ", ".join(f"x{i}" for i in _N)
+_DOT = lambda beta: " + ".join(f"{beta}[{i}] * x{i}" for i in _N)
+_LONG = f"unnest([{', '.join(repr(k) for k in FEATURES)}]) AS feature, unnest(beta) AS c"
+_CUTS = ", ".join(f"CAST(floor(quantile_cont(day, {q})) AS BIGINT) AS c{i}" for i, q in enumerate(FOLDS))
+_FOLDS = " UNION ALL ".join(f"SELECT {i + 1} AS k, {', '.join(f'd{j} AS x{j}' for j in _N)}, y, 0.0::DOUBLE AS o, 1.0::DOUBLE AS w, day, c{i} AS low, c{i + 1} AS high FROM one, c" for i in range(5))
 _PLAIN = "0.0::DOUBLE AS o, 1.0::DOUBLE AS w"
 _LOSS = lambda p: f"-CASE WHEN y = 1 THEN ln({p}) ELSE ln(1 - {p}) END"
 
 ORACLES = {
-    "standardized_features": f"{_SCALED} SELECT bout_id, round(x1, 6) AS d_win_pct, round(x2, 6) AS d_str_def, round(z1, 6) AS d_win_pct_z, round(z2, 6) AS d_str_def_z FROM z",
-    "win_fits": f"""{_SCALED}, s1 AS (SELECT 0 AS k, x1, x2, y, {_PLAIN} FROM z), s2 AS (SELECT 0 AS k, x1, x2, y, {_PLAIN} FROM z WHERE method = 'DEC'),
-        s3 AS (SELECT 0 AS k, x1, x2, y, 4 * y % 3 / 10 + (bout_id % 5 - 2) / 10.0::DOUBLE AS o, 1.0::DOUBLE AS w FROM z), {sql_newton('n1', 's1', (2.0, 2.0))}, {sql_newton('n2', 's2', (2.0, 2.0))}, {sql_newton('n3', 's3', (5.0, 5.0))}
-        SELECT 'all' AS fit, round(a, 6) AS a, round(b, 6) AS b FROM n1 UNION ALL SELECT 'decisions', round(a, 6), round(b, 6) FROM n2 UNION ALL SELECT 'over the market', round(a, 6), round(b, 6) FROM n3""",
+    "standardized_features": f"""{_ONE}, {_sql_scaled('one')}, q AS (SELECT bout_id, {', '.join(f'x{i}, x{i} - m{i} / s{i} AS z{i}' for i in _N)} FROM z, m)
+        SELECT bout_id, round({' + '.join(f'x{i}' for i in _N)}, 6) AS sum, round({' + '.join(f'x{i} * x{i}' for i in _N)}, 6) AS squares, round({' + '.join(f'z{i}' for i in _N)}, 6) AS z_sum, round({' + '.join(f'z{i} * z{i}' for i in _N)}, 6) AS z_squares FROM q""",
+    "win_fits": f"""{_ONE}, {_sql_scaled('one')}, t AS MATERIALIZED (SELECT unnest(range(0, 3)) AS k, z.* FROM z),
+        u AS MATERIALIZED (SELECT k, {_X}, y, CASE WHEN k = 2 THEN 4 * y % 3 / 10 + (bout_id % 5 - 2) / 10.0::DOUBLE ELSE 0 END AS o, CASE WHEN k = 1 AND method <> 'DEC' THEN 0.0::DOUBLE ELSE 1 END AS w FROM t),
+        {newton.sql_newton('n', 'u', len(FEATURES), '(CASE k WHEN 2 THEN 5.0::DOUBLE ELSE 2.0::DOUBLE END)', STEPS)}, l AS (SELECT k, {_LONG} FROM n)
+        SELECT ['all', 'decisions', 'over the market'][k + 1] AS fit, feature, round(c, 5) AS coefficient FROM l""",
     "platt_fit": f"""{CLAIMS}, t AS (SELECT 0 AS k, 1.0::DOUBLE AS x1, ln(p / (1 - p)) AS x2, CAST(y AS DOUBLE) AS y, {_PLAIN} FROM claims WHERE bout_id % 2 = 0), {sql_newton('n', 't', (0.0, 1.0))},
         q AS (SELECT CAST(y AS DOUBLE) AS y, p AS p0, 1 / (1 + exp(-(a + b * ln(p / (1 - p))))) AS p, a, b FROM claims, n WHERE bout_id % 2 = 1)
         SELECT round(max(a), 6) AS intercept, round(max(b), 6) AS slope, round(avg({_LOSS('p0')}), 6) AS before, round(avg({_LOSS('p')}), 6) AS after FROM q""",
-    "coefficient_bootstrap": f"""{_SCALED}, d AS (SELECT *, unnest(range(0, 21)) AS draw FROM z), t AS (SELECT draw AS k, x1, x2, y, 0.0::DOUBLE AS o, CASE WHEN draw = 0 THEN 1.0::DOUBLE ELSE {_poisson(_U)} END AS w FROM d), {sql_newton('n', 't', (2.0, 2.0))},
-        l AS (SELECT k, 'd_win_pct' AS feature, a AS c FROM n UNION ALL SELECT k, 'd_str_def', b FROM n), f AS (SELECT feature, c AS fit FROM l WHERE k = 0)
-        SELECT l.feature, round(max(fit), 5) AS fit, round(avg(c), 5) AS mean, round(min(c), 5) AS low, round(max(c), 5) AS high, round(avg(CASE WHEN c * fit > 0 THEN 1.0::DOUBLE ELSE 0 END), 5) AS sign FROM l JOIN f ON l.feature = f.feature WHERE k > 0 GROUP BY 1""",
-    "walk_forward": f"""{_ONE}, c AS (SELECT {_CUTS} FROM one), folds AS ({_FOLDS}), train AS (SELECT * FROM folds WHERE day <= low), {sql_newton('n', 'train', (2.0, 2.0))},
-        t AS (SELECT f.k, y, 1 / (1 + exp(-(a * x1 + b * x2))) AS p FROM folds f JOIN n ON f.k = n.k WHERE day > low AND day <= high)
+    "coefficient_bootstrap": f"""{_ONE}, {_sql_scaled('one')}, d AS (SELECT bout_id, y, {_X}, unnest(range(0, {DRAWS + 1})) AS draw FROM z), t AS MATERIALIZED (SELECT draw AS k, {_X}, y, 0.0::DOUBLE AS o, CASE WHEN draw = 0 THEN 1.0::DOUBLE ELSE {_poisson(_U)} END AS w FROM d),
+        {newton.sql_newton('n', 't', len(FEATURES), '2.0::DOUBLE', BOOTSTRAP_STEPS)}, l AS (SELECT k, {_LONG} FROM n), f AS (SELECT feature, c AS fit FROM l WHERE k = 0)
+        SELECT l.feature, round(max(fit), 5) AS fit, round(avg(c), 5) AS mean, round(quantile_cont(c, 0.025), 5) AS low, round(quantile_cont(c, 0.975), 5) AS high, round(avg(CASE WHEN c * fit > 0 THEN 1.0::DOUBLE ELSE 0 END), 5) AS sign
+        FROM l JOIN f ON l.feature = f.feature WHERE k > 0 GROUP BY 1""",
+    "walk_forward": f"""{_ONE}, c AS (SELECT {_CUTS} FROM one), folds AS MATERIALIZED ({_FOLDS}), train AS MATERIALIZED (SELECT * FROM folds WHERE day <= low), {newton.sql_newton('n', 'train', len(FEATURES), '2.0::DOUBLE', STEPS)},
+        t AS (SELECT f.k, y, 1 / (1 + exp(-({_DOT('beta')}))) AS p FROM folds f JOIN n ON f.k = n.k WHERE day > low AND day <= high)
         SELECT k AS fold, count(*) AS n, round(avg({_LOSS('p')}), 6) AS log_loss, round(avg(pow(p - y, 2)), 6) AS brier FROM t GROUP BY 1""",
-    "ablation_arms": f"""{_ONE}, c AS (SELECT CAST(floor(quantile_cont(date_diff('day', DATE '1970-01-01', dt), 0.8)) AS BIGINT) AS cut FROM one), e AS (SELECT one.*, date_diff('day', DATE '1970-01-01', dt) <= cut AS early FROM one, c),
-        m AS (SELECT stddev_pop(d1) AS s1, stddev_pop(d2) AS s2 FROM e WHERE early), z AS (SELECT e.*, d1 / s1 AS x1, d2 / s2 AS x2 FROM e, m), t1 AS (SELECT 0 AS k, x1, 0.0::DOUBLE AS x2, y, {_PLAIN} FROM z WHERE early), t2 AS (SELECT 0 AS k, x1, x2, y, {_PLAIN} FROM z WHERE early),
-        {sql_newton('n1', 't1', (2.0, 2.0))}, {sql_newton('n2', 't2', (2.0, 2.0))}, p AS (SELECT bout_id, y, 0.5::DOUBLE AS p0, 1 / (1 + exp(-(n1.a * x1))) AS p1, 1 / (1 + exp(-(n2.a * x1 + n2.b * x2))) AS p2 FROM z, n1, n2 WHERE NOT early),
-        g AS (SELECT bout_id, 1 AS arm, ({_LOSS('p0')}) - ({_LOSS('p1')}) AS gain FROM p UNION ALL SELECT bout_id, 2, ({_LOSS('p1')}) - ({_LOSS('p2')}) FROM p),
-        d AS (SELECT *, unnest(range(1, 101)) AS draw FROM g), w AS (SELECT arm, draw, sum({_poisson(_U)} * gain) / sum({_poisson(_U)}) AS gain FROM d GROUP BY 1, 2),
+    "ablation_arms": f"""{_ONE}, c AS (SELECT CAST(floor(quantile_cont(day, 0.8)) AS BIGINT) AS cut FROM one), e AS (SELECT one.*, day <= cut AS early FROM one, c), early AS (SELECT * FROM e WHERE early),
+        {_sql_scaled('e', 'early')}, t AS MATERIALIZED (SELECT unnest(range(1, {len(ARMS) + 1})) AS k, {_X}, y, {_PLAIN} FROM z WHERE early),
+        {newton.sql_newton('n', 't', len(FEATURES), '2.0::DOUBLE', STEPS, {i + 1: a for i, a in enumerate(ARMS)})},
+        p AS (SELECT bout_id, y, k, 1 / (1 + exp(-({_DOT('beta')}))) AS p FROM z, n WHERE NOT early), q AS (SELECT bout_id, y, k, p FROM p UNION ALL SELECT bout_id, y, 0, 0.5::DOUBLE FROM z WHERE NOT early),
+        g AS (SELECT b.bout_id, b.k AS arm, ({_LOSS('a.p').replace('y =', 'a.y =')}) - ({_LOSS('b.p').replace('y =', 'a.y =')}) AS gain FROM q a JOIN q b ON a.bout_id = b.bout_id AND a.k + 1 = b.k),
+        d AS (SELECT *, unnest(range(1, {DRAWS + 1})) AS draw FROM g), w AS (SELECT arm, draw, sum({_poisson(_U)} * gain) / sum({_poisson(_U)}) AS gain FROM d GROUP BY 1, 2),
         o AS (SELECT arm, avg(gain) AS gain, avg(CASE WHEN gain > 0 THEN 1.0::DOUBLE ELSE 0 END) AS p_better FROM w GROUP BY 1)
-        SELECT arm, round(gain, 5) AS gain, round(p_better, 5) AS p_better, CAST(p_better >= 0.95 AS INTEGER) AS adopted FROM o""",
+        SELECT CAST(arm AS INTEGER) AS arm, CAST({list(ARMS)}[arm] AS INTEGER) AS features, round(gain, 5) AS gain, round(p_better, 5) AS p_better, CAST(p_better >= 0.95 AS INTEGER) AS adopted FROM o""",
 }
