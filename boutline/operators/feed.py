@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boutline.sources.scratch import staged
+
 
 def gate(board: DataFrame, days: DataFrame, throttle_min: int = 60, near_hours: int = 48, baseline_hours: int = 20) -> DataFrame:
     """``(now, paid, reason)``: whether a paid call is worth it at each ``days(now, last_paid)``, from the free list alone.
@@ -78,11 +80,36 @@ def candidates(groups: list[DataFrame], done: DataFrame, budget: int) -> DataFra
     return first.orderBy("rank", "id").limit(budget)
 
 
-def throttled(calls: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """Calls that come at least ``minutes`` after the call of their key before them; the first of a key passes."""
-    w = Window.partitionBy(key).orderBy(ts)
-    gap = (F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))) / 6e7
-    return calls.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= minutes)).drop("gap")
+def throttled(calls: DataFrame, key: str, call: str, ts: str, minutes: int) -> DataFrame:
+    """Calls that come at least ``minutes`` after the last of their key that was let through; the first of a key passes.
+
+    Each call points to the first at least that much later; those let through are reached from the key's first. Pointers are
+    doubled, so there are as many rounds as the longest chain has binary digits, and each is an equi-join on the call. The later call lies in
+    the next stretch of ``minutes`` or is the first of a stretch beyond, so no task needs all calls of a key. ``call`` is unique.
+    """
+    gap = minutes * 60_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = staged(calls.where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(call).alias("call"), at.alias("at"), F.floor(at / gap).alias("stretch")), "calls")
+    this = F.struct("at", "call")
+    firsts = rows.groupBy("key", "stretch").agg(F.min(this).alias("first"))
+    later = Window.partitionBy("key").orderBy("stretch")  # a row a stretch
+    firsts = firsts.select("key", "stretch", "first", F.lead("first").over(later).alias("second"), F.lead("stretch").over(later).alias("nearest"), F.lead("first", 2).over(later).alias("third"))
+    # A call looks into the next stretch from ``at + gap`` on; what it finds there comes before the first of any later one.
+    seeks = rows.select("key", (F.col("stretch") + 1).alias("stretch"), (F.col("at") + gap).alias("at"), "call", F.lit(0).alias("kind"))
+    there = rows.select("key", "stretch", "at", "call", F.lit(1).alias("kind"))
+    ahead = Window.partitionBy("key", "stretch").orderBy(F.desc("at"), F.desc("kind"), F.desc("call")).rowsBetween(Window.unboundedPreceding, -1)
+    found = seeks.unionByName(there).withColumn("found", F.min(F.when(F.col("kind") == 1, this)).over(ahead)).where("kind = 0").select("call", "found")
+    beyond = F.when(F.col("nearest") == F.col("stretch") + 1, F.col("third")).otherwise(F.col("second"))
+    links = rows.join(firsts, ["key", "stretch"]).join(found, "call").select("call", F.coalesce("found", beyond)["call"].alias("next"))
+    jump = staged(links.where("next is not null"), "jump")
+    reached = staged(firsts.groupBy("key").agg(F.min("first").alias("first")).select(F.col("first.call").alias("call")), "reached")
+    while True:
+        more = reached.join(jump, "call").select(F.col("next").alias("call"))
+        grown = staged(reached.union(more).distinct(), "reached")
+        jump = staged(jump.join(jump.select(F.col("call").alias("next"), F.col("next").alias("after")), "next").select("call", F.col("after").alias("next")), "jump")
+        reached = grown
+        if jump.isEmpty():  # no chain is longer than what has been reached
+            return calls.join(reached.select(F.col("call").alias(call)), call, "left_semi")
 
 
 def synthetic(spark, n_sides: int, n_cards: int, per_card: int, seed: int = 7) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 
 def last_per_source(quotes: DataFrame) -> DataFrame:
-    """The last quote of each source for a pair, ties to the larger id; ``max_by`` needs no sort."""
+    """The last quote of each source for a pair, ties to the larger id, each column by its last value that is known; ``max_by`` needs no sort."""
     key = F.struct("snap", "quote_id")
-    return quotes.groupBy("pair", "source").agg(*[F.max_by(c, key).alias(c) for c in ("p1", "o1", "o2")])
+    return quotes.groupBy("pair", "source").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in ("p1", "o1", "o2")])
 
 
 def consensus(quotes: DataFrame) -> DataFrame:

@@ -75,8 +75,8 @@ def r1_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r1_read(spark: SparkSession, sf: str) -> DataFrame:
-    """The curve of round one with the scale for five rounds, where it says something; no test of sizes, as the small tables have few bouts."""
-    return rounded(rates.r1_read(app(spark, sf), 100, 30), ["bucket", "n"], ["rate", "five_round_scale"])
+    """The curve of round one by promoter, whose shares of finishes differ, with the scale for five rounds; least sizes are those of the small tables."""
+    return rounded(rates.r1_read(bouts(spark, sf).withColumnRenamed("cust", "entity"), 100, 30), ["bucket", "n"], ["rate", "five_round_scale"])
 
 
 def division_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,8 +225,8 @@ def group_rates_having(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def thin_entities(spark: SparkSession, sf: str) -> DataFrame:
-    """Sides of the last twelve months with at most two bouts before, each by its first such bout."""
-    rows = app(spark, sf).withColumn("prior", F.count("*").over(career.before("entity")))
+    """Promoters, of whom most have few bouts, with at most two before one of the last twelve months, each by its first such bout."""
+    rows = bouts(spark, sf).select(F.col("cust").alias("entity"), "bout_id", "dt").withColumn("prior", F.count("*").over(career.before("entity")))
     cut = F.broadcast(rows.agg(F.add_months(F.max("dt"), -12).alias("cut")))
     out = rows.join(cut).where("dt >= cut and prior <= 2")
     return out.groupBy("entity").agg(F.min_by(F.struct("bout_id", "prior"), F.struct("dt", "bout_id")).alias("m")).select("entity", "m.bout_id", "m.prior")
@@ -313,7 +313,7 @@ ORACLES = {
         c AS (SELECT {'CASE ' + ' '.join(f'WHEN v >= {a} AND v < {b} THEN {i}' for i, (a, b) in enumerate(zip(rates.ROUND_ONE_EDGES, rates.ROUND_ONE_EDGES[1:]), 1)) + ' END'} AS bucket,
               CASE WHEN total_sec < 300 THEN 1.0::DOUBLE ELSE 0 END AS f FROM app JOIN e ON app.entity = e.entity WHERE method <> 'DEC')
         SELECT bucket, count(*) AS n, round(avg(f), 6) AS rate FROM c WHERE bucket IS NOT NULL GROUP BY 1 HAVING count(*) >= 60""",
-    "r1_read": f"""{APP}, e AS (SELECT entity, avg(CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END) AS v FROM app GROUP BY 1 HAVING count(*) >= 8),
+    "r1_read": f"""{B}, app AS (SELECT cust AS entity, method, total_sec, sched_sec FROM bouts), e AS (SELECT entity, avg(CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END) AS v FROM app GROUP BY 1 HAVING count(*) >= 8),
         c AS (SELECT {'CASE ' + ' '.join(f'WHEN v >= {a} AND v < {b} THEN {i}' for i, (a, b) in enumerate(zip(rates.ROUND_ONE_EDGES, rates.ROUND_ONE_EDGES[1:]), 1)) + ' END'} AS bucket,
               CASE WHEN total_sec < 300 THEN 1.0::DOUBLE ELSE 0 END AS y, sched_sec >= 1500 AS five FROM app JOIN e ON app.entity = e.entity WHERE method <> 'DEC'),
         s AS (SELECT avg(CASE WHEN five THEN y END) / avg(CASE WHEN NOT five THEN y END) AS five_round_scale, count(*) FILTER (WHERE NOT five) AS n3, count(*) FILTER (WHERE five) AS n5 FROM c),
@@ -373,7 +373,7 @@ ORACLES = {
         SELECT CAST(a.event AS VARCHAR) AS event, a.entity, partner, bout_id FROM a LEFT JOIN s ON a.event = s.event AND a.entity = s.entity""",
     "group_rates_having": f"""{APP}, g AS (SELECT entity, count(*) AS n, avg(CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END) AS finish, min(dt) AS debut FROM app GROUP BY 1 HAVING count(*) >= 8)
         SELECT entity, n, CAST(debut AS VARCHAR) AS debut, round(finish, 6) AS finish, round(n / CAST((SELECT sum(n) FROM g) AS DOUBLE), 9) AS share FROM g""",
-    "thin_entities": f"""{APP}, p AS (SELECT *, count(*) {W} AS prior FROM app), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY dt, bout_id) AS k FROM p
+    "thin_entities": f"""{B}, app AS (SELECT cust AS entity, bout_id, dt FROM bouts), p AS (SELECT *, count(*) {W} AS prior FROM app), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY dt, bout_id) AS k FROM p
         WHERE dt >= (SELECT max(dt) FROM app) - INTERVAL 12 MONTH AND prior <= 2) SELECT entity, bout_id, prior FROM k WHERE k = 1""",
     "drivers_topn": f"""{_ONE}, d AS ({_DRIVES}), k AS (SELECT *, row_number() OVER (PARTITION BY bout_id ORDER BY -abs(v), name) AS k FROM d)
         SELECT bout_id, round(1 / (1 + exp(-sum(v))), 6) AS p, CAST(count(*) FILTER (WHERE k <= 6 AND abs(v) > 0.01) AS INTEGER) AS n_top, max(CASE WHEN k = 1 AND abs(v) > 0.01 THEN name END) AS first_driver,

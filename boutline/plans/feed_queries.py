@@ -103,7 +103,8 @@ def collection_queue(spark: SparkSession, sf: str) -> DataFrame:
 def throttle_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Calls that a throttle of a day per kind and user lets through."""
     rows = table(spark, sf, "events").select("event_id", F.concat_ws("/", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return feed.throttled(rows, "key", "ts", 1440).groupBy("key").agg(F.count("*").alias("calls"))
+    kept = feed.throttled(rows, "key", "event_id", "ts", 1440)
+    return kept.groupBy("key").agg(F.count("*").alias("calls"), F.sum("event_id").alias("ids"))
 
 
 def record_probe(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +168,7 @@ def award_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Award names held against who fought on the card: as written, without blanks, with the parts swapped, or unknown; and how many awards have two."""
     rows = app(spark, sf)
     name = lambda c: F.concat(F.lit("ann side"), F.col(c).cast("string"))
-    told = rows.where("bout_id % 7 = 0").select("event", "bout_id", "entity", name("entity").alias("name"))
+    told = rows.select("event", "bout_id", "entity", name("entity").alias("name"))
     told = told.select("event", "bout_id", F.when(F.col("entity") % 4 == 0, F.col("name")).when(F.col("entity") % 4 == 1, F.replace("name", F.lit(" "), F.lit(""))).when(F.col("entity") % 4 == 2, F.concat(F.split_part("name", F.lit(" "), F.lit(2)), F.lit(" ann"))).otherwise("nobody").alias("name"))
     card = rows.select("event", name("entity").alias("key")).distinct()
     checked = names.on_card(told, card)
@@ -178,7 +179,7 @@ def award_validation(spark: SparkSession, sf: str) -> DataFrame:
 def page_accepted(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a page is the entity's: of the days that it claims, at least two (or all, if fewer) are within two days of a bout of the entity."""
     rows = app(spark, sf).select("entity", "bout_id", "dt")
-    claims = rows.where("bout_id % 11 = 0").select("entity", F.col("bout_id").alias("claim"), F.date_add("dt", (F.col("bout_id") % 6).cast("int")).alias("day"))
+    claims = rows.select("entity", F.col("bout_id").alias("claim"), F.date_add("dt", (F.col("bout_id") % 6).cast("int")).alias("day"))
     days = claims.withColumn("near", F.explode(F.sequence(F.date_sub("day", 2), F.date_add("day", 2))))
     hits = days.join(rows.select("entity", F.col("dt").alias("near")).distinct(), ["entity", "near"]).groupBy("entity").agg(F.countDistinct("claim").alias("hits"))
     out = claims.groupBy("entity").agg(F.count("*").alias("n")).join(hits, "entity", "left").select("entity", "n", F.coalesce("hits", F.lit(0)).alias("hits"))
@@ -243,8 +244,9 @@ ORACLES = {
     "used_ids": f"{B} SELECT r_id AS id FROM bouts UNION SELECT b_id FROM bouts",
     "collection_queue": f"""{APP}, per AS (SELECT entity AS id, count(*) AS n FROM app GROUP BY 1), g AS (SELECT entity AS id, 0 AS rank FROM app WHERE event = (SELECT max(event) FROM app) UNION ALL SELECT id, 1 FROM per WHERE n < 200
         UNION ALL SELECT id, 2 FROM per WHERE n % 5 = 0 UNION ALL SELECT id, 3 FROM per) SELECT id, min(rank) AS rank FROM g WHERE id % 7 > 0 GROUP BY 1 ORDER BY 2, 1 LIMIT 40""",
-    "throttle_calls": """WITH k AS (SELECT user_id || '/' || event_type AS key, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
-        SELECT key, count(*) AS calls FROM k WHERE before IS NULL OR epoch_us(ts) - epoch_us(before) >= 86400000000 GROUP BY 1""",
+    "throttle_calls": """WITH RECURSIVE k AS (SELECT user_id || '/' || event_type AS key, ts, event_id FROM events), p AS (SELECT key, min(ts) AS ts FROM k GROUP BY 1
+            UNION ALL SELECT k.key, min(k.ts) FROM p JOIN k ON p.key = k.key AND epoch_us(k.ts) - epoch_us(p.ts) >= 86400000000 GROUP BY 1)
+        SELECT key, count(*) AS calls, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT p.key, p.ts, min(event_id) AS id FROM p JOIN k ON p.key = k.key AND p.ts = k.ts GROUP BY 1, 2) GROUP BY 1""",
     "record_probe": r"""WITH c AS (SELECT len(regexp_extract_all(coalesce(html, ''), '<a\s')) AS links, len(regexp_extract_all(coalesce(html, ''), '<li>')) AS items, len(regexp_extract_all(coalesce(html, ''), '\b\d{2,4}\b')) AS numbers FROM pages)
         SELECT count(*) AS pages, CAST(sum(links) AS BIGINT) AS links, CAST(sum(items) AS BIGINT) AS items, CAST(sum(numbers) AS BIGINT) AS numbers, round(avg(CAST(links > 0 AS DOUBLE)), 6) AS links_share, round(avg(CAST(items > 0 AS DOUBLE)), 6) AS items_share,
         round(avg(CAST(numbers > 0 AS DOUBLE)), 6) AS numbers_share FROM c""",
@@ -257,8 +259,8 @@ ORACLES = {
         SELECT s_suppkey, name, shown, CASE WHEN true THEN 'Supplier#000000002' END AS a, shown AS b FROM s""",
     "methods_mentioned": f"""{APP}, g AS (SELECT entity, event, count(DISTINCT method) AS kinds FROM app GROUP BY 1, 2) SELECT entity, CAST(event AS VARCHAR) AS event, CAST(kinds AS INTEGER) AS kinds, CAST(kinds >= 2 AS INTEGER) AS told FROM g""",
     "folded_names": "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'jan blach owicz' WHEN 1 THEN 'ovince saint preux' WHEN 2 THEN 'strasse o dor' WHEN 3 THEN 'antonio aesop' ELSE 'side' END AS key FROM supplier",
-    "award_validation": f"""{APP}, t AS (SELECT event, CASE entity % 4 WHEN 0 THEN 'as written' WHEN 1 THEN 'without blanks' WHEN 2 THEN 'swapped' ELSE 'unknown' END AS how FROM app WHERE bout_id % 7 = 0) SELECT CAST(event AS VARCHAR) AS event, how, count(*) AS n FROM t GROUP BY 1, 2""",
-    "page_accepted": f"""{APP}, c AS (SELECT entity, bout_id AS claim, dt + CAST(bout_id % 6 AS INTEGER) AS day FROM app WHERE bout_id % 11 = 0),
+    "award_validation": f"""{APP}, t AS (SELECT event, CASE entity % 4 WHEN 0 THEN 'as written' WHEN 1 THEN 'without blanks' WHEN 2 THEN 'swapped' ELSE 'unknown' END AS how FROM app) SELECT CAST(event AS VARCHAR) AS event, how, count(*) AS n FROM t GROUP BY 1, 2""",
+    "page_accepted": f"""{APP}, c AS (SELECT entity, bout_id AS claim, dt + CAST(bout_id % 6 AS INTEGER) AS day FROM app),
         h AS (SELECT c.entity, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM app a WHERE a.entity = c.entity AND abs(date_diff('day', a.dt, c.day)) <= 2)) AS hits FROM c GROUP BY 1)
         SELECT entity, n, hits, CAST(hits >= least(2, n) AS INTEGER) AS accepted FROM h""",
     "market_classes": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'distance' WHEN 1 THEN 'method' WHEN 2 THEN 'method' WHEN 3 THEN 'total' WHEN 4 THEN 'winner' WHEN 5 THEN 'round' ELSE 'other' END AS kind,
