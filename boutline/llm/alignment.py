@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 from boutline.llm.common import discard, release, setting, slices, stored, text_of
 from boutline.llm.packing import _byte_characters
 from boutline.llm.tokens import ONE_BLANK, vocabulary_file
+from boutline.sources.scratch import remove, scratch_folder
 
 #: A dictionary ends with the document that reaches so many units, different or in all.
 UNITS, OCCURRENCES = 1 << 20, 1 << 23
 #: Seconds for which the cleaner of shuffle files is left alone before a large step.
-PAUSE = 1.0
+PAUSE = 2.0
 #: Links that are sorted at a time.
 LINKS = 1 << 20
 _ODD = r"\s\x1c-\x1f\x85᠎​▁﻿"
@@ -74,40 +76,43 @@ class Sides:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        byte_of, size = _byte_characters(), self.a.get_vocab_size()
-        self.a_bytes = [bytes(byte_of.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(size)]
+        with open(a_path, encoding="utf-8") as f:
+            file = json.load(f)
+        byte_of, vocabulary = _byte_characters(), file["model"]["vocab"]
+        ids = vocabulary | {t["content"]: t["id"] for t in file["added_tokens"]}
+        self.a_bytes = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            self.a_bytes[i] = bytes(byte_of.get(c, 0) for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.blank = self.b.piece_to_id(BLANK)
-        with open(a_path, encoding="utf-8") as f:
-            before = json.load(f)["pre_tokenizer"] or {}
+        before = file["pre_tokenizer"] or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         #: Whether no token of either crosses from a letter to a blank or a line break.
         self.divisible = plain and not any(re.search(f"[^{BLANK}]{BLANK}|\n", p) for i, p in enumerate(pieces) if not self.b.is_control(i))
-        if plain:
-            self._fast(a_path)
+        self.encode_a = (plain and self._by_ranks(file)) or self._by_library(a_path)
 
-    def _fast(self, path: str) -> None:
+    def _by_ranks(self, file: dict) -> Callable[[str], list[int]] | None:
         """The same ids from the ranks alone, where the merges are in the order of their ids."""
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        added = {t["content"] for t in file["added_tokens"]}
+        added, vocabulary = {t["content"] for t in file["added_tokens"]}, file["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
-        results = [file["model"]["vocab"][x + y] for x, y in merges]
+        results = [vocabulary[x + y] for x, y in merges]
         if file["normalizer"] or any(x >= y for x, y in zip(results, results[1:])):
-            return
-        ranks = {self.a_bytes[i]: i for token, i in file["model"]["vocab"].items() if token not in added}
-        self.encode_a = tiktoken.Encoding("file", pat_str=ONE_BLANK, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            return None
+        ranks = {self.a_bytes[i]: i for token, i in vocabulary.items() if token not in added}
+        return tiktoken.Encoding("file", pat_str=ONE_BLANK, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def encode_a(self, text: str) -> list[int]:
-        return self.a.encode(text, add_special_tokens=False).ids
+    @staticmethod
+    def _by_library(path: str) -> Callable[[str], list[int]]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode_b(self, units: list[str]) -> list[list[int]]:
         """The library puts a blank before each text: the unit's own one, or one to take away again before a line break."""
@@ -120,11 +125,14 @@ def worker_sides(a_path: str, b_path: str) -> Sides:
     return Sides(a_path, b_path)
 
 
+PARTS = "part long, doc_id long, units binary, number int, unit string, kind int"
+
+
 def dictionaries(docs: DataFrame, divisible: bool) -> DataFrame:
-    """Rows of documents ``(part, doc_id, units)``, and of the units of a part ``(part, number, unit)``; ``units`` are numbers, packed."""
+    """Rows of documents ``(part, doc_id, units)``, kind 0, and of the units of a part ``(part, number, unit)``, kind 1; ``units`` are numbers, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names = TaskContext.get().partitionId() << 24, ["part", "doc_id", "units", "number", "unit"]
+        part, names = TaskContext.get().partitionId() << 24, ["part", "doc_id", "units", "number", "unit", "kind"]
         numbers, n = defaultdict(int), 0
         numbers.default_factory = numbers.__len__
 
@@ -133,7 +141,7 @@ def dictionaries(docs: DataFrame, divisible: bool) -> DataFrame:
             for i in range(0, len(keys), 1 << 15):
                 units = pa.array([unit_of(k) if divisible else k for k in keys[i : i + (1 << 15)]])
                 own = pa.array(range(i, i + len(units)), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(units), pa.int64()), pa.nulls(len(units), pa.int64()), pa.nulls(len(units), pa.binary()), own, units], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(units), pa.int64()), pa.nulls(len(units), pa.int64()), pa.nulls(len(units), pa.binary()), own, units, pa.array([1] * len(units), pa.int32())], names=names)
 
         for batch in slices(batches, 100):
             ids, units, parts = batch.column(0).to_pylist(), [], []
@@ -149,11 +157,11 @@ def dictionaries(docs: DataFrame, divisible: bool) -> DataFrame:
                     numbers.clear()
                     part, n = part + 1, 0
             rows = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(ids, pa.int64()), pa.array(units, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(ids, pa.int64()), pa.array(units, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.string()), pa.array([0] * rows, pa.int32())], names=names)
             yield from made
         yield from entries()
 
-    return text_of(docs).mapInArrow(run, "part long, doc_id long, units binary, number int, unit string")
+    return text_of(docs).mapInArrow(run, PARTS)
 
 
 def tokenized_units(units: DataFrame, a_name: str, b_name: str) -> DataFrame:
@@ -220,32 +228,38 @@ def aligned(words: DataFrame) -> DataFrame:
 
 
 class Part:
-    """The facts of the units of a part: their links as numbers of pairs, by unit."""
+    """The facts of the units of a part: their links as numbers of pairs, by unit; with ``texts`` their groups too."""
 
-    def __init__(self, facts: pa.Table):
+    def __init__(self, facts: pa.Table, texts: bool):
         order = np.argsort(facts.column("number").to_numpy())
-        facts = facts.take(pa.array(order))
-        self.groups, links = facts.column("groups").to_pylist(), facts.column("links").to_pylist()
-        number, flat, starts = defaultdict(int), [], [0]
+        number, flat, starts = defaultdict(int), array("i"), array("q", [0])
         number.default_factory = number.__len__
-        self.sizes = np.zeros((len(links), 3), np.int64)  # tokens of either side, groups
-        for i, (text, pairs) in enumerate(zip(self.groups, links)):
-            if pairs is not None:
-                sides = [g.split("|") for g in text.split(";")]
-                self.sizes[i] = sum(a.count(",") + 1 for a, _ in sides), sum(b.count(",") + 1 for _, b in sides), len(sides)
-                flat += [number[p] for p in pairs.split(";")]
-            elif text is not None:
-                flat += [number[p] for p in text.split(";")]
-                self.sizes[i] = len(flat) - starts[-1]
-            starts.append(len(flat))
-        self.pairs, self.links, self.starts = list(number), np.array(flat, np.int64), np.array(starts, np.int64)
-        self.broken = np.array([g is None for g in self.groups], bool)
+        self.groups: list[str | None] = []
+        self.sizes = np.zeros((len(order), 3), np.int32)  # tokens of either side, groups
+        self.broken = np.zeros(len(order), bool)
+        for first in range(0, len(order), 1 << 16):
+            own = facts.select(["groups", "links"]).take(pa.array(order[first : first + (1 << 16)]))
+            told = own.column("groups").to_pylist()
+            for i, (text, pairs) in enumerate(zip(told, own.column("links").to_pylist()), first):
+                if pairs is not None:
+                    sides = [g.split("|") for g in text.split(";")]
+                    self.sizes[i] = sum(a.count(",") + 1 for a, _ in sides), sum(b.count(",") + 1 for _, b in sides), len(sides)
+                    flat.extend([number[p] for p in pairs.split(";")])
+                elif text is not None:
+                    flat.extend([number[p] for p in text.split(";")])
+                    self.sizes[i] = len(flat) - starts[-1]
+                else:
+                    self.broken[i] = True
+                starts.append(len(flat))
+            if texts:
+                self.groups += told
+        self.pairs, self.links, self.starts = list(number), np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.array(starts, np.int64)
 
     def documents(self, units: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The units of all documents one after the other, where each document starts, and which have tokens."""
         rows = [unpacked(u.as_buffer()) for u in units]
         flat, ends = np.concatenate([*rows, np.zeros(0, "<i4")]), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-        spoiled = np.concatenate(([0], np.cumsum(self.broken[flat])))
+        spoiled = np.concatenate(([0], np.cumsum(self.broken[flat], dtype=np.int32)))
         return flat, ends, (np.diff(ends) > 0) & (np.diff(spoiled[ends]) == 0)
 
     def held(self, flat: np.ndarray, ends: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -267,7 +281,7 @@ class Part:
 
 def _count_pairs(docs: pa.Table, facts: pa.Table) -> pa.Table:
     """``(part, number, a, b, n)``: how many documents of the part hold each pair."""
-    part = Part(facts)
+    part = Part(facts, False)
     n = part.held(*part.documents(docs.column("units")))
     kept = np.flatnonzero(n)
     sides = [part.pairs[i].split("|") for i in kept]
@@ -286,7 +300,7 @@ def _summed(told: Callable[[str], str]) -> Callable[[pa.Table, pa.Table], pa.Tab
     def run(docs: pa.Table, both: pa.Table) -> pa.Table:
         counted = np.asarray(both.column("count").is_valid())
         facts, counts = both.filter(pa.array(~counted)), both.filter(pa.array(counted))
-        part = Part(facts)
+        part = Part(facts, True)
         count, best = np.zeros(len(part.pairs), np.int64), np.zeros(len(part.pairs), np.int64)
         at = counts.column("number").to_numpy()
         count[at], best[at] = counts.column("count").to_numpy(), counts.column("best").to_numpy()
@@ -316,8 +330,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     """
     spark = docs.sparkSession
     a_name, b_name = vocabulary_file(spark, a_path), vocabulary_file(spark, b_path)
-    table = stored(dictionaries(docs, worker_sides(a_path, b_path).divisible), "parts")
-    texts, listed = table.where("unit is null").select("part", "doc_id", "units"), table.where("unit is not null").select("part", "number", "unit")
+    path = scratch_folder(spark, "parts")
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):  # else the rows would be sorted by kind
+        dictionaries(docs, worker_sides(a_path, b_path).divisible).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    table = spark.read.schema(PARTS).parquet(path)
+    texts, listed = table.where("kind = 0").select("part", "doc_id", "units"), table.where("kind = 1").select("part", "number", "unit")
     words = stored(tokenized_units(listed.select("unit").distinct(), a_name, b_name), "words")
     release(spark, PAUSE)
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # else the join would shuffle tokens by unit and end
@@ -328,6 +345,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     release(spark, PAUSE)
     facts = stored(listed.join(found, "unit", "left").select("part", "number", "groups", "links"), "facts")
     discard(found)
+    remove(spark, f"{path}/kind=1")
     release(spark, PAUSE)
 
     by_part = texts.select("part", "units").groupBy("part").cogroup(facts.groupBy("part"))
