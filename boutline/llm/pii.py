@@ -3,7 +3,9 @@
 Found and validated: e-mail addresses, North American phone numbers, payment card numbers (Luhn), IPv4
 addresses, social security numbers and dates. Each is permuted among the valid values of its own
 format under the key, so equal values get equal pseudonyms in every document and different values
-different ones. What fails validation stays as it is. Separators, issuer digit and mail domain stay.
+different ones. What fails validation stays as it is. Separators, issuer digit and mail domain stay. Of a run of digit groups
+the leftmost longest valid card numbers are taken, so other digits beside one do not hide it. Out of scope: numbers without
+separators that are no cards, other countries' numbers, dates before 1700 or after 2099, and names.
 
 Edge cases: a null text stays null; an empty text stays empty; repeated rows are each rewritten; an empty
 table gives an empty result; all other columns are passed through as they are, whatever their names.
@@ -11,28 +13,38 @@ table gives an empty result; all other columns are passed through as they are, w
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.llm.common import unused
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
+#: The setting that names the secret of a deployment.
+KEY = "spark.boutline.pii.key"
+_SECRETS: dict[str, str] = {}
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 DAY_DATE = r"(?<!\d)\d{2}([/.])\d{2}\1\d{4}(?!\d)"
 PHONE = r"(?<![\w(.\-])(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-CARD = r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?!\d)"
-ANY = "|".join([EMAIL, IPV4, ISO_DATE, DAY_DATE.replace(r"([/.])", "[/.]").replace(r"\1", "[/.]"), PHONE, SSN, CARD])
+ANY = "|".join([EMAIL, IPV4, ISO_DATE, DAY_DATE.replace(r"([/.])", "[/.]").replace(r"\1", "[/.]"), PHONE, SSN])
+#: Where card numbers may stand among what is left: digits with blanks and hyphens. Groups of digits are divided by one of them.
+NUMBERS, GROUP, CARD_DIGITS = r"(?<!\d)\d[\d \-]{11,}\d", r"\d+[ \-]*", (13, 19)
 #: The Gregorian calendar repeats after 146097 = 189 * 773 days; these begin on this day.
 FIRST_DAY, DAYS = "1700-01-01", (189, 773)
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS26 = "0123456789abcdefghijklmnop"
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret that ``KEY`` names; where it is unset one made at random, the same for all of an application, that nobody is told."""
+    return spark.conf.get(KEY, None) or _SECRETS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -113,6 +125,38 @@ def card(value: Column, key: str) -> Column:
     return _let(_digits(value), of)
 
 
+def cards(value: Column, key: str) -> Column:
+    """The card numbers in a run of groups of digits, from the left, each as long as can be; all other groups stay."""
+
+    def of(groups: Column) -> Column:
+        text = lambda at, size: F.array_join(F.slice(groups, at + 1, size), "")
+
+        def longest(at: Column) -> Column:
+            def good(size: Column) -> Column:
+                return _let(text(at, size), lambda t: _let(_digits(t), lambda d: F.length(d).between(*CARD_DIGITS) & luhn(d) & ~t.rlike(r"[ \-]{2,}\d")))
+
+            return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(CARD_DIGITS[1]), F.size(groups) - at)), good)), F.lit(0))
+
+        def step(s: Column, at: Column) -> Column:
+            size = F.when(at >= s["free"], longest(at)).otherwise(0)
+            more = lambda n: F.struct((at + n).alias("free"), F.concat(s["chosen"], F.array(F.struct(at.alias("at"), n.alias("size")))).alias("chosen"))
+            return _let(size, lambda n: F.when(n > 0, more(n)).otherwise(s))
+
+        none = F.array().cast("array<struct<at:int,size:int>>")
+        chosen = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), F.struct(F.lit(0).alias("free"), none.alias("chosen")), step, lambda s: s["chosen"])
+
+        def put(c: Column) -> Column:
+            def told(group: Column, at: Column) -> Column:
+                own = F.get(F.filter(c, lambda x: (x["at"] <= at) & (at < x["at"] + x["size"])), F.lit(0))
+                return F.when(own.isNull(), group).when(own["at"] == at, card(text(at, own["size"]), key)).otherwise("")
+
+            return F.when(F.size(c) == 0, value).otherwise(F.array_join(F.transform(groups, told), ""))
+
+        return _let(chosen, put)
+
+    return _let(F.regexp_extract_all(value, F.lit(GROUP), F.lit(0)), of)
+
+
 def phone(value: Column, key: str) -> Column:
     """A phone number: area and exchange stay in the range that numbers have.
 
@@ -225,7 +269,7 @@ def pseudonym(value: Column, key: str) -> Column:
     return (
         F.when(F.contains(value, F.lit("@")), email(value, key)).when(whole(IPV4), ipv4(value, key))
         .when(whole(ISO_DATE) | whole(DAY_DATE), date(value, key)).when(whole(PHONE), phone(value, key))
-        .when(whole(SSN), ssn(value, key)).when(whole(CARD), card(value, key)).otherwise(value)
+        .when(whole(SSN), ssn(value, key)).otherwise(value)
     )
 
 
@@ -236,14 +280,31 @@ def pseudonymize(docs: DataFrame, key: str, counted: str | None = "n_replaced")
     """
     (values,) = unused(docs.columns, "values")
     text = F.col("text").cast("string")
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    rest = F.split(text, ANY, -1)
-    put = F.when(text.rlike("[0-9@]"), F.transform(found, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("new"))))
+
+    def replaced(whole: Column, pattern: str, told: Callable[[Column], Column]) -> Column:
+        """What is between the matches, and old and new of each."""
+        pairs = F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda v: F.struct(v.alias("old"), told(v).alias("new")))
+        return F.struct(F.split(whole, pattern, -1).alias("rest"), pairs.alias("pairs"))
+
+    def merged(part: Column) -> Column:
+        return F.array_join(F.zip_with(part["rest"], part["pairs"], lambda p, v: F.concat(p, F.coalesce(v["new"], F.lit("")))), "")
+
+    def changes(pairs: Column) -> Column:
+        return F.size(F.filter(pairs, lambda v: v["old"] != v["new"]))
+
+    def outer(found: Column) -> Column:
+        inner = F.transform(found["rest"], lambda piece: _let(replaced(piece, NUMBERS, lambda v: cards(v, key)), lambda part: F.struct(merged(part).alias("text"), changes(part["pairs"]).alias("n"))))
+
+        def whole(pieces: Column) -> Column:
+            text = F.array_join(F.zip_with(pieces["text"], found["pairs"], lambda p, v: F.concat(p, F.coalesce(v["new"], F.lit("")))), "")
+            return F.struct(text.alias("text"), (F.aggregate(pieces["n"], F.lit(0), lambda a, n: a + n) + changes(found["pairs"])).alias("n"))
+
+        return _let(inner, whole)
+
+    put = F.when(text.rlike("[0-9@]"), _let(replaced(text, ANY, lambda v: pseudonym(v, key)), outer))
     staged = docs.withColumn(values, put)
-    joined = F.array_join(F.zip_with(rest, F.col(f"{values}.new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    some = F.size(values) > 0
+    some, joined, changed = F.col(values).isNotNull(), F.col(f"{values}.text"), F.col(f"{values}.n")
     columns = [F.when(some, joined).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counted is not None:
-        changed = F.size(F.filter(values, lambda v: v["old"] != v["new"]))
         columns.append(F.when(some, changed).otherwise(0).cast("long").alias(*unused(docs.columns, counted)))
     return staged.select(*columns)
