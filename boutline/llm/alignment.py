@@ -40,7 +40,7 @@ from boutline.sources.scratch import remove, scratch_folder
 #: A dictionary ends with the document that reaches so many units, different or in all.
 UNITS, OCCURRENCES = 1 << 20, 1 << 23
 #: Seconds for which the cleaner of shuffle files is left alone before a large step.
-PAUSE = 2.0
+PAUSE = 1.5
 #: Links that are sorted at a time.
 LINKS = 1 << 20
 _ODD = r"\s\x1c-\x1f\x85᠎​▁﻿"
@@ -353,6 +353,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) -> Da
     release(spark, PAUSE)
     counts = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
     top = counts.groupBy("a").agg(F.max("count").alias("most"))
+    release(spark, PAUSE)
     known = counts.join(top, "a").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
     back = pairs.join(known, ["a", "b"]).select("part", "number", "count", "best")
 

@@ -61,10 +61,15 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def release(spark: SparkSession, pause: float = 0.0) -> None:
-    """Lets Spark drop the shuffle files of finished steps now rather than at its next collection; ``pause`` is how long its cleaner is left alone."""
+    """Lets Spark drop the shuffle files of finished steps now rather than at its next collection.
+
+    Python gives its objects back a second later, by a thread of its own, and the cleaner takes a moment after that: with ``pause`` both are
+    waited for, where a large step follows.
+    """
     gc.collect()
-    spark._jvm.System.gc()
     time.sleep(pause)
+    spark._jvm.System.gc()
+    time.sleep(pause / 2)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
