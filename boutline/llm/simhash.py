@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutline.llm.common import components, release, slices, stored, text_of, unused
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
-RADIUS = 2
+#: Differing bits of near-duplicates, parts of a fingerprint that have a table each, and fingerprints of one entry of a table that are fetched.
+RADIUS, SEGMENTS, CROWD = 2, 2, 32
 #: What the pipeline takes for near-duplicates: the Jaccard likeness of sets of shingles of so many words.
 WIDTH, SIMILARITY = 5, 0.8
 #: Tasks that the rows of one fingerprint are dealt to.
@@ -68,24 +70,66 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return text_of(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(points: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` that connect all fingerprints of ``points(fp)`` within two bits of each other.
+def ball(width: int, radius: int) -> list[int]:
+    """All masks of ``width`` bits with ``radius`` or fewer set, as signed longs."""
+    masks = [sum(1 << bit for bit in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
-    The two 32-bit halves are the segments. The table has each fingerprint under the words of the ball of radius one
-    in either segment, the other segment as it is: 32 + 32 words and its own. Of two fingerprints within two
-    bits, three cases: both bits lie in one segment, so the word halfway is in both balls of that segment; one bit lies in
-    each, so the word with the one bit flipped is in the first's ball of one segment and in the other's ball of the
-    other; or there is one bit at most, and each is in the other's ball. So they meet under a word, and a word has 65
-    fingerprints at most. Each is linked to the least of its words after its complete distance is verified; that makes
-    no pairs, and no bucket can grow beyond 65.
+
+def segment_bounds(segments: int) -> list[tuple[int, int]]:
+    """Shift and width of each of the parts that 64 bits are cut into."""
+    cuts = [64 * i // segments for i in range(segments + 1)]
+    return [(low, high - low) for low, high in zip(cuts, cuts[1:])]
+
+
+def links(points: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """Edges ``(a, b)`` that connect all fingerprints of ``points(fp)`` within ``radius`` bits of each other.
+
+    Of two such fingerprints some segment differs in at most ``radius // segments`` bits. The table has each fingerprint under each of its
+    segments; each also asks the table for all values within that ball of each of its segments, and what it fetches is held against it
+    in full. An entry of the table with more than ``crowd`` fingerprints would give all pairs of them; it tells those that ask for it, and all
+    its own, to meet by whole words instead (``crowded``), which is exact too and makes no pairs.
+    """
+    bounds = segment_bounds(segments)
+    value = lambda i: F.shiftrightunsigned("fp", bounds[i][0]).bitwiseAND(F.lit(-1 if segments == 1 else (1 << bounds[i][1]) - 1).cast("long"))
+    own = F.array(*[F.struct(F.lit(i).alias("segment"), value(i).alias("value")) for i in range(segments)])
+    table = points.select(F.col("fp").alias("b"), F.inline(own))
+    near = [F.array(*[F.lit(m).cast("long") for m in ball(width, min(width, radius // segments))]) for _, width in bounds]
+
+    def asked(i: int) -> Column:
+        return F.transform(near[i], lambda m: F.struct(F.lit(i).alias("segment"), value(i).bitwiseXOR(m).alias("value")))
+
+    probes = points.select(F.col("fp").alias("a"), F.inline(F.flatten(F.array(*[asked(i) for i in range(segments)]))))
+
+    keys = ["segment", "value"]
+    sizes = table.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    crowds = stored(sizes.select(*keys, F.lit(True).alias("crowd")), "crowds")
+    sparse = table.join(crowds, keys, "left_anti").select(*keys, "b", F.lit(False).alias("crowd"))
+    entries = sparse.unionByName(crowds.select(*keys, F.lit(None).cast("long").alias("b"), "crowd"))
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    met = stored(probes.join(entries, keys).where(F.col("crowd") | (F.col("a") < F.col("b")) & (apart <= radius)).select("a", "b").distinct(), "met")
+    pairs = met.where("b is not null")
+    if crowds.isEmpty():
+        return pairs
+    whole = met.where("b is null").select(F.col("a").alias("fp"))  # each of a crowd asks for its own value too
+    return pairs.unionByName(crowded(whole, radius)).distinct()
+
+
+def crowded(points: DataFrame, radius: int) -> DataFrame:
+    """The same for fingerprints of which very many are alike: by words halfway between two.
+
+    Two fingerprints within ``radius`` share a word that is within ``radius // 2`` of one and the rest of the way from the other. All that
+    lie as near to a word are linked to the least of them, and those farther off too; no two of these are more than ``radius`` apart, and
+    no pairs are made.
     """
-    words = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    table = points.select("fp", F.explode(words).alias("word")).repartition("word")  # nearly all words are single: nothing to combine before
-    met = table.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("top"), F.count("*").alias("n")).where("n > 1")
-    met = stored(met, "met")
-    more = table.join(met.where("n > 2").select("word", "b"), "word").select(F.col("fp").alias("a"), "b").where("a <> b")
-    pairs = met.select(F.col("top").alias("a"), "b").unionByName(more).distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    inner, outer = radius // 2, radius - radius // 2
+    far = ball(64, outer)
+    count = len(ball(64, inner))  # the masks come by the number of bits
+    words = F.transform(F.array(*[F.lit(m).cast("long") for m in far]), lambda m, i: F.struct(F.col("fp").bitwiseXOR(m).alias("word"), (i < count).alias("inner")))
+    table = points.select("fp", F.inline(words)).repartition("word")  # nearly all words are single: nothing to combine before
+    least = F.min(F.when(F.col("inner"), F.col("fp")))
+    hubs = stored(table.groupBy("word").agg(least.alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null").select("word", "b"), "hubs")
+    return table.join(hubs, "word").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -288,3 +288,32 @@ def test_query_of_minhash_as_returned(spark, sf, corpus):
         r = rows[i]
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), *prints[:2])
         assert abs(r.near_edited - like(*prints[:2])) < 1e-12 and abs(r.near_next - like(prints[0], prints[2])) < 1e-12
+
+
+@pytest.mark.parametrize("crowd", [2, 1000])
+@pytest.mark.parametrize("radius, segments", [(2, 2), (2, 3), (2, 4), (3, 2), (3, 3), (3, 4), (6, 3), (6, 4), (1, 1), (0, 4)])
+def test_links_lose_no_pair_and_make_none(spark, radius, segments, crowd):
+    if crowd == 2 and radius == 6:
+        pytest.skip("a ball of three bits around every fingerprint of a crowd")
+    rng = random.Random(radius * 10 + segments)
+    points = set()
+    for _ in range(12):
+        seed = rng.getrandbits(64)
+        points.add(seed)
+        for _ in range(rng.choice([1, 3, 12])):
+            points.add(seed ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius + 2))))
+    points = sorted(points | {0, 1, 3, 7, 1 << 63, (1 << 64) - 1})
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    frame = spark.createDataFrame([(signed(p),) for p in points], "fp long")
+    edges = {frozenset((r.a, r.b)) for r in simhash.links(frame, radius, segments, crowd).collect()}
+    near = {frozenset((signed(x), signed(y))) for i, x in enumerate(points) for y in points[:i] if (x ^ y).bit_count() <= radius}
+    assert edges <= near
+
+    def classes(pairs):
+        group = {signed(p): signed(p) for p in points}
+        for a, b in (tuple(p) for p in pairs):
+            group = {k: group[b] if g == group[a] else g for k, g in group.items()}
+        return {frozenset(k for k in group if group[k] == g) for g in group.values()}
+
+    assert classes(edges) == classes(near)
+    assert crowd == 2 or edges == near
