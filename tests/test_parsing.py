@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from boutline.operators import feed, loader, market, names, rates, wiki
 from boutline.sources import files
+from boutline.sources.scratch import scratch_folder
 
 day = datetime.date
 RECORD = """Lead.
@@ -144,8 +145,16 @@ def test_loader_counts_every_reason(spark):
     )
     who = lambda name, height, reach, n: (name, height, reach, "", "Jan 1, 1990", f"http://x/{n}")
     tott = frame([who("Ann A", "5' 10\"", '70"', "a"), who("Bea B", "6' 0\"", "--", "b"), who("Cal C", "--", '74"', "c"), who("Twin T", "5' 8\"", '68"', "t"), who("twin  t", "5' 6\"", '66"', "u")], "tott")
-    kept, sides, drops = loader.load(events, results, stats, tott, frame([("Rock", "http://x/a")], "details"))
-    assert {r.reason: r.n for r in drops.collect()} == {"kept": 1, "kept as no contest": 1, "no date": 1, "ambiguous name": 1, "not on the roster": 1, "no duration": 1, "no statistics": 1}
+    raw = (events, results, stats, tott, frame([("Rock", "http://x/a")], "details"))
+    kept, sides = loader.load(*raw)
+    path = scratch_folder(spark, "loaded")
+    spark.sparkContext.setJobGroup("loader", "")
+    assert loader.write_bouts(path, *raw) == {"kept": 1, "kept as no contest": 1, "no date": 1, "ambiguous name": 1, "not on the roster": 1, "no duration": 1, "no statistics": 1}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("loader"))
+    spark.sparkContext.setJobGroup("write", "")
+    kept.write.parquet(f"{path}-again")
+    assert jobs == len(spark.sparkContext.statusTracker().getJobIdsForGroup("write"))  # counting took no job of its own
+    assert sorted(map(str, spark.read.parquet(path).collect())) == sorted(map(str, kept.collect()))
     rows = {r.fight_id: r for r in kept.collect()}
     assert (rows["f1"].total_sec, rows["f1"].r_ss_landed, rows["f1"].r_r1_ss_landed, rows["f1"].r_late_ss_landed, rows["f1"].r_ctrl_sec, rows["f1"].r_kd) == (390.0, 6.0, 1.0, 3.0, 195.0, 3.0)
     assert (rows["f2"].winner, rows["f2"].method, rows["f2"].sched_sec, rows["f2"].r_n_rounds) == ("nc", "DEC", 900.0, 1)
