@@ -148,6 +148,26 @@ def style_imposition(app: DataFrame) -> DataFrame:
     return told.groupBy("predictor", "bucket").agg(F.count("*").alias("n"), F.avg("finish").alias("rate")).where("n >= 60")
 
 
+def style_spreads(app: DataFrame, least: int = 60) -> DataFrame:
+    """For each predictor how it goes with the finish: correlation, and the first bucket's rate less the last one's, of those with ``least`` bouts; null with under three."""
+    rows = decision_shares(app, 3).where("low <> high")
+    long = rows.select("finish", F.expr("stack(3, 'mean', mean, 'low', low, 'high', high) as (predictor, share)"))
+    overall = long.groupBy("predictor").agg(F.count("*").alias("n"), F.corr("share", "finish").alias("r"))
+    cells = long.withColumn("bucket", bucket_left(F.col("share"), EDGES)).where("bucket is not null").groupBy("predictor", "bucket").agg(F.count("*").alias("n"), F.avg("finish").alias("rate"))
+    shown = cells.where(F.col("n") >= least).groupBy("predictor").agg(F.count("*").alias("shown"), (F.min_by("rate", "bucket") - F.max_by("rate", "bucket")).alias("spread"))
+    return overall.join(shown, "predictor", "left").select("predictor", "n", "r", F.when(F.col("shown") >= 3, F.col("spread")).alias("spread"))
+
+
+def style_who(app: DataFrame, wide: float = 0.2, least_wide: int = 60) -> DataFrame:
+    """Who gets the finish: the share of finishes, and of all bouts, that the side with fewer decisions among its wins has won; and of finishes of sides far apart."""
+    rows = decision_shares(app, 3).where("low <> high and result_of_high in ('W', 'L')")
+    ours, ended, apart = (F.col("result_of_high") == "L").cast("double"), F.col("finish") == 1, F.col("high") - F.col("low") >= wide
+    return rows.agg(
+        F.count_if(ended).alias("finishes"), F.avg(F.when(ended, ours)).alias("to_finisher"), F.avg(ours).alias("wins_overall"), F.count_if(apart).alias("wide_n"),
+        F.when(F.count_if(apart & ended) >= least_wide, F.avg(F.when(apart & ended, ours))).alias("wide_to_finisher"),
+    )
+
+
 def r1_curve(app: DataFrame) -> DataFrame:
     """Share of finishes in round one, by the finish share of an entity with at least 8 bouts."""
     finish = (F.col("method") != "DEC").cast("double")

@@ -70,6 +70,14 @@ def style_imposition(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rates.style_imposition(app(spark, sf)), ["predictor", "bucket", "n"], ["rate"])
 
 
+def style_spreads(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rates.style_spreads(app(spark, sf)), ["predictor", "n"], ["r", "spread"])
+
+
+def style_who(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rates.style_who(app(spark, sf)), ["finishes", "wide_n"], ["to_finisher", "wins_overall", "wide_to_finisher"])
+
+
 def r1_curve(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rates.r1_curve(app(spark, sf)), ["bucket", "n"], ["rate"])
 
@@ -265,7 +273,7 @@ def round_index(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_bouts, drop_ambiguous, stat_totals, phase_sums, imputed_fit, cond_rates_quartile, decision_curve, style_imposition, r1_curve, r1_read, division_rates, market_bases,
+        clean_bouts, drop_ambiguous, stat_totals, phase_sums, imputed_fit, cond_rates_quartile, decision_curve, style_imposition, style_spreads, style_who, r1_curve, r1_read, division_rates, market_bases,
         card_shape, card_size_buckets, prop_targets, grade_claims, calibration_bands, scorecard, eval_metrics, win_baselines, card_topk, topk_overlap, career_split,
         card_history, survival_intervals, survival_rollup, joint_rescale, era_gate, join_shapes, tolerance_count, partner_completion, group_rates_having, thin_entities,
         drivers_topn, last_real_division, round_index,
@@ -309,6 +317,14 @@ ORACLES = {
         SELECT bucket, count(*) AS n, round(avg(finish), 6) AS rate, round((SELECT corr(mean, finish) FROM shares), 6) AS r FROM c WHERE bucket IS NOT NULL GROUP BY 1 HAVING count(*) >= 150""",
     "style_imposition": f"""{_DEC}, l AS (SELECT finish, 'mean' AS predictor, mean AS v, low, high, least FROM shares UNION ALL SELECT finish, 'low', low, low, high, least FROM shares UNION ALL SELECT finish, 'high', high, low, high, least FROM shares)
         SELECT predictor, CASE {_CLASSES} END AS bucket, count(*) AS n, round(avg(finish), 6) AS rate FROM l WHERE least >= 3 AND low <> high GROUP BY 1, 2 HAVING count(*) >= 60""",
+    "style_spreads": f"""{_DEC}, l AS (SELECT finish, 'mean' AS predictor, mean AS v, low, high, least FROM shares UNION ALL SELECT finish, 'low', low, low, high, least FROM shares UNION ALL SELECT finish, 'high', high, low, high, least FROM shares),
+        k AS (SELECT * FROM l WHERE least >= 3 AND low <> high), o AS (SELECT predictor, count(*) AS n, corr(v, finish) AS r FROM k GROUP BY 1),
+        b AS (SELECT predictor, CASE {_CLASSES} END AS bucket, avg(finish) AS rate FROM k GROUP BY 1, 2 HAVING count(*) >= 60), s AS (SELECT predictor, count(*) AS shown, arg_min(rate, bucket) - arg_max(rate, bucket) AS spread FROM b GROUP BY 1)
+        SELECT o.predictor, n, round(r, 6) AS r, round(CASE WHEN shown >= 3 THEN spread END, 6) AS spread FROM o LEFT JOIN s ON o.predictor = s.predictor""",
+    "style_who": f"""{_DEC}, w AS (SELECT bout_id, arg_max(result, decs / wins) AS of_high FROM won WHERE wins >= 2 GROUP BY 1), k AS (SELECT finish, high - low AS gap, CASE of_high WHEN 'L' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ours
+            FROM shares JOIN w USING (bout_id) WHERE least >= 3 AND low <> high AND of_high IN ('W', 'L'))
+        SELECT count(*) FILTER (WHERE finish = 1) AS finishes, round(avg(CASE WHEN finish = 1 THEN ours END), 6) AS to_finisher, round(avg(ours), 6) AS wins_overall, count(*) FILTER (WHERE gap >= 0.2::DOUBLE) AS wide_n,
+        round(CASE WHEN count(*) FILTER (WHERE gap >= 0.2::DOUBLE AND finish = 1) >= 60 THEN avg(CASE WHEN gap >= 0.2::DOUBLE AND finish = 1 THEN ours END) END, 6) AS wide_to_finisher FROM k""",
     "r1_curve": f"""{APP}, e AS (SELECT entity, avg(CASE WHEN method <> 'DEC' THEN 1.0::DOUBLE ELSE 0 END) AS v FROM app GROUP BY 1 HAVING count(*) >= 8),
         c AS (SELECT {'CASE ' + ' '.join(f'WHEN v >= {a} AND v < {b} THEN {i}' for i, (a, b) in enumerate(zip(rates.ROUND_ONE_EDGES, rates.ROUND_ONE_EDGES[1:]), 1)) + ' END'} AS bucket,
               CASE WHEN total_sec < 300 THEN 1.0::DOUBLE ELSE 0 END AS f FROM app JOIN e ON app.entity = e.entity WHERE method <> 'DEC')
