@@ -67,26 +67,26 @@ def platt_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weights(bout: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Poisson weights of mean one, a column for each draw; draw 0 is the rows as they are."""
+    """Poisson weights of mean one, a column for each draw."""
     u = (bout.astype(np.int64)[:, None] * 7919 + draws * 104729) % 1000003 / 1000003
-    return np.where(draws == 0, 1.0, np.searchsorted(models.POISSON, u, side="right"))
+    return np.searchsorted(models.POISSON, u, side="right").astype(float)
 
 
 def coefficient_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     """Draws of the fit with Poisson weights, all fitted at once: mean, 2.5 and 97.5 %, and the share of draws whose sign is that of the whole."""
     rows = _one(spark, sf)
     scaled = staged(models.standardized(rows, models.moments(rows, FEATURES), False), "scaled")
-    draws = np.arange(DRAWS + 1)
-    found = newton.newton_fits(scaled, FEATURES, DRAWS + 1, uses=["bout_id"], weights=lambda c: _weights(c["bout_id"], draws), ridge=2.0, steps=BOOTSTRAP_STEPS)
-    whole, drawn = found[0], found[1:]
+    whole = newton.newton_fits(scaled, FEATURES, ridge=2.0, steps=STEPS)[0]
+    draws = np.arange(1, DRAWS + 1)
+    drawn = newton.newton_fits(scaled, FEATURES, DRAWS, uses=["bout_id"], weights=lambda c: _weights(c["bout_id"], draws), ridge=2.0, start=whole, steps=BOOTSTRAP_STEPS)
     low, high = np.percentile(drawn, [2.5, 97.5], axis=0)
     told = zip(FEATURES, whole, drawn.mean(axis=0), low, high, (drawn * whole > 0).mean(axis=0))
     return spark.createDataFrame([(k, *[round(float(v), 5) + 0.0 for v in c]) for k, *c in told], "feature string, fit double, mean double, low double, high double, sign double")
 
 
 FOLDS = (0.45, 0.55, 0.65, 0.75, 0.85, 0.95)
-#: Steps of a draw: its curvature is near that of the whole, so it is settled to five places by then.
-BOOTSTRAP_STEPS = 5
+#: Steps of a draw, which begins at the fit of the whole.
+BOOTSTRAP_STEPS = 1
 
 
 def _scores(rows: DataFrame, names: list[str], betas: np.ndarray) -> list[Column]:
@@ -188,10 +188,11 @@ ORACLES = {
     "platt_fit": f"""{CLAIMS}, t AS (SELECT 0 AS k, 1.0::DOUBLE AS x1, ln(p / (1 - p)) AS x2, CAST(y AS DOUBLE) AS y, {_PLAIN} FROM claims WHERE bout_id % 2 = 0), {sql_newton('n', 't', (0.0, 1.0))},
         q AS (SELECT CAST(y AS DOUBLE) AS y, p AS p0, 1 / (1 + exp(-(a + b * ln(p / (1 - p))))) AS p, a, b FROM claims, n WHERE bout_id % 2 = 1)
         SELECT round(max(a), 6) AS intercept, round(max(b), 6) AS slope, round(avg({_LOSS('p0')}), 6) AS before, round(avg({_LOSS('p')}), 6) AS after FROM q""",
-    "coefficient_bootstrap": f"""{_ONE}, {_sql_scaled('one')}, d AS (SELECT bout_id, y, {_X}, unnest(range(0, {DRAWS + 1})) AS draw FROM z), t AS MATERIALIZED (SELECT draw AS k, {_X}, y, 0.0::DOUBLE AS o, CASE WHEN draw = 0 THEN 1.0::DOUBLE ELSE {_poisson(_U)} END AS w FROM d),
-        {newton.sql_newton('n', 't', len(FEATURES), '2.0::DOUBLE', BOOTSTRAP_STEPS)}, l AS (SELECT k, {_LONG} FROM n), f AS (SELECT feature, c AS fit FROM l WHERE k = 0)
+    "coefficient_bootstrap": f"""{_ONE}, {_sql_scaled('one')}, s AS MATERIALIZED (SELECT 0 AS k, {_X}, y, {_PLAIN} FROM z), {newton.sql_newton('whole', 's', len(FEATURES), '2.0::DOUBLE', STEPS)},
+        d AS (SELECT bout_id, y, {_X}, unnest(range(1, {DRAWS + 1})) AS draw FROM z), t AS (SELECT draw AS k, {_X}, y, 0.0::DOUBLE AS o, CAST({_poisson(_U)} AS DOUBLE) AS w FROM d),
+        {newton.sql_newton('n', 't', len(FEATURES), '2.0::DOUBLE', BOOTSTRAP_STEPS, start='whole')}, l AS (SELECT k, {_LONG} FROM n), f AS (SELECT feature, c AS fit FROM (SELECT {_LONG} FROM whole))
         SELECT l.feature, round(max(fit), 5) AS fit, round(avg(c), 5) AS mean, round(quantile_cont(c, 0.025), 5) AS low, round(quantile_cont(c, 0.975), 5) AS high, round(avg(CASE WHEN c * fit > 0 THEN 1.0::DOUBLE ELSE 0 END), 5) AS sign
-        FROM l JOIN f ON l.feature = f.feature WHERE k > 0 GROUP BY 1""",
+        FROM l JOIN f ON l.feature = f.feature GROUP BY 1""",
     "walk_forward": f"""{_ONE}, c AS (SELECT {_CUTS} FROM one), folds AS MATERIALIZED ({_FOLDS}), train AS MATERIALIZED (SELECT * FROM folds WHERE day <= low), {newton.sql_newton('n', 'train', len(FEATURES), '2.0::DOUBLE', STEPS)},
         t AS (SELECT f.k, y, 1 / (1 + exp(-({_DOT('beta')}))) AS p FROM folds f JOIN n ON f.k = n.k WHERE day > low AND day <= high)
         SELECT k AS fold, count(*) AS n, round(avg({_LOSS('p')}), 6) AS log_loss, round(avg(pow(p - y, 2)), 6) AS brier FROM t GROUP BY 1""",

@@ -51,17 +51,17 @@ def tree_sum(rows: DataFrame, told: Callable[[Iterator[pa.RecordBatch]], dict[in
 
 def newton_fits(
     rows: DataFrame, names: list[str], fits: int = 1, y: str = "y", uses: list[str] = (), weights: Callable[[Columns], np.ndarray] | None = None,
-    offsets: Callable[[Columns], np.ndarray] | None = None, allowed: np.ndarray | None = None, ridge: float | np.ndarray = 0.0, steps: int = 8,
+    offsets: Callable[[Columns], np.ndarray] | None = None, allowed: np.ndarray | None = None, ridge: float | np.ndarray = 0.0, start: np.ndarray | None = None, steps: int = 8,
 ) -> np.ndarray:
     """The coefficients, a row for each fit.
 
     ``weights`` and ``offsets`` give a column for each fit from the columns ``uses``; ``allowed`` tells which features a fit may use (all
-    others stay at zero), ``ridge`` is the penalty on the summed loss, a number for each fit or one.
+    others stay at zero), ``ridge`` is the penalty on the summed loss, a number for each fit or one; all fits begin at ``start``, or at zero.
     """
     width, upper = len(names), np.triu_indices(len(names))
     allowed = np.ones((fits, width), bool) if allowed is None else allowed
     penalty = np.broadcast_to(np.asarray(ridge, float).reshape(-1, 1), (fits, width))
-    beta = np.zeros((fits, width))
+    beta = np.where(allowed, 0.0 if start is None else start, 0.0)
     needed = rows.select(*dict.fromkeys([*names, y, *uses]))
     tasks = partitions_of(needed)
     for _ in range(steps):
@@ -101,22 +101,23 @@ def _step(beta: np.ndarray, names: list[str], y: str, uses: list[str], weights,
 # --- the same steps in DuckDB SQL, for the oracles ---
 
 
-def sql_newton(name: str, source: str, width: int, ridge: str, steps: int, allowed: dict[int, int] | None = None) -> str:
+def sql_newton(name: str, source: str, width: int, ridge: str, steps: int, allowed: dict[int, int] | None = None, start: str = "") -> str:
     """CTEs of Newton steps over ``source(k, x1 .. , y, o, w)``, a fit for each ``k``; the last, ``name``, has ``(k, beta)``.
 
     Each step solves its equations by eliminating one feature after another. ``ridge`` may depend on ``k``; ``allowed`` tells how many of the
-    first features a fit may use.
+    first features a fit may use, and ``start`` names a row with the ``beta`` to begin at.
     """
     n = range(1, width + 1)
     may = f"list_transform(range(1, {width + 1}), lambda i: " + ("1.0::DOUBLE" if allowed is None else "CAST(i <= CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in allowed.items()) + " END AS DOUBLE)") + ")"
     dot = " + ".join(f"beta[{i}] * x{i}" for i in n)
-    cells = ", ".join(f"sum(w * p * (1 - p) * x{i} * x{j}) AS h{i}_{j}" for i in n for j in range(i, width + 1))
-    slopes = ", ".join(f"sum(w * x{i} * (y - p)) AS g{i}" for i in n)
+    cells = ", ".join(f"sum(v * x{i} * x{j}) AS h{i}_{j}" for i in n for j in range(i, width + 1))
+    slopes = ", ".join(f"sum(u * x{i}) AS g{i}" for i in n)
     plain = "[" + ", ".join("[" + ", ".join(f"h{min(i, j)}_{max(i, j)}" for j in n) + "]" for i in n) + "]"
-    out = [f"{name}_0 AS (SELECT k, [{', '.join(['0.0::DOUBLE'] * width)}] AS beta, {may} AS a FROM (SELECT DISTINCT k FROM {source}))"]
+    first = f"(SELECT any_value(beta) FROM {start})" if start else f"[{', '.join(['0.0::DOUBLE'] * width)}]"
+    out = [f"{name}_0 AS (SELECT k, {first} AS beta, {may} AS a FROM (SELECT DISTINCT k FROM {source}))"]
     for s in range(1, steps + 1):
         last = f"{name}_{s - 1}"
-        out.append(f"{name}_{s}s AS MATERIALIZED (SELECT k, beta, a, [{', '.join(f'g{i}' for i in n)}] AS g, {plain} AS h FROM (SELECT k, any_value(beta) AS beta, any_value(a) AS a, {slopes}, {cells} FROM (SELECT s.*, beta, a, 1 / (1 + exp(-(o + {dot}))) AS p FROM {source} s JOIN {last} USING (k)) GROUP BY k))")
+        out.append(f"{name}_{s}s AS MATERIALIZED (SELECT k, beta, a, [{', '.join(f'g{i}' for i in n)}] AS g, {plain} AS h FROM (SELECT k, any_value(beta) AS beta, any_value(a) AS a, {slopes}, {cells} FROM (SELECT *, w * (y - p) AS u, w * p * (1 - p) AS v FROM (SELECT s.*, beta, a, 1 / (1 + exp(-(o + {dot}))) AS p FROM {source} s JOIN {last} USING (k))) GROUP BY k))")
         table = f"list_transform(h, lambda r, i: list_append(list_transform(r, lambda v, j: a[i] * a[j] * v + CASE WHEN i = j THEN a[i] * ({ridge} + 1e-12) + 1 - a[i] ELSE 0 END), a[i] * (g[i] - {ridge} * beta[i])))"
         out.append(f"""{name}_{s}e AS (SELECT k, 0 AS pos, {table} AS m FROM {name}_{s}s UNION ALL
             SELECT k, pos + 1, list_transform(m, lambda r, i: CASE WHEN i = pos + 1 THEN list_transform(r, lambda v: v / r[pos + 1]) ELSE list_transform(r, lambda v, j: v - r[pos + 1] / m[pos + 1][pos + 1] * m[pos + 1][j]) END)
