@@ -227,6 +227,15 @@ def aligned(words: DataFrame) -> DataFrame:
     return whole.select("uid", F.array_join(F.transform("gs", lambda g: g["text"]), ";").alias("groups"), F.when(~F.col("one"), listed).alias("links"))
 
 
+def _blocks(upto: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of documents that have ``most`` or fewer together, or are one; ``upto`` is how many the documents before each have."""
+    first = 0
+    while first < len(upto) - 1:
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + most, side="right")) - 1)
+        yield first, last
+        first = last
+
+
 class Part:
     """The facts of the units of a part: their links as numbers of pairs, by unit; with ``texts`` their groups too."""
 
@@ -266,16 +275,13 @@ class Part:
         """How many documents hold each pair; units are taken in pieces of at most ``LINKS`` links or one document."""
         out, width = np.zeros(len(self.pairs), np.int64), np.diff(self.starts)
         upto = np.concatenate(([0], np.cumsum(width[flat])))[ends]
-        first = 0
-        while first < len(good):
-            last = max(first + 1, int(np.searchsorted(upto, upto[first] + LINKS, side="right")) - 1)
+        for first, last in _blocks(upto, LINKS):
             own = flat[ends[first] : ends[last]]
             n = width[own]
             at = np.repeat(self.starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             doc = np.repeat(np.arange(first, last), np.diff(upto[first : last + 1]))
             keys = np.unique((doc * len(self.pairs) + self.links[at])[good[doc]])
             out += np.bincount(keys % max(1, len(self.pairs)), minlength=len(self.pairs))
-            first = last
         return out
 
 
@@ -310,7 +316,11 @@ def _summed(told: Callable[[str], str]) -> Callable[[pa.Table, pa.Table], pa.Tab
             return np.diff(np.concatenate(([0], np.cumsum(values)))[part.starts])
 
         def of_documents(values: np.ndarray) -> pa.Array:
-            return pa.array(np.where(good, np.diff(np.concatenate(([0], np.cumsum(values[flat])))[ends]), 0))
+            out = np.zeros(len(good), np.int64)
+            for first, last in _blocks(ends, LINKS):
+                upto = np.concatenate(([0], np.cumsum(values[flat[ends[first] : ends[last]]], dtype=np.int64)))
+                out[first:last] = np.diff(upto[ends[first : last + 1] - ends[first]])
+            return pa.array(np.where(good, out, 0))
 
         listed = of_units(np.ones(len(part.links), np.int64))
         columns = [part.sizes[:, 0], part.sizes[:, 1], part.sizes[:, 2], listed, of_units(best[part.links]), of_units(count[part.links])]

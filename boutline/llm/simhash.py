@@ -107,7 +107,8 @@ def links(points: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, cro
     sparse = table.join(crowds, keys, "left_anti").select(*keys, "b", F.lit(False).alias("crowd"))
     entries = sparse.unionByName(crowds.select(*keys, F.lit(None).cast("long").alias("b"), "crowd"))
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = stored(probes.join(entries, keys).where(F.col("crowd") | (F.col("a") < F.col("b")) & (apart <= radius)).select("a", "b").distinct(), "met")
+    # The files of the fingerprints are small, what each asks is not: by the size of the files it would be broadcast.
+    met = stored(probes.join(entries.hint("merge"), keys).where(F.col("crowd") | (F.col("a") < F.col("b")) & (apart <= radius)).select("a", "b").distinct(), "met")
     pairs = met.where("b is not null")
     if crowds.isEmpty():
         return pairs
@@ -129,7 +130,7 @@ def crowded(points: DataFrame, radius: int) -> DataFrame:
     table = points.select("fp", F.inline(words)).repartition("word")  # nearly all words are single: nothing to combine before
     least = F.min(F.when(F.col("inner"), F.col("fp")))
     hubs = stored(table.groupBy("word").agg(least.alias("b"), F.count("*").alias("n")).where("n > 1 and b is not null").select("word", "b"), "hubs")
-    return table.join(hubs, "word").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
+    return table.join(hubs.hint("merge"), "word").select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
