@@ -37,12 +37,13 @@ def resolve(asked: DataFrame, roster: DataFrame, aliases: DataFrame | None = Non
     out = asked.select("ask_id", "key").dropDuplicates(["ask_id"]).join(hits, "ask_id", "left").select("ask_id", "key", "m.id", F.col("m.rank").alias("how"))
     if cutoff is None:
         return out.drop("key")
-    near = fuzzy(out.where("id is null").select("ask_id", "key"), roster.select("id", "key"), cutoff).select("ask_id", F.col("id").alias("near"))
+    alone = roster.groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").select("id", "key")
+    near = fuzzy(out.where("id is null").select("ask_id", "key"), alone, cutoff).select("ask_id", F.col("id").alias("near"))
     return out.join(near, "ask_id", "left").select("ask_id", F.coalesce("id", "near").alias("id"), F.coalesce("how", F.when(F.col("near").isNotNull(), 9)).alias("how"))
 
 
 def fuzzy(asked: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The most similar roster name of each asked one at ``cutoff`` or above, ties to the smaller id; a name that two ids have is none.
+    """The most similar roster name of each asked one at ``cutoff`` or above, ties to the smaller id.
 
     No match is lost: keys of lengths a and b at ``cutoff`` differ by at most (2 / cutoff - 2) * min(a, b) in
     length and by e = (1 - cutoff) * (a + b) letters put in or left out, so of e + 1 pieces of one key one is
@@ -63,7 +64,7 @@ def fuzzy(asked: DataFrame, roster: DataFrame, cutoff: float = CUTOFF) -> DataFr
     left = asked.select(F.col("key").alias("k")).where("k is not null").distinct().select("k", F.explode(sizes(own)).alias("size"))
     left = left.select("k", "size", piece(own, F.col("size")).alias("width"), F.sequence(F.lit(0), edits(own, F.col("size"))).alias("at"))
     left = left.select("k", "size", "width", F.explode(F.transform("at", lambda i: F.substring(F.col("k"), i * F.col("width") + 1, F.col("width")))).alias("gram")).distinct()
-    known = roster.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other").drop("other")
+    known = roster.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     widths = known.select("id", "key", theirs.alias("size"), F.explode(F.array_distinct(F.transform(sizes(theirs), lambda a: piece(a, theirs)))).alias("width"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), theirs - F.col("width") + 1))
     right = widths.select("id", "key", "size", "width", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("key"), i, F.col("width"))))).alias("gram"))
