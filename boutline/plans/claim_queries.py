@@ -133,10 +133,9 @@ def division_pounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def finish_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The inputs of the finish formula: sums of knockdowns, control, pace and submissions, age gap, five rounds, pounds, women's."""
-    rows = career.panel(strength(spark, sf))
-    kept = strength(spark, sf).select("bout_id", "side", "sub15")
-    both = rows.join(kept, ["bout_id", "side"]).groupBy("bout_id").agg(
-        F.sum("own_kd15").alias("kd_sum"), F.sum("own_ctrl_share").alias("ctrl_sum"), F.sum("own_slpm").alias("pace_sum"), F.sum("sub15").alias("sub_sum"),
+    rows = career.panel(strength(spark, sf), ("sub15",))
+    both = rows.groupBy("bout_id").agg(
+        F.sum("own_kd15").alias("kd_sum"), F.sum("own_ctrl_share").alias("ctrl_sum"), F.sum("own_slpm").alias("pace_sum"), F.sum("own_sub15").alias("sub_sum"),
         (F.max(F.col("entity") % 20) - F.min(F.col("entity") % 20)).cast("double").alias("age_gap"), (F.max("sched_sec") > 900).cast("int").alias("five"),
         F.max(rates.pounds(F.regexp_replace(F.regexp_replace("weight_class", "1-URGENT", "heavyweight"), "2-HIGH", "women's flyweight"), POUNDS)).cast("long").alias("pounds"),
         F.max(F.col("weight_class") == "2-HIGH").cast("int").alias("women"),
