@@ -219,7 +219,7 @@ def events_stream_open_close(spark: SparkSession, sf: str) -> DataFrame:
     events.repartition(6).write.parquet(f"{root}/in")
     stream = ledger.quote_stream(spark, f"{root}/in", events.schema)
     ledger.append_available(ledger.idempotent(stream, ["event_id"], delay="60 days"), f"{root}/unique", f"{root}/c1")
-    told = ledger.open_close(ledger.quote_stream(spark, f"{root}/unique", events.schema), ["user_id", "event_type"], "ts", "value")
+    told = ledger.open_close(ledger.quote_stream(spark, f"{root}/unique", events.schema, most_bytes=ledger.HOP), ["user_id", "event_type"], "ts", "value")
     rows = ledger.run_available(told, f"{root}/told", f"{root}/c2")
     return rows.select("user_id", "event_type", "n", F.round("open", 6).alias("open"), F.round("close", 6).alias("close"))
 
