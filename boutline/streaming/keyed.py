@@ -34,11 +34,13 @@ class Prices(StatefulProcessor):
         self.last = handle.getValueState("last", "seen long, id long, price double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        table = pd.concat(list(rows)).sort_values(["seen", "id"])
-        changed = []
-        for day, own in table.groupby("day", sort=True):
-            head, tail = own.iloc[0], own.iloc[-1]
-            state = (int(head["seen"]), int(head["id"]), int(tail["seen"]), int(tail["id"]), float(tail["price"]), bool(own["marked"].any()))
+        told = [r for t in rows for r in zip(t["seen"].tolist(), t["id"].tolist(), t["price"].tolist(), t["marked"].tolist(), t["day"].tolist())]
+        told.sort(key=lambda r: r[:2])
+        own, changed = {}, []
+        for seen, number, price, marked, day in told:
+            first = own.get(day, (seen, number, seen, number, price, False))
+            own[day] = (*first[:2], seen, number, price, first[5] or bool(marked))
+        for day, state in sorted(own.items()):
             if self.days.containsKey((day,)):
                 old = self.days.getValue((day,))
                 state = (*min(tuple(old[:2]), state[:2]), *max(tuple(old[2:5]), state[2:5]), bool(old[5]) or state[5])
@@ -46,8 +48,7 @@ class Prices(StatefulProcessor):
                 self.handle.registerTimer(self._end(day))
             self.days.updateValue((day,), state)
             changed.append((key[0], key[1], day, "day", state[0], state[2], state[3], state[4], state[5]))
-        tail = table.iloc[-1]
-        last = (int(tail["seen"]), int(tail["id"]), float(tail["price"]))
+        last = told[-1][:3]
         if self.last.exists():
             last = max(tuple(self.last.get()), last)
         self.last.update(last)
@@ -73,9 +74,9 @@ class Prices(StatefulProcessor):
 
     @staticmethod
     def _told(rows: list[tuple]) -> pd.DataFrame:
+        kinds = {"first": "Int64", "seen": "Int64", "id": "Int64", "marked": "boolean", "pair": "Int64", "price": "float64"}
         names = [c.split()[0] for c in OUT.split(", ")]
-        kinds = {"pair": "Int64", "first": "Int64", "seen": "Int64", "id": "Int64", "marked": "boolean", "price": "float64"}
-        return pd.DataFrame(rows, columns=names).astype(kinds)
+        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=kinds.get(n, "object")) for i, n in enumerate(names)})
 
 
 def prices(quotes: DataFrame, delay: str, fresh_hours: int = 18, keep_days: int = 30) -> DataFrame:
