@@ -156,22 +156,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _sets(texts: DataFrame, width: int, share: int) -> DataFrame:
+def _sets(texts: DataFrame, width: int, share: int, fp: bool = False) -> DataFrame:
     """``texts(doc_id, digest, text)`` to ``(doc_id, digest, mark, n, hashes)``: the set of shingles by its size and
-    digest, and of its hashes those that ``share`` divides."""
+    digest, and of its hashes those that ``share`` divides; with ``fp`` the fingerprint too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [np.unique(shingles(t.as_buffer().to_pybytes(), width)) for t in batch.column(2)]
+            told = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+            sets = [np.unique(shingles(t, width)) for t in told]
             marks = np.array([xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets], dtype=np.uint64).view(np.int64)
             kept = [h[h % np.uint64(share) == 0].view(np.int64) for h in sets]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in kept]))).astype(np.int32))
             values = pa.array(np.concatenate([*kept, np.zeros(0, np.int64)]))
             sizes = pa.array([len(h) for h in sets], pa.int32())
             columns = [batch.column(0), batch.column(1), pa.array(marks), sizes, pa.ListArray.from_arrays(offsets, values)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "mark", "n", "hashes"])
+            names = ["doc_id", "digest", "mark", "n", "hashes"]
+            if fp:
+                columns, names = [*columns, pa.array(np.array([fingerprint(t) for t in told], dtype=np.uint64).view(np.int64))], [*names, "fp"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return texts.mapInArrow(run, "doc_id long, digest long, mark long, n int, hashes array<long>")
+    return texts.mapInArrow(run, "doc_id long, digest long, mark long, n int, hashes array<long>" + (", fp long" if fp else ""))
 
 
 def _bucket_links(similarity: float):
@@ -202,7 +206,7 @@ def _bucket_links(similarity: float):
 def alike(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The classes of ``texts(doc_id, digest, text)``, linked by exact likeness of their sets of shingles.
 
-    Returns the rows ``(doc_id, digest, mark, n)``, and ``(node, component)`` of marks. Two sets are linked from a
+    Returns the rows ``(doc_id, digest, mark, n, fp)``, and ``(node, component)`` of marks. Two sets are linked from a
     Jaccard likeness of ``similarity`` on. No pair is lost: of a set of n, ``need`` = ceil(similarity * n) shingles must
     be shared. A third of the hashes tells first which sets have more than n - need of their own; of the others
     one of the n - need + 1 rarest shingles is in the other set too. Sets that share one are a bucket. Each is
@@ -211,7 +215,7 @@ def alike(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, D
     """
     spark = texts.sparkSession
     need = F.ceil(F.col("n") * F.lit(similarity) - 1e-9)
-    marks = stored(_sets(texts, width, 1).select("doc_id", "digest", "mark", "n"), "marks")
+    marks = stored(_sets(texts, width, 1, fp=True).select("doc_id", "digest", "mark", "n", "fp"), "marks")
     own = _sets(texts, width, 3).select("mark", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("mark").alias("mark"), F.max("mark").alias("top"))
     lone = stored(own.where("mark = top").groupBy("mark").agg(F.count("*").alias("lone")), "lone")
     release(spark)
@@ -251,14 +255,29 @@ def alike(texts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, D
     return marks, found
 
 
+def bound(marks: DataFrame, found: DataFrame) -> DataFrame:
+    """``found``, the classes of sets of ``marks(mark, fp)``, joined where fingerprints are ``links`` of each other: ``(node, component)`` of sets."""
+    near = components(links(marks.select("fp").distinct()))
+    release(marks.sparkSession)
+    rows = marks.select("mark", "fp").distinct().join(found, F.col("mark") == F.col("node"), "left").select("fp", F.coalesce("component", "mark").alias("a"))
+    rows = rows.join(near, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("fp"), "a").distinct()
+    several = rows.groupBy("fp").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most")
+    more = rows.join(several, "fp").where("a <> b").select("a", "b")
+    return stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "bound")
+
+
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each component of documents whose sets of ``width``-word shingles are alike, with all its columns.
+    """One row of each component of near-duplicates, with all its columns.
 
+    Two documents are near-duplicates if their SimHash fingerprints are linked, as in ``near_duplicates``, or if their sets of
+    ``width``-word shingles are alike by the exact check, which also finds the copies whose fingerprints lie further apart.
     It is the row with the smallest ``doc_id``; a row without one is kept where no row of its component has one.
     Of rows alike in ``doc_id`` and text one is kept. Texts without a word are one component.
     """
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     marks, found = alike(text_of(docs).select("doc_id", digest.alias("digest"), "text"), width, similarity)
+    found = bound(marks, found)
+    release(docs.sparkSession)
     at = marks.join(found, F.col("mark") == F.col("node"), "left").select("doc_id", "digest", F.coalesce("component", "mark").alias("component"))
     rows = at.groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "n")).alias("m"))

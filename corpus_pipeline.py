@@ -33,7 +33,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are alike to 0.8 or more, and what these connect, the one with the smallest id."""
+    """Of documents with linked SimHash fingerprints, or five-word shingles alike to 0.8 or more, and what these connect, the one with the smallest id."""
     on_workers(spark)
     return simhash.keep_one(docs)
 

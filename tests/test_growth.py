@@ -1,10 +1,13 @@
 """What keeps work in bounds as tables grow: what is shuffled, and what is computed once for many rows."""
 
+import os
+
 import numpy as np
 
+from boutline.llm import simhash
 from boutline.operators import career, rates
-from boutline.plans import fit_queries, model_queries, models
-from boutline.sources import views
+from boutline.plans import claim_queries, fit_queries, model_queries, models, source_queries, text_queries
+from boutline.sources import offline, views
 
 
 def test_strength_is_that_of_snapshots_and_leaves_out_what_nobody_asks_for(spark, sf):
@@ -58,3 +61,40 @@ def test_a_logistic_score_is_an_expression(spark):
 
 def test_standardized_features_join_nothing(spark, sf):
     assert "Join" not in fit_queries.standardized_features(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_duplicates_of_the_pipeline_are_told_by_fingerprints_too(spark):
+    body, tails = "x y z " * 1000, [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    rows = [(1, body + tails[0]), (2, body + tails[1]), (3, " ".join(tails))]
+    assert simhash.fingerprint(rows[0][1].encode()) == simhash.fingerprint(rows[1][1].encode())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]  # sets of shingles alone kept 2
+
+
+def test_claims_meet_outcomes_before_there_is_a_row_for_each_market(spark, sf):
+    plan = claim_queries.market_bands(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Join")  # plans are printed from the top
+
+
+def test_a_saved_response_is_a_batch_of_its_own(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.txt").write_text("x" * i)
+    reader = offline.SavedReader({"path": f"file://{tmp_path}", "tasks": "1"})
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [1] * 5
+
+
+def test_boards_have_pages_and_raw_files_are_compressed(spark, sf, monkeypatch):
+    want = sorted(source_queries.odds_responses(spark, sf).collect(), key=str)
+    monkeypatch.setattr(source_queries, "PAGE", 3)
+    got = sorted(source_queries.odds_responses(spark, sf).collect(), key=str)
+    assert [(r.book, r.day, r.n, r.upper) for r in got] == [(r.book, r.day, r.n, r.upper) for r in want]
+    root = source_queries._write_raw(spark, sf).removeprefix("file://")
+    names = [n for n in os.listdir(f"{root}/stats.csv") if n.startswith("part-")]
+    assert names and all(n.endswith(".gz") for n in names)
+
+
+def test_what_a_stream_has_written_is_read_by_bytes(spark, sf, monkeypatch):
+    taken, whole = [], text_queries.ledger.quote_stream
+    monkeypatch.setattr(text_queries.ledger, "quote_stream", lambda *a, **k: taken.append(k) or whole(*a, **k))
+    text_queries.events_stream_open_close(spark, sf)
+    assert taken == [{}, {"most_bytes": text_queries.ledger.HOP}]
