@@ -103,6 +103,14 @@ def outcomes(bouts: DataFrame) -> DataFrame:
     return bouts.select("bout_id", F.inline(pairs))
 
 
+def settled(joints: DataFrame, bouts: DataFrame) -> DataFrame:
+    """``(bout_id, market, p, hit)`` of every market with a probability and an outcome. Both meet by the bout, before there is a row for each market."""
+    facts = bouts.select("bout_id", "total_sec", "method", "winner", "r_td_landed", "b_td_landed", "r_kd", "b_kd")
+    hit = happened()
+    told = F.array(*[F.struct(F.lit(k).alias("market"), c.alias("p"), hit[k].cast("int").alias("hit")) for k, c in markets().items()])
+    return joints.join(facts, "bout_id").select("bout_id", F.inline(F.filter(told, lambda x: x["p"].isNotNull() & x["hit"].isNotNull())))
+
+
 def market_scores(told: DataFrame, hits: DataFrame) -> DataFrame:
     """Per market of settled claims: base rate, Brier score, that of the base rate, and the skill."""
     rows = told.join(hits.where("hit is not null"), ["bout_id", "market"])

@@ -40,7 +40,7 @@ def claim_scorecard(spark: SparkSession, sf: str) -> DataFrame:
 
 def market_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Per market and fifth of the probability: said against happened, of at least five claims."""
-    told = claims.claims(_joint(spark, sf)).join(claims.outcomes(bouts(spark, sf)).where("hit is not null"), ["bout_id", "market"])
+    told = claims.settled(_joint(spark, sf), bouts(spark, sf))
     band = rates.bucket_left(F.col("p"), grading.CLAIM_BANDS)
     out = told.select("market", band.alias("band"), "p", "hit").groupBy("market", "band").agg(F.count("*").alias("n"), F.avg("p").alias("said"), F.avg("hit").alias("happened"))
     return rounded(out.where("n >= 5"), ["market", "band", "n"], ["said", "happened"])
