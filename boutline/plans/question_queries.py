@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutline.operators import automaton, names, questions
+from boutline.sources.scratch import staged
 from boutline.sources.views import bouts, table, with_views
 
 
@@ -59,7 +60,9 @@ CLAIMS = (
 
 def market_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """Claims told before whole texts of documents, placed on a bout, a side and a market, or nowhere."""
-    rows = bouts(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("bout_id"), "text"), "bout_id")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("bout_id"), "text")
+    pairs = staged(bouts(spark, sf).select("bout_id", "r_id", "b_id").join(texts, "bout_id", "left_semi"), "pairs")
+    rows = pairs.join(texts, "bout_id")
     full = lambda side: F.format_string("Supplier#%09d", f"{side}_id")
     last = lambda side: F.format_string("%09d", f"{side}_id")
     claim, event = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -71,8 +74,9 @@ def market_mapping(spark: SparkSession, sf: str) -> DataFrame:
         claim = F.when(here, told).otherwise(claim)
         event = F.when(here & F.lit(known), F.concat(F.lit("event-"), "bout_id")).otherwise(event)
     asked = rows.select(F.col("bout_id").alias("question_id"), event.alias("event"), F.concat_ws(" ", claim, "text").alias("question"))
-    outcomes = rows.select(F.concat(F.lit("event-"), "bout_id").alias("event"), F.explode(F.array(full("r"), last("b"))).alias("name"))
-    board = rows.select("bout_id", F.col("r_id").alias("a_id"), F.col("b_id").alias("b_id"))
+    known = pairs.join(texts.select("bout_id"), "bout_id")
+    outcomes = known.select(F.concat(F.lit("event-"), "bout_id").alias("event"), F.explode(F.array(full("r"), last("b"))).alias("name"))
+    board = known.select("bout_id", F.col("r_id").alias("a_id"), F.col("b_id").alias("b_id"))
     roster = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lower(F.replace("s_name", F.lit("#"), F.lit(" "))).alias("key"), F.lit("").alias("nickname"))
     return questions.placed(asked, board, roster, outcomes)
 

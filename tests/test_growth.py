@@ -1,12 +1,15 @@
 """What keeps work in bounds as tables grow: what is shuffled, and what is computed once for many rows."""
 
 import os
+import random
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from boutline.llm import simhash
-from boutline.operators import career, rates
-from boutline.plans import claim_queries, fit_queries, model_queries, models, source_queries, text_queries
+from boutline.operators import career, questions, rates
+from boutline.plans import claim_queries, fit_queries, model_queries, models, question_queries, source_queries, text_queries
 from boutline.sources import offline, views
 
 
@@ -98,3 +101,11 @@ def test_what_a_stream_has_written_is_read_by_bytes(spark, sf, monkeypatch):
     monkeypatch.setattr(text_queries.ledger, "quote_stream", lambda *a, **k: taken.append(k) or whole(*a, **k))
     text_queries.events_stream_open_close(spark, sf)
     assert taken == [{}, {"most_bytes": text_queries.ledger.HOP}]
+
+
+def test_questions_are_read_once_and_a_subject_is_that_of_its_pattern(spark, sf):
+    assert not [f for f in question_queries.market_mapping(spark, sf).inputFiles() if "lineitem" in f]  # bouts were made anew for each use
+    rng = random.Random(3)
+    told = [" " + " ".join(rng.choice(["in", "vs", "vs.", "ann", "in?", "?", "bin", "vsx"]) for _ in range(rng.randint(1, 9))) + " " for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in told], "told string").select("told", questions.subject(F.col("told")).alias("subject")).collect()
+    assert [r.subject for r in rows] == [re.sub(r"\bin [^?]*?\bvs\b[^?]*", " ", r.told) for r in rows]
