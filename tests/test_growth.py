@@ -109,3 +109,41 @@ def test_questions_are_read_once_and_a_subject_is_that_of_its_pattern(spark, sf)
     told = [" " + " ".join(rng.choice(["in", "vs", "vs.", "ann", "in?", "?", "bin", "vsx"]) for _ in range(rng.randint(1, 9))) + " " for _ in range(400)]
     rows = spark.createDataFrame([(t,) for t in told], "told string").select("told", questions.subject(F.col("told")).alias("subject")).collect()
     assert [r.subject for r in rows] == [re.sub(r"\bin [^?]*?\bvs\b[^?]*", " ", r.told) for r in rows]
+
+
+def test_bouts_are_dealt_to_entities_before_their_statistics_are_made(spark, sf, monkeypatch):
+    names, whole = [], fit_queries.staged
+    monkeypatch.setattr(career, "staged", lambda df, name: names.append(name) or whole(df, name))
+    limit = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1000")
+    try:
+        plan = career.strength(views.pairings(spark, sf), views.with_stats)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    made, dealt = plan.index("late_ctrl_sec"), plan.index("RepartitionByExpression")
+    assert made < dealt and "late_ctrl_sec" not in plan[dealt:]  # plans are printed from the top
+    assert names == ["bouts", "defences"]  # lines were read and shuffled twice
+
+
+def test_cornered_rows_are_appearances(spark, sf):
+    rows = views.bouts(spark, sf)
+    got = career.dealt(views.pairings(spark, sf), views.with_stats)
+    assert sorted(got.collect()) == sorted(views.appearances(rows).select(*got.columns).collect())
+
+
+def test_fits_write_their_rows_once(spark, sf, monkeypatch):
+    names, whole = [], fit_queries.staged
+    monkeypatch.setattr(fit_queries, "staged", lambda df, name: names.append(name) or whole(df, name))
+    monkeypatch.setattr(fit_queries, "DRAWS", 5)
+    fit_queries.coefficient_bootstrap(spark, sf)
+    fit_queries.ablation_arms(spark, sf)
+    assert names == ["one", "one", "gains"]  # rows over their deviations were written beside the rows
+
+
+def test_correlations_write_no_rows(spark, sf, monkeypatch):
+    def staged(df, name):
+        raise AssertionError(name)
+
+    monkeypatch.setattr(model_queries, "staged", staged)
+    assert model_queries.condition_number(spark, sf).first()["features"] == len(career.DIFFERENCES)
