@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boutline.functions import text
@@ -14,6 +14,9 @@ from boutline.sources.scratch import scratch_folder
 from boutline.sources.views import bouts, table, with_views
 from boutline.streaming import ledger
 
+#: Bouts of a part of a page, at most.
+PART = 5000
+
 
 def name_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of part names: collapsed, letters alone, surname, slug."""
@@ -66,24 +69,31 @@ def _pages(spark: SparkSession, sf: str, line: Column, head: str, foot: str) ->
     return rows.groupBy(F.date_format("event", "yyyy-MM-dd").alias("event")).agg(F.concat(F.lit(head), body, F.lit(foot)).alias("body"))
 
 
+def _parts(spark: SparkSession, sf: str, line: Column, head: str, foot: str) -> DataFrame:
+    """The texts of ``_pages`` in parts ``(event, day, n, body)`` of a day and at most ``PART`` bouts, each with head and foot."""
+    place = F.row_number().over(Window.partitionBy("dt").orderBy("bout_id")) - 1
+    rows = bouts(spark, sf).withColumn("line", line).select("event", "dt", "bout_id", "line", F.floor(place / PART).alias("n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bout_id", "line"))), lambda x: x["line"]), "")  # a part's bouts
+    return rows.groupBy(F.date_format("event", "yyyy-MM-dd").alias("event"), F.col("dt").alias("day"), "n").agg(F.concat(F.lit(head), body, F.lit(foot)).alias("body"))
+
+
 def _side(c: str) -> Column:
     return F.concat(F.lit("Ann Side"), F.col(c).cast("string"))
 
 
 def card_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages with a table of bouts in segments, parsed to bouts; a pair that a page names twice counts once."""
+    """Pages in parts with a table of bouts in segments, parsed to bouts; a pair that a page names twice counts once."""
     i = F.col("bout_id")
     turn = F.when(i % 10 == 0, "<tr><th colspan=8>Preliminary card (TV)</th></tr>").when(i % 10 == 5, "<tr><th>Early Prelims</th></tr>").otherwise(F.lit(""))
     row = F.concat(
         turn, F.lit("<tr><td>"), F.when(i % 2 == 0, "Light&shy;weight").otherwise("Catch"), F.lit("</td><td> <a href='x'>"), _side("r_id"), F.lit("</a> (c)</td><td>"),
         F.when(i % 3 == 0, "vs.").otherwise("VS"), F.lit("</td><td>"), _side("b_id"), F.lit("[<b>3</b>]</td><td>x</td></tr>\n"),
     )
-    pages = _pages(spark, sf, row, "<html><table><tr><td>a</td><td>no bout</td><td>here</td></tr>", "</table></html>")
-    return wiki.parsed(pages, "event", "body", wiki.card, "a string, b string, segment string, division string")
+    return wiki.cards(_parts(spark, sf, row, "<html><table><tr><td>a</td><td>no bout</td><td>here</td></tr>", "</table></html>"))
 
 
 def record_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Wikitext of records, columns told by the header, days in four notations, links and templates in cells; parsed to rows."""
+    """Wikitext of records in parts, columns told by the header, days in four notations, links and templates in cells; parsed to rows."""
     i, day = F.col("bout_id"), F.col("dt")
     when = (
         F.when(i % 4 == 0, F.date_format(day, "'{{dts|'yyyy|M|d'}}'")).when(i % 4 == 1, F.date_format(day, "'{{start date|'yyyy'|'MMM'|'d'|df=y}}'"))
@@ -98,7 +108,7 @@ def record_pages(spark: SparkSession, sf: str) -> DataFrame:
         "Lead\n==Kickboxing record==\n{|\n! Res. !! Record !! Date\n|-\n| Win || 9 || 2001-01-01\n|}\n== Mixed martial arts record ==\n{| class='w'\n|+ cap\n"
         "! Res. !! Record !! Opponent !! Method !! Event !! Date !! Round\n"
     )
-    told = wiki.parsed(_pages(spark, sf, row, head, "|}\n== Notes ==\nend"), "event", "body", lambda t: [r[:4] for r in wiki.record(t) or []], "day date, result string, opponent string, method string")
+    told = wiki.parsed(_parts(spark, sf, row, head, "|}\n== Notes ==\nend"), "event", "body", lambda t: [r[:4] for r in wiki.record(t) or []], "day date, result string, opponent string, method string")
     return told.select("event", F.date_format("day", "yyyy-MM-dd").alias("day"), "result", "opponent", "method")
 
 

@@ -147,3 +147,12 @@ def test_correlations_write_no_rows(spark, sf, monkeypatch):
 
     monkeypatch.setattr(model_queries, "staged", staged)
     assert model_queries.condition_number(spark, sf).first()["features"] == len(career.DIFFERENCES)
+
+
+def test_pages_come_in_parts_and_are_parsed_as_a_whole(spark, sf, monkeypatch):
+    sizes, whole = [], text_queries.wiki.parsed
+    monkeypatch.setattr(text_queries.wiki, "parsed", lambda rows, key, text, *more: sizes.append(rows.agg(F.max(F.length(text))).first()[0]) or whole(rows, key, text, *more))
+    want = {q: sorted(getattr(text_queries, q)(spark, sf).collect()) for q in ("card_pages", "record_pages")}
+    monkeypatch.setattr(text_queries, "PART", 1)
+    assert all(sorted(getattr(text_queries, q)(spark, sf).collect()) == rows for q, rows in want.items())
+    assert sizes[0] > sizes[2] and sizes[1] > sizes[3] and max(sizes) < 5000  # a page was one text of a month
