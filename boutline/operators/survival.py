@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_MINUTES = 25
 
 
-def intervals(bouts: DataFrame) -> DataFrame:
-    """A row per bout and minute fought, in both orientations; the class of the last is how it ended.
+def fought() -> Column:
+    """The minutes of a bout that were fought."""
+    return F.least(F.greatest(F.ceil(F.col("total_sec") / 60), F.lit(1)), F.lit(MAX_MINUTES)).cast("int")
 
-    Classes: 0 goes on, 1 and 2 the first and second side by knockout, 3 and 4 by submission.
-    """
-    minutes = F.least(F.greatest(F.ceil(F.col("total_sec") / 60), F.lit(1)), F.lit(MAX_MINUTES)).cast("int")
-    ends = F.when((F.col("method") == "DEC") | (F.col("winner") == "draw"), 0).otherwise(
+
+def ending() -> Column:
+    """The class of a bout's last minute: 0 goes on, 1 and 2 the first and second side by knockout, 3 and 4 by submission."""
+    return F.when((F.col("method") == "DEC") | (F.col("winner") == "draw"), 0).otherwise(
         F.when(F.col("winner") == "r", 1).otherwise(2) + F.when(F.col("method") == "SUB", 2).otherwise(0)
     )
-    rows = bouts.select("bout_id", minutes.alias("last"), ends.alias("ends"), F.explode(F.sequence(F.lit(1), minutes)).alias("minute"))
+
+
+def intervals(bouts: DataFrame) -> DataFrame:
+    """A row per bout and minute fought, in both orientations; the class of the last is how it ended, and of all others 0."""
+    rows = bouts.select("bout_id", fought().alias("last"), ending().alias("ends"), F.explode(F.sequence(F.lit(1), fought())).alias("minute"))
     rows = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("orient"))
     mirrored = F.when(F.col("ends") == 0, 0).otherwise(F.when(F.col("ends") % 2 == 1, F.col("ends") + 1).otherwise(F.col("ends") - 1))
     cls = F.when(F.col("minute") < F.col("last"), 0).otherwise(F.when(F.col("orient") == 0, F.col("ends")).otherwise(mirrored))

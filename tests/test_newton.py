@@ -42,3 +42,28 @@ def test_thirty_features_in_folds_draws_and_arms(spark, parts):
 def test_no_rows(spark):
     rows = spark.createDataFrame([], "y int, a double, b double")
     assert newton.newton_fits(rows, ["a", "b"], 2, ridge=1.0).tolist() == [[0.0, 0.0], [0.0, 0.0]]
+
+
+def test_hazards_are_those_of_a_row_for_each_minute_and_none_is_made(spark, sf):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from boutline.operators import survival
+    from boutline.plans import model_queries, models
+    from boutline.plans.career_queries import strength
+    from boutline.sources.views import bouts
+
+    got = model_queries.hazard_multinomial(spark, sf)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "explode" not in plan and "Window" not in plan  # the bouts were broadcast to their minutes
+    known = strength(spark, sf).groupBy("bout_id").agg(*[F.max(F.when(F.col("side") == s, F.col("kd15"))).alias(s) for s in "rb"])
+    base = bouts(spark, sf).join(known, "bout_id").withColumns({"gap": F.col("r") - F.col("b"), "level": F.col("r") + F.col("b")}).select("bout_id", "sched_sec", "gap", "level").cache()
+    names = ["minute", "gap", "level"]
+    train = survival.intervals(bouts(spark, sf)).join(base, "bout_id").withColumn("gap", F.when(F.col("orient") == 0, F.col("gap")).otherwise(-F.col("gap")))
+    model = LogisticRegression(labelCol="class", family="multinomial", regParam=1e-4, maxIter=1000, tol=1e-13).fit(models.assembled(train.select(*names, "class"), names))
+    grid = base.withColumn("minute", F.explode(F.sequence(F.lit(1), (F.col("sched_sec") / 60).cast("int"))))
+    p = model.transform(models.assembled(grid, names)).withColumn("p", vector_to_array("probability"))
+    want = survival.roll_up(p.select("bout_id", "minute", *[F.get("p", k).alias(f"h{k}") for k in range(1, 5)])).select(*got.columns)
+    got, want = (np.array(sorted(map(tuple, x.collect()))) for x in (got, want))
+    assert got.shape == want.shape and np.abs(got - want).max() < 1e-4
