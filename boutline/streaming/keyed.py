@@ -1,22 +1,24 @@
 """Prices with a state for each key: first sightings, marks that stick, and the latest price while it is fresh.
 
-A key is a venue and a pair. It holds a map of days, each with its first sighting, last price and mark, and the latest price of all.
-A timer forgets the price once it is too old against the watermark, and another the days that no row can reach any more, so a
-key that is quoted no longer takes no room.
+A key is a venue and a pair. It holds its days, each with its first sighting, last price and mark, and the latest price of all, as one value:
+every look into a state is a call from Python to the JVM, so a batch of rows of a key has one to read and one to write, however many days it
+touches. One timer of a key is set at a time, for what is due first: the price is forgotten once it is too old against the watermark, and a
+day when no row can reach it any more, so a key that is quoted no longer takes no room.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 OUT = "venue string, pair long, day string, kind string, first long, seen long, id long, price double, marked boolean"
-_HOUR = 3_600_000
+_HOUR, _EPOCH = 3_600_000, dt.date(1970, 1, 1)
 
 
 class Prices(StatefulProcessor):
@@ -30,53 +32,60 @@ class Prices(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day string", "first long, first_id long, seen long, id long, price double, marked boolean")
-        self.last = handle.getValueState("last", "seen long, id long, price double")
+        self.state = handle.getValueState("days", "days string, last string, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        told = [r for t in rows for r in zip(t["seen"].tolist(), t["id"].tolist(), t["price"].tolist(), t["marked"].tolist(), t["day"].tolist())]
-        told.sort(key=lambda r: r[:2])
-        own, changed = {}, []
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        told = sorted(((r.seen, r.id, r.price, r.marked, r.day) for r in rows), key=lambda r: r[:2])
+        own = {}
         for seen, number, price, marked, day in told:
             first = own.get(day, (seen, number, seen, number, price, False))
             own[day] = (*first[:2], seen, number, price, first[5] or bool(marked))
+        days, last, timer = self._held()
         for day, state in sorted(own.items()):
-            if self.days.containsKey((day,)):
-                old = self.days.getValue((day,))
-                state = (*min(tuple(old[:2]), state[:2]), *max(tuple(old[2:5]), state[2:5]), bool(old[5]) or state[5])
-            else:
-                self.handle.registerTimer(self._end(day))
-            self.days.updateValue((day,), state)
-            changed.append((key[0], key[1], day, "day", state[0], state[2], state[3], state[4], state[5]))
-        last = told[-1][:3]
-        if self.last.exists():
-            last = max(tuple(self.last.get()), last)
-        self.last.update(last)
-        self.handle.registerTimer(last[0] + self.fresh)
-        yield self._told(changed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, gone = expiredTimerInfo.getExpiryTimeInMs(), []
-        if self.last.exists() and self.last.get()[0] + self.fresh <= now:
-            seen, number, price = self.last.get()
-            gone.append((key[0], key[1], None, "gone", None, seen, number, price, None))
-            self.last.clear()
-        old = [day for (day,) in list(self.days.keys()) if self._end(day) <= now]
-        for day in old:
-            self.days.removeKey((day,))
-        yield self._told(gone)
+            old = days.get(day)
+            if old:
+                state = (*min(tuple(old[:2]), state[:2]), *max(tuple(old[2:5]), state[2:5]), old[5] or state[5])
+            days[day] = state
+            yield self._told(key, day, "day", state[0], *state[2:])
+        newest = told[-1][:3]
+        self._hold(days, max(tuple(last), newest) if last else newest, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Forgets all that is due by now: a timer set here for something that is due already would not call before the next batch."""
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(at, timerValues.getCurrentWatermarkInMs())
+        days, last, timer = self._held()
+        if last and last[0] + self.fresh <= now:
+            yield self._told(key, None, "gone", None, *last, None)
+            last = None
+        # The timer that calls is dropped by Spark.
+        self._hold({day: state for day, state in days.items() if self._end(day) > now}, last, None if timer == at else timer)
 
     def close(self) -> None:
         pass
 
+    def _held(self) -> tuple[dict[str, list], list | None, int | None]:
+        found = self.state.get()
+        return (json.loads(found[0]), json.loads(found[1]), found[2]) if found else ({}, None, None)
+
+    def _hold(self, days: dict, last: tuple | None, timer: int | None) -> None:
+        """Writes the state and sets the timer for what is due first, in place of ``timer``; of a key with nothing left there is neither."""
+        due = min([*map(self._end, days), *([last[0] + self.fresh] if last else [])], default=None)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is None:
+            self.state.clear()
+            return
+        if timer != due:
+            self.handle.registerTimer(due)
+        self.state.update((json.dumps(days), json.dumps(last), due))
+
     def _end(self, day: str) -> int:
-        return int(pd.Timestamp(day, tz="UTC").timestamp() * 1000) + self.keep
+        return (dt.date.fromisoformat(day) - _EPOCH).days * 24 * _HOUR + self.keep
 
     @staticmethod
-    def _told(rows: list[tuple]) -> pd.DataFrame:
-        kinds = {"first": "Int64", "seen": "Int64", "id": "Int64", "marked": "boolean", "pair": "Int64", "price": "float64"}
-        names = [c.split()[0] for c in OUT.split(", ")]
-        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=kinds.get(n, "object")) for i, n in enumerate(names)})
+    def _told(key, day: str | None, kind: str, first: int | None, seen: int, number: int, price: float, marked: bool | None) -> Row:
+        return Row(venue=key[0], pair=key[1], day=day, kind=kind, first=first, seen=seen, id=number, price=price, marked=marked)
 
 
 def prices(quotes: DataFrame, delay: str, fresh_hours: int = 18, keep_days: int = 30) -> DataFrame:
@@ -86,7 +95,7 @@ def prices(quotes: DataFrame, delay: str, fresh_hours: int = 18, keep_days: int
     """
     day = F.date_format("ts", "yyyy-MM-dd").alias("day")
     rows = quotes.where("price is not null").withWatermark("ts", delay).select("venue", "pair", "ts", day, F.unix_millis("ts").alias("seen"), "id", "price", "marked")
-    return rows.groupBy("venue", "pair").transformWithStateInPandas(Prices(fresh_hours, keep_days), OUT, "Update", "EventTime")
+    return rows.groupBy("venue", "pair").transformWithState(Prices(fresh_hours, keep_days), OUT, "Update", "EventTime")
 
 
 def days_of(changes: DataFrame) -> DataFrame:
