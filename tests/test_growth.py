@@ -148,3 +148,19 @@ def test_pages_come_in_parts_and_are_parsed_as_a_whole(spark, sf, monkeypatch):
     monkeypatch.setattr(text_queries, "PART", 1)
     assert all(sorted(getattr(text_queries, q)(spark, sf).collect()) == rows for q, rows in want.items())
     assert sizes[0] > sizes[2] and sizes[1] > sizes[3] and max(sizes) < 5000  # a page was one text of a month
+
+
+def test_correlations_are_one_product_of_matrices(spark, sf):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4)) * [1, 1e-3, 10, 1] + [0, 1e4, 0, 0]
+    x[:, 2] += 8 * x[:, 0]
+    x[:, 3] = 0.1
+    names = list("abcd")
+    rows = spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names)).repartition(5)
+    got = {(r.a, r.b): r.r for r in models.correlations(rows, names).collect()}
+    want = np.corrcoef(x[:, :3].T)
+    assert len(got) == 6 and all(got["d", n] is None for n in "abc")
+    assert np.allclose([got["b", "a"], got["c", "a"], got["c", "b"]], [want[1, 0], want[2, 0], want[2, 1]], atol=1e-9)
+    assert models.correlations(rows.where("a is null"), names).count() == 0
+    plan = model_queries.corr_matrix(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "corr(" not in plan  # three hundred aggregates of six numbers each
